@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary, per_slice, staged
+from .common import per_slice, staged
 from .tokens import Encoder, vocabulary
 
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -24,7 +24,10 @@ def _cutter(text: str, kind: str, end: int, capacity: int):
         encoder, row = Encoder(text, kind, end), TaskContext.get().partitionId() << 40
         for batch in per_slice(batches, 1000):
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(binary(batch.column("text"))), strict=True):
+            stream, lengths = encoder(batch.column("text"))
+            ends = np.cumsum(lengths)
+            for doc_id, begin, stop_at in zip(batch.column("doc_id").to_pylist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
+                ids = stream[begin:stop_at]
                 starts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity)]
                 for piece, (start, stop) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
                     for column, value in zip(out, (row, doc_id, piece, start, stop - start, zlib.crc32(ids[start:stop].tobytes())), strict=True):

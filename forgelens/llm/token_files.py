@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import binary, per_slice, staged
+from .common import per_slice, staged
 from .tokens import Encoder, vocabulary
 
 BLOCK = 1024
@@ -48,9 +48,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     full = np.zeros(blocks * BLOCK, np.uint64)
     full[:n] = ids
     padded[:, :BLOCK] = full.reshape(blocks, BLOCK)
-    need = np.zeros(padded.shape, np.uint8)
-    for bit in range(32):
-        need += padded >= np.uint64(1 << bit)
+    need = np.frexp(padded.astype(np.float64))[1].astype(np.uint8)
     most = {1: need}  # most[c][:, i]: bits that the ids i..i+c-1 need
     size = 1
     while size < 64:
@@ -114,17 +112,16 @@ def _writer(text: str, kind: str, end: int, per_segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = Encoder(text, kind, end), TaskContext.get().partitionId(), 0
         for batch in per_slice(batches, per_segment):
-            ids = encoder(binary(batch.column("text")))
-            stream = np.concatenate(ids)
+            stream, lengths = encoder(batch.column("text"))
             words, offsets = encode(stream)
-            row = [part, seq, batch.column("doc_id").to_pylist(), [len(x) for x in ids], len(stream), len(words), offsets.tobytes(), words.tobytes()]
+            row = [part, seq, batch.column("doc_id").to_pylist(), lengths.tolist(), len(stream), len(words), offsets.tobytes(), words.tobytes()]
             seq += 1
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "seq", "doc_ids", "lengths", "n_ids", "n_words", "offsets", "words"])
 
     return run
 
 
-def write_token_files(docs: DataFrame, path: str | None, vocabulary_path: str, kind: str, end: int, partitions: int, per_segment: int = 500) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str | None, vocabulary_path: str, kind: str, end: int, partitions: int, per_segment: int = 1000) -> DataFrame:
     """Encodes ``docs(doc_id, text)`` and writes the segments below ``path`` (None: the
     shared folder) in ascending doc_id order. Returns the segments as read back.
 

@@ -12,6 +12,8 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A space between two white-space characters: there the byte-level pattern looks beyond
 #: the space, so such texts are not cut. Last bytes and first bytes of white space in UTF-8.
@@ -21,94 +23,106 @@ _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456
 
 
 class _Ids(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers."""
+    """piece -> its ids as little-endian unsigned 32-bit integers, for a bounded number."""
 
-    def __init__(self, encode, limit: int, tails: _Tails):
-        super().__init__()
-        self.encode, self.limit, self.tails = encode, limit, tails
+    def __init__(self, encode, limit: int, empty: bytes):
+        super().__init__({b"": empty})
+        self.encode, self.limit, self.empty, self.tails = encode, limit, empty, {}
 
-    def of(self, pieces: list[bytes]) -> bytes:
-        return b"".join(map(self.__getitem__, pieces))
-
-    def learn(self, texts: list[list[bytes]]) -> None:
+    def of(self, pieces: list[bytes], whole) -> list[bytes]:
         if len(self) > self.limit:
             self.clear()
-        new = set().union(*texts).difference(self)
+            self[b""] = self.empty
+        if len(self.tails) > 20_000:
+            self.tails.clear()
+        new = [x for x in pieces if x not in self]
         # A run of ASCII marks after an ASCII letter or digit is a piece of its own.
         cut = [(x, stem, x[len(stem) :]) for x in new if (stem := x.rstrip(_MARKS)) != x and stem and stem[-1] in _ALNUM]
-        new.difference_update(x for x, _, _ in cut)
-        new.update({stem for _, stem, _ in cut}.difference(self))
-        new = list(new)
-        for at in range(0, len(new), 1000):
-            self.encode(self, new[at : at + 1000])
-        for piece, stem, tail in cut:
-            self[piece] = self[stem] + self.tails[tail]
-
-
-class _Tails(dict):
-    """marks -> their ids, with no space before them."""
-
-    def __init__(self, whole):
-        super().__init__()
-        self.whole = whole
-
-    def __missing__(self, tail: bytes) -> bytes:
-        if len(self) > 50_000:
-            self.clear()
-        self[tail] = ids = self.whole(tail)
-        return ids
+        for tail in {tail for _, _, tail in cut}.difference(self.tails):
+            self.tails[tail] = whole(tail)
+        new = set(new)
+        new.difference_update([x for x, _, _ in cut])
+        new.update(stem for _, stem, _ in cut if stem not in self)
+        self.encode(self, list(new))
+        self.update((x, self[stem] + self.tails[tail]) for x, stem, tail in cut)
+        return list(map(self.__getitem__, pieces))
 
 
 class Encoder:
-    """kind "words": vocabularies that drop white space and never join words.
-    kind "bytes": byte-level vocabularies, where a word takes the space before it.
-    ``end`` is appended to each document. Strings of special tokens in a text are
-    ordinary text."""
+    """kind "words": vocabularies that drop white space and never join words; the last token
+    of a run of letters ends with </w>. kind "bytes": byte-level vocabularies, where a word
+    takes the space before it as Ġ. ``end`` is appended to each document. Strings of special
+    tokens in a text are ordinary text."""
 
-    def __init__(self, vocabulary: str, kind: str, end: int, limit: int = 1_000_000):
+    def __init__(self, vocabulary: str, kind: str, end: int, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(vocabulary)
         self.library.encode_special_tokens = True
-        self.kind, self.end = kind, np.array([end], "<u4").tobytes()
-        self.inner = _Ids(self._encode_pieces, limit, _Tails(self.whole))
+        self.kind, self.end, self.inner = kind, end, _Ids(self._encode_pieces, limit, b"" if kind == "words" else self.whole(b" "))
+        self.edge = np.zeros(self.library.get_vocab_size(), bool)  # tokens at a piece's end, or start
+        for token, i in self.library.get_vocab().items():
+            self.edge[i] = token.endswith("</w>") if kind == "words" else token.startswith("Ġ")
 
     def _encode_pieces(self, known: dict[bytes, bytes], pieces: list[bytes]) -> None:
-        """Encodes the pieces as one text, each with a space before it, and cuts its ids
-        where the tokens' places cross from piece to piece."""
+        """Encodes pieces, each with a space before it, many in one text: those of letters
+        alone have one edge token, and the others are cut where tokens' places cross."""
         texts = [x.decode("utf-8", "replace") for x in pieces]
-        found = self.library.encode(" " + " ".join(texts), add_special_tokens=False)
-        starts = np.cumsum([0] + [len(x) + 1 for x in texts[:-1]])
-        cuts = np.searchsorted(np.fromiter((x for x, _ in found.offsets), np.int64, len(found.ids)), starts[1:])
-        ids = np.array(found.ids, "<u4").tobytes()
-        at = 0
-        for piece, cut in zip(pieces, [*(cuts * 4).tolist(), len(ids)], strict=True):
-            known[piece] = ids[at:cut]
+        plain = [x.isascii() and x.isalpha() for x in texts]
+        letters = [(p, t) for p, t, ok in zip(pieces, texts, plain, strict=True) if ok]
+        for at in range(0, len(letters), 2000):
+            part = letters[at : at + 2000]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(t for _, t in part)], add_special_tokens=False)[0].ids, "<u4")
+            edges = np.flatnonzero(self.edge[ids])
+            self._cut(known, [p for p, _ in part], edges[:-1] + 1 if self.kind == "words" else edges[1:], ids)
+        others = [(p, t) for p, t, ok in zip(pieces, texts, plain, strict=True) if not ok]
+        for at in range(0, len(others), 1000):
+            part = others[at : at + 1000]
+            found = self.library.encode(" " + " ".join(t for _, t in part), add_special_tokens=False)
+            starts = np.cumsum([0] + [len(t) + 1 for _, t in part[:-1]])
+            places = np.fromiter((x for x, _ in found.offsets), np.int64, len(found.ids))
+            self._cut(known, [p for p, _ in part], np.searchsorted(places, starts[1:]), np.array(found.ids, "<u4"))
+
+    @staticmethod
+    def _cut(known: dict[bytes, bytes], pieces: list[bytes], cuts: np.ndarray, ids: np.ndarray) -> None:
+        assert len(cuts) == len(pieces) - 1
+        data, at = ids.tobytes(), 0
+        for piece, cut in zip(pieces, [*(cuts * 4).tolist(), len(data)], strict=True):
+            known[piece] = data[at:cut]
             at = cut
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
     def whole(self, text: bytes) -> bytes:
-        return self._encode([text.decode("utf-8", "replace")])[0]
-
-    def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        """The ids of each text (null: empty) with the end id."""
-        cut = [None if not x else x.lower().split() if self.kind == "words" else None if _UNSAFE.search(x) else x.split(b" ") for x in texts]
-        self.inner.learn([x if self.kind == "words" else x[1:] for x in cut if x])
-        out = []
-        for text, pieces in zip(texts, cut, strict=True):
-            if not text:
-                ids = b""
-            elif pieces is None:
-                ids = self.whole(text)
-            elif self.kind == "words":
-                ids = self.inner.of(pieces)
-            else:
-                ids = (self.whole(pieces[0]) if pieces[0] else b"") + self.inner.of(pieces[1:])
-            out.append(np.frombuffer(ids + self.end, "<u4"))
-        return out
+        found = self.library.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)
+        return np.array(found[0].ids, "<u4").tobytes()
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts one after another, how many each has). Null: empty. Each
+        distinct word of the column is looked up once."""
+        texts, docs, own = pc.fill_null(column, ""), len(column), []
+        if self.kind == "words":
+            pieces = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        else:  # what stands before the first space, or an unsafe text as a whole, is encoded by itself
+            raw = texts.cast(pa.binary()).to_pylist()
+            unsafe = [bool(_UNSAFE.search(x)) for x in raw]
+            own = [self.whole(x if bad else x.split(b" ", 1)[0]) for x, bad in zip(raw, unsafe, strict=True)]
+            pieces = pc.split_pattern(pc.if_else(pa.array(unsafe, pa.bool_()), "", texts), " ")
+        offsets = pieces.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        coded = pieces.flatten().dictionary_encode()
+        table = [*self.inner.of(coded.dictionary.cast(pa.binary()).to_pylist(), self.whole), np.array([self.end], "<u4").tobytes(), *own]
+        codes = coded.indices.to_numpy().astype(np.int64)
+        n = len(table) - len(own)
+        if own:
+            codes[offsets[:-1]] = n + np.arange(docs)
+        all_codes = np.full(len(codes) + docs, n - 1)  # the end id after each document
+        all_codes[np.arange(len(codes)) + np.repeat(np.arange(docs), np.diff(offsets))] = codes
+        flat = np.frombuffer(b"".join(table), "<u4")
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        size = sizes[all_codes]
+        ends = np.cumsum(size)
+        ids = flat[np.arange(ends[-1] if docs else 0) + np.repeat((np.cumsum(sizes) - sizes)[all_codes] - (ends - size), size)]
+        last = ends[offsets[1:] + np.arange(docs)] if docs else ends
+        return ids, np.diff(last, prepend=0)
 
 
 def vocabulary(path: str) -> str:
