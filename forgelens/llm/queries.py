@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from .fingerprints import op5_order_fingerprints
+from .mixing import OP4_SQL, op4_source_mix
 from .packing import op7_best_fit_packing
+from .quality import OP2_SQL, op2_quality_rules
 from .token_files import op1_token_files
+from .url_rules import OP10_SQL, op10_url_rules
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op7_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op4_source_mix, op5_order_fingerprints, op7_best_fit_packing, op10_url_rules)}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op4_source_mix": OP4_SQL, "op10_url_rules": OP10_SQL}
