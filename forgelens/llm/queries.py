@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from .fingerprints import op5_order_fingerprints
 from .mixing import OP4_SQL, op4_source_mix
+from .near_dup import OP3_SQL, op3_near_duplicates
 from .packing import op7_best_fit_packing
 from .quality import OP2_SQL, op2_quality_rules
+from .secrets import op8_secret_scan
 from .token_files import op1_token_files
+from .toxicity import op9_toxicity
 from .url_rules import OP10_SQL, op10_url_rules
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op4_source_mix, op5_order_fingerprints, op7_best_fit_packing, op10_url_rules)}
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op4_source_mix": OP4_SQL, "op10_url_rules": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_near_duplicates, op4_source_mix, op5_order_fingerprints, op7_best_fit_packing, op8_secret_scan, op9_toxicity, op10_url_rules)}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op4_source_mix": OP4_SQL, "op10_url_rules": OP10_SQL}
