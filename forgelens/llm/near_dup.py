@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,13 +14,17 @@ from pyspark.sql import functions as F
 from .common import WordHashes, binary, mix, per_slice, staged
 from .graphs import components
 
-#: Bands of ROWS coordinates each. Sets of likeness 0.85 share no band with a chance of
-#: (1 - 0.85^5)^28 < 1e-7; sets of likeness 0.5 share one with a chance of 0.59.
-BANDS, ROWS = 28, 5
+#: Coordinates in a band, and the chance that sets just alike enough share no band.
+ROWS, MISS = 5, 1e-7
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 SKETCHES = "doc_id long, n_shingles long, set_id binary, bands array<long>"
 
 
+def bands_for(percent: int) -> int:
+    """28 bands for 85%, 41 for 80%: (1 - likeness^ROWS)^bands <= MISS."""
+    return math.ceil(math.log(MISS) / math.log(1 - min(0.999, percent / 100) ** ROWS))
+
+
 def shingle_set(words: list[bytes], hashes: WordHashes, width: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles; fewer words than ``width``: one
     shingle of them all; no words: none."""
@@ -58,14 +63,14 @@ def sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
     return out
 
 
-def _sketcher(width: int):
+def _sketcher(width: int, n_bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in per_slice(batches, 1000):
             sets = [shingle_set((x or b"").lower().split(), hashes, width) for x in binary(batch.column("text"))]
             full = [i for i, s in enumerate(sets) if len(s)]
-            rows = sketch([sets[i] for i in full], BANDS * ROWS).reshape(len(full), BANDS, ROWS)
-            keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(full), BANDS))
+            rows = sketch([sets[i] for i in full], n_bands * ROWS).reshape(len(full), n_bands, ROWS)
+            keys = np.broadcast_to(np.arange(1, n_bands + 1, dtype=np.uint64), (len(full), n_bands))
             for j in range(ROWS):
                 keys = mix(keys * _ODD[2] + rows[:, :, j])
             bands: list = [None] * len(sets)
@@ -122,7 +127,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
        that bound leaves, by pairs of different components, is verified.
     Verification always compares full sets.
     """
-    sketches = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketcher(width), SKETCHES), "sketches")
+    sketches = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketcher(width, bands_for(percent)), SKETCHES), "sketches")
     known = sketches.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
     classes = known.groupBy("set_id").agg(F.min("doc_id").alias("node"))
     nodes = staged(known.join(classes, ["set_id"]).where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "bands"), "nodes")
