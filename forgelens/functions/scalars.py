@@ -34,7 +34,7 @@ def parse_time(c: Column) -> Column:
 
 def whole_days(since: Column, now: Column) -> Column:
     """Whole periods of 24 hours, not midnights; never negative."""
-    return F.greatest(F.timestamp_diff("DAY", since, now), F.lit(0))
+    return F.when(since.isNotNull(), F.greatest(F.timestamp_diff("DAY", since, now), F.lit(0)))
 
 
 def idle_days(last_commit: Column, updated: Column, now: Column) -> Column:

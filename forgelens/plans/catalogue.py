@@ -1,14 +1,27 @@
-"""The queries over the driver's tables, by name, with their oracle SQL."""
+"""The queries over the driver's tables, by name, with their oracle SQL.
+
+The engine's tables have stand-ins here: assets are parts (project: brand, score: size / 50),
+projects are customers and suppliers, the three layers are region, nation and supplier,
+implements edges are distinct (customer, part) of orders, searched text is documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import enums
+from ..functions import scalars as S
+from ..operators import graph, insights, ranking, relational, retrieval, scoring
+from ..sources import projects as sources
+from ..sources import symbols
+from . import jobs, merge
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+NOW = "2024-01-01 00:00:00"
 
 
 def query(sql: str | None = None):
@@ -27,15 +40,522 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def now() -> F.Column:
+    return F.lit(NOW).cast("timestamp")
+
+
+def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    return part.select(
+        F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("project_id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_type").alias("description"),
+        F.split("p_name", " ").alias("tags"), F.concat_ws("/", "p_brand", "p_name").alias("source_path"), (F.col("p_size") / 50.0).alias("reuse_score"), F.lit(None).cast("string").alias("user_feedback"),
+    )
+
+
+def edge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    pairs = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("c"), F.col("o_custkey")).alias("source_id"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("target_id")).distinct()
+    return pairs.select(F.concat_ws("-", "source_id", "target_id").alias("id"), "source_id", F.lit("project").alias("source_type"), F.lit("implements").alias("relation_type"), "target_id", F.lit("capability").alias("target_type"), F.lit(0.8).alias("confidence"))
+
+
+EDGES = "SELECT DISTINCT 'c' || o_custkey AS source_id, 's' || l_suppkey AS target_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
+
+
+def capability_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as domains, suppliers as capabilities; nations between them are left out."""
+    region, nation, supplier = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    top = region.select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("id"), F.col("r_name").alias("name"), F.lit("domain").alias("layer"), F.lit(None).cast("string").alias("parent_id"), F.lit(1.0).alias("confidence"))
+    low = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"), F.lit("capability").alias("layer"), F.concat(F.lit("r"), F.col("n_regionkey")).alias("parent_id"), F.lit(0.9).alias("confidence"))
+    return top.unionByName(low)
+
+
+def project_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers; their last order is the last commit."""
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    last = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last_commit_at"), F.count("*").alias("git_commits"))
+    return customer.join(last, "c_custkey", "left").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id"), F.col("c_name").alias("name"), F.lit("").alias("path"), F.lit("paused").alias("status"), "last_commit_at", F.lit(None).cast("timestamp").alias("updated_at"), F.coalesce("git_commits", F.lit(0)).alias("git_commits"), F.abs("c_acctbal").cast("long").alias("loc"))
+
+
+def analysed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    owned = assets(spark, sf_dir).withColumn("project_id", F.concat(F.lit("c"), F.pmod(F.col("id").cast("long"), F.lit(150)) + 1))
+    return {"projects": project_table(spark, sf_dir), "assets": owned, "capabilities": capability_table(spark, sf_dir), "relations": edge_table(spark, sf_dir)}
+
+
+@query("SELECT p_partkey, p_name, p_type FROM part WHERE p_name ILIKE '%blue%' OR p_type ILIKE '%blue%'")
+def filter_keyword_ilike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.keyword(table(spark, sf_dir, "part"), " Blue ", ["p_name", "p_type"]).select("p_partkey", "p_name", "p_type")
+
+
+@query("SELECT p_partkey, p_brand, p_size FROM part WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#23') AND p_size >= 25")
+def filter_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.one_of(table(spark, sf_dir, "part"), "p_brand", ["Brand#11", "Brand#12", "Brand#23"]).where("p_size >= 25").select("p_partkey", "p_brand", "p_size")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
+def page_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.page(table(spark, sf_dir, "orders"), "asset", [F.col("o_totalprice").desc(), F.col("o_orderkey")], 50, 100).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT p_partkey, p_size / 50.0 AS score FROM part WHERE p_size / 50.0 >= 0.7 ORDER BY p_size DESC, p_partkey LIMIT 40")
+def topk_reusable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").withColumn("score", F.col("p_size") / 50.0).where("score >= 0.7")
+    return relational.top(part, [F.col("p_size").desc(), F.col("p_partkey")], 40).select("p_partkey", "score")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.latest(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6")
+def keep_last_n_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.top_per(table(spark, sf_dir, "conversations"), ["conv_id"], [F.col("turn").desc()], 6).select("conv_id", "turn", "role")
+
+
+@query("SELECT lang, count(*) AS n FROM documents WHERE trim(coalesce(lang, '')) <> '' GROUP BY lang")
+def lang_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.distribution(table(spark, sf_dir, "documents"), "lang")
+
+
 @query("""
-    SELECT lower(p_name) AS name_key, min(p_name) AS name, count(DISTINCT p_brand) AS projects,
-           round(avg(p_size / 50.0), 4) AS avg_score, count(*) AS assets
+    WITH v(value, ordinal) AS (VALUES ('signup', 0), ('view', 1), ('purchase', 2), ('error', 3), ('click', 4), ('refund', 5)),
+    c AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)
+    SELECT value, coalesce(n, 0) AS n, ordinal FROM v LEFT JOIN c ON value = event_type
+""")
+def facet_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = spark.range(1).select(F.posexplode(F.array(*[F.lit(v) for v in ("signup", "view", "purchase", "error", "click", "refund")])).alias("ordinal", "value"))
+    return relational.facet(table(spark, sf_dir, "events"), "event_type", values)
+
+
+@query("SELECT round(coalesce(sum(o_totalprice), 0), 2) AS total, count(*) AS n, max(o_orderdate) AS latest FROM orders WHERE o_orderstatus = 'F'")
+def totals_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").agg(F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("total"), F.count("*").alias("n"), F.max("o_orderdate").alias("latest"))
+
+
+@query("""
+    SELECT lower(p_name) AS name_key, min(p_name) AS name, count(DISTINCT p_brand) AS projects, round(avg(p_size / 50.0), 4) AS avg_score, count(*) AS assets
     FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) >= 2
 """)
 def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    return (
-        part.groupBy(F.lower("p_name").alias("name_key"))
-        .agg(F.min("p_name").alias("name"), F.count_distinct("p_brand").alias("projects"), F.round(F.avg(F.col("p_size") / 50.0), 4).alias("avg_score"), F.count("*").alias("assets"))
-        .where("projects >= 2")
-    )
+    return relational.duplicate_names(assets(spark, sf_dir))
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS tag FROM part) GROUP BY tag")
+def tag_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.tag_cloud(assets(spark, sf_dir))
+
+
+@query("SELECT round(count(*) FILTER (quality = 1 AND toxic = 0) / nullif(count(*) FILTER (quality = 1 OR toxic = 1), 0), 6) AS adoption_rate FROM labels")
+def adoption_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = table(spark, sf_dir, "labels").withColumn("user_feedback", F.when(F.col("toxic") == 1, "useless").when(F.col("quality") == 1, "useful").otherwise("ignored"))
+    return relational.adoption_rate(marked).select(F.round("adoption_rate", 6).alias("adoption_rate"))
+
+
+@query("""
+    SELECT round(avg(least(greatest(value / 100.0, 0), 1)), 6) AS progress, count(*) AS n FROM events WHERE event_type IN ('view', 'click')
+""")
+def job_progress_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where("event_type IN ('view', 'click')").agg(F.round(F.avg(S.clamp(F.col("value") / 100.0, 0.0, 1.0)), 6).alias("progress"), F.count("*").alias("n"))
+
+
+@query("""
+    WITH l AS (SELECT source AS project_id, lang AS name, CAST(sum(n_chars) AS BIGINT) AS loc FROM documents GROUP BY ALL),
+    e AS (SELECT *, loc * 100.0::DOUBLE / sum(loc) OVER (PARTITION BY project_id) AS x FROM l WHERE loc > 0),
+    f AS (SELECT *, floor(x) AS fl, round(x - floor(x), 9) AS rest FROM e),
+    r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY rest DESC, loc DESC, name) AS rn, 100 - sum(fl) OVER (PARTITION BY project_id) AS missing FROM f)
+    SELECT project_id, name, loc, CAST(fl + CASE WHEN rn <= missing THEN 1 ELSE 0 END AS INT) AS pct FROM r
+""")
+def largest_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loc = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("project_id"), F.col("lang").alias("name")).agg(F.sum("n_chars").alias("loc"))
+    return relational.language_shares(loc)
+
+
+@query("""
+    WITH l AS (SELECT source AS project_id, lang AS name, sum(n_chars) AS loc FROM documents GROUP BY ALL)
+    SELECT project_id, name AS language FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY loc DESC, name) AS n FROM l) WHERE n = 1
+""")
+def primary_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loc = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("project_id"), F.col("lang").alias("name")).agg(F.sum("n_chars").alias("loc"))
+    return sources.primary_language(loc)
+
+
+@query("SELECT p_brand, string_agg(DISTINCT p_type, ' ' ORDER BY p_type) AS labels FROM part GROUP BY p_brand")
+def group_concat_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_type")), " ").alias("labels"))
+
+
+TREE = """
+    SELECT 'r' || r_regionkey AS id, NULL AS parent_id FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+    UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
+"""
+
+
+@query(f"WITH RECURSIVE t AS ({TREE}), sub AS (SELECT id FROM t WHERE id = 'r1' UNION ALL SELECT t.id FROM t JOIN sub ON t.parent_id = sub.id) SELECT id FROM sub")
+def subtree_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region, nation, supplier = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    node = lambda df, p, k, up, pk: df.select(F.concat(F.lit(p), F.col(k)).alias("id"), (F.concat(F.lit(up), F.col(pk)) if pk else F.lit(None).cast("string")).alias("parent_id"))
+    tree = node(region, "r", "r_regionkey", "", None).unionByName(node(nation, "n", "n_nationkey", "r", "n_regionkey")).unionByName(node(supplier, "s", "s_suppkey", "n", "s_nationkey"))
+    return relational.subtree(tree, "r1")
+
+
+@query("SELECT p_partkey AS id, coalesce(n, 0) AS project_count FROM part LEFT JOIN (SELECT l_partkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) ON p_partkey = l_partkey")
+def count_by_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("target_id"), F.col("l_suppkey").alias("source_id"), F.lit("implements").alias("relation_type"))
+    return relational.project_counts(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), edges).select("id", F.col("project_count").cast("long").alias("project_count"))
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def anti_unindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.delete(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select("doc_id")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL AND l_quantity > 45) AND p_size < 10")
+def leaf_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.delete(table(spark, sf_dir, "part").where("p_size < 10").select("p_partkey"), table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_partkey"), "p_partkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def semi_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, sf_dir, "orders").join(wanted, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT pos, p_partkey AS id, p_name FROM (SELECT unnest([17, 3, 99, 100000000, 42]) AS id, unnest([0, 1, 2, 3, 4]) AS pos) w JOIN part ON id = p_partkey")
+def ordered_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = spark.range(1).select(F.posexplode(F.array(*[F.lit(i) for i in (17, 3, 99, 100000000, 42)])).alias("pos", "id"))
+    return relational.hydrate(ids, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name")).select("pos", F.col("id").cast("long").alias("id"), "p_name")
+
+
+@query("SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
+def brief_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("o_orderkey", "c_name", "n_name")
+
+
+@query("""
+    WITH g AS (SELECT lower(p_name) AS k, count(DISTINCT p_brand) AS n, avg(p_size / 50.0) AS a FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) >= 2),
+    m AS (SELECT DISTINCT lower(p_name) AS k, p_brand AS p FROM part),
+    q AS (SELECT x.p AS a, y.p AS b, g.k, least(CASE g.n WHEN 2 THEN 0.62 WHEN 3 THEN 0.72 WHEN 4 THEN 0.80 ELSE 0.86 END + g.a * 0.12, 0.95) AS c
+          FROM m x JOIN m y ON x.k = y.k AND x.p < y.p JOIN g ON g.k = x.k)
+    SELECT a, b, round(arg_max(c, k), 4) AS confidence, count(*) AS names FROM q GROUP BY a, b
+""")
+def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import capabilities
+
+    return capabilities.similar_pairs(assets(spark, sf_dir)).withColumn("confidence", F.round("confidence", 4))
+
+
+@query("""
+    WITH t AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))) AS w FROM benchmark WHERE item_id < 5),
+    d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))) AS w FROM documents)
+    SELECT item_id, doc_id, count(*) AS shared FROM t JOIN d USING (w) GROUP BY ALL HAVING count(*) >= 3
+""")
+def keyword_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0)))).alias("w"))
+    return words(table(spark, sf_dir, "benchmark").where("item_id < 5"), "item_id").join(words(table(spark, sf_dir, "documents"), "doc_id"), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared")).where("shared >= 3")
+
+
+@query(f"WITH e AS ({EDGES}), b AS (SELECT source_id AS node FROM e UNION ALL SELECT target_id FROM e) SELECT node, count(*) AS degree FROM b GROUP BY node")
+def node_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(edge_table(spark, sf_dir)).select("node", "degree")
+
+
+@query(f"WITH e AS ({EDGES}) SELECT source_id, target_id FROM e WHERE source_id IN (SELECT 'c' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND target_id IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 5000)")
+def both_ends_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("source_id"))
+    right = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("target_id"))
+    return edge_table(spark, sf_dir).join(left, "source_id", "left_semi").join(right, "target_id", "left_semi").select("source_id", "target_id")
+
+
+@query(f"WITH e AS ({EDGES}), b AS (SELECT source_id AS node FROM e UNION ALL SELECT target_id FROM e) SELECT node FROM b GROUP BY node ORDER BY count(*) DESC, node LIMIT 25")
+def hub_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    caps = capability_table(spark, sf_dir).withColumn("project_count", F.lit(0))
+    return graph.hubs(edge_table(spark, sf_dir), caps, most=25).select("node")
+
+
+@query(f"""
+    WITH e AS ({EDGES}), b AS (SELECT source_id AS a, target_id AS b FROM e UNION ALL SELECT target_id, source_id FROM e),
+    one AS (SELECT DISTINCT b AS node FROM b WHERE a = 's1'),
+    two AS (SELECT DISTINCT b.b AS node FROM b JOIN one ON b.a = one.node WHERE b.b <> 's1' AND b.b NOT IN (SELECT node FROM one))
+    SELECT node, hop FROM (SELECT 's1' AS node, 0 AS hop UNION ALL SELECT node, 1 FROM one UNION ALL SELECT node, 2 FROM two) ORDER BY hop, node LIMIT 60
+""")
+def focus_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.focus(edge_table(spark, sf_dir), "s1", 60, expand=True).select("node", "hop")
+
+
+@query("""
+    SELECT n_name, s.seg AS segment FROM nation, (SELECT DISTINCT c_mktsegment AS seg FROM customer) s
+    EXCEPT SELECT n_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000
+""")
+def missing_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    segments = customer.agg(F.array_sort(F.collect_set("c_mktsegment")).alias("segments")).first()["segments"]
+    have = customer.where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.collect_set("c_mktsegment").alias("have"))
+    met = nation.join(have, "n_nationkey", "left")
+    return met.select("n_name", F.explode(F.array_except(F.array(*[F.lit(s) for s in segments]), F.coalesce("have", F.array().cast("array<string>")))).alias("segment"))
+
+
+@query("""
+    SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_name ILIKE '%al%' THEN 1.0 WHEN p_type ILIKE '%al%' THEN 0.7 ELSE 0.45 END AS relevance
+    FROM part WHERE p_name ILIKE '%al%' OR p_type ILIKE '%al%' OR (p_brand || '/' || p_name) ILIKE '%al%'
+""")
+def like_recall_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = assets(spark, sf_dir).withColumn("tags", F.array_join("tags", " "))
+    return retrieval.like(flat, "asset", "al").select("id", F.col("relevance").cast("double").alias("relevance"))
+
+
+BM25 = """
+    WITH d AS (SELECT doc_id, lower(text) AS t, greatest(length(text) - 2, 0) AS dl FROM documents),
+    f AS (SELECT doc_id, dl, (length(t) - length(replace(t, 'tion', ''))) / 4.0::DOUBLE AS a, (length(t) - length(replace(t, 'there', ''))) / 5.0::DOUBLE AS b FROM d),
+    s AS (SELECT count(*) AS n, avg(dl) AS av, count(*) FILTER (a > 0) AS na, count(*) FILTER (b > 0) AS nb FROM f),
+    g AS (SELECT doc_id, greatest(ln((n - na + 0.5) / (na + 0.5)), 0.000001) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / av))
+                       + greatest(ln((n - nb + 0.5) / (nb + 0.5)), 0.000001) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / av)) AS score FROM f, s WHERE a > 0 AND b > 0)
+"""
+
+
+@query(BM25 + "SELECT doc_id FROM g")
+def trigram_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return retrieval.match(docs, ["text"], "tion there", key="doc_id").select("doc_id")
+
+
+@query(BM25 + "SELECT doc_id, round(score, 4) AS score FROM g ORDER BY round(score, 4) DESC, doc_id LIMIT 60")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = retrieval.match(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], "tion there", key="doc_id")
+    return found.select("doc_id", F.round("bm25", 4).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(60)
+
+
+@query("""
+    WITH c AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, p_size / 50.0::DOUBLE AS q, p_retailprice AS v FROM part WHERE p_name ILIKE '%ea%'),
+    r AS (SELECT * FROM c ORDER BY q DESC, id LIMIT 60)
+    SELECT id, title, round(least(0.55 + 0.25 * q + 0.25, 1.0), 6) AS score FROM r ORDER BY round(least(0.55 + 0.25 * q + 0.25, 1.0), 6) DESC, id LIMIT 20
+""")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = assets(spark, sf_dir).where(S.contains_text(F.col("name"), "ea")).withColumns({"tags": F.array_join("tags", " "), "evidence_count": F.lit(1)})
+    hits, _ = ranking.search({"asset": flat}, "ea", now(), "assets")
+    return hits.select("id", "title", F.round("score", 6).alias("score")).orderBy(F.col("score").desc(), "id")
+
+
+@query("""
+    SELECT kind, id, title FROM (
+      SELECT 'asset' AS kind, CAST(p_partkey AS VARCHAR) AS id, p_name AS title, 0.25 * (p_size / 50.0::DOUBLE) AS score FROM part
+      UNION ALL SELECT 'capability', 's' || s_suppkey, s_name, 0.25 * (least(n, 5) / 5.0::DOUBLE) FROM supplier JOIN (SELECT l_suppkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey)
+    QUALIFY row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) <= 10
+""")
+def browse_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = assets(spark, sf_dir).withColumns({"tags": F.array_join("tags", " "), "evidence_count": F.lit(1)})
+    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count_distinct("l_partkey").alias("project_count"))
+    caps = table(spark, sf_dir, "supplier").join(counts, "s_suppkey").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"), F.lit("").alias("description"), "project_count")
+    hits, _ = ranking.search({"asset": flat, "capability": caps}, "", now(), limit=100)
+    both = [ranking.search({k: df}, "", now(), scope, limit=100)[0] for k, df, scope in (("asset", flat, "assets"), ("capability", caps, "capabilities"))]
+    return ranking.per_kind(both[0].unionByName(both[1]), 10).select("kind", "id", "title") if hits is not None else hits
+
+
+_SAFE = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+@query(rf"""
+    WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents WHERE lower(text) LIKE '%there%'),
+    p AS (SELECT doc_id, t, strpos(lower(t), 'there') AS pos FROM t),
+    c AS (SELECT doc_id, t, pos, greatest(pos - 12, 1) AS beg FROM p)
+    SELECT doc_id, CASE WHEN beg > 1 THEN '…' ELSE '' END || {_SAFE.format("substr(t, beg, pos - beg)")} || '<mark>' || {_SAFE.format("substr(t, pos, 5)")} || '</mark>'
+           || {_SAFE.format("substr(t, pos + 5, 12)")} || CASE WHEN length(t) > pos + 16 THEN '…' ELSE '' END AS snippet FROM c
+""")
+def snippet_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where(F.contains(F.lower("text"), F.lit("there")))
+    return docs.select("doc_id", ranking.snippet(F.col("text"), ["there"]).alias("snippet"))
+
+
+PROJECTS = f"""
+    WITH o AS (SELECT o_custkey, max(o_orderdate) AS last, count(*) AS n FROM orders GROUP BY 1),
+    p AS (SELECT 'c' || c_custkey AS id, coalesce(n, 0) AS n, CAST(trunc(abs(c_acctbal)) AS BIGINT) AS loc, greatest(date_sub('day', last, TIMESTAMP '{NOW}'), 0) AS idle FROM customer LEFT JOIN o ON c_custkey = o_custkey)
+"""
+
+
+def _project_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.with_idle(project_table(spark, sf_dir), now())
+
+
+@query(PROJECTS + """
+    SELECT id, CAST(round((CASE WHEN idle IS NULL THEN 0.3 WHEN idle <= 30 THEN 1.0 WHEN idle <= 90 THEN 0.8 WHEN idle <= 180 THEN 0.6 WHEN idle <= 365 THEN 0.4 ELSE 0.2 END::DOUBLE * 0.5
+      + CASE WHEN n > 50 THEN 0.9 ELSE 0.8 END::DOUBLE * 0.3 + CASE WHEN loc <= 0 THEN 0.0 WHEN loc <= 50 THEN 0.3 WHEN loc <= 2000 THEN 0.8 WHEN loc <= 200000 THEN 1.0 ELSE 0.7 END::DOUBLE * 0.2) * 100) AS INT) AS health FROM p
+""")
+def health_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    yes, no = F.lit(True), F.lit(False)
+    return _project_facts(spark, sf_dir).select("id", scoring.health(F.col("git_commits"), yes, yes, no, F.col("loc"), F.col("idle")).alias("health"))
+
+
+@query(PROJECTS + "SELECT id, CASE WHEN (n > 0 AND n <= 3) OR loc < 30 THEN 'experimental' WHEN idle IS NULL OR idle <= 90 THEN 'active' WHEN idle <= 365 THEN 'paused' ELSE 'abandoned' END AS status FROM p")
+def infer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _project_facts(spark, sf_dir).select("id", scoring.status(F.col("git_commits"), F.col("idle"), F.col("loc")).alias("status"))
+
+
+@query(PROJECTS + "SELECT id, CAST(idle AS BIGINT) AS idle FROM p")
+def days_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _project_facts(spark, sf_dir).select("id", F.col("idle").cast("long").alias("idle"))
+
+
+@query(f"""
+    WITH s AS (SELECT o_orderkey, CAST(greatest(epoch(TIMESTAMP '{NOW}') - floor(epoch(o_orderdate)), 0) AS BIGINT) AS s FROM orders)
+    SELECT o_orderkey, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || ' min ago' WHEN s < 86400 THEN (s // 3600) || ' h ago' WHEN s < 2592000 THEN (s // 86400) || ' d ago'
+      WHEN s < 31536000 THEN (s // 2592000) || ' mo ago' ELSE (s // 31536000) || ' y ago' END AS age FROM s
+""")
+def relative_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.relative_time(F.col("o_orderdate"), now()).alias("age"))
+
+
+@query("""
+    SELECT p_partkey, round(least(greatest(0.25 * CASE WHEN p_size <= 0 THEN 0.0 WHEN p_size <= 2 THEN 0.25 WHEN p_size <= 7 THEN 0.6 WHEN p_size <= 120 THEN 1.0 ELSE 0.85 END::DOUBLE
+      + 0.30 * 0.5 + 0.15 * 0.25 + 0.20 * CASE WHEN p_retailprice > 1000 THEN 1.0 ELSE 0.35 END::DOUBLE + 0.10 * 0.8, 0), 1), 2) AS reuse_score FROM part
+""")
+def reuse_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = table(spark, sf_dir, "part").select(
+        "p_partkey", F.lit("zzz").alias("name"), F.lit("function").alias("kind"), F.lit("zzz").alias("signature"), F.lit(None).cast("string").alias("doc_comment"), F.col("p_size").alias("body_lines"),
+        F.lit(None).cast("string").alias("parent"), (F.col("p_retailprice") > 1000).alias("referenced_locally"),
+    )
+    return scoring.score_symbols(named).select("p_partkey", "reuse_score")
+
+
+DETECT = f"""
+    WITH e AS ({EDGES}), c AS (SELECT 's' || s_suppkey AS id, s_name AS name, 'r' || n_regionkey AS parent FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    o AS (SELECT o_custkey, max(o_orderdate) AS last FROM orders GROUP BY 1), p AS (SELECT 'c' || c_custkey AS id, greatest(date_sub('day', last, TIMESTAMP '{NOW}'), 0) AS idle FROM customer LEFT JOIN o ON c_custkey = o_custkey),
+    a AS (SELECT CAST(p_partkey AS VARCHAR) AS id, 'c' || (p_partkey % 150 + 1) AS project, p_name AS name, p_size / 50.0::DOUBLE AS score FROM part),
+    x AS (SELECT target_id AS cap, count(*) AS n FROM e JOIN c ON target_id = c.id GROUP BY 1)
+"""
+
+
+@query(DETECT + """, w AS (SELECT c.id, list_filter(string_split(lower(c.name), ' '), lambda v: length(v) >= 4) AS ws FROM c),
+    h AS (SELECT DISTINCT e.target_id AS cap FROM e JOIN w ON e.target_id = w.id JOIN a ON a.project = e.source_id WHERE len(list_filter(w.ws, lambda v: contains(lower(a.name), v))) > 0)
+    SELECT 'ins_dup_' || x.cap AS id, round(least(CASE n WHEN 2 THEN 0.60 WHEN 3 THEN 0.72 WHEN 4 THEN 0.80 ELSE 0.86 END::DOUBLE + 0.9 * 0.08 + CASE WHEN h.cap IS NULL THEN 0 ELSE 0.06 END::DOUBLE, 0.96), 4) AS confidence, n AS projects
+    FROM x LEFT JOIN h ON h.cap = x.cap WHERE n >= 2 ORDER BY n DESC, x.cap LIMIT 10
+""")
+def detect_duplicate_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.duplicate_capabilities(analysed(spark, sf_dir)).select("id", F.round("confidence", 4).alias("confidence"), F.size("project_ids").cast("long").alias("projects"))
+
+
+@query(DETECT + "SELECT 'ins_reuse_' || id AS id, round(score, 4) AS confidence FROM a WHERE score >= 0.8 ORDER BY score DESC, name, id LIMIT 10")
+def detect_reusable_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.reusable_components(analysed(spark, sf_dir)).select("id", F.round("confidence", 4).alias("confidence"))
+
+
+@query(DETECT + """, r AS (SELECT a.id, score, coalesce(idle, 1099511627776) AS idle FROM a JOIN p ON p.id = a.project WHERE score >= 0.7 AND coalesce(idle, 1099511627776) >= 180 ORDER BY coalesce(idle, 1099511627776) DESC, score DESC, a.id LIMIT 10)
+    SELECT 'ins_forgot_' || id AS id, round(least(CASE WHEN idle >= 730 THEN 0.55 WHEN idle >= 365 THEN 0.45 ELSE 0.32 END::DOUBLE + 0.35 * score, 0.85), 4) AS confidence FROM r WHERE least(CASE WHEN idle >= 730 THEN 0.55 WHEN idle >= 365 THEN 0.45 ELSE 0.32 END::DOUBLE + 0.35 * score, 0.85) >= 0.55
+""")
+def detect_forgotten_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.forgotten_assets(analysed(spark, sf_dir), now()).select("id", F.round("confidence", 4).alias("confidence"))
+
+
+@query(DETECT + """, act AS (SELECT id FROM p WHERE idle <= 9000), t AS (SELECT count(*) AS total FROM act),
+    n AS (SELECT target_id AS cap, count(*) AS n FROM e JOIN act ON source_id = act.id JOIN c ON c.id = target_id GROUP BY 1)
+    SELECT 'ins_dir_' || cap AS id, round(least(0.55 + n / total::DOUBLE * 0.35, 0.92), 4) AS confidence FROM n, t WHERE n >= 3 AND total >= 3 ORDER BY n DESC, cap LIMIT 10
+""")
+def detect_tech_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.tech_directions(analysed(spark, sf_dir), now(), window=9000).select("id", F.round("confidence", 4).alias("confidence"))
+
+
+@query(DETECT + """SELECT 'ins_combo_' || parent AS id, round(least(0.58 + least(count(DISTINCT c.name), 6) * 0.04::DOUBLE, 0.88), 4) AS confidence FROM e JOIN c ON c.id = target_id
+    GROUP BY parent HAVING count(DISTINCT source_id) >= 3 AND count(DISTINCT c.name) >= 3""")
+def detect_combination_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.combination_hints(analysed(spark, sf_dir)).select("id", F.round("confidence", 4).alias("confidence"))
+
+
+@query()
+def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.detect_all(analysed(spark, sf_dir), now()).select("id", "type", F.round("confidence", 4).alias("confidence"), "badge")
+
+
+@query(DETECT + """, g AS (SELECT parent, count(DISTINCT source_id) AS np, count(DISTINCT c.name) AS nc FROM e JOIN c ON c.id = target_id GROUP BY parent),
+    m AS (SELECT parent, count(*) AS na FROM (SELECT DISTINCT parent, source_id FROM e JOIN c ON c.id = target_id) JOIN a ON a.project = source_id WHERE score >= 0.7 GROUP BY parent),
+    v AS (SELECT g.*, coalesce(na, 0) AS na, least(0.3 + nc * 0.05::DOUBLE, 0.6) AS coverage FROM g LEFT JOIN m USING (parent) WHERE np >= 2 AND nc >= 2)
+    SELECT 'opp_' || parent AS id, round(coverage, 4) AS coverage, CAST(least(greatest(round(CASE WHEN np <= 1 THEN 0.0 WHEN np = 2 THEN 0.8 WHEN np = 3 THEN 1.2 WHEN np = 4 THEN 1.6 ELSE 2.0 END::DOUBLE + coverage * 1.6
+      + CASE WHEN na <= 0 THEN 0.0 WHEN na = 1 THEN 0.5 WHEN na = 2 THEN 0.9 WHEN na = 3 THEN 1.2 ELSE 1.4 END::DOUBLE), 1), 5) AS INT) AS rating FROM v WHERE coverage >= 0.25
+""")
+def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.opportunities(analysed(spark, sf_dir)).select("id", F.round("coverage", 4).alias("coverage"), "rating")
+
+
+@query("""
+    SELECT conv_id, turn, array_to_string(ids, ',') AS ids FROM (
+      SELECT conv_id, turn, list_distinct(regexp_extract_all('[' || role || '] [x-' || turn || '] [' || role || '] ' || text, '\\[([A-Za-z0-9_-]+)\\]', 1)) AS l,
+             list_filter(regexp_extract_all('[' || role || '] [x-' || turn || '] [' || role || '] ' || text, '\\[([A-Za-z0-9_-]+)\\]', 1), lambda v, i: list_position(regexp_extract_all('[' || role || '] [x-' || turn || '] [' || role || '] ' || text, '\\[([A-Za-z0-9_-]+)\\]', 1), v) = i) AS ids FROM conversations)
+""")
+def citation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cited = F.concat(F.lit("["), "role", F.lit("] [x-"), F.col("turn").cast("string"), F.lit("] ["), "role", F.lit("] "), "text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(S.citation_ids(cited), ",").alias("ids"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", S.json_or(F.col("props"), "k long", F.struct(F.lit(None).cast("long").alias("k")))["k"].alias("k"))
+
+
+@query("""
+    WITH l AS (SELECT page_id, unnest(string_split(regexp_replace(html, '\\n$', ''), chr(10))) AS line FROM pages)
+    SELECT page_id, count(*) AS total, count(*) FILTER (trim(line) = '') AS blank FROM l GROUP BY page_id
+""")
+def count_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = sources.count_lines(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", n.alias("n")).select("page_id", F.col("n.total").cast("long").alias("total"), F.col("n.blank").cast("long").alias("blank"))
+
+
+@query()
+def route_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of a text: each page's url as a handler's source."""
+    source = F.concat(F.lit("// serves "), F.col("url"), F.lit("\napp.get('/"), F.col("page_id").cast("string"), F.lit("', handler)\nfunction handler"), F.col("page_id").cast("string"), F.lit("(req, res) {\n  return 1\n}\n"))
+    files = table(spark, sf_dir, "pages").select(F.lit("p").alias("project_id"), F.lit("JavaScript").alias("language"), F.concat(F.col("page_id").cast("string"), F.lit(".js")).alias("rel_path"), source.alias("text"))
+    return symbols.symbols(files).select("file_path", "name", "kind", "line", "doc_comment")
+
+
+@query("""
+    WITH e AS (SELECT user_id AS job_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'running' END AS status FROM events),
+    t AS (SELECT job_id, min(seq) AS e FROM e WHERE status IN ('completed', 'failed') GROUP BY 1),
+    k AS (SELECT e.* FROM e LEFT JOIN t USING (job_id) WHERE t.e IS NULL OR seq <= t.e)
+    SELECT job_id, coalesce(arg_max(status, seq) FILTER (status IS NOT NULL), 'queued') AS status FROM k GROUP BY job_id
+""")
+def job_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "running")
+    none = F.lit(None)
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), none.cast("string").alias("type"), status.alias("status"), none.cast("double").alias("progress"), none.cast("string").alias("stage"), none.cast("long").alias("processed"), none.cast("long").alias("total"), none.cast("string").alias("error"), F.col("ts").alias("at"))
+    return jobs.fold(events).select("job_id", "status")
+
+
+@query("""
+    SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS status, o_orderpriority AS owner FROM orders WHERE o_orderkey % 5 <> 0
+    UNION ALL SELECT o_orderkey, 'new', NULL FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 3 = 0
+""")
+def owner_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    old = orders.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("owner"))
+    new = orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.lit("new").alias("status"))
+    return merge.merge(old, new, ["id"], ["status"])
+
+
+@query("SELECT p_partkey, CASE WHEN p_size / 50.0 >= 0.85 THEN 'high' WHEN p_size / 50.0 >= 0.7 THEN 'medium' ELSE 'low' END AS tier FROM part")
+def reuse_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", enums.reuse_tier(F.col("p_size") / 50.0).alias("tier"))
+
+
+@query("SELECT 'orders' AS \"table\", count(*) AS n FROM orders UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'customer', count(*) FROM customer")
+def table_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.table_counts({t: table(spark, sf_dir, t) for t in ("orders", "part", "customer")})
+
+
+@query("SELECT p_partkey, lower(regexp_replace(trim(p_name), '[^A-Za-z0-9]+', '_', 'g')) AS slug FROM part")
+def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", S.slug(F.col("p_name")).alias("slug"))
+
+
+@query("SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 8")
+def top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.top_per(table(spark, sf_dir, "orders"), ["o_orderpriority"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 8).select("o_orderpriority", "o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
+def keep_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.keep_newest(table(spark, sf_dir, "orders"), [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 100).select("o_orderkey")
+
+
+@query("SELECT DISTINCT ON (c_nationkey) c_nationkey, c_custkey FROM customer ORDER BY c_nationkey, c_acctbal DESC, c_custkey")
+def best_per_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.col("c_acctbal").desc(), "c_custkey"))
+    return table(spark, sf_dir, "customer").withColumn("n", rank).where("n = 1").select("c_nationkey", "c_custkey")
