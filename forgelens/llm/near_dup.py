@@ -110,6 +110,46 @@ def _shingler(width: int):
     return run
 
 
+def _block_verifier(width: int, percent: int):
+    """Two blocks of a cluster: the pairs of different components that share a band and that
+    their bounds allow are compared on full sets; only links leave the task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        node, n, part, most, block, i, j = (table.column(c).to_numpy() for c in ("node", "n", "component", "most", "block", "i", "j"))
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        hashes = WordHashes()
+        sets = [shingle_set((x or b"").lower().split(), hashes, width) for x in binary(table.column("text"))]
+        left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+        links: tuple[list, list] = ([], [])
+        for a in left.tolist():
+            may = right[right > a] if i[0] == j[0] else right
+            may = may[(part[may] != part[a]) & (bands[may] == bands[a]).any(1)]
+            least = np.minimum(most[a], most[may])
+            for b in may[100 * least >= percent * (n[a] + n[may] - least)].tolist():
+                same = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * same >= percent * (len(sets[a]) + len(sets[b]) - same):
+                    links[0].append(int(node[a]))
+                    links[1].append(int(node[b]))
+        return pa.table({"a": pa.array(links[0], pa.int64()), "b": pa.array(links[1], pa.int64())})
+
+    return run
+
+
+def _between_components(left: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 128) -> DataFrame:
+    """Links between components, of the documents that the bounds leave: those that share
+    buckets form clusters, a cluster is dealt out to blocks, and each pair of blocks is a
+    task of its own. No pair of documents becomes a row unless it is a link."""
+    hubs = left.groupBy("band").agg(F.min("node").alias("hub"))
+    clusters = components(left.join(hubs, "band").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    members = left.select("node", "n", "component", "most").distinct().join(clusters.select("node", F.col("component").alias("cluster")), "node")
+    sized = members.join(members.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    full = staged(sized.join(nodes.select("node", "bands"), "node").join(texts, "node"), "blocks")
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = full.select("*", others).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(_block_verifier(width, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs(doc_id, text)``.
 
@@ -124,7 +164,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
        and largest buckets, is verified with each of the others: a star, not all pairs.
     3. Buckets whose members are not all in one component yet are checked to the end: a member
        that has u shingles no other such document has shares at most n - u with any; what
-       that bound leaves, by pairs of different components, is verified.
+       that bound leaves, between components, is verified by pairs of blocks.
     Verification always compares full sets.
     """
     sketches = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketcher(width, bands_for(percent)), SKETCHES), "sketches")
@@ -162,11 +202,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     bounded = staged(bounded.withColumn("reach", F.floor(100 * F.col("most") / percent) - F.col("n") + F.col("most")).where(F.col("reach") >= F.col("n") * percent / 100), "bounded")
     smallest = bounded.groupBy("band").agg(F.min("n").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     left = staged(bounded.join(smallest.where("lo <> hi").select("band", "least"), "band").where("reach >= least").drop("least"), "left")
-    x, y = left.alias("x"), left.alias("y")
-    most = F.least("x.most", "y.most")
-    may = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most))
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & may).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = verify(rest)
+    more = _between_components(left, nodes, texts, width, percent)
     found = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     by_set = classes.withColumnRenamed("node", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     out = sketches.join(by_set, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
