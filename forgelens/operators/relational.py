@@ -67,28 +67,33 @@ def checked_rating(x: int) -> int:
     return x
 
 
-#: Orders of the list pages; each ends with a unique column, so that pages never overlap.
-ORDERS: dict[str, list[Column]] = {
-    "project.recent": [F.coalesce("updated_at", F.lit("")).desc(), F.col("name"), F.col("id")],
-    "project.health": [F.col("health_score").desc(), F.col("name"), F.col("id")],
-    "project.name": [F.lower("name"), F.col("id")],
-    "project.size": [F.col("loc").desc(), F.col("name"), F.col("id")],
-    "asset.reuse": [F.col("reuse_score").desc(), F.col("name"), F.col("id")],
-    "asset.confidence": [F.col("confidence").desc(), F.col("name"), F.col("id")],
-    "asset.newest": [F.col("created_at").desc(), F.col("name"), F.col("id")],
-    "asset.name": [F.lower("name"), F.col("id")],
-    "insight": [F.col("confidence").desc(), F.col("created_at").desc(), F.col("id")],
-    "opportunity": [F.col("rating").desc(), F.col("coverage").desc(), F.col("created_at").desc(), F.col("id")],
-    "capability": [F.col("layer").desc(), F.col("project_count").desc(), F.col("name"), F.col("id")],
-    "recent": [F.col("created_at").desc(), F.col("seq").desc()],
-}
+def order(name: str) -> list[Column]:
+    """The orders of the list pages; each ends with a unique column, so that pages never
+    overlap. Layers are in the order of their names."""
+    down, up = lambda c: F.col(c).desc(), F.col
+    return {
+        "project.recent": lambda: [F.coalesce("updated_at", F.lit("")).desc(), up("name"), up("id")],
+        "project.health": lambda: [down("health_score"), up("name"), up("id")],
+        "project.name": lambda: [F.lower("name"), up("id")],
+        "project.size": lambda: [down("loc"), up("name"), up("id")],
+        "asset.reuse": lambda: [down("reuse_score"), up("name"), up("id")],
+        "asset.confidence": lambda: [down("confidence"), up("name"), up("id")],
+        "asset.newest": lambda: [down("created_at"), up("name"), up("id")],
+        "asset.name": lambda: [F.lower("name"), up("id")],
+        "insight": lambda: [down("confidence"), down("created_at"), up("id")],
+        "opportunity": lambda: [down("rating"), down("coverage"), down("created_at"), up("id")],
+        "capability": lambda: [down("layer"), down("project_count"), up("name"), up("id")],
+        "recent": lambda: [down("created_at"), down("seq")],
+    }[name]()
+
+
 #: Page sizes: default, most.
 PAGES = {"project": (500, 1000), "asset": (500, 2000), "insight": (100, 500), "opportunity": (50, 200), "search": (20, 100), "activity": (20, 100), "audit": (100, 500)}
 
 
-def page(df: DataFrame, kind: str, order: list[Column], limit: int | None = None, offset: int = 0) -> DataFrame:
+def page(df: DataFrame, kind: str, by: list[Column], limit: int | None = None, offset: int = 0) -> DataFrame:
     default, most = PAGES[kind]
-    return df.orderBy(*order).offset(max(0, offset)).limit(min(max(limit or default, 1), most))
+    return df.orderBy(*by).offset(max(0, offset)).limit(min(max(limit or default, 1), most))
 
 
 def top(df: DataFrame, order: list[Column], n: int) -> DataFrame:
