@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ DIRECT = frozenset(b"you your you're youre yours u ur yourself he she they du de
 OPEN, CLOSE = (b'"', b"'", "“".encode(), "«".encode(), "„".encode(), "‘".encode()), (b'"', b"'", "”".encode(), "»".encode(), "“".encode(), "’".encode())
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LEET = str.maketrans("013457@$", "oieastas")
+_AROUND = _EDGE.decode() + "“”«»„‘’¿¡…"
 WINDOW = 5
 #: Bound on the labelled rows that the lexicon and the weights are learned from.
 SAMPLE = 12_000
@@ -40,6 +42,7 @@ class Lexicon:
         self.stems = tuple(sorted(set(stems)))
         self.widths = sorted({len(s) for s in stems})
         self.stem_set = frozenset(stems)
+        self.terms, self.checks = frozenset(terms), {}
         self.heads, self.tails, self.middles, self.shapes = set(), set(), set(), set()
         for term in set(terms):
             node = self.root
@@ -62,13 +65,12 @@ class Lexicon:
     def _near(self, word: str) -> bool:
         """Whether the word keeps a part of a term: k edits leave one of k + 1 parts whole."""
         n = len(word)
-        for k, a, b, size in self.shapes:
-            if abs(n - size) <= k:
-                if word[:a] in self.heads or word[n - (size - (a if k == 1 else b)) :] in self.tails:
-                    return True
-                if k == 2 and any(word[a + d : b + d] in self.middles for d in (-2, -1, 0, 1, 2)):
-                    return True
-        return False
+        if n not in self.checks:
+            shapes = [x for x in self.shapes if abs(n - x[3]) <= x[0]]
+            ends = {n - (size - (a if k == 1 else b)) for k, a, b, size in shapes}
+            self.checks[n] = sorted({a for _, a, _, _ in shapes}), sorted(e for e in ends if e >= 0), sorted({(a + d, b + d) for k, a, b, _ in shapes if k == 2 for d in (-2, -1, 0, 1, 2) if a + d >= 0})
+        heads, tails, middles = self.checks[n]
+        return any(word[:a] in self.heads for a in heads) or any(word[a:] in self.tails for a in tails) or any(word[a:b] in self.middles for a, b in middles)
 
     def fuzzy(self, word: str) -> bool:
         """Whether the Levenshtein automaton of the word accepts a term within that term's
@@ -96,36 +98,42 @@ class Lexicon:
 
     def judge(self, word: bytes) -> int:
         """2: a term or a stem's word; 1: near a term; 0: neither."""
-        plain = word.strip(_EDGE).decode("utf-8", "replace").lower().strip("“”«»„‘’¿¡…")
-        if len(plain) < 3 or len(plain) > 40:
+        plain = word.decode("utf-8", "replace").lower().strip(_AROUND)
+        if not 3 <= len(plain) <= 40:
             return 0
-        for form in dict.fromkeys((plain, plain.translate(_LEET))):
-            if any(form[:k] in self.stem_set for k in self.widths):
-                return 2
-            node = self.root
-            for c in form:
-                node = node.get(c)
-                if node is None:
-                    break
-            if node and "" in node:
-                return 2 if form == plain else 1
+        for form in (plain,) if plain.isalpha() else dict.fromkeys((plain, plain.translate(_LEET))):
+            for k in self.widths:
+                if form[:k] in self.stem_set:
+                    return 2
+            if form in self.terms:
+                return 2 if form is plain else 1
             if self._near(form) and self.fuzzy(form):
                 return 1
         return 0
 
 
 class _Judged(dict):
-    def __init__(self, lexicon: Lexicon, limit: int = 400_000):
+    """word -> its judgement; two generations bound what is kept."""
+
+    def __init__(self, lexicon: Lexicon, limit: int = 300_000):
         super().__init__()
-        self.lexicon, self.limit = lexicon, limit
+        self.lexicon, self.limit, self.old = lexicon, limit, {}
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        self[word] = v = self.lexicon.judge(word)
+        v = self.old.get(word)
+        self[word] = v = self.lexicon.judge(word) if v is None else v
         return v
 
 
+@functools.lru_cache(2)
+def _judged(terms: tuple[str, ...], stems_: tuple[str, ...]) -> _Judged:
+    """One for all tasks of a worker."""
+    return _Judged(Lexicon(list(terms), list(stems_)))
+
+
 def features(text: bytes, judged: _Judged) -> list[float]:
     """1, then log(1 + n) of strong, fuzzy, quoted and directed hits, and the share of hits.
     A hit is quoted if quotation marks open before and close after it within the window, or
@@ -157,7 +165,7 @@ def _prefixes(least: int, most: int):
     return run
 
 
-def stems(labelled: DataFrame, least: int = 3, most: int = 8, purity: float = 0.85) -> list[str]:
+def stems(labelled: DataFrame, least: int = 3, most: int = 12, purity: float = 0.8) -> list[str]:
     """The shortest prefixes of words that, among ``labelled(text, toxic)``, stand in toxic
     documents almost alone: at least 4 of them, and 1% of them."""
     toxic = labelled.where("toxic = 1").count()
@@ -181,7 +189,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
 
 def _featured(lexicon_of: tuple[list[str], list[str]], weights: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judged = _Judged(Lexicon(*lexicon_of))
+        judged = _judged(tuple(lexicon_of[0]), tuple(lexicon_of[1]))
         for batch in per_slice(batches, 1000):
             x = np.array([features(t or b"", judged) for t in binary(batch.column("text"))]).reshape(-1, len(PRIOR))
             if weights is None:
