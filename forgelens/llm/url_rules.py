@@ -84,9 +84,9 @@ def judge(pages: DataFrame, rules: DataFrame, partitions: int, url: str = "url",
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = url_parts(F.col(f"`{url}`"))
     parts = pages.select(*[F.col(f"`{c}`") for c in kept], host.alias("host"), path.alias("path"))
-    stacks = host_stacks(parts.select("host").where("host != ''").distinct(), rules, partitions).withColumnRenamed("host", "_host")
+    stacks = host_stacks(parts.select("host").where("host != ''").distinct(), rules, partitions).withColumnsRenamed({"host": "_host", "stack": "_stack"})
     met = parts.join(stacks, F.col("host") == F.col("_host"), "left")
-    best = let(F.filter("stack", lambda r: F.col("path").startswith(r["path"])), lambda fit: F.array_max(fit))
+    best = let(F.filter("_stack", lambda r: F.col("path").startswith(r["path"])), lambda fit: F.array_max(fit))
     judged = met.withColumn("_best", best)
     verdict = F.coalesce("_best.verdict", F.when(F.col("host") == "", F.lit(no_host)).otherwise(F.lit(default)))
     return judged.select(*[F.col(f"`{c}`") for c in kept], "host", "path", F.col("_best.rule").alias("rule"), verdict.alias("verdict"))
