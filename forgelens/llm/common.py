@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,6 +42,20 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame, parts: list[str]) -> None:
+    """Deletes partitions of a staged table that nothing reads any more, and lets Spark drop
+    the shuffle files of stages that are done with."""
+    spark = table.sparkSession
+    jvm = spark.sparkContext._jvm
+    for root in {f.split("/kind=")[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for part in parts:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/{part}"), True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once for ``body``; else the optimizer may copy it to each use,
     also into lambdas, where it would be computed for each element."""
@@ -84,3 +100,9 @@ class WordHashes(dict):
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+@functools.cache
+def word_hashes() -> WordHashes:
+    """One for all tasks of a worker."""
+    return WordHashes()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import per_slice, staged
-from .tokens import Encoder, vocabulary
+from .tokens import encoder, vocabulary
 
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", part long, sequence_id long, offset long, bins long, bound long"
@@ -21,10 +21,10 @@ COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "of
 
 def _cutter(text: str, kind: str, end: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, row = Encoder(text, kind, end), TaskContext.get().partitionId() << 40
-        for batch in per_slice(batches, 1000):
+        code, row = encoder(text, kind, end), TaskContext.get().partitionId() << 40
+        for batch in per_slice(batches, 2000):
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            stream, lengths = encoder(batch.column("text"))
+            stream, lengths = code(batch.column("text"))
             ends = np.cumsum(lengths)
             for doc_id, begin, stop_at in zip(batch.column("doc_id").to_pylist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
                 ids = stream[begin:stop_at]

@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import per_slice, staged
-from .tokens import Encoder, vocabulary
+from .tokens import encoder, vocabulary
 
 BLOCK = 1024
 #: ids per word and bits per id by layout; layout 0 is the escape.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = np.array([32, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 30], np.int64)
 
+#: Bits that a small id needs.
+_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 SEGMENTS = "part int, seq int, doc_ids array<long>, lengths array<long>, n_ids long, n_words long, offsets binary, words binary"
 
 
@@ -48,7 +50,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     full = np.zeros(blocks * BLOCK, np.uint64)
     full[:n] = ids
     padded[:, :BLOCK] = full.reshape(blocks, BLOCK)
-    need = np.frexp(padded.astype(np.float64))[1].astype(np.uint8)
+    need = _BITS[padded] if not n or ids.max() < len(_BITS) else np.frexp(padded.astype(np.float64))[1].astype(np.uint8)
     most = {1: need}  # most[c][:, i]: bits that the ids i..i+c-1 need
     size = 1
     while size < 64:
@@ -110,9 +112,9 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
 
 def _writer(text: str, kind: str, end: int, per_segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = Encoder(text, kind, end), TaskContext.get().partitionId(), 0
+        code, part, seq = encoder(text, kind, end), TaskContext.get().partitionId(), 0
         for batch in per_slice(batches, per_segment):
-            stream, lengths = encoder(batch.column("text"))
+            stream, lengths = code(batch.column("text"))
             words, offsets = encode(stream)
             row = [part, seq, batch.column("doc_id").to_pylist(), lengths.tolist(), len(stream), len(words), offsets.tobytes(), words.tobytes()]
             seq += 1
@@ -121,7 +123,7 @@ def _writer(text: str, kind: str, end: int, per_segment: int):
     return run
 
 
-def write_token_files(docs: DataFrame, path: str | None, vocabulary_path: str, kind: str, end: int, partitions: int, per_segment: int = 1000) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str | None, vocabulary_path: str, kind: str, end: int, partitions: int, per_segment: int = 2000) -> DataFrame:
     """Encodes ``docs(doc_id, text)`` and writes the segments below ``path`` (None: the
     shared folder) in ascending doc_id order. Returns the segments as read back.
 

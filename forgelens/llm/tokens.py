@@ -8,6 +8,7 @@ library as a whole.
 
 from __future__ import annotations
 
+import functools
 import re
 from pathlib import Path
 
@@ -18,34 +19,53 @@ import pyarrow.compute as pc
 #: A space between two white-space characters: there the byte-level pattern looks beyond
 #: the space, so such texts are not cut. Last bytes and first bytes of white space in UTF-8.
 _UNSAFE = re.compile(rb"(?:^|[\t-\r \x85\xa0\x80-\x8a\xa8\xa9\xaf\x9f]) (?:$|[\t-\r \xc2\xe1-\xe3])")
+#: What can stand at the end of such a place: a quick test.
+_BEFORE = [b" " + bytes([c]) for c in (*range(9, 14), 32, 0xC2, 0xE1, 0xE2, 0xE3)]
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 
 
 class _Ids(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers, for a bounded number."""
+    """piece -> its ids as little-endian unsigned 32-bit integers. Two generations bound it:
+    when the young one is full it becomes the old one, from which pieces in use come back."""
 
     def __init__(self, encode, limit: int, empty: bytes):
         super().__init__({b"": empty})
-        self.encode, self.limit, self.empty, self.tails = encode, limit, empty, {}
+        self.encode, self.limit, self.empty, self.old, self.tails = encode, limit, empty, {}, {}
 
     def of(self, pieces: list[bytes], whole) -> list[bytes]:
         if len(self) > self.limit:
+            self.old = dict(self)
             self.clear()
             self[b""] = self.empty
         if len(self.tails) > 20_000:
             self.tails.clear()
-        new = [x for x in pieces if x not in self]
+        self._learn(pieces, whole)
+        return list(map(self.__getitem__, pieces))
+
+    def _missing(self, pieces) -> list[bytes]:
+        out, old = [], self.old
+        for x in pieces:
+            if x not in self:
+                if (ids := old.get(x)) is None:
+                    out.append(x)
+                else:
+                    self[x] = ids
+        return out
+
+    def _learn(self, pieces: list[bytes], whole) -> None:
         # A run of ASCII marks after an ASCII letter or digit is a piece of its own.
-        cut = [(x, stem, x[len(stem) :]) for x in new if (stem := x.rstrip(_MARKS)) != x and stem and stem[-1] in _ALNUM]
+        cut, new = [], []
+        for x in self._missing(pieces):
+            stem = x.rstrip(_MARKS)
+            if stem is not x and len(stem) != len(x) and stem and stem[-1] in _ALNUM:
+                cut.append((x, stem, x[len(stem) :]))
+            else:
+                new.append(x)
         for tail in {tail for _, _, tail in cut}.difference(self.tails):
             self.tails[tail] = whole(tail)
-        new = set(new)
-        new.difference_update([x for x, _, _ in cut])
-        new.update(stem for _, stem, _ in cut if stem not in self)
-        self.encode(self, list(new))
+        self.encode(self, list({*new, *self._missing({stem for _, stem, _ in cut})}))
         self.update((x, self[stem] + self.tails[tail]) for x, stem, tail in cut)
-        return list(map(self.__getitem__, pieces))
 
 
 class Encoder:
@@ -54,7 +74,7 @@ class Encoder:
     takes the space before it as Ġ. ``end`` is appended to each document. Strings of special
     tokens in a text are ordinary text."""
 
-    def __init__(self, vocabulary: str, kind: str, end: int, limit: int = 400_000):
+    def __init__(self, vocabulary: str, kind: str, end: int, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(vocabulary)
@@ -67,15 +87,17 @@ class Encoder:
     def _encode_pieces(self, known: dict[bytes, bytes], pieces: list[bytes]) -> None:
         """Encodes pieces, each with a space before it, many in one text: those of letters
         alone have one edge token, and the others are cut where tokens' places cross."""
-        texts = [x.decode("utf-8", "replace") for x in pieces]
-        plain = [x.isascii() and x.isalpha() for x in texts]
-        letters = [(p, t) for p, t, ok in zip(pieces, texts, plain, strict=True) if ok]
+        letters, others = [], []
+        for x in pieces:  # bytes.isalpha: ASCII letters alone
+            if x.isalpha() or ((t := x.decode("utf-8", "replace")).isalpha() and max(t) < "\u0180" and "İ" not in t):
+                letters.append(x)
+            else:
+                others.append((x, t))
         for at in range(0, len(letters), 2000):
             part = letters[at : at + 2000]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(t for _, t in part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.library.encode_batch_fast([(b" " + b" ".join(part)).decode()], add_special_tokens=False)[0].ids, "<u4")
             edges = np.flatnonzero(self.edge[ids])
-            self._cut(known, [p for p, _ in part], edges[:-1] + 1 if self.kind == "words" else edges[1:], ids)
-        others = [(p, t) for p, t, ok in zip(pieces, texts, plain, strict=True) if not ok]
+            self._cut(known, part, edges[:-1] + 1 if self.kind == "words" else edges[1:], ids)
         for at in range(0, len(others), 1000):
             part = others[at : at + 1000]
             found = self.library.encode(" " + " ".join(t for _, t in part), add_special_tokens=False)
@@ -103,7 +125,7 @@ class Encoder:
             pieces = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         else:  # what stands before the first space, or an unsafe text as a whole, is encoded by itself
             raw = texts.cast(pa.binary()).to_pylist()
-            unsafe = [bool(_UNSAFE.search(x)) for x in raw]
+            unsafe = [(x.endswith(b" ") or any(b in x for b in _BEFORE)) and bool(_UNSAFE.search(x)) for x in raw]
             own = [self.whole(x if bad else x.split(b" ", 1)[0]) for x, bad in zip(raw, unsafe, strict=True)]
             pieces = pc.split_pattern(pc.if_else(pa.array(unsafe, pa.bool_()), "", texts), " ")
         offsets = pieces.offsets.to_numpy().astype(np.int64)
@@ -120,11 +142,22 @@ class Encoder:
         sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
         size = sizes[all_codes]
         ends = np.cumsum(size)
-        ids = flat[np.arange(ends[-1] if docs else 0) + np.repeat((np.cumsum(sizes) - sizes)[all_codes] - (ends - size), size)]
+        # Steps through ``flat``: by one within a piece, else to the next piece's start.
+        some = all_codes[size > 0]
+        begin, count = (np.cumsum(sizes) - sizes)[some], sizes[some]
+        steps = np.ones(int(ends[-1]) if docs else 0, np.int32)
+        steps[np.cumsum(count) - count] = begin - np.concatenate([[0], (begin + count - 1)[:-1]])
+        ids = flat[np.cumsum(steps, dtype=np.int32)]
         last = ends[offsets[1:] + np.arange(docs)] if docs else ends
         return ids, np.diff(last, prepend=0)
 
 
+@functools.lru_cache(2)
+def encoder(vocabulary: str, kind: str, end: int) -> Encoder:
+    """One for all tasks of a worker, which so keep what they have learned."""
+    return Encoder(vocabulary, kind, end)
+
+
 def vocabulary(path: str) -> str:
     """The vocabulary file's text; the driver reads it once and sends it along."""
     return Path(path).read_text(encoding="utf-8")
