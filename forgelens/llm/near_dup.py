@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary, mix, per_slice, staged
+from .common import WordHashes, binary, mix, per_slice, staged, word_hashes
 from .graphs import components
 
 #: Coordinates in a band, and the chance that sets just alike enough share no band.
@@ -65,7 +65,7 @@ def sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
 
 def _sketcher(width: int, n_bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in per_slice(batches, 1000):
             sets = [shingle_set((x or b"").lower().split(), hashes, width) for x in binary(batch.column("text"))]
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -84,7 +84,7 @@ def _sketcher(width: int, n_bands: int):
 
 def _verifier(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, left = WordHashes(), None, np.zeros(0, np.uint64)
+        hashes, last, left = word_hashes(), None, np.zeros(0, np.uint64)
         for batch in per_slice(batches, 500):
             keep = []
             for i, (a, x, y) in enumerate(zip(batch.column("a").to_pylist(), binary(batch.column("text_a")), binary(batch.column("text_b")), strict=True)):
@@ -101,7 +101,7 @@ def _verifier(width: int, percent: int):
 
 def _shingler(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in per_slice(batches, 200):
             sets = [shingle_set((x or b"").lower().split(), hashes, width) for x in binary(batch.column("text"))]
             ids = np.repeat(batch.column("node").to_numpy(), [len(s) for s in sets])
@@ -118,7 +118,7 @@ def _block_verifier(width: int, percent: int):
         table = table.sort_by("node")
         node, n, part, most, block, i, j = (table.column(c).to_numpy() for c in ("node", "n", "component", "most", "block", "i", "j"))
         bands = np.array(table.column("bands").to_pylist(), np.int64)
-        hashes = WordHashes()
+        hashes = word_hashes()
         sets = [shingle_set((x or b"").lower().split(), hashes, width) for x in binary(table.column("text"))]
         left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
         links: tuple[list, list] = ([], [])
