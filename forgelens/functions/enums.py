@@ -19,6 +19,10 @@ VALUES = {
     "insight_type": ["duplicate_capability", "reusable_component", "reusable_experience", "forgotten_asset", "tech_direction", "opportunity_hint"],
     "insight_badge": ["high", "potent", "info"],
     "opportunity_status": ["new", "explored", "dismissed", "adopted"],
+    "job_type": [
+        "SCAN_PROJECT", "INDEX_CODE", "PARSE_AST", "BUILD_SYMBOL_GRAPH", "GENERATE_EMBEDDING", "ANALYZE_PROJECT", "EXTRACT_ASSETS",
+        "EXTRACT_CAPABILITIES", "ANALYZE_RELATIONS", "GENERATE_INSIGHT", "DISCOVER_OPPORTUNITY",
+    ],
     "job_status": ["queued", "running", "completed", "failed", "cancelled"],
     "user_feedback": ["useful", "useless", "ignored"],
     "symbol_kind": ["function", "method", "class", "struct", "enum", "trait", "interface", "constant", "component", "api_endpoint", "type"],
@@ -27,8 +31,11 @@ VALUES = {
 #: What a value outside of the enumeration becomes when a row is read.
 UNKNOWN = {
     "project_status": "unknown", "asset_type": "code", "capability_layer": "capability", "relation_type": "related_to",
-    "insight_type": "reusable_component", "opportunity_status": "new", "job_status": "queued", "user_feedback": None,
+    "insight_type": "reusable_component", "opportunity_status": "new", "job_type": "INDEX_CODE", "job_status": "queued", "user_feedback": None,
 }
+#: Job types that call a model.
+NEED_MODEL = ["ANALYZE_PROJECT", "EXTRACT_CAPABILITIES", "ANALYZE_RELATIONS", "GENERATE_INSIGHT", "DISCOVER_OPPORTUNITY"]
+DEEP = ["ANALYZE_RELATIONS", "GENERATE_INSIGHT", "DISCOVER_OPPORTUNITY"]
 TERMINAL = ["completed", "failed", "cancelled"]
 ACTIONABLE = ["new", "explored"]
 SYMMETRIC = ["similar_to", "combines_with", "can_combine_with", "related_to"]

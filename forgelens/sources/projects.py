@@ -137,6 +137,29 @@ def count_lines(text: Column, block: Column | None = None) -> Column:
     return F.when(text == "", F.struct(*[F.lit(0).alias(c) for c in ("total", "code", "comment", "blank")])).otherwise(F.aggregate(lines, zero, step, done))
 
 
+def top_level(files: DataFrame) -> DataFrame:
+    """project_id, folders, names: what stands at the top of each project, sorted."""
+    inner = F.when(F.col("dir") == "", F.col("rel_path")).otherwise(F.expr("substring(rel_path, length(dir) + 2)"))
+    parts = F.split(inner, "/")
+    return files.groupBy(F.col("dir").alias("project_id")).agg(
+        F.array_sort(F.collect_set(F.when(F.size(parts) > 1, parts[0]))).alias("folders"), F.array_sort(F.collect_set(F.when(F.size(parts) == 1, parts[0]))).alias("names")
+    )
+
+
+def newest(files: DataFrame) -> DataFrame:
+    """project_id, modified: the age of a project without commits."""
+    return files.where(~excluded(F.col("rel_path"))).groupBy(F.col("dir").alias("project_id")).agg(F.max("modified").alias("modified"))
+
+
+def language_stats(files: DataFrame, most: int = MOST_COUNTED) -> DataFrame:
+    """project_id, name, loc, files of what people wrote. Names and lengths decide before a
+    file's content is read."""
+    lang = language_of(F.col("name"))
+    kept = files.where((F.col("length") <= most) & ~generated(F.col("rel_path")) & ~secret(F.col("name")) & ~excluded(F.col("rel_path"))).withColumn("language", lang).where("language IS NOT NULL")
+    lines = kept.select(F.col("dir").alias("project_id"), F.col("language").alias("name"), count_lines(F.try_validate_utf8("content"))["code"].alias("n"))
+    return lines.groupBy("project_id", "name").agg(F.sum("n").alias("loc"), F.count("*").alias("files"))
+
+
 def primary_language(shares: DataFrame) -> DataFrame:
     """project_id, language: the largest that is not markup, else the largest."""
     return shares.groupBy("project_id").agg(F.min_by("name", F.struct(is_markup(F.col("name")), -F.col("loc"), "name")).alias("language"))

@@ -143,6 +143,8 @@ def test_projects_on_disk(spark, tmp_path):
     assert {(r.project_id, r.rel_path) for r in projects.source_files(owned).collect()} >= {("web", "web/src/app.ts"), ("lib", "lib/src/main.rs")}
     assert not [r for r in projects.source_files(owned).collect() if "node_modules" in r.rel_path or "token" in r.rel_path]
     assert [r.excerpt for r in projects.readmes(owned).collect()] == ["A small tool for tests."]
+    assert {r.project_id: r.folders for r in projects.top_level(owned).collect()} == {"web": ["node_modules", "packages", "src"], "lib": ["src", "tests"]}
+    assert {(r.project_id, r.name, r.loc) for r in projects.language_stats(owned).collect()} >= {("web", "TypeScript", 3), ("lib", "Rust", 2)} and projects.newest(owned).count() == 2
     names = {r.name for r in symbols.symbols(projects.source_files(owned)).collect()}
     assert {"go", "main"} <= names
     assert projects.drop_globs(listing, ["src/**", "*.md"]).where("rel_path LIKE '%.md' OR rel_path LIKE '%/src/%'").count() == 0
