@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than space and the controls \t \n \v \f \r.
 #: ``bytes.split()`` splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Below this many documents (8 bytes each) their ids are broadcast.
+FEW_IDS = 2_000_000
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -56,6 +58,12 @@ def discard(table: DataFrame, parts: list[str]) -> None:
     jvm.System.gc()
 
 
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of the documents whose doc_id ``ids(doc_id)`` has. Few ids go to all executors,
+    and no row moves; more of them meet the rows in a join."""
+    return rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_semi")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once for ``body``; else the optimizer may copy it to each use,
     also into lambdas, where it would be computed for each element."""

@@ -7,17 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary, mix, per_slice, staged
+from .common import FEW_IDS, binary, discard, mix, only, per_slice, staged, word_hashes
 
 LAST = (1 << 63) - 1  # stands for a null doc_id, which is after all others
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
-SENT = "kind int, bucket int, doc_id long, h binary, g binary, d binary, n_words long, sha string"
-#: Below this many documents (8 bytes each) their ids are broadcast to pick texts.
-FEW_IDS = 2_000_000
-
+SENT = "kind int, bucket int, doc_id long, h binary, g binary, d binary, n_words long, sha string, packed binary"
+#: Bits of a hash that tell windows apart within a bucket; whole windows have 32 more.
+LOW = 36
 
 def levels(window: int, least: int = 8) -> list[int]:
     """Window lengths, each at most twice the one before, up to ``window``."""
@@ -65,128 +65,166 @@ def _flag(h: np.ndarray, g: np.ndarray, d: np.ndarray, last: bool) -> tuple[np.n
     return h, g, d, (high > d[start])[group] if len(d) else new, new
 
 
-def _by_doc(h: np.ndarray, g: np.ndarray, d: np.ndarray, with_check: bool) -> Iterator[tuple[int, bytes, bytes]]:
-    order = np.argsort(d, kind="stable")
-    h, g, d = h[order], g[order], d[order]
-    cuts = np.flatnonzero(np.diff(d)) + 1
+def _packed(x: np.ndarray) -> bytes:
+    """Ascending or not, unsigned 64-bit numbers by their distance to the least, or to the
+    one before if they ascend, in as few bytes as the largest needs."""
+    ascending = len(x) > 1 and bool((x[1:] >= x[:-1]).all())
+    least = x.min()
+    rest = np.diff(x, prepend=x[:1]) if ascending else x - least
+    most = int(rest.max())
+    kind = 0 if most < 1 << 16 else 1 if most < 1 << 32 else 2
+    return bytes([kind | 4 * ascending]) + np.array([least], "<u8").tobytes() + rest.astype(("<u2", "<u4", "<u8")[kind]).tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    rest = np.frombuffer(blob, ("<u2", "<u4", "<u8")[blob[0] & 3], offset=9).astype(np.uint64)
+    return (np.cumsum(rest, dtype=np.uint64) if blob[0] & 4 else rest) + np.frombuffer(blob, "<u8", 1, 1)[0]
+
+
+def _by_part(h: np.ndarray, g: np.ndarray, d: np.ndarray, parts: int, last: bool) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """part, h, g, d: what concerns the documents of each part, a part by the document's hash."""
+    part = (mix(d.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    h, g, d, part = h[order], g[order], d[order], part[order]
+    cuts = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(d)], strict=True):
         if b > a:
-            yield int(d[a]), h[a:b].tobytes(), g[a:b].astype("<u4").tobytes() if with_check else b""
+            yield int(part[a]), h[a:b].tobytes(), g[a:b].astype("<u4").tobytes() if last else b"", _packed(d[a:b].astype(np.uint64))
 
 
-def _send(h: np.ndarray, g: np.ndarray, d: np.ndarray, bucket_bits: int, last: bool) -> pa.RecordBatch:
+def _send(h: np.ndarray, g: np.ndarray, d: np.ndarray, parts: int, last: bool) -> pa.RecordBatch:
     """What a slice of documents tells: documents it knows to repeat a window (kind 1), and
     for each of its windows once, by bucket of the hash, the first document (kind 0). A
     window that all documents share is told once a slice, not once a document."""
     h, g, d, repeated, new = _flag(h, g, d, last)
-    rows: list[tuple] = [(1, None, doc, hs, gs, None, None, None) for doc, hs, gs in _by_doc(h[repeated], g[repeated], d[repeated], last)]
+    rows: list[tuple] = [(1, part, None, hs, gs, ds, None, None, None) for part, hs, gs, ds in _by_part(h[repeated], g[repeated], d[repeated], parts, last)]
     h, g, d = h[new], g[new], d[new]
-    bucket = (h >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(h), np.int64)
+    bucket = (h >> np.uint64(LOW)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)], strict=True):
         if b > a:
-            rows.append((0, int(bucket[a]), None, h[a:b].tobytes(), g[a:b].astype("<u4").tobytes() if last else b"", d[a:b].tobytes(), None, None))
+            rows.append((0, int(bucket[a]), None, _packed(h[a:b]), g[a:b].astype("<u4").tobytes() if last else b"", _packed(d[a:b].astype(np.uint64)), None, None, None))
     return _batch(rows)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.string())
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.binary())
     columns = zip(*rows, strict=True) if rows else [[] for _ in types]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["kind", "bucket", "doc_id", "h", "g", "d", "n_words", "sha"])
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["kind", "bucket", "doc_id", "h", "g", "d", "n_words", "sha", "packed"])
 
 
-def _first_level(length: int, window: int, bucket_bits: int, last: bool):
+def _first_level(length: int, window: int, bucket_bits: int, parts: int, last: bool):
     """Of a window's sub-windows of ``length``, the one with the least hash is its anchor:
     equal windows have equal anchors, so only anchors are sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, press = word_hashes(), zstandard.ZstdCompressor(3)
         for batch in per_slice(batches, 2000):
             hs, gs, ds, rows = [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_numpy().tolist(), binary(batch.column("text")), strict=True):
                 words = (text or b"").split()
-                rows.append((2, None, doc, None, None, None, len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
+                joined = b" ".join(words)
+                rows.append((2, None, doc, None, None, None, len(words), hashlib.sha256(joined).hexdigest(), press.compress(joined)))
                 if len(words) >= window:
                     w = hashes.of(words)
-                    found = np.unique(least_of(window_hashes(w, length), window - length + 1))
+                    found, first = np.unique(least_of(_short(window_hashes(w, length), bucket_bits), window - length + 1), return_index=True)
                     hs.append(found)
-                    gs.append(_check(w, window, found, length, window))
+                    gs.append(window_hashes(w, length, 1)[first] >> np.uint64(32) if last else np.zeros(len(found), np.uint64))
                     ds.append(np.full(len(found), doc))
             yield _batch(rows)
             if hs:
-                yield _send(np.concatenate(hs), np.concatenate(gs), np.concatenate(ds), bucket_bits, last)
+                yield _send(np.concatenate(hs), np.concatenate(gs), np.concatenate(ds), parts, last)
 
     return run
 
 
-def _check(w: np.ndarray, length: int, found: np.ndarray, at: int, window: int) -> np.ndarray:
-    """Second hashes, of 32 bits, beside ``found``: only whole windows have them."""
-    if at != window:
-        return np.zeros(len(found), np.uint64)
-    all_, second = window_hashes(w, length), window_hashes(w, length, 1) >> np.uint64(32)
-    order = np.argsort(all_, kind="stable")
-    return second[order][np.searchsorted(all_[order], found)]
+def _short(h: np.ndarray, bucket_bits: int) -> np.ndarray:
+    """The hash's top bits: its bucket, and LOW bits within it."""
+    return h >> np.uint64(64 - LOW - bucket_bits)
 
 
 def _told(blobs: list[bytes] | None, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(blobs or []), kind)
 
 
-def _next_level(before: int, length: int, window: int, anchored: bool, bucket_bits: int, last: bool):
+def _next_level(before: int, length: int, window: int, anchored: bool, bucket_bits: int, parts: int, last: bool):
     """Windows whose parts (or anchor) were repeated at the level before, extended."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in per_slice(batches, 1000):
+        hashes, press = word_hashes(), zstandard.ZstdDecompressor()
+        for batch in per_slice(batches, 2000):
             hs, gs, ds = [], [], []
-            for doc, text, known in zip(batch.column("doc_id").to_numpy().tolist(), binary(batch.column("text")), batch.column("h").to_pylist(), strict=True):
-                w = hashes.of((text or b"").split())
-                part = window_hashes(w, before)
+            for doc, packed, known in zip(batch.column("doc_id").to_numpy().tolist(), batch.column("packed").to_pylist(), batch.column("h").to_pylist(), strict=True):
+                w = hashes.of(press.decompress(packed).split())
+                if len(w) < window:  # another row of this doc_id was found
+                    continue
+                part = _short(window_hashes(w, before), bucket_bits)
                 if anchored:
-                    ok = np.isin(least_of(part, window - before + 1), _told(known, "<u8"))
+                    ok = np.isin(least_of(part, window - before + 1), _told([known], "<u8"))
                     # anchors speak for whole windows; a part of one survives with it
                     ok = np.convolve(ok, np.ones(window - length + 1, int))[: len(w) - length + 1] > 0 if length < window else ok
                 else:
-                    told = np.isin(part, _told(known, "<u8"))
+                    told = np.isin(part, _told([known], "<u8"))
                     n = len(w) - length + 1
                     ok = told[:n] & told[length - before : length - before + n] if n > 0 else told[:0]
                 at = np.flatnonzero(ok)
                 if len(at):
-                    found, first = np.unique(window_hashes(w, length)[at], return_index=True)
+                    found, first = np.unique(_short(window_hashes(w, length), bucket_bits)[at], return_index=True)
                     hs.append(found)
                     gs.append(window_hashes(w, length, 1)[at][first] >> np.uint64(32) if last else np.zeros(len(found), np.uint64))
                     ds.append(np.full(len(found), doc))
             if hs:
-                yield _send(np.concatenate(hs), np.concatenate(gs), np.concatenate(ds), bucket_bits, last)
+                yield _send(np.concatenate(hs), np.concatenate(gs), np.concatenate(ds), parts, last)
 
     return run
 
 
-def _meet(last: bool):
-    """One bucket of hashes: which documents repeat which windows."""
+def _read(table: pa.Table, check: bool) -> tuple[np.ndarray, np.ndarray]:
+    d = np.concatenate([_unpacked(x) for x in table.column("d").to_pylist()]).astype(np.int64)
+    return d, _told(table.column("g").to_pylist(), "<u4").astype(np.uint64) if check else np.zeros(len(d), np.uint64)
+
+
+def _meet(parts: int, last: bool):
+    """One bucket of hashes: which documents repeat which windows, a row a part of them."""
 
     def run(table: pa.Table) -> pa.Table:
-        h, d = (_told(table.column(c).to_pylist(), t) for c, t in (("h", "<u8"), ("d", "<i8")))
-        g = _told(table.column("g").to_pylist(), "<u4").astype(np.uint64) if last else np.zeros(len(h), np.uint64)
+        d, g = _read(table, last)
+        h = np.concatenate([_unpacked(x) for x in table.column("h").to_pylist()])
         h, g, d, repeated, _ = _flag(h, g, d, last)
-        rows = list(_by_doc(h[repeated], g[repeated], d[repeated], last))
-        return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "h": pa.array([r[1] for r in rows], pa.binary()), "g": pa.array([r[2] for r in rows], pa.binary())})
+        rows = list(_by_part(h[repeated], g[repeated], d[repeated], parts, last))
+        columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+        return pa.table({n: pa.array(list(c), t) for n, c, t in zip(("bucket", "h", "g", "d"), columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
 
     return run
 
 
-def _remover(window: int):
+def _collect(last: bool):
+    """One part of the documents: a row a document with all its repeated windows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        d, g = _read(table, last)
+        h = _told(table.column("h").to_pylist(), "<u8")
+        order = np.argsort(d, kind="stable")
+        h, g, d = h[order], g[order].astype("<u4"), d[order]
+        cuts = np.flatnonzero(np.diff(d)) + 1
+        spans = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(d)], strict=True))
+        return pa.table({"doc_id": pa.array(d[[a for a, _ in spans]]), "h": pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()), "g": pa.array([g[a:b].tobytes() if last else b"" for a, b in spans], pa.binary())})
+
+    return run
+
+
+def _remover(window: int, bucket_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, press = word_hashes(), zstandard.ZstdDecompressor()
         for batch in per_slice(batches, 1000):
-            out: tuple[list, ...] = ([], [], [], [])
-            for doc, text, hs, gs in zip(batch.column("doc_id").to_pylist(), binary(batch.column("text")), batch.column("h").to_pylist(), batch.column("g").to_pylist(), strict=True):
-                words = (text or b"").split()
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for doc, sha, packed, hs, gs in zip(batch.column("doc_id").to_pylist(), batch.column("sha").to_pylist(), batch.column("packed").to_pylist(), batch.column("h").to_pylist(), batch.column("g").to_pylist(), strict=True):
+                words = press.decompress(packed).split()
                 w = hashes.of(words)
-                known, second = _told(hs, "<u8"), _told(gs, "<u4").astype(np.uint64)
+                known, second = _told([hs], "<u8"), _told([gs], "<u4").astype(np.uint64)
                 order = np.argsort(known, kind="stable")
                 known, second = known[order], second[order]
-                found = window_hashes(w, window)
+                found = _short(window_hashes(w, window), bucket_bits)
                 place = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
                 hit = (known[place] == found) & (second[place] == window_hashes(w, window, 1) >> np.uint64(32)) if len(known) else np.zeros(len(found), bool)
                 edge = np.zeros(len(words) + 1, np.int64)
@@ -195,27 +233,24 @@ def _remover(window: int):
                 np.add.at(edge, at + window, -1)
                 keep = np.cumsum(edge)[:-1] == 0
                 kept = [x for x, k in zip(words, keep.tolist(), strict=True) if k]
-                for column, value in zip(out, (doc, len(words), len(words) - len(kept), b" ".join(kept)), strict=True):
+                for column, value in zip(out, (doc, sha, len(words), len(words) - len(kept), b" ".join(kept)), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "sha", "n_words", "n_removed", "kept_text"])
 
     return run
 
 
-def _repeats(sent: DataFrame, last: bool) -> DataFrame:
-    """doc_id with the blobs of its repeated windows."""
-    met = sent.where("kind = 0").select("bucket", "h", "g", "d").groupBy("bucket").applyInArrow(_meet(last), "doc_id long, h binary, g binary")
-    return met.unionByName(sent.where("kind = 1").select("doc_id", "h", "g")).groupBy("doc_id").agg(F.collect_list("h").alias("h"), F.collect_list("g").alias("g"))
-
-
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of some documents. Few ids go to all executors; more meet in a join."""
-    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_semi")
+def _repeats(sent: DataFrame, parts: int, last: bool) -> DataFrame:
+    """doc_id with its repeated windows. Hashes meet by bucket; what is found goes back by
+    part of the documents, so that rows are parts of buckets, not documents of buckets."""
+    met = sent.where("kind = 0").select("bucket", "h", "g", "d").groupBy("bucket").applyInArrow(_meet(parts, last), "bucket int, h binary, g binary, d binary")
+    both = met.unionByName(sent.where("kind = 1").select("bucket", "h", "g", "d"))
+    return both.groupBy("bucket").applyInArrow(_collect(last), "doc_id long, h binary, g binary")
 
 
 def repeated_words(docs: DataFrame, window: int = 13) -> tuple[DataFrame, DataFrame]:
     """(all, cut): of ``docs(doc_id, text)``, all rows with n_words and the sha of their
-    words, and those that lose words, with n_words, n_removed and kept_text.
+    words, and those that lose words, with sha, n_words, n_removed and kept_text.
 
     A word goes if a window of ``window`` consecutive words covers it whose word sequence
     also starts in a document with a smaller doc_id. Windows are judged on the input.
@@ -226,31 +261,41 @@ def repeated_words(docs: DataFrame, window: int = 13) -> tuple[DataFrame, DataFr
     Level-wise: windows repeated at one length alone are extended to the next, at most twice
     as long, until the window's own length, or until no candidate is left. The first level
     sends anchors, about a quarter of its windows; each slice of documents first settles
-    what its own documents share, so a passage that many share is sent once a slice. The
-    last level compares 96 bits of hash.
+    what its own documents share, so a passage that many share is sent once a slice. Copies
+    of a smaller document lose all their words and are not extended. The last level compares
+    LOW + 32 bits of hash and those of the bucket, of which there are more with more
+    partitions.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
-    lengths = levels(window)
-    bits = max(0, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    sent = staged(docs.mapInArrow(_first_level(lengths[0], window, bits, len(lengths) == 1), SENT), "level0", ["kind"])
-    everything = sent.where("kind = 2").select("doc_id", "n_words", "sha")
-    found = staged(_repeats(sent, len(lengths) == 1), "repeats0")
-    texts = staged(_texts_of(docs, found.select("doc_id")), "texts")
+    spark, lengths = docs.sparkSession, levels(window)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(64 - LOW, max(0, (parts - 1).bit_length()))
+    sent = staged(docs.mapInArrow(_first_level(lengths[0], window, bits, parts, len(lengths) == 1), SENT), "level0", ["kind"])
+    everything = sent.where("kind = 2").select("doc_id", "n_words", "sha", "packed")
+    found = staged(_repeats(sent, parts, len(lengths) == 1), "repeats0")
+    first = everything.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    copies = staged(everything.select("doc_id", "n_words", "sha").join(first.select("sha", "first"), "sha").where("first < doc_id").select("doc_id", "n_words", "sha"), "copies")
+    discard(sent, ["kind=0", "kind=1"])
+    few = copies.count() <= FEW_IDS
+    gone = copies.select("doc_id", "sha").distinct()
+    rest = everything.select("doc_id", "sha", "packed").join(F.broadcast(gone) if few else gone, ["doc_id", "sha"], "left_anti")
     for k, length in enumerate(lengths[1:], 1):
         if found.isEmpty():
             break
-        extend = _next_level(lengths[k - 1], length, window, k == 1, bits, length == window)
-        sent = staged(texts.join(found, "doc_id").mapInArrow(extend, SENT), f"level{k}", ["kind"])
-        found = staged(_repeats(sent, length == window), f"repeats{k}")
-    cut = texts.join(found, "doc_id").mapInArrow(_remover(window), "doc_id long, n_words long, n_removed long, kept_text binary")
-    return everything, cut
+        extend = _next_level(lengths[k - 1], length, window, k == 1, bits, parts, length == window)
+        sent = staged(only(rest, found.select("doc_id")).join(found, "doc_id").mapInArrow(extend, SENT), f"level{k}", ["kind"])
+        found = staged(_repeats(sent, parts, length == window), f"repeats{k}")
+        discard(sent, ["kind=0", "kind=1"])
+    cut = only(rest, found.select("doc_id")).join(found, "doc_id").mapInArrow(_remover(window, bits), "doc_id long, sha string, n_words long, n_removed long, kept_text binary")
+    whole = copies.select("doc_id", "sha", "n_words", F.col("n_words").alias("n_removed"), F.lit(b"").alias("kept_text"))
+    return everything.select("doc_id", "n_words", "sha"), cut.unionByName(whole)
 
 
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     everything, cut = repeated_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    cut = staged(cut.where("n_removed > 0").select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")), "cut")
-    whole = everything.join(cut.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
-    return whole.unionByName(cut).withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
+    cut = staged(cut.where("n_removed > 0").select("doc_id", "sha", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")), "cut")
+    whole = everything.join(cut.select("doc_id", "sha").distinct(), ["doc_id", "sha"], "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
+    return whole.unionByName(cut.drop("sha")).withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
 
 
 OP6_SQL = r"""
