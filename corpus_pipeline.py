@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgelens.llm import mixing, near_dup, packing, quality, secrets
-from forgelens.llm.common import staged
+from forgelens.llm.common import only, staged
 
 #: The end id of each packed document, and the length of a sequence.
 END, CAPACITY = 2, 1024
@@ -22,7 +22,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     with the least doc_id. Rows that share a doc_id are one document, of which the row with
     the least text stays; rows without doc_id are in no group."""
     judged = staged(near_dup.near_duplicates(docs, 5, 80), "judged").where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count()
-    kept = docs.join(judged.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    kept = only(docs, judged.select("doc_id")).select(docs.columns)
     if not judged.where("count > 1").isEmpty():
         rest = [c for c in docs.columns if c != "doc_id"]
         kept = kept.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in rest if c != "text"])).alias("r")).select("doc_id", "r.*").select(docs.columns)
