@@ -75,7 +75,7 @@ COMPLETE: dict[str, list[str]] = {
     "media": ["Image Processing", "Video Processing", "PDF Processing", "Office Document"],
 }
 # Words of a symbol's name that lower and raise its generality.
-BUSINESS = "order invoice payment billing customer tenant employee salary contract cart checkout loyalty yingtech settlement warehouse shipment".split()
+BUSINESS = "order invoice payment billing customer tenant employee salary contract cart checkout loyalty settlement warehouse shipment".split()
 GENERIC = (
     "queue cache retry batch pipeline parser pool throttle debounce validator sanitize encode decode compress hash uuid pagination ratelimit circuit "
     "scheduler worker stream buffer tokenizer embedding http client logger config registry factory adapter middleware resolver dispatcher iterator merkle diff"
