@@ -255,6 +255,13 @@ def keyword_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(table(spark, sf_dir, "benchmark").where("item_id < 5"), "item_id").join(words(table(spark, sf_dir, "documents"), "doc_id"), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared")).where("shared >= 3")
 
 
+@query()
+def keyword_substring_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark items against all documents: the links with three keywords of four or
+    more letters that the document contains, also inside of longer words."""
+    return relational.keyword_links(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id")
+
+
 @query(f"WITH e AS ({EDGES}), b AS (SELECT source_id AS node FROM e UNION ALL SELECT target_id FROM e) SELECT node, count(*) AS degree FROM b GROUP BY node")
 def node_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(edge_table(spark, sf_dir)).select("node", "degree")
