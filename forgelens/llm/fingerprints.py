@@ -13,19 +13,39 @@ K, BIN_BITS = 3, 6
 PLACE_BITS = 20
 #: Bits of a tuple's hash beside its bin.
 TUPLE_BITS = 26
+#: Texts of up to SHORT code points have tuples of CHARS-character k-mers, too. Words longer
+#: than LONG count as their overlapping pieces of PIECE characters.
+SHORT, CHARS, LONG, PIECE = 1024, 4, 24, 4
 FIRST = -(1 << 63)
 
 
-def _kmers(words: Column) -> Column:
-    """Hashes of the k-mers; of the whole sequence where it is shorter."""
+def _kmers(hashes: Column, k: int = K) -> Column:
+    """Hashes of the k-mers of hashed tokens; of the whole sequence where it is shorter."""
     return let(
-        F.transform(words, lambda w: F.xxhash64(w)),
+        hashes,
         lambda h: F.when(F.size(h) == 0, F.slice(h, 1, 0))
-        .when(F.size(h) < K, F.array(F.xxhash64(h)))
-        .otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - K), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(K)]))),
+        .when(F.size(h) < k, F.array(F.xxhash64(h)))
+        .otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))),
     )
 
 
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
+
+
+def _pieces(words: Column) -> Column:
+    """Hashes of the words, in place of each long one of all its pieces."""
+    cut = lambda w: let(F.split(w, ""), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - PIECE), lambda i: F.xxhash64(*[F.get(c, i + j) for j in range(PIECE)])))
+    long_ = lambda w: F.length(w) > LONG
+    each = F.flatten(F.transform(words, lambda w: F.when(long_(w), cut(w)).otherwise(F.array(F.xxhash64(w)))))
+    return F.when(F.exists(words, long_), each).otherwise(F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def _characters(text: Column) -> Column:
+    """Hashes of the characters, after CHARS - 1 empty ones, so that each has a k-mer."""
+    return F.transform(F.concat(F.array_repeat(F.lit(""), CHARS - 1), F.split(text, "")), lambda c: F.xxhash64(c))
+
+
 def _pack(h: Column, place: Column) -> Column:
     return h.bitwiseAND(F.lit(-(1 << PLACE_BITS))).bitwiseOR(F.least(place, F.lit((1 << PLACE_BITS) - 1)).cast("long"))
 
@@ -51,8 +71,23 @@ def signature(text: Column) -> Column:
     k-mer and the next one in hash order (of the next bin, where it has no other), puts the
     two in the order of the text and hashes the pair. Null and texts without words: none.
     """
-    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
+    return _tuples(let(_words(text), lambda words: _kmers(F.transform(words, lambda w: F.xxhash64(w)))))
+
+
+def graded_signature(text: Column) -> Column:
+    """A struct of two signatures: ``words``, of word k-mers in which long words count as their
+    pieces, and ``chars``, of character k-mers of the words with one space between them; null
+    if these are more than SHORT code points. So texts of few words or without spaces stay
+    like their edits, and two texts always have a level in common."""
 
+    def of(words: Column) -> Column:
+        plain = lambda t: F.when(t == "", F.array().cast("array<long>")).when(F.length(t) <= SHORT, _tuples(_kmers(_characters(t), CHARS)))
+        return F.struct(_tuples(_kmers(_pieces(words))).alias("words"), let(F.array_join(words, " "), plain).alias("chars"))
+
+    return let(_words(text), of)
+
+
+def _tuples(kmers: Column) -> Column:
     def tuples(s: Column) -> Column:
         bin_of = lambda x: F.shiftright(x, 64 - BIN_BITS)
         place = lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
@@ -65,7 +100,7 @@ def signature(text: Column) -> Column:
         first = lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1)))
         return F.filter(F.transform(s, lambda x, i: F.when(first(x, i), pair(x, F.coalesce(F.get(s, i + 1), F.get(s, F.lit(0)))))), lambda x: x.isNotNull())
 
-    return let(let(words, _kmers), lambda kmers: let(F.sort_array(_numbered(kmers)), tuples))
+    return let(kmers, lambda of: let(F.sort_array(_numbered(of)), tuples))
 
 
 def as_text(of: Column) -> Column:
@@ -80,6 +115,16 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
+def graded_text(of: Column) -> Column:
+    """The digits of words; for a short text then a point and those of chars."""
+    return F.concat(as_text(of["words"]), F.when(of["chars"].isNull(), F.lit("")).otherwise(F.concat(F.lit("."), as_text(of["chars"]))))
+
+
+def graded_likeness(a: Column, b: Column) -> Column:
+    """By characters if both texts are short, else by words."""
+    return F.when(a["chars"].isNotNull() & b["chars"].isNotNull(), likeness(a["chars"], b["chars"])).otherwise(likeness(a["words"], b["words"]))
+
+
 def with_next(docs: DataFrame, values: list[str], per_range: int = 2000, most_ranges: int = 4096) -> DataFrame:
     """``docs`` with next_<value> from the next row by (doc_id, text), after the last the
     first. Null doc_ids come first.
@@ -107,25 +152,26 @@ def with_next(docs: DataFrame, values: list[str], per_range: int = 2000, most_ra
     return dealt.withColumns(ahead).where("NOT _at.look").drop("_place", "_at")
 
 
-def fingerprint_edits(docs: DataFrame) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, graded: bool = False) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and
     near_next for each row of ``docs(doc_id, text)``.
 
     The edited text: the last floor(n_chars / 4) code points replaced by the first as many
     (or all) of the next document. Null text: empty; its likeness to another empty one is
     1. Rows that share a doc_id follow each other by text; a table of one row is its own
-    next. Other columns are ignored.
+    next. Other columns are ignored. ``graded``: by signatures of both levels.
     """
-    read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("print", signature(F.col("text")))
+    sign, text_of, alike = (graded_signature, graded_text, graded_likeness) if graded else (signature, as_text, likeness)
+    read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("print", sign(F.col("text")))
     met = with_next(read, ["text", "print"])
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
     # In two steps, so that the edited text is made once.
     edits = met.select("doc_id", n.cast("long").alias("n_chars"), "print", "next_print", F.inline(F.array(F.struct(edited.alias("edited")))))
-    signed = edits.select("*", F.inline(F.array(F.struct(F.sha2("edited", 256).alias("edited_sha256"), signature(F.col("edited")).alias("edited_print")))))
-    return signed.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("print")).alias("fingerprint"), as_text(F.col("edited_print")).alias("edited_fingerprint"), likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"))
+    signed = edits.select("*", F.inline(F.array(F.struct(F.sha2("edited", 256).alias("edited_sha256"), sign(F.col("edited")).alias("edited_print")))))
+    return signed.select("doc_id", "n_chars", "edited_sha256", text_of(F.col("print")).alias("fingerprint"), text_of(F.col("edited_print")).alias("edited_fingerprint"), alike(F.col("print"), F.col("edited_print")).alias("near_edited"), alike(F.col("print"), F.col("next_print")).alias("near_next"))
 
 
 def op5_order_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return fingerprint_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"), graded=True)
