@@ -17,7 +17,7 @@ PATTERNS = [
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 ]
-#: Runs that the models judge.
+#: Runs that the models judge; of those, the parts that the patterns leave.
 TOKENS = r"[A-Za-z0-9+/_=-]{20,}"
 #: Classes of characters: each small letter, capitals, digits, marks.
 CLASSES = "abcdefghijklmnopqrstuvwxyzA0-"
@@ -102,11 +102,25 @@ def _kind(places: Column, order: int, kind: str) -> Column:
     return F.transform(places, lambda x: F.struct(x["s"].alias("s"), F.lit(order).alias("k"), x["e"].alias("e"), F.lit(kind).alias("kind")))
 
 
+def _uncovered(x: Column, spans: Column) -> Column:
+    """The run, or its parts that none of the spans (sorted) covers."""
+    ends = F.array_append(F.transform(spans, lambda b: b["s"]), x["e"])
+
+    def step(acc: Column, i: Column) -> Column:
+        to = F.get(ends, i)
+        part = F.struct(acc["at"].alias("s"), to.alias("e"), F.substring(x["h"], acc["at"] - x["s"] + 1, to - acc["at"]).alias("h"))
+        return F.struct(F.greatest(acc["at"], F.get(spans, i)["e"]).alias("at"), F.when(to > acc["at"], F.array_append(acc["out"], part)).otherwise(acc["out"]).cast(SPAN).alias("out"))
+
+    zero = F.struct(x["s"].alias("at"), F.array().cast(SPAN).alias("out"))
+    parts = F.aggregate(F.sequence(F.lit(0), F.size(spans)), zero, step, lambda acc: acc["out"])
+    return F.when(F.size(spans) == 0, F.array(x)).otherwise(parts)
+
+
 def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with base_spans and secret_spans: arrays of structs s, k, e, kind by place.
 
     secret_spans holds the base spans and, as kind ``markov``, runs of 20 or more that the
-    models call random and that no base span touches. Places count code points, ends are
+    models call random, or of these runs the parts that base spans leave, of any length. Places count code points, ends are
     exclusive. Null text: empty, no spans. Columns of docs with one of the new names are
     replaced. Rows are independent of each other; nothing is exchanged.
     """
@@ -122,8 +136,8 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> D
     weights = F.array(*[F.lit(x) for x in model])
     ratio = lambda h: F.aggregate(_pairs(h), F.lit(0.0), lambda acc, pair: acc + F.get(weights, pair))
     with_base = docs.select(*[F.col(f"`{c}`") for c in kept], F.sort_array(F.concat(*found)).alias("base_spans"))
-    touched = lambda x: F.exists("base_spans", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    odd = F.filter(_places(text, TOKENS), lambda x: ~touched(x) & (ratio(x["h"]) >= threshold))
+    judged = lambda x: F.filter("base_spans", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    odd = F.filter(F.flatten(F.transform(_places(text, TOKENS), lambda x: let(judged(x), lambda bs: _uncovered(x, bs)))), lambda x: ratio(x["h"]) >= threshold)
     return with_base.withColumn("secret_spans", F.sort_array(F.concat("base_spans", _kind(odd, len(PATTERNS), "markov"))))
 
 
