@@ -537,6 +537,19 @@ def owner_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge(old, new, ["id"], ["status"])
 
 
+@query("""
+    WITH n AS (SELECT l_orderkey, max({'d': l_shipdate, 'n': l_linenumber, 's': l_linestatus}).s AS s FROM lineitem GROUP BY 1)
+    SELECT coalesce(o_orderkey, l_orderkey) AS id, CASE WHEN l_orderkey IS NOT NULL THEN s ELSE o_orderstatus END AS status, o_orderpriority AS owner
+    FROM orders FULL JOIN n ON o_orderkey = l_orderkey
+""")
+def owner_merge_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders, and as new rows the state of each order's last line."""
+    old = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("owner"))
+    last = F.max(F.struct("l_shipdate", "l_linenumber", "l_linestatus"))["l_linestatus"]
+    new = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(last.alias("status"))
+    return merge.merge(old, new, ["id"], ["status"])
+
+
 @query("SELECT p_partkey, CASE WHEN p_size / 50.0 >= 0.85 THEN 'high' WHEN p_size / 50.0 >= 0.7 THEN 'medium' ELSE 'low' END AS tier FROM part")
 def reuse_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", enums.reuse_tier(F.col("p_size") / 50.0).alias("tier"))
