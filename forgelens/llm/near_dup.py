@@ -8,16 +8,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary, mix, per_slice, staged, word_hashes
+from .common import WORD, WordHashes, binary, discard, mix, per_slice, staged, word_hashes
 from .graphs import components
 
 #: Coordinates in a band, and the chance that sets just alike enough share no band.
 ROWS, MISS = 5, 1e-7
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
-SKETCHES = "doc_id long, n_shingles long, set_id binary, bands array<long>"
+SKETCHES = "row long, doc_id long, n_shingles long, set_id binary, bands array<long>"
+#: A block of a cluster has about this many documents and shingles.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: Partners of a centre that one sorted run compares with it.
+RUN = 500
 
 
 def bands_for(percent: int) -> int:
@@ -63,9 +68,13 @@ def sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
     return out
 
 
+def _set_id(of: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(of.tobytes()) if len(of) else None
+
+
 def _sketcher(width: int, n_bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
+        hashes, row = word_hashes(), TaskContext.get().partitionId() << 40
         for batch in per_slice(batches, 1000):
             sets = [shingle_set((x or b"").lower().split(), hashes, width) for x in binary(batch.column("text"))]
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -74,31 +83,62 @@ def _sketcher(width: int, n_bands: int):
             for j in range(ROWS):
                 keys = mix(keys * _ODD[2] + rows[:, :, j])
             bands: list = [None] * len(sets)
-            for i, row in zip(full, keys.astype(np.int64).tolist(), strict=True):
-                bands[i] = row
-            ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "bands"])
+            for i, of in zip(full, keys.astype(np.int64).tolist(), strict=True):
+                bands[i] = of
+            columns = (np.arange(row, row + len(sets)), batch.column("doc_id").cast(pa.int64()), [len(s) for s in sets], [_set_id(s) for s in sets], bands)
+            row += len(sets)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["row", "doc_id", "n_shingles", "set_id", "bands"])
 
     return run
 
 
+def _of_set(width: int):
+    """The rows whose text has the set that is asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
+        for batch in per_slice(batches, 500):
+            found = [_set_id(shingle_set((x or b"").lower().split(), hashes, width)) for x in binary(batch.column("text"))]
+            keep = pa.array([i for i, (a, b) in enumerate(zip(found, batch.column("set_id").to_pylist(), strict=True)) if a == b], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("node", "text")], ["node", "text"])
+
+    return run
+
+
+def _alike(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
+    same = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * same >= percent * (len(left) + len(right) - same)
+
+
 def _verifier(width: int, percent: int):
+    """Sorted runs: a centre (b null), then those to compare with it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, left = word_hashes(), None, np.zeros(0, np.uint64)
+        hashes, left = word_hashes(), np.zeros(0, np.uint64)
         for batch in per_slice(batches, 500):
             keep = []
-            for i, (a, x, y) in enumerate(zip(batch.column("a").to_pylist(), binary(batch.column("text_a")), binary(batch.column("text_b")), strict=True)):
-                if a != last:
-                    last, left = a, shingle_set((x or b"").lower().split(), hashes, width)
-                right = shingle_set((y or b"").lower().split(), hashes, width)
-                same = len(np.intersect1d(left, right, assume_unique=True))
-                if 100 * same >= percent * (len(left) + len(right) - same):
+            for i, (b, text) in enumerate(zip(batch.column("b").to_pylist(), binary(batch.column("text")), strict=True)):
+                of = shingle_set((text or b"").lower().split(), hashes, width)
+                if b is None:
+                    left = of
+                elif _alike(left, of, percent):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
 
     return run
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` that are links. A centre's text moves once for each RUN of
+    its partners, so that a hot centre is many runs, and no pair carries two texts."""
+    runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
+    to = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("run"), "b")
+    partners = to.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "run", "b", "text")
+    centres = runs.select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(None).cast("long").alias("b"))
+    sent = partners.unionByName(centres.join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", "run", "b", "text"))
+    return sent.repartition("a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first()).select("a", "b", "text").mapInArrow(_verifier(width, percent), "a long, b long")
+
+
 def _shingler(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
@@ -110,44 +150,78 @@ def _shingler(width: int):
     return run
 
 
-def _block_verifier(width: int, percent: int):
-    """Two blocks of a cluster: the pairs of different components that share a band and that
-    their bounds allow are compared on full sets; only links leave the task."""
+MATES = "cluster long, i int, j int, node long, mates binary"
+
+
+def _block_bounds(percent: int):
+    """Two blocks of a cluster, without texts: of the pairs of different components that share
+    a band and that their bounds allow, each document with its partners of a greater place,
+    and the partners as rows of their own."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
-        node, n, part, most, block, i, j = (table.column(c).to_numpy() for c in ("node", "n", "component", "most", "block", "i", "j"))
+        cluster, node, n, part, most, block, i, j = (table.column(c).to_numpy() for c in ("cluster", "node", "n", "component", "most", "block", "i", "j"))
         bands = np.array(table.column("bands").to_pylist(), np.int64)
-        hashes = word_hashes()
-        sets = [shingle_set((x or b"").lower().split(), hashes, width) for x in binary(table.column("text"))]
         left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
-        links: tuple[list, list] = ([], [])
+        mates: dict[int, bytes] = {}
         for a in left.tolist():
             may = right[right > a] if i[0] == j[0] else right
-            may = may[(part[may] != part[a]) & (bands[may] == bands[a]).any(1)]
+            may = may[part[may] != part[a]]
             least = np.minimum(most[a], most[may])
-            for b in may[100 * least >= percent * (n[a] + n[may] - least)].tolist():
-                same = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if 100 * same >= percent * (len(sets[a]) + len(sets[b]) - same):
-                    links[0].append(int(node[a]))
-                    links[1].append(int(node[b]))
+            may = may[100 * least >= percent * (n[a] + n[may] - least)]
+            may = may[(bands[may] == bands[a]).any(1)]
+            if len(may):
+                mates[a] = node[may].tobytes()
+                for b in may.tolist():
+                    mates.setdefault(b, b"")
+        at = list(mates)
+        k = len(at)
+        return pa.table({"cluster": pa.array(np.full(k, cluster[0])), "i": pa.array(np.full(k, i[0], np.int32)), "j": pa.array(np.full(k, j[0], np.int32)), "node": pa.array(node[at]), "mates": pa.array([mates[x] for x in at], pa.binary())})
+
+    return run
+
+
+def _block_links(width: int, percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        hashes, links = word_hashes(), ([], [])
+        nodes = table.column("node").to_pylist()
+        sets = {a: shingle_set((x or b"").lower().split(), hashes, width) for a, x in zip(nodes, binary(table.column("text")), strict=True)}
+        for a, mates in zip(nodes, table.column("mates").to_pylist(), strict=True):
+            for b in np.frombuffer(mates, np.int64).tolist():
+                if _alike(sets[a], sets[b], percent):
+                    links[0].append(a)
+                    links[1].append(b)
         return pa.table({"a": pa.array(links[0], pa.int64()), "b": pa.array(links[1], pa.int64())})
 
     return run
 
 
-def _between_components(left: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 128) -> DataFrame:
+def _between_components(left: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between components, of the documents that the bounds leave: those that share
     buckets form clusters, a cluster is dealt out to blocks, and each pair of blocks is a
-    task of its own. No pair of documents becomes a row unless it is a link."""
+    task of its own, first over sizes and bands. Texts go only where a pair passes, once for
+    each pair of blocks; no pair of documents becomes a row unless it is a link."""
     hubs = left.groupBy("band").agg(F.min("node").alias("hub"))
     clusters = components(left.join(hubs, "band").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     members = left.select("node", "n", "component", "most").distinct().join(clusters.select("node", F.col("component").alias("cluster")), "node")
-    sized = members.join(members.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    full = staged(sized.join(nodes.select("node", "bands"), "node").join(texts, "node"), "blocks")
+    many = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    sized = members.join(members.groupBy("cluster").agg(many), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    full = staged(sized.join(nodes.select("node", "bands"), "node"), "blocks")
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = full.select("*", others).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(_block_verifier(width, percent), "a long, b long")
+    mates = staged(dealt.groupBy("cluster", "i", "j").applyInArrow(_block_bounds(percent), MATES), "mates")
+    return mates.join(texts, "node").groupBy("cluster", "i", "j").applyInArrow(_block_links(width, percent), "a long, b long")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, odd: DataFrame, width: int) -> DataFrame:
+    """node, text for ``wanted(node, doc_id, set_id)``. Where a doc_id has texts of several
+    sets (``odd``), the text of just the set that is wanted."""
+    read = docs.where(F.col("text").rlike(WORD))
+    plain = read.join(wanted.select("doc_id", "node").join(odd, "doc_id", "left_anti").hint("shuffle_hash"), "doc_id").groupBy("doc_id", "node").agg(F.min("text").alias("text")).select("node", "text")
+    if odd.isEmpty():
+        return plain
+    some = read.join(wanted.join(odd, "doc_id", "left_semi"), "doc_id").select("node", "set_id", "text").mapInArrow(_of_set(width), "node long, text string")
+    return plain.unionByName(some.groupBy("node").agg(F.min("text").alias("text")))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -155,11 +229,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of distinct
     ``width``-word shingles (A-Z lower-cased); component_id is the least doc_id reachable.
-    Texts without words (null, empty) have no set and no links. Rows with a null doc_id get a
-    null component and are kept. Rows that share a doc_id are one document. Other columns are
-    ignored; an empty table gives an empty one.
+    Texts without words (null, empty) have no set and give no links. Rows with a null doc_id get a
+    null component and are kept. Rows that share a doc_id are one document, whose links are
+    those of all its texts. Other columns are ignored; an empty table gives an empty one.
 
-    1. One pass writes sketches; equal sets become one class with its least doc_id as node.
+    1. One pass writes sketches; rows of equal sets become one class, a node of the graph.
     2. Classes that share a band meet in buckets. A bucket's centre, its member in the most
        and largest buckets, is verified with each of the others: a star, not all pairs.
     3. Buckets whose members are not all in one component yet are checked to the end: a member
@@ -167,26 +241,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
        that bound leaves, between components, is verified by pairs of blocks.
     Verification always compares full sets.
     """
-    sketches = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketcher(width, bands_for(percent)), SKETCHES), "sketches")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketches = staged(docs.mapInArrow(_sketcher(width, bands_for(percent)), SKETCHES), "sketches")
     known = sketches.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    classes = known.groupBy("set_id").agg(F.min("doc_id").alias("node"))
-    nodes = staged(known.join(classes, ["set_id"]).where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "bands"), "nodes")
+    first = known.groupBy("set_id").agg(F.min(F.struct("doc_id", "row", "n_shingles", "bands")).alias("r"), F.count("*").alias("copies"))
+    nodes = staged(first.select("set_id", F.col("r.row").alias("node"), "r.doc_id", F.col("r.n_shingles").alias("n"), "r.bands", "copies"), "nodes")
+    any_set = F.coalesce("set_id", F.lit(b""))
+    odd = staged(sketches.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(any_set).alias("lo"), F.max(any_set).alias("hi")).where("lo <> hi").select("doc_id"), "odd")
+    of_odd = known.join(odd, "doc_id", "left_semi").select("doc_id", "set_id").distinct().join(nodes.select("set_id", "node"), "set_id")
+    twins = of_odd.join(of_odd.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b")
+
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("band", "members")
     members = staged(banded.join(buckets, "band").select("band", "members", "node", "n"), "members")
     weights = members.groupBy("node").agg(F.sum("members").alias("weight"))
     weighted = members.join(weights, "node")
     centres = weighted.groupBy("band").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))
-    stars = members.join(centres, "band").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-
-    candidates = members.select("node").distinct()
-    texts = staged(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(candidates, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b").mapInArrow(_verifier(width, percent), "a long, b long")
+    stars = staged(members.join(centres, "band").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "stars")
 
-    links = staged(verify(stars), "links")
+    wanted = nodes.join(weights.select("node"), "node", "left_semi").select("node", "doc_id", "set_id")
+    texts = staged(_texts(docs, wanted, odd, width), "texts")
+    links = staged(_verified(stars, texts, width, percent).unionByName(twins), "links")
     first = staged(components(links), "components")
     labelled = members.join(first, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
@@ -204,8 +279,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     left = staged(bounded.join(smallest.where("lo <> hi").select("band", "least"), "band").where("reach >= least").drop("least"), "left")
     more = _between_components(left, nodes, texts, width, percent)
     found = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    by_set = classes.withColumnRenamed("node", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
+    for done in (members, stars, texts, links, open_, shared, bounded, left):
+        discard(done)
+    # Only classes with several rows or a link can have another component than their doc_id.
+    lowest = nodes.select("set_id", "node", "doc_id", "copies").join(found, "node", "left").where("copies > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
+    by_set = lowest.join(lowest.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("set_id", "component_id")
     out = sketches.join(by_set, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    if not odd.isEmpty():  # a doc_id's rows without words, too, are in the component of its others
+        by_doc = out.join(odd, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+        out = out.join(by_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

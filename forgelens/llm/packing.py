@@ -16,7 +16,7 @@ from .tokens import encoder, vocabulary
 
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", part long, sequence_id long, offset long, bins long, bound long"
-COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bins", "bound"]
 
 
 def _cutter(text: str, kind: str, end: int, capacity: int):
@@ -106,11 +106,13 @@ def pack(pieces: DataFrame, capacity: int, per_part: int = 20_000, rounds: int =
     packed best-fit decreasing, and certified if its bins meet its lower bound. The parts
     with a gap exchange their pieces (a new random deal among them all) and are packed
     again, for at most ``rounds`` rounds; a round counts only if it saves bins. Adds
-    sequence_id and offset; an empty table gives an empty one. ``pieces`` must be a
+    sequence_id and offset, and the certificate: how many bins the piece's part has, and how
+    many any packing of that part needs. An empty table gives an empty one. ``pieces`` must be a
     written table: it is read more than once.
     """
     full = F.col("length") == capacity
-    whole = pieces.where(full).select("*", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    whole = pieces.where(full).select("*", (-1 - F.col("row")).alias("sequence_id"), zero.alias("offset"), one.alias("bins"), one.alias("bound"))
     rest = pieces.where(~full)
     out = [whole]
     for round_no in range(rounds + 1):
@@ -130,7 +132,7 @@ def pack(pieces: DataFrame, capacity: int, per_part: int = 20_000, rounds: int =
             break
         out.append(packed.where(~gap))
         kept = rest = packed.where(gap)
-    columns = [*pieces.columns, "sequence_id", "offset"]
+    columns = [*pieces.columns, "sequence_id", "offset", "bins", "bound"]
     result = out[0].select(columns)
     for more in out[1:]:
         result = result.unionByName(more.select(columns))
@@ -138,8 +140,8 @@ def pack(pieces: DataFrame, capacity: int, per_part: int = 20_000, rounds: int =
 
 
 def pack_documents(docs: DataFrame, vocabulary_path: str, kind: str = "bytes", end: int = 2, capacity: int = 1024) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of each
-    row of ``docs(doc_id, text)``.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, bins and bound (see
+    ``pack``) for each piece of each row of ``docs(doc_id, text)``.
 
     Null text: empty, so one piece with the end id alone. Null doc_ids are kept. Rows that
     share a doc_id are packed each by itself. Other columns are ignored.

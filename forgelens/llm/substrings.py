@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,19 +12,27 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FEW_IDS, binary, discard, mix, only, per_slice, staged, word_hashes
+from .common import binary, discard, mix, per_slice, staged, staged_path, word_hashes
 
 LAST = (1 << 63) - 1  # stands for a null doc_id, which is after all others
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 SENT = "kind int, bucket int, doc_id long, h binary, g binary, d binary, n_words long, sha string, packed binary"
-#: Bits of a hash that tell windows apart within a bucket; whole windows have 32 more.
+FOUND = "doc_id long, h binary, g binary"
+#: Bits of the first hash that tell windows apart within a bucket. The last level has a
+#: second hash of 64 bits beside them.
 LOW = 36
-
-def levels(window: int, least: int = 8) -> list[int]:
-    """Window lengths, each at most twice the one before, up to ``window``."""
-    out = [window]
-    while out[0] > least:
-        out.insert(0, -(-out[0] // 2))
+#: Bytes of text for which there is one bucket of hashes and one part of the documents, and
+#: the least number of bits in their number.
+PER_BUCKET, LEAST_BITS = 32 << 20, 5
+#: Bytes of text for which the table of packed texts has one file.
+PER_FILE = 16 << 20
+
+
+def levels(window: int, least: int = 4) -> list[int]:
+    """``least``, then each twice the one before, up to ``window``."""
+    out = [min(least, window)]
+    while out[-1] < window:
+        out.append(min(2 * out[-1], window))
     return out
 
 
@@ -53,7 +62,7 @@ def _flag(h: np.ndarray, g: np.ndarray, d: np.ndarray, last: bool) -> tuple[np.n
     """Sorted h, g, d, then which of them count as repeated, and which stand first of their
     hash. At the last level a window counts if a smaller document has it; before, if any
     other has it."""
-    order = np.lexsort((d, g, h))
+    order = np.lexsort((d, g, h)) if last else np.lexsort((d, h))
     h, g, d = h[order], g[order], d[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
@@ -89,7 +98,7 @@ def _by_part(h: np.ndarray, g: np.ndarray, d: np.ndarray, parts: int, last: bool
     cuts = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(d)], strict=True):
         if b > a:
-            yield int(part[a]), h[a:b].tobytes(), g[a:b].astype("<u4").tobytes() if last else b"", _packed(d[a:b].astype(np.uint64))
+            yield int(part[a]), h[a:b].tobytes(), g[a:b].tobytes() if last else b"", _packed(d[a:b].astype(np.uint64))
 
 
 def _send(h: np.ndarray, g: np.ndarray, d: np.ndarray, parts: int, last: bool) -> pa.RecordBatch:
@@ -103,7 +112,7 @@ def _send(h: np.ndarray, g: np.ndarray, d: np.ndarray, parts: int, last: bool) -
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)], strict=True):
         if b > a:
-            rows.append((0, int(bucket[a]), None, _packed(h[a:b]), g[a:b].astype("<u4").tobytes() if last else b"", _packed(d[a:b].astype(np.uint64)), None, None, None))
+            rows.append((0, int(bucket[a]), None, _packed(h[a:b]), g[a:b].tobytes() if last else b"", _packed(d[a:b].astype(np.uint64)), None, None, None))
     return _batch(rows)
 
 
@@ -113,75 +122,85 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["kind", "bucket", "doc_id", "h", "g", "d", "n_words", "sha", "packed"])
 
 
-def _first_level(length: int, window: int, bucket_bits: int, parts: int, last: bool):
-    """Of a window's sub-windows of ``length``, the one with the least hash is its anchor:
-    equal windows have equal anchors, so only anchors are sent."""
-
+def _short(h: np.ndarray, bits: int) -> np.ndarray:
+    """The hash's top bits: its bucket, and LOW bits within it."""
+    return h >> np.uint64(64 - LOW - bits)
+
+
+class _Windows:
+    """The windows that a slice of documents sends at one level. Of a window's sub-windows
+    of the level's length, the one with the least hash is its anchor: equal windows have
+    equal anchors, so anchors are sent. At the last level a window is its own anchor."""
+
+    def __init__(self, length: int, window: int, bits: int, parts: int):
+        self.length, self.window, self.bits, self.parts, self.last = length, window, bits, parts, length == window
+        self.h: list[np.ndarray] = []
+        self.g: list[np.ndarray] = []
+        self.d: list[np.ndarray] = []
+
+    def add(self, doc: int, words: np.ndarray, at: np.ndarray | None = None) -> None:
+        """The windows of a document, or those that start at ``at``."""
+        h = least_of(_short(window_hashes(words, self.length), self.bits), self.window - self.length + 1)
+        g = window_hashes(words, self.length, 1) if self.last else np.zeros(len(h), np.uint64)
+        if at is not None:
+            h, g = h[at], g[at]
+        order = np.lexsort((g, h))
+        h, g = h[order], g[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+        self.h.append(h[new])
+        self.g.append(g[new])
+        self.d.append(np.full(int(new.sum()), doc))
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.h:
+            yield _send(np.concatenate(self.h), np.concatenate(self.g), np.concatenate(self.d), self.parts, self.last)
+
+
+def _first_level(length: int, window: int, bits: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, press = word_hashes(), zstandard.ZstdCompressor(3)
-        for batch in per_slice(batches, 2000):
-            hs, gs, ds, rows = [], [], [], []
+        for batch in per_slice(batches):
+            out, rows = _Windows(length, window, bits, parts), []
             for doc, text in zip(batch.column("doc_id").to_numpy().tolist(), binary(batch.column("text")), strict=True):
                 words = (text or b"").split()
                 joined = b" ".join(words)
                 rows.append((2, None, doc, None, None, None, len(words), hashlib.sha256(joined).hexdigest(), press.compress(joined)))
                 if len(words) >= window:
-                    w = hashes.of(words)
-                    found, first = np.unique(least_of(_short(window_hashes(w, length), bucket_bits), window - length + 1), return_index=True)
-                    hs.append(found)
-                    gs.append(window_hashes(w, length, 1)[first] >> np.uint64(32) if last else np.zeros(len(found), np.uint64))
-                    ds.append(np.full(len(found), doc))
+                    out.add(doc, hashes.of(words))
             yield _batch(rows)
-            if hs:
-                yield _send(np.concatenate(hs), np.concatenate(gs), np.concatenate(ds), parts, last)
+            yield from out.batches()
 
     return run
 
 
-def _short(h: np.ndarray, bucket_bits: int) -> np.ndarray:
-    """The hash's top bits: its bucket, and LOW bits within it."""
-    return h >> np.uint64(64 - LOW - bucket_bits)
-
-
-def _told(blobs: list[bytes] | None, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs or []), kind)
+def _told(blobs: list[bytes | None]) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in blobs if x), "<u8")
 
 
-def _next_level(before: int, length: int, window: int, anchored: bool, bucket_bits: int, parts: int, last: bool):
-    """Windows whose parts (or anchor) were repeated at the level before, extended."""
+def _next_level(before: int, length: int, window: int, bits: int, parts: int):
+    """Windows whose anchor at the level before was repeated, extended to this level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, press = word_hashes(), zstandard.ZstdDecompressor()
-        for batch in per_slice(batches, 2000):
-            hs, gs, ds = [], [], []
+        for batch in per_slice(batches, size=2 << 20):
+            out = _Windows(length, window, bits, parts)
             for doc, packed, known in zip(batch.column("doc_id").to_numpy().tolist(), batch.column("packed").to_pylist(), batch.column("h").to_pylist(), strict=True):
-                w = hashes.of(press.decompress(packed).split())
-                if len(w) < window:  # another row of this doc_id was found
+                words = hashes.of(press.decompress(packed).split())
+                if len(words) < window:  # another row of this doc_id was found
                     continue
-                part = _short(window_hashes(w, before), bucket_bits)
-                if anchored:
-                    ok = np.isin(least_of(part, window - before + 1), _told([known], "<u8"))
-                    # anchors speak for whole windows; a part of one survives with it
-                    ok = np.convolve(ok, np.ones(window - length + 1, int))[: len(w) - length + 1] > 0 if length < window else ok
-                else:
-                    told = np.isin(part, _told([known], "<u8"))
-                    n = len(w) - length + 1
-                    ok = told[:n] & told[length - before : length - before + n] if n > 0 else told[:0]
-                at = np.flatnonzero(ok)
+                anchors = least_of(_short(window_hashes(words, before), bits), window - before + 1)
+                at = np.flatnonzero(np.isin(anchors, _told([known])))
                 if len(at):
-                    found, first = np.unique(_short(window_hashes(w, length), bucket_bits)[at], return_index=True)
-                    hs.append(found)
-                    gs.append(window_hashes(w, length, 1)[at][first] >> np.uint64(32) if last else np.zeros(len(found), np.uint64))
-                    ds.append(np.full(len(found), doc))
-            if hs:
-                yield _send(np.concatenate(hs), np.concatenate(gs), np.concatenate(ds), parts, last)
+                    out.add(doc, words, at)
+            yield from out.batches()
 
     return run
 
 
-def _read(table: pa.Table, check: bool) -> tuple[np.ndarray, np.ndarray]:
+def _read(table: pa.Table, last: bool) -> tuple[np.ndarray, np.ndarray]:
     d = np.concatenate([_unpacked(x) for x in table.column("d").to_pylist()]).astype(np.int64)
-    return d, _told(table.column("g").to_pylist(), "<u4").astype(np.uint64) if check else np.zeros(len(d), np.uint64)
+    return d, _told(table.column("g").to_pylist()) if last else np.zeros(len(d), np.uint64)
 
 
 def _meet(parts: int, last: bool):
@@ -203,9 +222,9 @@ def _collect(last: bool):
 
     def run(table: pa.Table) -> pa.Table:
         d, g = _read(table, last)
-        h = _told(table.column("h").to_pylist(), "<u8")
+        h = _told(table.column("h").to_pylist())
         order = np.argsort(d, kind="stable")
-        h, g, d = h[order], g[order].astype("<u4"), d[order]
+        h, g, d = h[order], g[order], d[order]
         cuts = np.flatnonzero(np.diff(d)) + 1
         spans = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(d)], strict=True))
         return pa.table({"doc_id": pa.array(d[[a for a, _ in spans]]), "h": pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()), "g": pa.array([g[a:b].tobytes() if last else b"" for a, b in spans], pa.binary())})
@@ -213,29 +232,42 @@ def _collect(last: bool):
     return run
 
 
-def _remover(window: int, bucket_bits: int):
+def _hits(words: np.ndarray, known: np.ndarray, second: np.ndarray, window: int, bits: int) -> np.ndarray:
+    """Which windows have a pair of hashes that is known. Pairs that share the first hash
+    stand side by side and are looked through."""
+    h, g = _short(window_hashes(words, window), bits), window_hashes(words, window, 1)
+    order = np.lexsort((second, known))
+    known, second = known[order], second[order]
+    low, high = np.searchsorted(known, h), np.searchsorted(known, h, "right")
+    hit = np.zeros(len(h), bool)
+    for k in range(int((high - low).max(initial=0))):
+        more = low + k < high
+        hit[more] |= second[low[more] + k] == g[more]
+    return hit
+
+
+def _remover(window: int, bits: int):
+    """For rows with repeated windows: how many words go, the sha of the rest, the rest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, press = word_hashes(), zstandard.ZstdDecompressor()
-        for batch in per_slice(batches, 1000):
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, sha, packed, hs, gs in zip(batch.column("doc_id").to_pylist(), batch.column("sha").to_pylist(), batch.column("packed").to_pylist(), batch.column("h").to_pylist(), batch.column("g").to_pylist(), strict=True):
-                words = press.decompress(packed).split()
-                w = hashes.of(words)
-                known, second = _told([hs], "<u8"), _told([gs], "<u4").astype(np.uint64)
-                order = np.argsort(known, kind="stable")
-                known, second = known[order], second[order]
-                found = _short(window_hashes(w, window), bucket_bits)
-                place = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
-                hit = (known[place] == found) & (second[place] == window_hashes(w, window, 1) >> np.uint64(32)) if len(known) else np.zeros(len(found), bool)
-                edge = np.zeros(len(words) + 1, np.int64)
-                at = np.flatnonzero(hit)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + window, -1)
-                keep = np.cumsum(edge)[:-1] == 0
-                kept = [x for x, k in zip(words, keep.tolist(), strict=True) if k]
-                for column, value in zip(out, (doc, sha, len(words), len(words) - len(kept), b" ".join(kept)), strict=True):
+        for batch in per_slice(batches, 1000, 2 << 20):
+            out: tuple[list, ...] = ([], [], [])
+            for sha, packed, known, second in zip(*(batch.column(c).to_pylist() for c in ("sha", "packed", "h", "g")), strict=True):
+                if packed is None:
+                    row = (0, sha, None)
+                else:
+                    words = press.decompress(packed).split()
+                    at = np.flatnonzero(_hits(hashes.of(words), _told([known]), _told([second]), window, bits))
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + window, -1)
+                    kept = [x for x, k in zip(words, (np.cumsum(edge)[:-1] == 0).tolist(), strict=True) if k]
+                    rest = b" ".join(kept)
+                    row = (len(words) - len(kept), hashlib.sha256(rest).hexdigest(), rest)
+                for column, value in zip(out, row, strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "sha", "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.binary()), strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return run
 
@@ -245,57 +277,73 @@ def _repeats(sent: DataFrame, parts: int, last: bool) -> DataFrame:
     part of the documents, so that rows are parts of buckets, not documents of buckets."""
     met = sent.where("kind = 0").select("bucket", "h", "g", "d").groupBy("bucket").applyInArrow(_meet(parts, last), "bucket int, h binary, g binary, d binary")
     both = met.unionByName(sent.where("kind = 1").select("bucket", "h", "g", "d"))
-    return both.groupBy("bucket").applyInArrow(_collect(last), "doc_id long, h binary, g binary")
+    return both.groupBy("bucket").applyInArrow(_collect(last), FOUND)
+
+
+def _bucketed(df: DataFrame, files: int) -> DataFrame:
+    """``df`` as a table bucketed by doc_id in the shared folder: its rows move once, and then
+    joins by doc_id move only the other side."""
+    spark, name = df.sparkSession, f"forgelens_{uuid.uuid4().hex}"
+    df.repartition(files, "doc_id").write.bucketBy(files, "doc_id").option("path", staged_path(spark, name)).saveAsTable(name)
+    return spark.table(name)
+
+
+def _without(texts: DataFrame, copies: DataFrame) -> DataFrame:
+    """Rows that are no copies. Hashes of texts are compared by order, not as a key of the
+    join, so that the key is doc_id alone, by which ``texts`` lies in buckets."""
+    t, c = texts.alias("t"), copies.select("doc_id", "sha").alias("c").hint("shuffle_hash")
+    return t.join(c, (F.col("t.doc_id") == F.col("c.doc_id")) & (F.col("t.sha") <= F.col("c.sha")) & (F.col("t.sha") >= F.col("c.sha")), "left_anti")
 
 
-def repeated_words(docs: DataFrame, window: int = 13) -> tuple[DataFrame, DataFrame]:
-    """(all, cut): of ``docs(doc_id, text)``, all rows with n_words and the sha of their
-    words, and those that lose words, with sha, n_words, n_removed and kept_text.
+def repeated_words(docs: DataFrame, window: int = 13, texts: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, with ``texts``, kept_text for each row of
+    ``docs(doc_id, text)``: the words that stay, joined by one space.
 
     A word goes if a window of ``window`` consecutive words covers it whose word sequence
     also starts in a document with a smaller doc_id. Windows are judged on the input.
-    Null text: no words. A null doc_id is after all others. Rows that share a doc_id do not
-    count for each other. Texts shorter than the window lose nothing. Other columns are
-    ignored; an empty table gives empty ones.
-
-    Level-wise: windows repeated at one length alone are extended to the next, at most twice
-    as long, until the window's own length, or until no candidate is left. The first level
-    sends anchors, about a quarter of its windows; each slice of documents first settles
-    what its own documents share, so a passage that many share is sent once a slice. Copies
-    of a smaller document lose all their words and are not extended. The last level compares
-    LOW + 32 bits of hash and those of the bucket, of which there are more with more
-    partitions.
+    Null text: no words. A null doc_id is after all others (and stands at 2^63 - 1, which no
+    document may have). Rows that share a doc_id do not count for each other. Texts shorter
+    than the window lose nothing. Other columns are ignored; an empty table gives an empty one.
+
+    Level-wise: windows repeated at one length alone are extended to twice that length, or
+    to the window's own, until no candidate is left. A level sends anchors, at the first one
+    about a sixth of the windows; each slice of documents first settles what its own
+    documents share, so a passage that many share is sent once a slice. Copies of a smaller
+    document lose all their words and are not extended. The last level compares two hashes
+    of a window, of 100 bits or more. Buckets of hashes grow in number with the input, not
+    in size.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
     spark, lengths = docs.sparkSession, levels(window)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(64 - LOW, max(0, (parts - 1).bit_length()))
-    sent = staged(docs.mapInArrow(_first_level(lengths[0], window, bits, parts, len(lengths) == 1), SENT), "level0", ["kind"])
-    everything = sent.where("kind = 2").select("doc_id", "n_words", "sha", "packed")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(64 - LOW, max(LEAST_BITS, (-(-size // PER_BUCKET) - 1).bit_length()))
+    parts = 1 << bits
+    sent = staged(docs.mapInArrow(_first_level(lengths[0], window, bits, parts), SENT), "level0", ["kind"])
+    packed = _bucketed(sent.where("kind = 2").select("doc_id", "n_words", "sha", "packed"), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PER_FILE)))
     found = staged(_repeats(sent, parts, len(lengths) == 1), "repeats0")
-    first = everything.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = staged(everything.select("doc_id", "n_words", "sha").join(first.select("sha", "first"), "sha").where("first < doc_id").select("doc_id", "n_words", "sha"), "copies")
-    discard(sent, ["kind=0", "kind=1"])
-    few = copies.count() <= FEW_IDS
-    gone = copies.select("doc_id", "sha").distinct()
-    rest = everything.select("doc_id", "sha", "packed").join(F.broadcast(gone) if few else gone, ["doc_id", "sha"], "left_anti")
-    for k, length in enumerate(lengths[1:], 1):
+    first = packed.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    copies = staged(packed.select("doc_id", "sha").join(first.select("sha", "first"), "sha").where("first < doc_id").select("doc_id", "sha").distinct(), "copies")
+    discard(sent)
+    rest = _without(packed, copies)
+    for before, length in zip(lengths, lengths[1:], strict=False):
         if found.isEmpty():
             break
-        extend = _next_level(lengths[k - 1], length, window, k == 1, bits, parts, length == window)
-        sent = staged(only(rest, found.select("doc_id")).join(found, "doc_id").mapInArrow(extend, SENT), f"level{k}", ["kind"])
-        found = staged(_repeats(sent, parts, length == window), f"repeats{k}")
-        discard(sent, ["kind=0", "kind=1"])
-    cut = only(rest, found.select("doc_id")).join(found, "doc_id").mapInArrow(_remover(window, bits), "doc_id long, sha string, n_words long, n_removed long, kept_text binary")
-    whole = copies.select("doc_id", "sha", "n_words", F.col("n_words").alias("n_removed"), F.lit(b"").alias("kept_text"))
-    return everything.select("doc_id", "n_words", "sha"), cut.unionByName(whole)
+        extend = _next_level(before, length, window, bits, parts)
+        sent = staged(rest.join(found.hint("shuffle_hash"), "doc_id").select("doc_id", "packed", "h").mapInArrow(extend, SENT), f"level{length}", ["kind"])
+        last, found = found, staged(_repeats(sent, parts, length == window), f"repeats{length}")
+        discard(sent)
+        discard(last)
+    marked = rest.join(found.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "n_words", "sha", F.when(F.col("h").isNotNull() | F.lit(texts), F.col("packed")).alias("packed"), "h", "g")
+    cut = marked.mapInArrow(_remover(window, bits), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    c, p = copies.alias("c"), packed.alias("p")
+    whole = p.join(c.hint("shuffle_hash"), (F.col("p.doc_id") == F.col("c.doc_id")) & (F.col("p.sha") <= F.col("c.sha")) & (F.col("p.sha") >= F.col("c.sha")), "left_semi")
+    whole = whole.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit(b"").alias("kept"))
+    out = cut.unionByName(whole).withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", *([F.col("kept").cast("string").alias("kept_text")] if texts else []))
 
 
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    everything, cut = repeated_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    cut = staged(cut.where("n_removed > 0").select("doc_id", "sha", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")), "cut")
-    whole = everything.join(cut.select("doc_id", "sha").distinct(), ["doc_id", "sha"], "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
-    return whole.unionByName(cut.drop("sha")).withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
+    return repeated_words(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False)
 
 
 OP6_SQL = r"""

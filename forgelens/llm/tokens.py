@@ -8,7 +8,6 @@ library as a whole.
 
 from __future__ import annotations
 
-import functools
 import re
 from pathlib import Path
 
@@ -16,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept
+
 #: A space between two white-space characters: there the byte-level pattern looks beyond
 #: the space, so such texts are not cut. Last bytes and first bytes of white space in UTF-8.
 _UNSAFE = re.compile(rb"(?:^|[\t-\r \x85\xa0\x80-\x8a\xa8\xa9\xaf\x9f]) (?:$|[\t-\r \xc2\xe1-\xe3])")
@@ -27,21 +28,31 @@ _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456
 
 class _Ids(dict):
     """piece -> its ids as little-endian unsigned 32-bit integers. Two generations bound it:
-    when the young one is full it becomes the old one, from which pieces in use come back."""
+    when the young one has ``limit`` bytes it becomes the old one, from which pieces in use
+    come back."""
+
+    #: What an entry takes beside the bytes of its piece and ids.
+    ENTRY = 180
 
     def __init__(self, encode, limit: int, empty: bytes):
         super().__init__({b"": empty})
         self.encode, self.limit, self.empty, self.old, self.tails = encode, limit, empty, {}, {}
+        self.counted, self.used = 1, 0
 
     def of(self, pieces: list[bytes], whole) -> list[bytes]:
-        if len(self) > self.limit:
+        if self.used > self.limit:
             self.old = dict(self)
             self.clear()
             self[b""] = self.empty
+            self.counted, self.used = 1, 0
         if len(self.tails) > 20_000:
             self.tails.clear()
         self._learn(pieces, whole)
-        return list(map(self.__getitem__, pieces))
+        out = list(map(self.__getitem__, pieces))
+        # What was learned just now is taken to be as long as this batch's pieces are.
+        self.used += (len(self) - self.counted) * (self.ENTRY + (sum(map(len, pieces)) + sum(map(len, out))) // max(1, len(pieces)))
+        self.counted = len(self)
+        return out
 
     def _missing(self, pieces) -> list[bytes]:
         out, old = [], self.old
@@ -72,13 +83,15 @@ class Encoder:
     """kind "words": vocabularies that drop white space and never join words; the last token
     of a run of letters ends with </w>. kind "bytes": byte-level vocabularies, where a word
     takes the space before it as Ġ. ``end`` is appended to each document. Strings of special
-    tokens in a text are ordinary text."""
+    tokens in a text become those tokens, as the library has it; texts that hold one go to
+    it as a whole."""
 
-    def __init__(self, vocabulary: str, kind: str, end: int, limit: int = 250_000):
+    def __init__(self, vocabulary: str, kind: str, end: int, limit: int = 40 << 20):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(vocabulary)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = True  # for pieces, which hold none: lower-casing must not make one
+        self.special = re.compile(b"|".join(sorted((re.escape(t.content.encode()) for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)) or b"(?!)")
         self.kind, self.end, self.inner = kind, end, _Ids(self._encode_pieces, limit, b"" if kind == "words" else self.whole(b" "))
         self.edge = np.zeros(self.library.get_vocab_size(), bool)  # tokens at a piece's end, or start
         for token, i in self.library.get_vocab().items():
@@ -105,9 +118,10 @@ class Encoder:
             places = np.fromiter((x for x, _ in found.offsets), np.int64, len(found.ids))
             self._cut(known, [p for p, _ in part], np.searchsorted(places, starts[1:]), np.array(found.ids, "<u4"))
 
-    @staticmethod
-    def _cut(known: dict[bytes, bytes], pieces: list[bytes], cuts: np.ndarray, ids: np.ndarray) -> None:
-        assert len(cuts) == len(pieces) - 1
+    def _cut(self, known: dict[bytes, bytes], pieces: list[bytes], cuts: np.ndarray, ids: np.ndarray) -> None:
+        if len(cuts) != len(pieces) - 1:  # not cut where expected: each piece by itself
+            known.update((x, self.whole(b" " + x)) for x in pieces)
+            return
         data, at = ids.tobytes(), 0
         for piece, cut in zip(pieces, [*(cuts * 4).tolist(), len(data)], strict=True):
             known[piece] = data[at:cut]
@@ -117,16 +131,27 @@ class Encoder:
         found = self.library.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)
         return np.array(found[0].ids, "<u4").tobytes()
 
+    def _with_special(self, text: bytes) -> bytes:
+        self.library.encode_special_tokens = False
+        try:
+            return self.whole(text)
+        finally:
+            self.library.encode_special_tokens = True
+
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts one after another, how many each has). Null: empty. Each
         distinct word of the column is looked up once."""
         texts, docs, own = pc.fill_null(column, ""), len(column), []
+        raw = texts.cast(pa.binary()).to_pylist()
+        special = [self.special.search(x) is not None for x in raw]
         if self.kind == "words":
+            if any(special):
+                own = [self._with_special(x) if bad else b"" for x, bad in zip(raw, special, strict=True)]
+                texts = pc.if_else(pa.array(special, pa.bool_()), "", texts)
             pieces = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         else:  # what stands before the first space, or an unsafe text as a whole, is encoded by itself
-            raw = texts.cast(pa.binary()).to_pylist()
-            unsafe = [(x.endswith(b" ") or any(b in x for b in _BEFORE)) and bool(_UNSAFE.search(x)) for x in raw]
-            own = [self.whole(x if bad else x.split(b" ", 1)[0]) for x, bad in zip(raw, unsafe, strict=True)]
+            unsafe = [bad or (x.endswith(b" ") or any(b in x for b in _BEFORE)) and bool(_UNSAFE.search(x)) for x, bad in zip(raw, special, strict=True)]
+            own = [self._with_special(x) if odd else self.whole(x if bad else x.split(b" ", 1)[0]) for x, bad, odd in zip(raw, unsafe, special, strict=True)]
             pieces = pc.split_pattern(pc.if_else(pa.array(unsafe, pa.bool_()), "", texts), " ")
         offsets = pieces.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
@@ -135,7 +160,8 @@ class Encoder:
         codes = coded.indices.to_numpy().astype(np.int64)
         n = len(table) - len(own)
         if own:
-            codes[offsets[:-1]] = n + np.arange(docs)
+            to = np.flatnonzero(special) if self.kind == "words" else np.arange(docs)
+            codes[offsets[:-1][to]] = n + to
         all_codes = np.full(len(codes) + docs, n - 1)  # the end id after each document
         all_codes[np.arange(len(codes)) + np.repeat(np.arange(docs), np.diff(offsets))] = codes
         flat = np.frombuffer(b"".join(table), "<u4")
@@ -152,10 +178,9 @@ class Encoder:
         return ids, np.diff(last, prepend=0)
 
 
-@functools.lru_cache(2)
 def encoder(vocabulary: str, kind: str, end: int) -> Encoder:
     """One for all tasks of a worker, which so keep what they have learned."""
-    return Encoder(vocabulary, kind, end)
+    return kept(("encoder", vocabulary, kind, end), lambda: Encoder(vocabulary, kind, end))
 
 
 def vocabulary(path: str) -> str:

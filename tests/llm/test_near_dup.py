@@ -57,6 +57,28 @@ def test_straddling_group(spark):
     assert rows_of(near_dup.near_duplicates(table(spark, [(d, t, None) for d, t in rows]), 3, 85)) == brute(rows, 3, 85)
 
 
+def test_ids_with_several_texts(spark):
+    """Each text of a doc_id links by itself; the doc_id's rows are one document."""
+    a, b = " ".join(WORDS[100:180]), " ".join(WORDS[:80])
+    rows = [(5, a), (5, b), (9, a + " more"), (3, b + " more"), (8, ""), (8, None), (8, b + " most"), (4, "alone"), (4, " "), (7, "x y z"), (6, "x y z"), (6, "q r s"), (2, "q r s"), (None, a), (11, "alone")]
+    for width, percent in ((3, 85), (5, 80)):
+        assert rows_of(near_dup.near_duplicates(table(spark, [(d, t, None) for d, t in rows]), width, percent)) == brute(rows, width, percent)
+
+
+def test_dense_clusters_in_blocks(spark, monkeypatch):
+    """Clusters of several small blocks, and centres of several runs, give the same links."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "RUN", 5)
+    rng, rows = random.Random(8), []
+    for base in ([rng.choice(WORDS) for _ in range(100)] for _ in range(3)):
+        for _ in range(60):
+            words = list(base)
+            for _ in range(rng.randint(0, 7)):
+                words[rng.randrange(100)] = rng.choice(WORDS[:9])
+            rows.append((len(rows), " ".join(words)))
+    assert rows_of(near_dup.near_duplicates(table(spark, [(d, t, None) for d, t in rows]), 3, 85)) == brute(rows, 3, 85)
+
+
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert rows_of(near_dup.op3_near_duplicates(spark, sf)) == brute(rows, 3, 85)

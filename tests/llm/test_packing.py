@@ -57,7 +57,6 @@ def check(rows):
 
 def verify(out, docs):
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     n = check([(r.sequence_id, r.offset, r.length) for r in out])
     want = []
     for d, t in docs:
@@ -74,6 +73,19 @@ def test_edges(edges, nothing):
     assert packing.pack_documents(nothing, PATH).count() == 0
 
 
+def test_certificate(spark, edges):
+    """bins and bound of a part are those of the pieces in it, and bound <= bins."""
+    rng = random.Random(9)
+    rows = [(i, i, 0, 0, rng.randint(1, 1024), 0) for i in range(900)]
+    out = packing.pack(spark.createDataFrame(rows, packing.PIECES), 1024, per_part=200).collect()
+    parts = defaultdict(list)
+    for r in out:
+        parts[r.sequence_id >> 28 if r.sequence_id >= 0 else r.sequence_id].append(r)
+    for of in parts.values():
+        assert {(r.bins, r.bound) for r in of} == {(len({r.sequence_id for r in of}), packing.lower_bound(np.array([r.length for r in of]), 1024))}
+    assert all(r.bound <= r.bins for r in packing.pack_documents(edges, PATH).collect())
+
+
 def test_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     n, least = verify(packing.op7_best_fit_packing(spark, sf).collect(), docs)

@@ -26,11 +26,9 @@ def brute(rows, window):
 
 
 def run(df, window):
-    everything, cut = substrings.repeated_words(df, window)
-    cut = cut.where("n_removed > 0").select("doc_id", "sha", "n_words", "n_removed", substrings.F.sha2("kept_text", 256).alias("k")).cache()
-    whole = everything.join(cut.select("doc_id", "sha").distinct(), ["doc_id", "sha"], "left_anti").selectExpr("doc_id", "n_words", "0L", "sha")
-    rows = whole.collect() + cut.drop("sha").collect()
-    return sorted(((None if r[0] == LAST - 1 else r[0], *tuple(r)[1:]) for r in rows), key=str)
+    rows = substrings.repeated_words(df, window).collect()
+    assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in rows)
+    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in rows), key=str)
 
 
 @pytest.mark.parametrize("window", [3, 13, 30])
@@ -52,9 +50,19 @@ def test_shared_passages(spark, window):
 
 
 def test_levels():
+    assert substrings.levels(13) == [4, 8, 13]
     for window in range(1, 200):
         found = substrings.levels(window)
-        assert found[-1] == window and all(a < b <= 2 * a for a, b in zip(found, found[1:], strict=False))
+        assert found[-1] == window and all(b == min(2 * a, window) for a, b in zip(found, found[1:], strict=False))
+
+
+def test_first_hashes_that_clash(spark, monkeypatch):
+    """With 10 bits in place of LOW nearly all first hashes clash; the second decides."""
+    monkeypatch.setattr(substrings, "LOW", 10)
+    rng = random.Random(4)
+    rows = [(d, " ".join(f"u{rng.randrange(3000)}" for _ in range(1500))) for d in range(2)]
+    rows += [(9, rows[0][1] + " and " + " ".join(rows[1][1].split()[200:900])), (8, "new " + " ".join(f"z{i}" for i in range(900)))]
+    assert run(table(spark, [(d, t, None) for d, t in rows]), 13) == brute(rows, 13)
 
 
 def test_query(spark, sf):

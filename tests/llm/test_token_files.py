@@ -22,6 +22,18 @@ def test_round_trip(ids):
     assert (token_files.decode(words, offsets, len(ids)) == ids).all()
 
 
+def test_caches_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    encoder = tokens.Encoder(tokens.vocabulary(PATHS["words"]), "words", 3, limit=100_000)
+    library = Tokenizer.from_file(PATHS["words"])
+    for k in range(30):
+        texts = [" ".join(f"{c}{k}{i}{'long' * (i % 9)}" for i in range(200)) for c in "ab"]
+        ids, _ = encoder(pa.array(texts))
+        assert ids.tolist() == [i for t in texts for i in [*library.encode(t, add_special_tokens=False).ids, 3]]
+        assert len(encoder.inner) < 1500 and len(encoder.inner.old) < 1500
+
+
 def test_words_are_packed():
     words, offsets = token_files.encode(np.zeros(1024, "<u4"))
     assert len(words) == 18 and len(offsets) == 1
@@ -35,7 +47,8 @@ def test_encoder_is_the_library(kind, texts):
 
     encoder = _encoder(kind)
     ids, lengths = encoder(pa.array(texts, pa.string()))
-    want = [[*encoder.library.encode(t, add_special_tokens=False).ids, 3] for t in texts]
+    library = Tokenizer.from_file(PATHS[kind])
+    want = [[*library.encode(t, add_special_tokens=False).ids, 3] for t in texts]
     assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
@@ -44,13 +57,12 @@ _known = {}
 
 def _encoder(kind):
     if kind not in _known:
-        _known[kind] = tokens.Encoder(tokens.vocabulary(PATHS[kind]), kind, 3, limit=50)
+        _known[kind] = tokens.Encoder(tokens.vocabulary(PATHS[kind]), kind, 3, limit=5000)
     return _known[kind]
 
 
 def brute(rows):
     library = Tokenizer.from_file(PATHS["words"])
-    library.encode_special_tokens = True
     at, out = 0, []
     for d, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
