@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, let
 
-#: Words in a k-mer; bins (a power of two) of the signature, each a function of its own.
-K, BIN_BITS = 3, 6
-#: In a packed number: bin and hash above, place in the text below. Places saturate.
-PLACE_BITS = 20
-#: Bits of a tuple's hash beside its bin.
-TUPLE_BITS = 26
+#: Words in a k-mer; functions, each an order of its own over all k-mers; and bits of a tuple.
+K, FUNCTIONS, TUPLE_BITS = 3, 24, 32
 #: Texts of up to SHORT code points have tuples of CHARS-character k-mers, too. Words longer
 #: than LONG count as their overlapping pieces of PIECE characters.
 SHORT, CHARS, LONG, PIECE = 1024, 4, 24, 4
@@ -46,30 +45,27 @@ def _characters(text: Column) -> Column:
     return F.transform(F.concat(F.array_repeat(F.lit(""), CHARS - 1), F.split(text, "")), lambda c: F.xxhash64(c))
 
 
-def _pack(h: Column, place: Column) -> Column:
-    return h.bitwiseAND(F.lit(-(1 << PLACE_BITS))).bitwiseOR(F.least(place, F.lit((1 << PLACE_BITS) - 1)).cast("long"))
-
-
 def _numbered(kmers: Column) -> Column:
-    """Packed k-mers; the second and later occurrences of one hash with their number."""
+    """The k-mers in the order of the text; the second and later occurrences of one hash
+    with their number."""
 
     def number(pairs: Column) -> Column:
         at = lambda j: F.get(pairs, j)
         starts = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda j: (j == 0) | (at(j)["h"] != at(j - 1)["h"]))
-        one = lambda j, s: _pack(F.when(j == s, at(j)["h"]).otherwise(F.xxhash64(at(j)["h"], j - s)), at(j)["p"])
-        return let(starts, lambda runs: F.flatten(F.transform(runs, lambda s, r: F.transform(F.sequence(s, F.coalesce(F.get(runs, r + 1), F.size(pairs)) - 1), lambda j: one(j, s)))))
+        one = lambda j, s: F.struct(at(j)["p"].alias("p"), F.when(j == s, at(j)["h"]).otherwise(F.xxhash64(at(j)["h"], j - s)).alias("h"))
+        every = let(starts, lambda runs: F.flatten(F.transform(runs, lambda s, r: F.transform(F.sequence(s, F.coalesce(F.get(runs, r + 1), F.size(pairs)) - 1), lambda j: one(j, s)))))
+        return F.transform(F.sort_array(every), lambda x: x["h"])
 
     sorted_pairs = F.sort_array(F.transform(kmers, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
-    return F.when(F.size(F.array_distinct(kmers)) == F.size(kmers), F.transform(kmers, _pack)).otherwise(let(sorted_pairs, number))
+    return F.when(F.size(F.array_distinct(kmers)) == F.size(kmers), kmers).otherwise(let(sorted_pairs, number))
 
 
 def signature(text: Column) -> Column:
-    """The text's tuples, one for each bin that has a k-mer, as numbers: bin, then hash.
+    """The text's tuples, one of each function, as numbers of TUPLE_BITS bits.
 
-    One hash deals the occurrence-numbered k-mers out to bins and orders them, so that each
-    bin is a random function of its own over its share of them. A bin selects its minimal
-    k-mer and the next one in hash order (of the next bin, where it has no other), puts the
-    two in the order of the text and hashes the pair. Null and texts without words: none.
+    Each function is an order of its own over all occurrence-numbered k-mers. It selects the
+    two minimal ones, puts them in the order of the text and hashes the pair; where there is
+    but one k-mer, that one twice. Null and texts without words: none.
     """
     return _tuples(let(_words(text), lambda words: _kmers(F.transform(words, lambda w: F.xxhash64(w)))))
 
@@ -88,19 +84,18 @@ def graded_signature(text: Column) -> Column:
 
 
 def _tuples(kmers: Column) -> Column:
-    def tuples(s: Column) -> Column:
-        bin_of = lambda x: F.shiftright(x, 64 - BIN_BITS)
-        place = lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
-        bare = lambda x: F.shiftright(x, PLACE_BITS)
+    def pair(order: Column, a: Column, b: Column) -> Column:
+        h = F.when(F.array_position(order, a) <= F.array_position(order, b), F.xxhash64(a, b)).otherwise(F.xxhash64(b, a))
+        return h.bitwiseAND(F.lit((1 << TUPLE_BITS) - 1))
 
-        def pair(a: Column, b: Column) -> Column:
-            h = F.when(place(a) <= place(b), F.xxhash64(bare(a), bare(b))).otherwise(F.xxhash64(bare(b), bare(a)))
-            return F.shiftleft(bin_of(a) + (1 << (BIN_BITS - 1)), TUPLE_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << TUPLE_BITS) - 1)))
+    def tuple_of(order: Column) -> Column:
+        return let(F.array_min(order), lambda a: let(F.coalesce(F.array_min(F.array_remove(order, a)), a), lambda b: pair(order, a, b)))
 
-        first = lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1)))
-        return F.filter(F.transform(s, lambda x, i: F.when(first(x, i), pair(x, F.coalesce(F.get(s, i + 1), F.get(s, F.lit(0)))))), lambda x: x.isNotNull())
+    def tuples(x: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.lit(FUNCTIONS - 1)), lambda j: let(F.transform(x, lambda h: F.xxhash64(h, j)), tuple_of))
+        return F.when(F.size(x) == 0, F.slice(x, 1, 0)).otherwise(every)
 
-    return let(kmers, lambda of: let(F.sort_array(_numbered(of)), tuples))
+    return let(kmers, lambda of: let(_numbered(of), tuples))
 
 
 def as_text(of: Column) -> Column:
@@ -109,10 +104,9 @@ def as_text(of: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of bins with equal tuples, of the bins that either has. Neither: 1."""
-    bins = lambda s: F.transform(s, lambda x: F.shiftright(x, TUPLE_BITS))
-    either = F.size(F.array_union(bins(a), bins(b)))
-    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
+    """Share of the functions with equal tuples. Neither has any: 1."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(same / F.lit(FUNCTIONS))
 
 
 def graded_text(of: Column) -> Column:
@@ -125,28 +119,40 @@ def graded_likeness(a: Column, b: Column) -> Column:
     return F.when(a["chars"].isNotNull() & b["chars"].isNotNull(), likeness(a["chars"], b["chars"])).otherwise(likeness(a["words"], b["words"]))
 
 
-def with_next(docs: DataFrame, values: list[str], per_range: int = 2000, most_ranges: int = 4096) -> DataFrame:
+def _bounds(keys: DataFrame, ranges: int) -> list[int]:
+    """Keys that occur, at which ``ranges`` ranges of about as many rows begin, but for the
+    first. From the key column alone."""
+    dealt = keys.repartitionByRange(ranges, "k").groupBy(F.spark_partition_id().alias("range")).agg(F.min("k").alias("k"))
+    return sorted({r["k"] for r in dealt.collect()})[1:] if ranges > 1 else []
+
+
+def _range_of(key: Column, bounds: Column, n: int) -> Column:
+    """How many of the n sorted bounds are at most the key, by halving."""
+    steps = F.array(*[F.lit(1 << s) for s in reversed(range(n.bit_length()))]) if n else F.array().cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= key, at + step).otherwise(at))
+
+
+def with_next(docs: DataFrame, values: list[str], per_range: int = 2000) -> DataFrame:
     """``docs`` with next_<value> from the next row by (doc_id, text), after the last the
     first. Null doc_ids come first.
 
     Rows are dealt once, to ranges of doc_id whose bounds are ids that occur (found from
     that column alone). The row at a bound also goes to the range before it, where it is
-    only looked at; a range's rows are never compared with all others'.
+    only looked at; a range's rows are never compared with all others'. There are as many
+    rows in a range as ranges, ``per_range`` at least, so neither a range nor the list of
+    bounds grows as fast as the table.
     """
     key = F.coalesce("doc_id", F.lit(FIRST))
-    n, low = docs.select(key.alias("k")).agg(F.count("*"), F.min("k")).first()
-    ranges = max(1, min(most_ranges, -(-n // per_range)))
-    shares = [i / ranges for i in range(1, ranges)]
-    found = docs.agg(F.percentile_approx(key, shares, 100 * ranges)).first()[0] if shares and n else []
-    bounds = F.array(*[F.lit(b) for b in sorted({*(found or [])} - {low})]).cast("array<long>")
-    place = let(bounds, lambda bs: F.size(F.filter(bs, lambda b: b <= key)))
-    last = F.size(bounds)
+    keys = docs.select(key.alias("k"))
+    n, low = keys.agg(F.count("*"), F.min("k")).first()
+    found = _bounds(keys, max(1, -(-n // max(per_range, math.isqrt(n)))))
+    bounds = F.from_json(F.lit(json.dumps(found)), "array<long>")
+    last = F.lit(len(found))
     own = F.struct(F.lit(False).alias("look"), F.lit(False).alias("wrap"), F.col("_place").alias("range"))
     look = lambda wrap, to: F.struct(F.lit(True).alias("look"), F.lit(wrap).alias("wrap"), to.alias("range"))
-    copies = F.filter(
-        F.array(own, F.when(F.array_contains(bounds, key), look(False, F.col("_place") - 1)), F.when(key == F.lit(low), look(True, last))), lambda x: x.isNotNull()
-    )
-    dealt = docs.withColumn("_place", place).withColumn("_at", F.explode(copies))
+    at_bound = F.coalesce(F.get(bounds, F.col("_place") - 1) == key, F.lit(False)) & (F.col("_place") > 0)
+    copies = F.filter(F.array(own, F.when(at_bound, look(False, F.col("_place") - 1)), F.when(key == F.lit(low), look(True, last))), lambda x: x.isNotNull())
+    dealt = docs.withColumn("_place", _range_of(key, bounds, len(found))).withColumn("_at", F.explode(copies))
     order = Window.partitionBy("_at.range").orderBy("_at.wrap", key, "text")
     ahead = {f"next_{v}": F.lead(v).over(order) for v in values}
     return dealt.withColumns(ahead).where("NOT _at.look").drop("_place", "_at")

@@ -33,25 +33,23 @@ def brute(text):
     if not h:
         return []
     kmers = [chain(*h)] if len(h) < fp.K else [chain(*h[i : i + fp.K]) for i in range(len(h) - fp.K + 1)]
-    seen, packed = {}, []
-    for place, k in enumerate(kmers):
+    seen, numbered = {}, []
+    for k in kmers:
         n = seen[k] = seen.get(k, -1) + 1
-        value = k if n == 0 else chain(k, Int(n))
-        packed.append((value >> fp.PLACE_BITS << fp.PLACE_BITS) | min(place, (1 << fp.PLACE_BITS) - 1))
-    packed.sort()
-    out, low = [], (1 << fp.PLACE_BITS) - 1
-    for i, a in enumerate(packed):
-        bin_ = a >> (64 - fp.BIN_BITS)
-        if i == 0 or packed[i - 1] >> (64 - fp.BIN_BITS) != bin_:
-            b = packed[i + 1] if i + 1 < len(packed) else packed[0]
-            x, y = (a, b) if a & low <= b & low else (b, a)
-            out.append(((bin_ + (1 << (fp.BIN_BITS - 1))) << fp.TUPLE_BITS) | (chain(x >> fp.PLACE_BITS, y >> fp.PLACE_BITS) & ((1 << fp.TUPLE_BITS) - 1)))
+        numbered.append(k if n == 0 else chain(k, Int(n)))
+    out = []
+    for j in range(fp.FUNCTIONS):
+        order = [chain(x, Int(j)) for x in numbered]
+        a, b = (sorted(set(order)) * 2)[:2] if len(set(order)) == 1 else sorted(set(order))[:2]
+        x, y = (a, b) if order.index(a) <= order.index(b) else (b, a)
+        out.append(chain(x, y) & ((1 << fp.TUPLE_BITS) - 1))
     return out
 
 
 def likeness(a, b):
-    either = {x >> fp.TUPLE_BITS for x in a} | {x >> fp.TUPLE_BITS for x in b}
-    return len(set(a) & set(b)) / len(either) if either else 1.0
+    if not a and not b:
+        return 1.0
+    return sum(x == y for x, y in zip(a, b, strict=False)) / fp.FUNCTIONS
 
 
 def brute_rows(rows):
@@ -87,6 +85,20 @@ def test_order_counts(spark):
     assert row.y == 1 and 0.3 < row.x < 0.7  # as sets of words, or of shingles, they are all but equal
 
 
+def test_many_ranges_are_searched(spark, monkeypatch):
+    """More ranges than any fixed list had: each row finds its own by halving."""
+    df = spark.range(0, 30_000, 3).select(fp.F.col("id").alias("doc_id"), fp.F.col("id").cast("string").alias("text"))
+    monkeypatch.setattr(fp.math, "isqrt", lambda n: 1)
+    got = fp.with_next(df, ["text"], per_range=2)
+    assert got.where("next_text <> cast(CASE WHEN doc_id = 29997 THEN 0 ELSE doc_id + 3 END AS string)").count() == 0 and got.count() == 10_000
+
+
 def test_query(spark, sf):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    assert sorted(map(tuple, fp.op5_order_fingerprints(spark, sf).collect()), key=str) == brute_rows(rows)
+    """The rows of the query, by the words' level, against brute force (the other level: see
+    test_graded_fingerprints)."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(map(tuple, fp.fingerprint_edits(docs).collect()), key=str) == brute_rows(rows)
+    got = {r.doc_id: r for r in fp.op5_order_fingerprints(spark, sf).collect()}
+    for d, n, sha, *_ in brute_rows(rows):
+        assert (got[d].n_chars, got[d].edited_sha256) == (n, sha) and 0 <= got[d].near_edited <= 1 and 0 <= got[d].near_next <= 1
