@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from .common import WORD, fresh, named, others, staged
 
 WEIGHTS = (3, 1, 2)
 HASH_BITS = 60
@@ -80,28 +80,32 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int,
 
     Size: number of words (null text: 0). A null source is a source. Rows that share a
     doc_id are taken alike; a null doc_id hashes like an empty one. Reruns agree: the hash
-    depends on doc_id alone. Columns of docs with one of the new names are replaced. An
+    depends on doc_id alone. Columns of docs with one of the new names, in whatever case, are
+    replaced. An
     empty table gives an empty one.
 
     Texts are read once for the sizes, which are written to the shared folder; the sources'
     sums are one row a source, so the rows meet them in a join that moves no text as long as
     that table is small enough to broadcast, and in a skew-splitting join beyond that.
     """
-    new = ["size", "source_size", "target", "copies"]
-    kept = [c for c in docs.columns if c not in new]
+    kept = others(docs, "size", "source_size", "target", "copies")
     sizes = staged(docs.select("source", doc_hash(F.col("doc_id")).alias("hash"), size_of(F.col("text")).alias("size")), "sizes")
     wanted = staged(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights), "targets")
-    limits = staged(thresholds(sizes, wanted), "thresholds").select(F.col("source").alias("_source"), "source_size", "target", F.col("base").alias("_base"), F.col("limit").alias("_limit"))
-    with_size = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("size", size_of(F.col("text")))
-    met = with_size.join(limits, F.col("source").eqNullSafe(F.col("_source")))
-    copies = (F.col("_base") + (doc_hash(F.col("doc_id")) < F.col("_limit")).cast("long")).alias("copies")
-    return met.select(*[F.col(f"`{c}`") for c in kept], "size", "source_size", "target", copies)
+    source, size, target, base, limit, own = fresh(docs, "of_source", "source_sum", "source_target", "base", "limit", "own_size")
+    limits = staged(thresholds(sizes, wanted), "thresholds").select(F.col("source").alias(source), F.col("source_size").alias(size), F.col("target").alias(target), F.col("base").alias(base), F.col("limit").alias(limit))
+    met = docs.withColumn(own, size_of(F.col("text"))).join(limits, F.col("source").eqNullSafe(named(source)))
+    copies = named(base) + (doc_hash(F.col("doc_id")) < named(limit)).cast("long")
+    return met.select(*kept, named(own).alias("size"), named(size).alias("source_size"), named(target).alias("target"), copies.alias("copies"))
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken."""
-    taken = mix(docs, **options).where("copies > 0")
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    (marker,) = fresh(docs, "copy")
+    columns = [named(c) for c in docs.columns]
+    # Columns of docs that mix() would replace travel in a struct.
+    packed = docs.select("doc_id", "source", "text", F.struct(*columns).alias(marker))
+    taken = mix(packed, **options).where("copies > 0")
+    return taken.select(named(marker), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(f"{marker}.*")
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, let
+from .common import SPACES, fresh, let, named, others, staged
 
 SPAN = 8
 #: name -> failure, over the measurements. The place in this list is the rule's bit; rules
@@ -51,7 +51,8 @@ def ledger(docs: DataFrame) -> DataFrame:
     rule is evaluated once; policies only read the bits.
 
     Null or empty text: no words, so few_words fails. Columns of docs that carry one of the
-    ledger's names are replaced; all others are kept. Rows are independent of each other.
+    ledger's names, in whatever case, are replaced; all others are kept. Rows are independent
+    of each other; an empty table gives an empty one.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.array_remove(F.split(text, SPACES), "")
@@ -65,11 +66,12 @@ def ledger(docs: DataFrame) -> DataFrame:
         ),
     )
     by_line = let(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
-    kept = [c for c in docs.columns if c not in (*MEASURES, "failure_bits")]
-    measured = docs.select(*[F.col(f"`{c}`") for c in kept], count.alias("_w"), by_line.alias("_l"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).alias("_s")).select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.col("_w.n_words").cast("long").alias("n_words"), F.col("_w.word_chars").cast("long").alias("word_chars"), F.col("_s").cast("long").alias("n_symbols"),
-        F.col("_l.n_dup_lines").cast("long").alias("n_dup_lines"), F.col("_w.n_repeat_words").cast("long").alias("n_repeat_words"), F.col("_l.n_lines").cast("long").alias("n_lines"),
+    kept = others(docs, *MEASURES, "failure_bits")
+    w, l, n = fresh(docs, "by_word", "by_line", "symbols")
+    measured = docs.select(*kept, count.alias(w), by_line.alias(l), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).alias(n)).select(
+        *kept,
+        *[named(of)[name].cast("long").alias(name) for of, name in ((w, "n_words"), (w, "word_chars"))], named(n).cast("long").alias("n_symbols"),
+        *[named(of)[name].cast("long").alias(name) for of, name in ((l, "n_dup_lines"), (w, "n_repeat_words"), (l, "n_lines"))],
     )
     failed = [F.when(F.expr(failure), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, (_, failure) in enumerate(RULES)]
     out = failed[0]
@@ -97,10 +99,21 @@ def ablation(of: DataFrame, policy: str = POLICY) -> DataFrame:
     )
 
 
+def only_rule(policy: str = POLICY) -> Column:
+    """Of ledger rows that one rule of the policy alone rejects, that rule; else null."""
+    failed = F.col("failure_bits").bitwiseAND(bits(POLICIES[policy]))
+    return F.coalesce(*[F.when(failed == bits((name,)), F.lit(name)) for name in POLICIES[policy]])
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger is written once. Policies of two versions and the ablation read it: for a
+    document that one rule alone rejects, that rule and how many documents it so rejects."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    written = staged(ledger(docs).drop("text"), "ledger")
     base = F.col("failure_bits").bitwiseAND(bits(BASE)) != 0
-    return ledger(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), keeps().alias("kept"), "failure_bits")
+    judged = written.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), keeps().alias("kept"), "failure_bits", keeps("2024-1").alias("kept_2024_1"), only_rule().alias("only_rule"))
+    effects = ablation(written).select(F.col("rule").alias("only_rule"), F.col("only_this").alias("n_only_rule"))
+    return judged.join(F.broadcast(effects), "only_rule", "left")  # a row for each rule
 
 
 OP2_SQL = r"""
@@ -116,6 +129,9 @@ m AS (
 n AS (SELECT *, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines FROM m),
 f AS (SELECT *, (n_words < 20) AS f0, (100 * n_repeat_words > 30 * n_words) AS f1, (10 * n_symbols > n_words) AS f2, (100 * n_dup_lines > 30 * n_lines) AS f3, (word_chars < 2 * n_words) AS f4, (word_chars > 12 * n_words) AS f5 FROM n)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f0 OR f1) AS base_failed, NOT (f0 OR f1 OR f2 OR f3 OR f4 OR f5) AS kept,
-       CAST(f0::INT + 2 * f1::INT + 4 * f2::INT + 8 * f3::INT + 16 * f4::INT + 32 * f5::INT AS BIGINT) AS failure_bits
+       CAST(f0::INT + 2 * f1::INT + 4 * f2::INT + 8 * f3::INT + 16 * f4::INT + 32 * f5::INT AS BIGINT) AS failure_bits,
+       NOT (f0 OR f1 OR f2 OR f3) AS kept_2024_1,
+       CASE failure_bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_spans' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines' WHEN 16 THEN 'short_words' WHEN 32 THEN 'long_words' END AS only_rule,
+       CASE WHEN failure_bits IN (1, 2, 4, 8, 16, 32) THEN CAST(count(*) OVER (PARTITION BY failure_bits) AS BIGINT) END AS n_only_rule
 FROM f
 """

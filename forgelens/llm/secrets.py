@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import fresh, let, named, others
 
 #: kind -> (pattern, group whose length counts, least length), in the order of the kinds.
 #: A failing match is dropped after the scan, so it still consumes its characters. For
@@ -23,8 +23,10 @@ TOKENS = r"[A-Za-z0-9+/_=-]{20,}"
 CLASSES = "abcdefghijklmnopqrstuvwxyzA0-"
 _FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _TO = "A" * 26 + "0" * 10 + "-" * 5
-#: The log-likelihood ratio from which a run counts as random.
-THRESHOLD = 12.0
+#: The least log-likelihood ratio from which a run counts as random: the odds against it, as
+#: one run in some 160,000 is a secret. And the share of held-out ordinary samples that
+#: calibration lets pass for random.
+THRESHOLD, FALSE_ALARMS = 12.0, 0.001
 SPAN = "array<struct<s:int,e:int,h:string>>"
 
 VOCABULARY = """
@@ -49,19 +51,22 @@ warehouse watch widget width window wizard worker workspace wrapper
 
 
 def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """``n`` labelled strings of each kind: text, random. Random: digests in hexadecimal,
-    base 64 and letters with digits; ordinary: two to four words of a vocabulary, joined as
-    identifiers and paths are. They are the same on every run."""
+    """``n`` labelled strings of each kind: text, random, held_out (every fourth). Random:
+    digests in hexadecimal, base 64, and letters with digits; ordinary: two to four words of
+    a vocabulary, joined as identifiers and paths are. They are the same on every run."""
     words = F.array(*[F.lit(w) for w in VOCABULARY])
     pick = lambda j: F.get(words, F.pmod(F.xxhash64("id", F.lit(j)), F.lit(len(VOCABULARY))).cast("int"))
     some = F.slice(F.array(*[pick(j) for j in range(4)]), 1, (F.pmod(F.xxhash64("id", F.lit(9)), F.lit(3)) + 2).cast("int"))
     cap = lambda ws: F.transform(ws, lambda w: F.initcap(w))
-    ordinary = F.element_at(F.array(F.array_join(some, "_"), F.array_join(some, "-"), F.array_join(cap(some), ""), F.array_join(some, ""), F.upper(F.array_join(some, "_")), F.array_join(some, "/")), (F.pmod("id", F.lit(6)) + 1).cast("int"))
+    of = lambda turns, *kinds: F.element_at(F.array(*kinds), (F.pmod(F.xxhash64("id", F.lit(turns)), F.lit(len(kinds))) + 1).cast("int"))
+    joined = F.array_join
+    ordinary = of(7, joined(some, "_"), joined(some, "-"), joined(cap(some), ""), joined(some, ""), F.upper(joined(some, "_")), joined(some, "/"))
     digest = F.sha2(F.col("id").cast("string"), 256)
     base64 = F.base64(F.unhex(digest))
-    odd = F.element_at(F.array(digest, base64, F.translate(base64, "+/=", "aZ")), (F.pmod("id", F.lit(3)) + 1).cast("int"))
+    odd = of(8, digest, base64, F.translate(base64, "+/=", "aZ"))
     ids = spark.range(n)
-    return ids.select(ordinary.alias("text"), F.lit(False).alias("random")).unionByName(ids.select(odd.alias("text"), F.lit(True).alias("random")))
+    held = F.pmod(F.xxhash64("id", F.lit(10)), F.lit(4)) == 0
+    return ids.select(ordinary.alias("text"), F.lit(False).alias("random"), held.alias("held_out")).unionByName(ids.select(odd.alias("text"), F.lit(True).alias("random"), held.alias("held_out")))
 
 
 def _pairs(token: Column) -> Column:
@@ -83,6 +88,23 @@ def train(labelled: DataFrame) -> list[float]:
     return [a - b for a, b in zip(log[True], log[False], strict=True)]
 
 
+def ratio(text: Column, model: list[float]) -> Column:
+    """Log-likelihood of the run as a random string, less that as an ordinary one."""
+    weights = F.array(*[F.lit(x) for x in model])
+    return F.aggregate(_pairs(text), F.lit(0.0), lambda acc, pair: acc + F.get(weights, pair))
+
+
+def calibrated(labelled: DataFrame, false_alarms: float = FALSE_ALARMS) -> tuple[list[float], float]:
+    """(model, threshold): trained on the rows of ``labelled(text, random, held_out)`` that
+    are not held out; of the ordinary ones that are, of 20 characters or more, at most the
+    share ``false_alarms`` reaches the threshold, which is THRESHOLD at least."""
+    model = train(labelled.where("NOT held_out"))
+    ordinary = labelled.where("held_out AND NOT random AND length(text) >= 20").select(ratio(F.col("text"), model).alias("ratio"))
+    n = ordinary.count()
+    highest = [r["ratio"] for r in ordinary.orderBy(F.col("ratio").desc()).limit(int(n * false_alarms) + 1).collect()]
+    return model, max([THRESHOLD, *[math.nextafter(x, math.inf) for x in highest[-1:]]])
+
+
 def _places(text: Column, pattern: str) -> Column:
     """The pattern's leftmost non-overlapping matches as structs s, e, h: where they begin
     and end, in code points, from the lengths of matches and of what lies between."""
@@ -120,11 +142,12 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> D
     """``docs`` with base_spans and secret_spans: arrays of structs s, k, e, kind by place.
 
     secret_spans holds the base spans and, as kind ``markov``, runs of 20 or more that the
-    models call random, or of these runs the parts that base spans leave, of any length. Places count code points, ends are
-    exclusive. Null text: empty, no spans. Columns of docs with one of the new names are
-    replaced. Rows are independent of each other; nothing is exchanged.
+    models call random, or of these runs the parts that base spans leave, of any length.
+    Places count code points, ends are
+    exclusive. Null text: empty, no spans. Columns of docs with one of the new names, in
+    whatever case, are replaced. Rows are independent of each other; nothing is exchanged.
     """
-    kept = [c for c in docs.columns if c not in ("base_spans", "secret_spans")]
+    kept = others(docs, "base_spans", "secret_spans")
     text = F.coalesce(F.col("text"), F.lit(""))
     found = []
     for order, (kind, pattern, group, least) in enumerate(PATTERNS):
@@ -133,12 +156,12 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> D
             long_enough = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.length(x) >= least)
             places = F.when(text.rlike(pattern), let(long_enough, lambda ok: F.filter(_places(text, pattern), lambda x, i: F.get(ok, i)))).otherwise(F.array().cast(SPAN))
         found.append(_kind(places, order, kind))
-    weights = F.array(*[F.lit(x) for x in model])
-    ratio = lambda h: F.aggregate(_pairs(h), F.lit(0.0), lambda acc, pair: acc + F.get(weights, pair))
-    with_base = docs.select(*[F.col(f"`{c}`") for c in kept], F.sort_array(F.concat(*found)).alias("base_spans"))
-    judged = lambda x: F.filter("base_spans", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    odd = F.filter(F.flatten(F.transform(_places(text, TOKENS), lambda x: let(judged(x), lambda bs: _uncovered(x, bs)))), lambda x: ratio(x["h"]) >= threshold)
-    return with_base.withColumn("secret_spans", F.sort_array(F.concat("base_spans", _kind(odd, len(PATTERNS), "markov"))))
+    base, run_text = fresh(docs, "base_found", "run_text")
+    with_base = docs.select(*kept, text.alias(run_text), F.sort_array(F.concat(*found)).alias(base))
+    text = named(run_text)
+    judged = lambda x: F.filter(named(base), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    odd = F.filter(F.flatten(F.transform(_places(text, TOKENS), lambda x: let(judged(x), lambda bs: _uncovered(x, bs)))), lambda x: ratio(x["h"], model) >= threshold)
+    return with_base.select(*kept, named(base).alias("base_spans"), F.sort_array(F.concat(named(base), _kind(odd, len(PATTERNS), "markov"))).alias("secret_spans"))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
@@ -159,6 +182,6 @@ def as_text(spans: Column) -> Column:
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = scan(docs, train(samples(spark))).select("doc_id", "base_spans", "secret_spans")
+    found = scan(docs, *calibrated(samples(spark))).select("doc_id", "base_spans", "secret_spans")
     count = lambda kind: F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(kind) for kind, *_ in PATTERNS], F.sha2(as_text(F.col("base_spans")), 256).alias("base_sha256"), as_text(F.col("secret_spans")).alias("spans"))

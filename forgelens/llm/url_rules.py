@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, staged
+from .common import fresh, named, others, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [
@@ -32,64 +32,94 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
-def _boundaries(rules: DataFrame) -> DataFrame:
-    """The points where the stack of active rules changes, with the stack from there on: at
-    a rule host's start its own rules on top of those it is nested in, at its end those it
-    is nested in. A host is nested in the rule hosts that its key's label prefixes name."""
-    own = rules.groupBy(host_key(F.col("host")).alias("key")).agg(
-        F.collect_set(F.struct((F.length("host") + F.length("path")).alias("length"), F.length("host").alias("host_length"), F.concat("host", "path").alias("rule"), "path", "verdict")).alias("own")
+def sweep(points: DataFrame, intervals: DataFrame, partitions: int) -> DataFrame:
+    """The stack of intervals around each point. ``points(key)``; ``intervals(key, end, id)``
+    are nested or apart, each from ``key`` (inclusive) to ``end`` (exclusive). Returns key,
+    slot, id: one row for each interval that is open at the point; slot 1 is the outermost.
+
+    Starts, ends and points are sorted once, by ranges of their keys. A start pushes, an end
+    pops: the running sum of both is the stack's height, and what lies in a slot is the
+    interval pushed last at that height. A range takes over the heights and slots of the
+    ranges before it, of which there is a row for each range and slot. Ends come before
+    starts, starts before points.
+    """
+    no_id = F.lit(None).cast(dict(intervals.dtypes)["id"])
+    events = (
+        intervals.select("key", F.lit(1).alias("kind"), F.lit(1).alias("step"), "id")
+        .unionByName(intervals.select(F.col("end").alias("key"), F.lit(0).alias("kind"), F.lit(-1).alias("step"), no_id.alias("id")))
+        .unionByName(points.select("key", F.lit(2).alias("kind"), F.lit(0).alias("step"), no_id.alias("id")))
     )
-    labels = F.split(F.col("key"), r"\.")
-    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 2, F.lit(1))), lambda n: F.concat(F.array_join(F.slice(labels, 1, n), "."), F.lit(".")))
-    nested = (
-        own.select("key", F.explode(F.filter(above, lambda k: k != F.col("key"))).alias("up"))
-        .join(own.select(F.col("key").alias("up"), F.col("own").alias("more")), "up")
-        .groupBy("key").agg(F.flatten(F.collect_list("more")).alias("more"))
-    )
-    stacks = own.join(nested, "key", "left").withColumn("more", F.coalesce("more", F.slice("own", 1, 0)))
-    end = F.concat(F.expr("left(key, length(key) - 1)"), F.lit("/"))
-    point = F.explode(F.array(F.struct(F.col("key"), F.lit(1).alias("kind"), F.concat("own", "more").alias("stack")), F.struct(end.alias("key"), F.lit(0).alias("kind"), F.col("more").alias("stack"))))
-    return stacks.select(point.alias("p")).select("p.*")
-
-
-def host_stacks(hosts: DataFrame, rules: DataFrame, partitions: int) -> DataFrame:
-    """``hosts(host)``, distinct, with the stack of rules active at each.
-
-    Hosts and boundaries are dealt by ranges of their keys and swept in order; a range that
-    begins inside of intervals takes over the stack that the ranges before it ended with, of
-    which there is one row a range. Ends come before starts, both before hosts.
+    placed = staged(events.repartitionByRange(partitions, "key", "kind").withColumn("range", F.spark_partition_id()), "sweep")
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("range").agg(F.sum("step").alias("sum")).select("range", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("base"))
+    # Of starts with one key the outer one, which ends last, is pushed first: one interval has one key.
+    running = F.sum("step").over(Window.partitionBy("range").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    heights = placed.withColumn("height", running).join(F.broadcast(sums), "range").withColumn("height", F.col("height") + F.col("base"))
+    heights = staged(heights.where("kind > 0 AND height > 0").drop("step", "base"), "heights")
+    slots = heights.select("range", "key", "kind", "id", F.explode(F.when(F.col("kind") == 1, F.array("height")).otherwise(F.sequence(F.lit(1).cast("long"), "height"))).alias("slot"))
+    pushed = heights.where("kind = 1").groupBy("range", F.col("height").alias("slot")).agg(F.max_by("id", "key").alias("id"))
+    before = pushed.select("range", "slot", F.lead("range").over(Window.partitionBy("slot").orderBy("range")).alias("until"), "id")
+    inside = F.last("id", ignorenulls=True).over(Window.partitionBy("range", "slot").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    found = slots.withColumn("id", inside).where("kind = 2")
+    known, open_ = found.where("id IS NOT NULL"), found.where("id IS NULL").drop("id")
+    carried = before.select("slot", "id", F.explode(F.sequence(F.col("range") + 1, F.coalesce("until", F.lit(partitions)))).alias("range"))
+    return known.select("key", "slot", "id").unionByName(open_.join(carried, ["range", "slot"]).select("key", "slot", "id"))
+
+
+def _host_intervals(rules: DataFrame) -> DataFrame:
+    """One interval for each host that has rules: all hosts below it."""
+    key = host_key(F.col("host")).alias("key")
+    return rules.select(F.col("host").alias("id"), key).distinct().select("key", F.concat(F.expr("left(key, length(key) - 1)"), F.lit("/")).alias("end"), "id")
+
+
+def _path_key(host: Column, path: Column) -> Column:
+    """Host and path as bytes of UTF-8, of which none is 255: so a prefix's interval ends
+    with that one after it."""
+    return F.concat(host, F.lit("\u0000"), path).cast("binary")
+
+
+def longest_rules(pages: DataFrame, rules: DataFrame, partitions: int) -> DataFrame:
+    """host, path, best for distinct ``pages(host, path)`` that a rule fits: a struct length,
+    host_length, rule, verdict of the longest one.
+
+    A first sweep gives each host the rule hosts around it. A second one, over rule host and
+    path, gives each path the rule paths of that host that it begins with, of which the top
+    of the stack is the longest. So a host's rules are never looked through one by one.
     """
-    points = _boundaries(rules)
-    kind = dict(points.dtypes)["stack"]
-    swept = points.select("key", "kind", "stack", F.lit(None).cast("string").alias("host")).unionByName(hosts.select(host_key(F.col("host")).alias("key"), F.lit(2).alias("kind"), F.lit(None).cast(kind).alias("stack"), "host"))
-    swept = staged(swept.repartitionByRange(partitions, "key", "kind").withColumn("range", F.spark_partition_id()), "sweep")
-    ended = swept.groupBy("range").agg(F.max_by("stack", F.when(F.col("kind") < 2, F.struct("key", "kind"))).alias("stack"))
-    carried = ended.select("range", F.last("stack", ignorenulls=True).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    inside = F.last("stack", ignorenulls=True).over(Window.partitionBy("range").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    found = swept.withColumn("inside", inside).where("kind = 2").join(carried, "range", "left")
-    return found.select("host", F.coalesce("inside", "carried").alias("stack"))
+    hosts = pages.select("host").distinct().select(host_key(F.col("host")).alias("key"), "host")
+    around = sweep(hosts.select("key"), _host_intervals(rules), partitions)
+    above = hosts.join(around, "key").select("host", F.col("id").alias("rule_host"))
+    asked = staged(pages.join(above, "host").select("host", "path", "rule_host", _path_key(F.col("rule_host"), F.col("path")).alias("key")), "asked")
+    own = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    start = _path_key(F.col("host"), F.col("path"))
+    spans = own.select(start.alias("key"), F.concat(start, F.lit(b"\xff")).alias("end"), F.struct("path", "verdict").alias("id"))
+    fit = sweep(asked.select("key").distinct(), spans, partitions).groupBy("key").agg(F.max_by("id", "slot").alias("top"))
+    length = (F.length("rule_host") + F.length("top.path")).alias("length")
+    best = F.struct(length, F.length("rule_host").alias("host_length"), F.concat("rule_host", "top.path").alias("rule"), F.col("top.verdict").alias("verdict"))
+    return asked.join(fit, "key").groupBy("host", "path").agg(F.max(best).alias("best"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, partitions: int, url: str = "url", default: str = "allow", no_host: str = "block") -> DataFrame:
     """``pages`` with host, path, rule, verdict. ``rules(verdict, host, path)``: a rule fits
     its host and all subdomains if the page's path starts with the rule's; the longest
-    (host and path together, then host) wins. Where none fits, rule is null and the verdict
-    is ``default``, or ``no_host`` for pages whose url has no host.
+    (host and path together, then host, then the verdict block) wins. Where none fits, rule
+    is null and the verdict is ``default``, or ``no_host`` for pages whose url has no host.
 
-    Null urls have no host. Each distinct host is swept once, however many pages it has; the
-    pages meet their hosts in a join whose large partitions Spark can split. Repeated rows
-    stay; columns of pages with one of the new names are replaced; no rules, or no pages, are
-    fine.
+    Null urls have no host; rules without host or path are ignored. Each distinct host and
+    path is swept once, however many pages it has; the pages meet what was found in a join
+    whose large partitions Spark can split. Repeated rows stay; columns of pages with one of
+    the new names, in whatever case, are replaced; no rules, or no pages, are fine.
     """
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    host, path = url_parts(F.col(f"`{url}`"))
-    parts = pages.select(*[F.col(f"`{c}`") for c in kept], host.alias("host"), path.alias("path"))
-    stacks = host_stacks(parts.select("host").where("host != ''").distinct(), rules, partitions).withColumnsRenamed({"host": "_host", "stack": "_stack"})
-    met = parts.join(stacks, F.col("host") == F.col("_host"), "left")
-    best = let(F.filter("_stack", lambda r: F.col("path").startswith(r["path"])), lambda fit: F.array_max(fit))
-    judged = met.withColumn("_best", best)
-    verdict = F.coalesce("_best.verdict", F.when(F.col("host") == "", F.lit(no_host)).otherwise(F.lit(default)))
-    return judged.select(*[F.col(f"`{c}`") for c in kept], "host", "path", F.col("_best.rule").alias("rule"), verdict.alias("verdict"))
+    host, path = url_parts(named(url))
+    kept = others(pages, "host", "path", "rule", "verdict")
+    h, p = fresh(pages, "page_host", "page_path")
+    parts = pages.select(*kept, host.alias(h), path.alias(p))
+    found = longest_rules(parts.where(named(h) != "").select(named(h).alias("host"), named(p).alias("path")).distinct(), rules.where("host IS NOT NULL AND path IS NOT NULL"), partitions)
+    fh, fp, best = fresh(parts, "found_host", "found_path", "best")
+    found = found.select(F.col("host").alias(fh), F.col("path").alias(fp), F.col("best").alias(best))
+    met = parts.join(found, (named(h) == named(fh)) & (named(p) == named(fp)), "left")
+    verdict = F.coalesce(named(best)["verdict"], F.when(named(h) == "", F.lit(no_host)).otherwise(F.lit(default)))
+    return met.select(*kept, named(h).alias("host"), named(p).alias("path"), named(best)["rule"].alias("rule"), verdict.alias("verdict"))
 
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

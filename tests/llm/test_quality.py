@@ -30,7 +30,14 @@ def test_edges(edges, nothing):
 
 def test_query(spark, sf):
     want = {r.doc_id: brute(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    assert {r[0]: tuple(r)[1:] for r in quality.op2_quality_rules(spark, sf).collect()} == want
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failure_bits"]
+    got = quality.op2_quality_rules(spark, sf)
+    assert {r[0]: tuple(r)[1:] for r in got.select(columns).collect()} == want
+    bits = [x[-1] for x in want.values()]
+    for r in got.collect():
+        alone = [name for name, _ in quality.RULES if r.failure_bits == quality.bits((name,))]
+        assert r.only_rule == (alone[0] if alone else None) and r.n_only_rule == (bits.count(r.failure_bits) if alone else None)
+        assert r.kept_2024_1 == (r.failure_bits & quality.bits(quality.POLICIES["2024-1"]) == 0)
 
 
 def test_overlapping_spans(spark):

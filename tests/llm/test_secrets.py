@@ -74,6 +74,21 @@ def test_held_out_samples(spark, model):
     assert right / len(rows) > 0.97
 
 
+def test_calibration(spark):
+    """Held-out recall and false alarms; a threshold that samples demand is above THRESHOLD."""
+    labelled = secrets.samples(spark)
+    model, threshold = secrets.calibrated(labelled)
+    assert threshold == secrets.THRESHOLD
+    rows = labelled.where("held_out AND length(text) >= 20").select("random", (secrets.ratio(secrets.F.col("text"), model) >= threshold).alias("hit")).collect()
+    hits, of = [[r.hit for r in rows if r.random == kind] for kind in (True, False)]
+    assert sum(hits) / len(hits) > 0.97 and not any(of) and len(of) > 300
+    mixed = labelled.where("NOT held_out").unionByName(labelled.where("random AND held_out").selectExpr("text", "false AS random", "held_out"))
+    model, threshold = secrets.calibrated(mixed, false_alarms=0.5)
+    ordinary = mixed.where("held_out AND NOT random AND length(text) >= 20").select(secrets.ratio(secrets.F.col("text"), model).alias("r")).collect()
+    assert threshold > secrets.THRESHOLD and 0.45 < sum(r.r >= threshold for r in ordinary) / len(ordinary) <= 0.5
+    assert secrets.calibrated(labelled.limit(0))[1] == secrets.THRESHOLD
+
+
 def test_redact(spark, model):
     df = secrets.scan(table(spark, [(i, t, None) for i, t in enumerate(TEXTS)]), model)
     for r in df.select("doc_id", "secret_spans", secrets.redact(secrets.F.col("text"), secrets.F.col("secret_spans")).alias("clean")).collect():

@@ -10,13 +10,13 @@ def brute(url, rules):
     host = re.match(r"[^/?#]*", rest)[0]
     path = re.match(r"[^?#]*", rest[len(host) :])[0]
     host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
-    fit = [(len(h + p), len(h), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    fit = [(len(h + p), len(h), h + p, v) for v, h, p in rules if h is not None and p is not None and (host == h or host.endswith("." + h)) and path.startswith(p)]
     best = max(fit, default=None)
     return host, path, best and best[2], best[3] if best else "allow" if host else "block"
 
 
 def run(spark, urls, rules, partitions=4):
-    pages = spark.createDataFrame([(i, u, "h", 1, None) for i, u in enumerate(urls)], "page_id long, url string, host string, rule int, stack string")
+    pages = spark.createDataFrame([(i, u, "h", 1, None) for i, u in enumerate(urls)], "page_id long, url string, Host string, rule int, _stack string")
     table = spark.createDataFrame(rules, "verdict string, host string, path string")
     got = ur.judge(pages, table, partitions).select("page_id", "host", "path", "rule", "verdict").collect()
     assert sorted(map(tuple, got), key=lambda r: r[0]) == [(i, *brute(u, rules)) for i, u in enumerate(urls)]
@@ -30,6 +30,7 @@ def test_edges(spark):
     run(spark, EDGES + EDGES, ur.RULES)
     run(spark, [], ur.RULES)
     run(spark, EDGES, [])
+    run(spark, EDGES, [("block", None, "/"), ("allow", "com", None), ("block", "com", "")])
 
 
 def test_nested_rules_over_ranges(spark):
@@ -43,6 +44,16 @@ def test_nested_rules_over_ranges(spark):
         run(spark, urls, rules, partitions)
 
 
+def test_many_nested_paths(spark):
+    """Many rules under one host, nested many deep, and a path that most pages have."""
+    rng = random.Random(2)
+    paths = ["/" + "a/" * n for n in range(40)] + [f"/{x}{y}" for x in "abcxyz" for y in ("", "/", "1", "1/2", "\U0001f600", "\x00", "é")]
+    rules = [(rng.choice(["allow", "block"]), h, p) for h in ("big.com", "x.big.com", "com") for p in paths] + [("allow", "big.com", "/a1"), ("block", "big.com", "/a1")]
+    urls = [f"http://{rng.choice(['', 'x.', 'y.x.'])}big.com{rng.choice(paths)}{rng.choice(['', '/a/b', 'a/', '?q'])}" for _ in range(500)] + ["http://big.com/a/"] * 400
+    for partitions in (1, 9):
+        run(spark, urls, rules, partitions)
+
+
 def test_query(spark, sf):
     urls = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = ur.op10_url_rules(spark, sf).collect()
