@@ -23,7 +23,7 @@ FOUND = "doc_id long, h binary, g binary"
 LOW = 36
 #: Bytes of text for which there is one bucket of hashes and one part of the documents, and
 #: the least number of bits in their number.
-PER_BUCKET, LEAST_BITS = 32 << 20, 5
+PER_BUCKET, LEAST_BITS = 16 << 20, 4
 #: Bytes of text for which the table of packed texts has one file.
 PER_FILE = 16 << 20
 

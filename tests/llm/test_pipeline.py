@@ -50,7 +50,8 @@ def expected(rows, model):
 
 
 def check(spark, docs, sf_dir):
-    model = secrets.train(secrets.samples(spark))
+    model, threshold = secrets.calibrated(secrets.samples(spark))
+    assert threshold == secrets.THRESHOLD
     want = expected(rows_of(docs), model)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         columns = docs.columns
