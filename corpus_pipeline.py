@@ -35,7 +35,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; secrets in their texts are replaced, and n_chars follows. Null texts
     stay null."""
     clean = secrets.redact(F.col("text"), F.col("secret_spans"))
-    found = secrets.scan(docs, secrets.train(secrets.samples(spark))).withColumn("text", clean)
+    found = secrets.scan(docs, *secrets.calibrated(secrets.samples(spark))).withColumn("text", clean)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
