@@ -57,3 +57,16 @@ def reuse_tier(score: Column) -> Column:
 
 def insight_badge(confidence: Column) -> Column:
     return F.when(confidence >= 0.85, "high").when(confidence >= 0.70, "potent").otherwise("info")
+
+
+#: Kinds of hits that are cited as what they are; all others are cited as files.
+CITED = ["project", "asset", "capability", "insight", "opportunity"]
+
+
+def citation_kind(hit_kind: Column) -> Column:
+    return F.when(hit_kind.isin(CITED), hit_kind).otherwise(F.lit("file"))
+
+
+def job_class(job_type: Column) -> Column:
+    """A struct: needs_model, deep."""
+    return F.struct(job_type.isin(NEED_MODEL).alias("needs_model"), job_type.isin(DEEP).alias("deep"))

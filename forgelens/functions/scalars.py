@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once for ``body``; else each use of it may be computed again."""
+    return F.transform(F.array(value), body)[0]
+
+
 def non_empty(c: Column) -> Column:
     """Trimmed; blank becomes null."""
     return F.nullif(F.trim(c), F.lit(""))
@@ -139,3 +145,19 @@ def any_of(conditions: list[Column]) -> Column:
 def count_in(text: Column, terms: list[str]) -> Column:
     """How many of the terms stand in the text."""
     return reduce(lambda a, b: a + b, [F.contains(text, F.lit(t)).cast("int") for t in terms])
+
+
+def language_colour(language: Column) -> Column:
+    """A steady colour for each language: its hue from the name, grey where it is unknown."""
+    hue = F.pmod(F.crc32(F.lower(language).cast("binary")), F.lit(360))
+    return F.when(non_empty(language).isNull(), F.lit("hsl(0, 0%, 60%)")).otherwise(F.format_string("hsl(%d, 55%%, 50%%)", hue))
+
+
+def normalize_query(text: Column, most: int = 200) -> Column:
+    """Trimmed, runs of white space as one space, at most ``most`` characters."""
+    return F.substring(collapse_spaces(text), 1, most)
+
+
+def group_concat(values: Column, separator: str = " ") -> Column:
+    """An aggregate: the distinct values, sorted, as one text."""
+    return F.array_join(F.array_sort(F.collect_set(values)), separator)

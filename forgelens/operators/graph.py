@@ -22,10 +22,9 @@ def parse_list(text: str | None, enum: str) -> list[str] | None:
 
 
 def ends(relations: DataFrame) -> DataFrame:
-    """node, kind, other, other_kind: every edge from both of its ends."""
-    there = relations.select(F.col("source_id").alias("node"), F.col("source_type").alias("kind"), F.col("target_id").alias("other"), F.col("target_type").alias("other_kind"), "confidence", "id")
-    back = relations.select(F.col("target_id").alias("node"), F.col("target_type").alias("kind"), F.col("source_id").alias("other"), F.col("source_type").alias("other_kind"), "confidence", "id")
-    return there.unionByName(back)
+    """node, kind, other, other_kind: every edge from both of its ends, in one reading."""
+    one = lambda a, b: F.struct(F.col(f"{a}_id").alias("node"), F.col(f"{a}_type").alias("kind"), F.col(f"{b}_id").alias("other"), F.col(f"{b}_type").alias("other_kind"))
+    return relations.select(F.explode(F.array(one("source", "target"), one("target", "source"))).alias("e"), "confidence", "id").select("e.*", "confidence", "id")
 
 
 def degrees(relations: DataFrame) -> DataFrame:
@@ -90,3 +89,25 @@ def rings(nodes: DataFrame, centre: str, radius: float = 120.0, step: float = 90
     far = F.when(F.col("_r") < 0, 0.0).otherwise(radius + ring * step)
     angle = place * (2 * 3.141592653589793 / per_ring)
     return nodes.withColumn("_r", rank).withColumns({"x": F.round(far * F.cos(angle), 2), "y": F.round(far * F.sin(angle), 2)}).drop("_r")
+
+
+def node_legend(nodes: DataFrame) -> DataFrame:
+    """kind, n for all kinds of entities, zeros included, in domain order."""
+    kinds = nodes.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(v) for v in VALUES["entity_kind"]])).alias("ordinal", "kind"))
+    return kinds.join(nodes.groupBy("kind").agg(F.count("*").alias("n")), "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"), "ordinal")
+
+
+def locate(entity: str, projects: DataFrame, capabilities: DataFrame, assets: DataFrame, relations: DataFrame) -> DataFrame:
+    """id, kind of an entity: a project, else a capability, else an asset, else what an edge
+    says of it; no rows where nothing knows it."""
+    parts = [df.where(F.col("id") == entity).select("id", F.lit(kind).alias("kind"), F.lit(rank).alias("rank")) for rank, (kind, df) in enumerate((("project", projects), ("capability", capabilities), ("asset", assets)))]
+    seen = ends(relations).where(F.col("node") == entity).select(F.col("node").alias("id"), "kind", F.lit(3).alias("rank"))
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(seen)
+    return every.groupBy("id").agg(F.min_by("kind", F.struct("rank", "kind")).alias("kind"))
+
+
+def neighbourhood(relations: DataFrame, entity: str) -> DataFrame:
+    """relation_type, outgoing, n, confidence: how an entity hangs together with others."""
+    out = F.col("source_id") == entity
+    touching = relations.where(out | (F.col("target_id") == entity)).withColumn("outgoing", out)
+    return touching.groupBy("relation_type", "outgoing").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence")).orderBy(F.col("n").desc(), "relation_type", "outgoing")

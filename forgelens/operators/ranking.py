@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, collapse_spaces, idle_days, stars
+from ..functions.scalars import clamp, collapse_spaces, idle_days, let, percent, stars
 from . import retrieval
 
 RELEVANCE, QUALITY, RECENCY, BOOST = 0.55, 0.25, 0.20, 0.25
@@ -130,20 +130,33 @@ def escape_html(c: Column) -> Column:
 def snippet(text: Column, terms: Sequence[str], around: int = 12, head: int = 48) -> Column:
     """The earliest term with ``around`` characters on either side, marked; else the first
     ``head`` characters. Every part is escaped; places are characters of the text itself."""
-    flat = collapse_spaces(text)
-    plain = escape_html(F.when(F.length(flat) > head, F.concat(F.substring(flat, 1, head), F.lit("…"))).otherwise(flat))
-    if not terms:
-        return plain
-    places = F.array(*[F.struct(F.nullif(F.position(F.lit(t.lower()), F.lower(flat)), F.lit(0)).alias("at"), F.lit(len(t)).alias("n")) for t in terms])
-    first = F.array_min(F.filter(places, lambda p: p["at"].isNotNull()))
-    at, n = first["at"], first["n"]
-    begin = F.greatest(at - around, F.lit(1))
-    marked = F.concat(
-        F.when(begin > 1, F.lit("…")).otherwise(F.lit("")), escape_html(F.substring(flat, begin, at - begin)), F.lit("<mark>"), escape_html(F.substring(flat, at, n)), F.lit("</mark>"),
-        escape_html(F.substring(flat, at + n, F.lit(around))), F.when(F.length(flat) > at + n + around - 1, F.lit("…")).otherwise(F.lit("")),
-    )
-    return F.when(at.isNull(), plain).otherwise(marked)
+    low = [F.lit(t.lower()) for t in terms]
+
+    def shown(flat: Column) -> Column:
+        plain = escape_html(F.when(F.length(flat) > head, F.concat(F.substring(flat, 1, head), F.lit("…"))).otherwise(flat))
+        places = let(F.lower(flat), lambda lowered: F.array(*[F.struct(F.nullif(F.position(t, lowered), F.lit(0)).alias("at"), F.lit(len(term)).alias("n")) for t, term in zip(low, terms, strict=True)]))
+        first = F.array_min(F.filter(places, lambda p: p["at"].isNotNull())) if terms else None
+        return plain if first is None else let(first, lambda hit: F.when(hit.isNull(), plain).otherwise(marked(flat, hit["at"], hit["n"])))
+
+    def marked(flat: Column, at: Column, n: Column) -> Column:
+        begin = F.greatest(at - around, F.lit(1))
+        before, after = F.substring(flat, begin, at - begin), F.substring(flat, at + n, F.lit(around))
+        return F.concat(
+            F.when(begin > 1, F.lit("…")).otherwise(F.lit("")), escape_html(before), F.lit("<mark>"), escape_html(F.substring(flat, at, n)), F.lit("</mark>"),
+            escape_html(after), F.when(F.length(flat) > at + n + around - 1, F.lit("…")).otherwise(F.lit("")),
+        )
+
+    return let(collapse_spaces(text), shown)
 
 
 def strip_marks(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("<mark>"), F.lit("")), F.lit("</mark>"), F.lit(""))
+
+
+LABELS = {"project": "Project", "asset": "Asset", "capability": "Capability", "insight": "Insight", "opportunity": "Opportunity"}
+
+
+def api_view(hits: DataFrame) -> DataFrame:
+    """Hits as a client shows them: score in percent, the kind's label, the page's link."""
+    label = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in LABELS.items()], F.col("kind"))
+    return hits.select("kind", "id", "title", percent(F.col("score")).alias("percent"), label.alias("label"), F.concat(F.lit("/"), F.col("kind"), F.lit("/"), F.col("id")).alias("link"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import enums
-from ..functions.scalars import any_of, contains_text
+from ..functions.scalars import any_of, contains_text, idle_days
 
 #: Up to this many rows of words, a table of them is broadcast.
 FEW_WORDS = 2_000_000
@@ -154,15 +154,14 @@ def adoption_rate(insights: DataFrame) -> DataFrame:
     return insights.agg(F.try_divide(useful.cast("double"), useful + useless).alias("adoption_rate"))
 
 
-def subtree(capabilities: DataFrame, root: str, depth: int = 8) -> DataFrame:
-    """The ids below and at ``root``: one join a level, ended by the first empty one."""
-    level = out = capabilities.where(F.col("id") == root).select("id")
-    for _ in range(depth):
-        level = capabilities.join(level.withColumnRenamed("id", "parent_id"), "parent_id").select("id")
-        if level.isEmpty():
-            break
+def subtree(capabilities: DataFrame, root: str) -> DataFrame:
+    """The ids below and at ``root``, however deep: one join a level, ended by the first that
+    finds nothing new. So a loop among the rows ends, too."""
+    level = out = capabilities.where(F.col("id") == root).select("id").distinct()
+    while not level.isEmpty():
+        level = capabilities.join(level.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id").join(out, "id", "left_anti").distinct()
         out = out.union(level)
-    return out.distinct()
+    return out
 
 
 def project_counts(capabilities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -233,3 +232,88 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     for df in rest:
         first = first.unionByName(df)
     return first
+
+
+def by_name(df: DataFrame, name: str, column: str = "name") -> DataFrame:
+    """Rows of just this name, whatever its case."""
+    return df.where(F.lower(column) == name.lower())
+
+
+def by_ids(df: DataFrame, ids: Sequence[str], key: str = "id") -> DataFrame:
+    return one_of(df, key, ids)
+
+
+def by_natural_key(capabilities: DataFrame, name: str, parent: str | None) -> DataFrame:
+    """The capability of a name below a parent; null parent: a domain."""
+    return capabilities.where((F.col("name") == name) & F.col("parent_id").eqNullSafe(F.lit(parent)))
+
+
+def edges_of(relations: DataFrame, source: str | None = None, target: str | None = None, kind: str | None = None) -> DataFrame:
+    """Edges from a source, to a target, of a type; by confidence, then id."""
+    for column, value in (("source_id", source), ("target_id", target), ("relation_type", kind)):
+        relations = relations.where(F.col(column) == value) if value is not None else relations
+    return relations.orderBy(F.col("confidence").desc(), "id")
+
+
+def semi(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key is among the first column of ``wanted``."""
+    return df.join(wanted.select(F.col(wanted.columns[0]).alias(key)), key, "left_semi")
+
+
+def project_briefs(assets: DataFrame, projects: DataFrame, now: Column) -> DataFrame:
+    """Assets with the name, language and idle days of their project, which may be gone."""
+    idle = idle_days(F.col("last_commit_at").cast("timestamp"), F.col("updated_at").cast("timestamp"), now)
+    brief = projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name"), F.col("language").alias("project_language"), idle.alias("project_idle"))
+    return assets.join(brief, "project_id", "left")
+
+
+def totals(df: DataFrame, amount: str, at: str) -> DataFrame:
+    """total, n, latest: one row, also of no rows."""
+    return df.agg(F.coalesce(F.sum(amount), F.lit(0)).alias("total"), F.count("*").alias("n"), F.max(at).alias("latest"))
+
+
+def scan_state(projects: DataFrame, at: str = "scanned_at") -> DataFrame:
+    """latest, scanned: blank times do not count."""
+    known = F.nullif(F.trim(F.col(at)), F.lit(""))
+    return projects.agg(F.max(known).alias("latest"), F.count(known).alias("scanned"))
+
+
+def asset_counts(assets: DataFrame, since: Column | None = None, least: float = 0.70) -> DataFrame:
+    """reusable, useful: assets of a good score, and those marked useful (since a time)."""
+    marked = (F.col("user_feedback") == "useful") & (F.lit(True) if since is None else F.col("created_at") >= since)
+    return assets.agg(F.count_if(F.col("reuse_score") >= least).alias("reusable"), F.count_if(marked).alias("useful"))
+
+
+def insight_counts(insights: DataFrame) -> DataFrame:
+    """total, unread, and the adoption rate."""
+    counted = insights.agg(F.count("*").alias("total"), F.count_if(F.col("user_feedback").isNull()).alias("unread"))
+    return counted.withColumn("_k", F.lit(1)).join(adoption_rate(insights).withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+def opportunity_counts(opportunities: DataFrame) -> DataFrame:
+    """status, n, actionable, analysed: by status, with those that have an analysis."""
+    has = F.nullif(F.trim("analysis_json"), F.lit("")).isNotNull()
+    return opportunities.groupBy("status").agg(F.count("*").alias("n"), F.first(F.col("status").isin(enums.ACTIONABLE)).alias("actionable"), F.count_if(has).alias("analysed"))
+
+
+def exists_where(df: DataFrame, condition: Column) -> DataFrame:
+    """One row: whether any row meets the condition."""
+    return df.agg(F.coalesce(F.bool_or(condition), F.lit(False)).alias("exists"))
+
+
+def kind_counts(hits: DataFrame) -> DataFrame:
+    """kind, n over a page of hits, all kinds, zeros included."""
+    return facet(hits, "kind", enums.lookup(hits.sparkSession, "hit_kind")).select(F.col("value").alias("kind"), "n", "ordinal")
+
+
+def append(log: DataFrame, rows: DataFrame, at: Column) -> DataFrame:
+    """An append-only log (activities, audit) with new rows: each takes the next ``seq``, by
+    which rows of one time keep their order, and the time ``at``."""
+    last = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_last"))
+    numbered = rows.withColumn("seq", F.row_number().over(Window.orderBy(*rows.columns)).cast("long")).join(F.broadcast(last)).withColumn("seq", F.col("seq") + F.col("_last")).drop("_last")
+    return log.unionByName(numbered.withColumn("created_at", at).select(log.columns))
+
+
+def recent(log: DataFrame, kind: str, limit: int | None = None) -> DataFrame:
+    """The newest rows of a log; rows of one time by ``seq``."""
+    return page(log, kind, order("recent"), limit)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import any_of, contains_text
+from ..functions.scalars import any_of, contains_text, let
 
 GRAM = 3
 MOST_GRAMS = 64
@@ -82,8 +82,8 @@ def candidates(index: DataFrame, kind: str, groups: list[list[str]]) -> DataFram
 def phrase_count(columns: Sequence[str], phrase: str) -> Column:
     """How often the phrase stands in the columns, without overlaps."""
     low = phrase.lower()
-    each = [((F.length(F.coalesce(F.col(c), F.lit(""))) - F.length(F.replace(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(low), F.lit("")))) / len(low)) for c in columns]
-    return reduce(lambda a, b: a + b, each)
+    found = lambda t: F.when(F.contains(t, F.lit(low)), (F.length(t) - F.length(F.replace(t, F.lit(low), F.lit("")))) / len(low)).otherwise(F.lit(0.0))
+    return reduce(lambda a, b: a + b, [let(F.lower(F.coalesce(F.col(c), F.lit(""))), found) for c in columns])
 
 
 def match(df: DataFrame, columns: Sequence[str], text: str, index: DataFrame | None = None, kind: str = "", key: str = "id") -> DataFrame:

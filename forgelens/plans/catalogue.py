@@ -579,3 +579,6 @@ def keep_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_per_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.col("c_acctbal").desc(), "c_custkey"))
     return table(spark, sf_dir, "customer").withColumn("n", rank).where("n = 1").select("c_nationkey", "c_custkey")
+
+
+from . import listings  # noqa: E402, F401  registers more queries

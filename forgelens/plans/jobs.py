@@ -68,6 +68,7 @@ class Runner:
 
     def __init__(self, spark: SparkSession, path: str, handlers: dict[str, Callable[[dict, Callable], None]]):
         self.spark, self.path, self.handlers, self.seq = spark, path, handlers, 0
+        self.seq = self.events().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]  # a log goes on where it ended
 
     def events(self) -> DataFrame:
         try:
@@ -89,6 +90,7 @@ class Runner:
         if not active(fold(self.events())).where(F.col("type") == kind).isEmpty():
             raise Busy(kind)
         ran = []
+        self.seq = max(self.seq, self.events().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0])
         while kind:
             job_id = f"{kind}-{self.seq + 1}"
             ran.append(job_id)
