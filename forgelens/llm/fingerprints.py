@@ -5,13 +5,15 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .common import SPACES, let
 
-#: Words in a k-mer; functions, each an order of its own over all k-mers; and bits of a tuple.
-K, FUNCTIONS, TUPLE_BITS = 3, 24, 32
+#: Words in a k-mer; tuples of a signature, each of two k-mers; and bits of a tuple.
+K, TUPLES, TUPLE_BITS = 3, 32, 32
+#: Bits of a k-mer's place in its text, as a share of the text's length.
+PLACE_BITS = 24
 #: Texts of up to SHORT code points have tuples of CHARS-character k-mers, too. Words longer
 #: than LONG count as their overlapping pieces of PIECE characters.
 SHORT, CHARS, LONG, PIECE = 1024, 4, 24, 4
@@ -60,42 +62,49 @@ def _numbered(kmers: Column) -> Column:
     return F.when(F.size(F.array_distinct(kmers)) == F.size(kmers), kmers).otherwise(let(sorted_pairs, number))
 
 
-def signature(text: Column) -> Column:
-    """The text's tuples, one of each function, as numbers of TUPLE_BITS bits.
+def _levels(text: Column, graded: bool) -> list[Column]:
+    """Occurrence-numbered k-mers by level. Not ``graded``: of words alone. Else of words in
+    which long ones count as their pieces, and of the characters of the words with one space
+    between them; null if these are more than SHORT code points. So texts of few words or
+    without spaces stay like their edits, and two texts always have a level in common."""
+    words = let(_words(text), lambda w: let(_kmers(_pieces(w) if graded else F.transform(w, lambda x: F.xxhash64(x))), _numbered))
+    if not graded:
+        return [words]
+    plain = lambda t: F.when(t == "", F.array().cast("array<long>")).when(F.length(t) <= SHORT, let(_kmers(_characters(t), CHARS), _numbered))
+    return [words, let(F.array_join(_words(text), " "), plain)]
 
-    Each function is an order of its own over all occurrence-numbered k-mers. It selects the
-    two minimal ones, puts them in the order of the text and hashes the pair; where there is
-    but one k-mer, that one twice. Null and texts without words: none.
-    """
-    return _tuples(let(_words(text), lambda words: _kmers(F.transform(words, lambda w: F.xxhash64(w)))))
-
-
-def graded_signature(text: Column) -> Column:
-    """A struct of two signatures: ``words``, of word k-mers in which long words count as their
-    pieces, and ``chars``, of character k-mers of the words with one space between them; null
-    if these are more than SHORT code points. So texts of few words or without spaces stay
-    like their edits, and two texts always have a level in common."""
 
-    def of(words: Column) -> Column:
-        plain = lambda t: F.when(t == "", F.array().cast("array<long>")).when(F.length(t) <= SHORT, _tuples(_kmers(_characters(t), CHARS)))
-        return F.struct(_tuples(_kmers(_pieces(words))).alias("words"), let(F.array_join(words, " "), plain).alias("chars"))
+def _least(order: int) -> Column:
+    """The least k-mer in an order of its own, by 40 bits of hash, with its place."""
+    h = F.xxhash64("x", F.lit(order)).bitwiseAND(F.lit(-(1 << PLACE_BITS)))
+    return F.min(h.bitwiseOR(F.expr(f"x_place * {1 << PLACE_BITS}L div x_count"))).alias(f"m{order}")
 
-    return let(_words(text), of)
 
+def _tuple(i: int) -> Column:
+    a, b = F.col(f"m{2 * i}"), F.col(f"m{2 * i + 1}")
+    place, bare = lambda m: m.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)), lambda m: F.shiftright(m, PLACE_BITS)
+    h = F.when(place(a) <= place(b), F.xxhash64(bare(a), bare(b))).otherwise(F.xxhash64(bare(b), bare(a)))
+    return h.bitwiseAND(F.lit((1 << TUPLE_BITS) - 1))
 
-def _tuples(kmers: Column) -> Column:
-    def pair(order: Column, a: Column, b: Column) -> Column:
-        h = F.when(F.array_position(order, a) <= F.array_position(order, b), F.xxhash64(a, b)).otherwise(F.xxhash64(b, a))
-        return h.bitwiseAND(F.lit((1 << TUPLE_BITS) - 1))
 
-    def tuple_of(order: Column) -> Column:
-        return let(F.array_min(order), lambda a: let(F.coalesce(F.array_min(F.array_remove(order, a)), a), lambda b: pair(order, a, b)))
+def signatures(rows: DataFrame, keys: list[str], texts: dict[str, Column], graded: bool = False) -> DataFrame:
+    """keys and a signature for each of ``texts``: its levels, each the tuples as numbers of
+    TUPLE_BITS bits; null where the text has no such level. ``keys`` are those of one row.
 
-    def tuples(x: Column) -> Column:
-        every = F.transform(F.sequence(F.lit(0), F.lit(FUNCTIONS - 1)), lambda j: let(F.transform(x, lambda h: F.xxhash64(h, j)), tuple_of))
-        return F.when(F.size(x) == 0, F.slice(x, 1, 0)).otherwise(every)
-
-    return let(kmers, lambda of: let(_numbered(of), tuples))
+    A tuple has two orders over all occurrence-numbered k-mers, independent of each other and
+    of all other tuples'. Each selects its minimal k-mer; the two are put in the order of the
+    text and hashed. Null and texts without words: no tuples. All minima come from one pass
+    of plain aggregates over the k-mers as rows, which need no exchange if the rows lie by
+    some of the keys.
+    """
+    kmers = [F.struct(F.lit(f"{name}{i}").alias("level"), of.alias("kmers")) for name, text in texts.items() for i, of in enumerate(_levels(text, graded))]
+    level = rows.select(*keys, F.explode(F.array(*kmers)).alias("k")).where("k.kmers IS NOT NULL").select(*keys, "k.level", "k.kmers")
+    each = level.select(*keys, "level", F.size("kmers").alias("x_count"), F.posexplode_outer("kmers").alias("x_place", "x"))
+    least = each.groupBy(*keys, "level").agg(*[_least(j) for j in range(2 * TUPLES)])
+    tuples = F.when(F.col("m0").isNull(), F.array().cast("array<long>")).otherwise(F.array(*[_tuple(i) for i in range(TUPLES)]))
+    met = least.select(*keys, "level", tuples.alias("tuples")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("level", "tuples"))).alias("found"))
+    names = ("words", "chars") if graded else ("words",)
+    return met.select(*keys, *[F.struct(*[F.col("found")[f"{name}{i}"].alias(n) for i, n in enumerate(names)]).alias(name) for name in texts])
 
 
 def as_text(of: Column) -> Column:
@@ -104,19 +113,22 @@ def as_text(of: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the functions with equal tuples. Neither has any: 1."""
+    """Share of equal tuples. Neither has any: 1."""
     same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(same / F.lit(FUNCTIONS))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(same / F.lit(TUPLES))
 
 
-def graded_text(of: Column) -> Column:
+def print_text(of: Column, graded: bool) -> Column:
     """The digits of words; for a short text then a point and those of chars."""
+    if not graded:
+        return as_text(of["words"])
     return F.concat(as_text(of["words"]), F.when(of["chars"].isNull(), F.lit("")).otherwise(F.concat(F.lit("."), as_text(of["chars"]))))
 
 
-def graded_likeness(a: Column, b: Column) -> Column:
+def print_likeness(a: Column, b: Column, graded: bool) -> Column:
     """By characters if both texts are short, else by words."""
-    return F.when(a["chars"].isNotNull() & b["chars"].isNotNull(), likeness(a["chars"], b["chars"])).otherwise(likeness(a["words"], b["words"]))
+    words = likeness(a["words"], b["words"])
+    return F.when(a["chars"].isNotNull() & b["chars"].isNotNull(), likeness(a["chars"], b["chars"])).otherwise(words) if graded else words
 
 
 def _bounds(keys: DataFrame, ranges: int) -> list[int]:
@@ -132,9 +144,27 @@ def _range_of(key: Column, bounds: Column, n: int) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= key, at + step).otherwise(at))
 
 
+def _in_ranges(docs: DataFrame, per_range: int) -> tuple[DataFrame, WindowSpec]:
+    """The rows with range, look and wrap, and the order within a range (see with_next)."""
+    key = F.coalesce("doc_id", F.lit(FIRST))
+    keys = docs.select(key.alias("k"))
+    n, low = keys.agg(F.count("*"), F.min("k")).first()
+    found = _bounds(keys, max(1, -(-n // max(per_range, math.isqrt(n)))))
+    bounds = F.from_json(F.lit(json.dumps(found)), "array<long>")
+    at = lambda look, wrap, to: F.struct(F.lit(look).alias("look"), F.lit(wrap).alias("wrap"), to.alias("range"))
+
+    def copies(place: Column) -> Column:
+        at_bound = (place > 0) & F.coalesce(F.get(bounds, place - 1) == key, F.lit(False))
+        every = F.array(at(False, False, place), F.when(at_bound, at(True, False, place - 1)), F.when(key == F.lit(low), at(True, True, F.lit(len(found)))))
+        return F.filter(every, lambda x: x.isNotNull())
+
+    dealt = docs.select("*", F.inline(let(_range_of(key, bounds, len(found)), copies)))
+    return dealt, Window.partitionBy("range").orderBy("wrap", key, "text")
+
+
 def with_next(docs: DataFrame, values: list[str], per_range: int = 2000) -> DataFrame:
-    """``docs`` with next_<value> from the next row by (doc_id, text), after the last the
-    first. Null doc_ids come first.
+    """``docs(doc_id, text)`` with next_<value> from the next row by (doc_id, text), after the
+    last the first. Null doc_ids come first.
 
     Rows are dealt once, to ranges of doc_id whose bounds are ids that occur (found from
     that column alone). The row at a bound also goes to the range before it, where it is
@@ -142,41 +172,34 @@ def with_next(docs: DataFrame, values: list[str], per_range: int = 2000) -> Data
     rows in a range as ranges, ``per_range`` at least, so neither a range nor the list of
     bounds grows as fast as the table.
     """
-    key = F.coalesce("doc_id", F.lit(FIRST))
-    keys = docs.select(key.alias("k"))
-    n, low = keys.agg(F.count("*"), F.min("k")).first()
-    found = _bounds(keys, max(1, -(-n // max(per_range, math.isqrt(n)))))
-    bounds = F.from_json(F.lit(json.dumps(found)), "array<long>")
-    last = F.lit(len(found))
-    own = F.struct(F.lit(False).alias("look"), F.lit(False).alias("wrap"), F.col("_place").alias("range"))
-    look = lambda wrap, to: F.struct(F.lit(True).alias("look"), F.lit(wrap).alias("wrap"), to.alias("range"))
-    at_bound = F.coalesce(F.get(bounds, F.col("_place") - 1) == key, F.lit(False)) & (F.col("_place") > 0)
-    copies = F.filter(F.array(own, F.when(at_bound, look(False, F.col("_place") - 1)), F.when(key == F.lit(low), look(True, last))), lambda x: x.isNotNull())
-    dealt = docs.withColumn("_place", _range_of(key, bounds, len(found))).withColumn("_at", F.explode(copies))
-    order = Window.partitionBy("_at.range").orderBy("_at.wrap", key, "text")
-    ahead = {f"next_{v}": F.lead(v).over(order) for v in values}
-    return dealt.withColumns(ahead).where("NOT _at.look").drop("_place", "_at")
-
-
-def fingerprint_edits(docs: DataFrame, graded: bool = False) -> DataFrame:
+    dealt, order = _in_ranges(docs, per_range)
+    return dealt.withColumns({f"next_{v}": F.lead(v).over(order) for v in values}).where("NOT look").drop("look", "wrap", "range")
+
+
+def fingerprint_edits(docs: DataFrame, graded: bool = False, per_range: int = 2000) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and
     near_next for each row of ``docs(doc_id, text)``.
 
     The edited text: the last floor(n_chars / 4) code points replaced by the first as many
     (or all) of the next document. Null text: empty; its likeness to another empty one is
     1. Rows that share a doc_id follow each other by text; a table of one row is its own
-    next. Other columns are ignored. ``graded``: by signatures of both levels.
+    next. A doc_id of -2^63 stands with the null ones. Other columns are ignored. ``graded``:
+    by signatures of words and of characters (see ``_levels``). Texts are exchanged once, to
+    the ranges of ``with_next``; all that follows stays there.
     """
-    sign, text_of, alike = (graded_signature, graded_text, graded_likeness) if graded else (signature, as_text, likeness)
-    read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("print", sign(F.col("text")))
-    met = with_next(read, ["text", "print"])
+    dealt, order = _in_ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), per_range)
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
+    met = dealt.select("range", "look", "doc_id", "text", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"))
     # In two steps, so that the edited text is made once.
-    edits = met.select("doc_id", n.cast("long").alias("n_chars"), "print", "next_print", F.inline(F.array(F.struct(edited.alias("edited")))))
-    signed = edits.select("*", F.inline(F.array(F.struct(F.sha2("edited", 256).alias("edited_sha256"), sign(F.col("edited")).alias("edited_print")))))
-    return signed.select("doc_id", "n_chars", "edited_sha256", text_of(F.col("print")).alias("fingerprint"), text_of(F.col("edited_print")).alias("edited_fingerprint"), alike(F.col("print"), F.col("edited_print")).alias("near_edited"), alike(F.col("print"), F.col("next_print")).alias("near_next"))
+    edits = met.select("range", "look", "doc_id", "place", "text", n.cast("long").alias("n_chars"), F.inline(F.array(F.struct(F.when(~F.col("look"), edited).alias("edited")))))
+    hashed = edits.select("*", F.sha2("edited", 256).alias("edited_sha256"))
+    keys = ["range", "place", "look", "doc_id", "n_chars", "edited_sha256"]
+    signed = signatures(hashed, keys, {"print": F.col("text"), "edited": F.col("edited")}, graded)
+    after = signed.withColumn("next", F.lead("print").over(Window.partitionBy("range").orderBy("place"))).where("NOT look")
+    a, b, c = F.col("print"), F.col("edited"), F.col("next")
+    return after.select("doc_id", "n_chars", "edited_sha256", print_text(a, graded).alias("fingerprint"), print_text(b, graded).alias("edited_fingerprint"), print_likeness(a, b, graded).alias("near_edited"), print_likeness(a, c, graded).alias("near_next"))
 
 
 def op5_order_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,19 +37,15 @@ def brute(text):
     for k in kmers:
         n = seen[k] = seen.get(k, -1) + 1
         numbered.append(k if n == 0 else chain(k, Int(n)))
-    out = []
-    for j in range(fp.FUNCTIONS):
-        order = [chain(x, Int(j)) for x in numbered]
-        a, b = (sorted(set(order)) * 2)[:2] if len(set(order)) == 1 else sorted(set(order))[:2]
-        x, y = (a, b) if order.index(a) <= order.index(b) else (b, a)
-        out.append(chain(x, y) & ((1 << fp.TUPLE_BITS) - 1))
-    return out
+    least = [min((chain(x, Int(j)) >> fp.PLACE_BITS, (p << fp.PLACE_BITS) // len(numbered)) for p, x in enumerate(numbered)) for j in range(2 * fp.TUPLES)]
+    pairs = [(x, y) if x[1] <= y[1] else (y, x) for x, y in zip(least[::2], least[1::2], strict=True)]
+    return [chain(x[0], y[0]) & ((1 << fp.TUPLE_BITS) - 1) for x, y in pairs]
 
 
 def likeness(a, b):
     if not a and not b:
         return 1.0
-    return sum(x == y for x, y in zip(a, b, strict=False)) / fp.FUNCTIONS
+    return sum(x == y for x, y in zip(a, b, strict=False)) / fp.TUPLES
 
 
 def brute_rows(rows):
@@ -65,7 +61,8 @@ def brute_rows(rows):
 
 
 def test_edges(edges, nothing):
-    assert sorted(map(tuple, fp.fingerprint_edits(edges).collect()), key=str) == brute_rows([r[:2] for r in EDGES])
+    for per_range in (2000, 3):
+        assert sorted(map(tuple, fp.fingerprint_edits(edges, per_range=per_range).collect()), key=str) == brute_rows([r[:2] for r in EDGES])
     assert fp.fingerprint_edits(nothing).count() == 0
 
 
@@ -81,8 +78,9 @@ def test_ranges(spark, monkeypatch):
 
 def test_order_counts(spark):
     a, b = " ".join(f"q{i}" for i in range(300)), " ".join(f"q{i}" for i in [*range(150, 300), *range(150)])
-    row = spark.createDataFrame([(a, b)], "a string, b string").select(fp.likeness(fp.signature(fp.F.col("a")), fp.signature(fp.F.col("b"))).alias("x"), fp.likeness(fp.signature(fp.F.col("a")), fp.signature(fp.F.col("a"))).alias("y")).first()
-    assert row.y == 1 and 0.3 < row.x < 0.7  # as sets of words, or of shingles, they are all but equal
+    found = fp.signatures(spark.createDataFrame([(a, b)], "a string, b string").withColumn("i", fp.F.lit(1)), ["i"], {"a": fp.F.col("a"), "b": fp.F.col("b")})
+    row = found.select(fp.likeness(fp.F.col("a.words"), fp.F.col("b.words")).alias("x"), fp.likeness(fp.F.col("a.words"), fp.F.col("a.words")).alias("y")).first()
+    assert row.y == 1 and 0.2 < row.x < 0.8  # as sets of words, or of shingles, they are all but equal
 
 
 def test_many_ranges_are_searched(spark, monkeypatch):

@@ -49,14 +49,18 @@ def test_short_and_unspaced_texts_stay_like_their_edits(spark):
 def test_levels(spark, monkeypatch):
     """A short and a long text meet by words; texts around the bound, too."""
     long_, short = "word of many " * 90, "word of many " * 60
-    alike = lambda a, b: spark.createDataFrame([(a, b)], "a string, b string").select(fp.graded_likeness(fp.graded_signature(fp.F.col("a")), fp.graded_signature(fp.F.col("b")))).first()[0]
+
+    def alike(a, b):
+        rows = spark.createDataFrame([(1, a, b)], "i int, a string, b string")
+        return fp.signatures(rows, ["i"], {"a": fp.F.col("a"), "b": fp.F.col("b")}, True).select(fp.print_likeness(fp.F.col("a"), fp.F.col("b"), True)).first()[0]
+
     assert alike(long_, short) == level.likeness(brute(long_, monkeypatch)[0], brute(short, monkeypatch)[0]) > 0
     assert alike("", None) == 1 and alike("", "word") == 0 and alike("a  b", " a\nb") == 1
 
 
 def test_brute_force(spark, sf, monkeypatch):
     texts = [t for _, t, _ in EDGES] + ["语言" * 40, "x" * 25, "x" * 24, "a\U0001f600b", "y" * 1024, "y" * 1025] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", fp.graded_signature(fp.F.col("text")).alias("s")).collect()
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").transform(lambda df: fp.signatures(df, ["i"], {"s": fp.F.col("text")}, True)).collect()
     assert len(rows) == len(texts)
     for r in rows:
         assert (r.s.words, r.s.chars) == brute(texts[r.i], monkeypatch), texts[r.i][:60]
