@@ -100,9 +100,9 @@ def ablation(of: DataFrame, policy: str = POLICY) -> DataFrame:
 
 
 def only_rule(policy: str = POLICY) -> Column:
-    """Of ledger rows that one rule of the policy alone rejects, that rule; else null."""
+    """Of ledger rows that one rule of the policy alone rejects, that rule; else empty."""
     failed = F.col("failure_bits").bitwiseAND(bits(POLICIES[policy]))
-    return F.coalesce(*[F.when(failed == bits((name,)), F.lit(name)) for name in POLICIES[policy]])
+    return F.coalesce(*[F.when(failed == bits((name,)), F.lit(name)) for name in POLICIES[policy]], F.lit(""))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.col("failure_bits").bitwiseAND(bits(BASE)) != 0
     judged = written.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), keeps().alias("kept"), "failure_bits", keeps("2024-1").alias("kept_2024_1"), only_rule().alias("only_rule"))
     effects = ablation(written).select(F.col("rule").alias("only_rule"), F.col("only_this").alias("n_only_rule"))
-    return judged.join(F.broadcast(effects), "only_rule", "left")  # a row for each rule
+    return judged.join(F.broadcast(effects), "only_rule", "left").withColumn("n_only_rule", F.coalesce("n_only_rule", F.lit(0)))  # a row for each rule is broadcast
 
 
 OP2_SQL = r"""
@@ -131,7 +131,7 @@ f AS (SELECT *, (n_words < 20) AS f0, (100 * n_repeat_words > 30 * n_words) AS f
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f0 OR f1) AS base_failed, NOT (f0 OR f1 OR f2 OR f3 OR f4 OR f5) AS kept,
        CAST(f0::INT + 2 * f1::INT + 4 * f2::INT + 8 * f3::INT + 16 * f4::INT + 32 * f5::INT AS BIGINT) AS failure_bits,
        NOT (f0 OR f1 OR f2 OR f3) AS kept_2024_1,
-       CASE failure_bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_spans' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines' WHEN 16 THEN 'short_words' WHEN 32 THEN 'long_words' END AS only_rule,
-       CASE WHEN failure_bits IN (1, 2, 4, 8, 16, 32) THEN CAST(count(*) OVER (PARTITION BY failure_bits) AS BIGINT) END AS n_only_rule
+       CASE failure_bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_spans' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines' WHEN 16 THEN 'short_words' WHEN 32 THEN 'long_words' ELSE '' END AS only_rule,
+       CASE WHEN failure_bits IN (1, 2, 4, 8, 16, 32) THEN CAST(count(*) OVER (PARTITION BY failure_bits) AS BIGINT) ELSE 0 END AS n_only_rule
 FROM f
 """

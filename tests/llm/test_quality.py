@@ -36,7 +36,7 @@ def test_query(spark, sf):
     bits = [x[-1] for x in want.values()]
     for r in got.collect():
         alone = [name for name, _ in quality.RULES if r.failure_bits == quality.bits((name,))]
-        assert r.only_rule == (alone[0] if alone else None) and r.n_only_rule == (bits.count(r.failure_bits) if alone else None)
+        assert r.only_rule == (alone[0] if alone else "") and r.n_only_rule == (bits.count(r.failure_bits) if alone else 0)
         assert r.kept_2024_1 == (r.failure_bits & quality.bits(quality.POLICIES["2024-1"]) == 0)
 
 
