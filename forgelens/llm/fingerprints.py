@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, let
 
 #: Words in a k-mer; tuples of a signature, each of two k-mers; and bits of a tuple.
-K, TUPLES, TUPLE_BITS = 3, 32, 32
+K, TUPLES, TUPLE_BITS = 3, 24, 32
 #: Bits of a k-mer's place in its text, as a share of the text's length.
 PLACE_BITS = 24
 #: Texts of up to SHORT code points have tuples of CHARS-character k-mers, too. Words longer
@@ -77,7 +77,7 @@ def _levels(text: Column, graded: bool) -> list[Column]:
 def _least(order: int) -> Column:
     """The least k-mer in an order of its own, by 40 bits of hash, with its place."""
     h = F.xxhash64("x", F.lit(order)).bitwiseAND(F.lit(-(1 << PLACE_BITS)))
-    return F.min(h.bitwiseOR(F.expr(f"x_place * {1 << PLACE_BITS}L div x_count"))).alias(f"m{order}")
+    return F.min(h.bitwiseOR(F.col("x_share"))).alias(f"m{order}")
 
 
 def _tuple(i: int) -> Column:
@@ -100,6 +100,7 @@ def signatures(rows: DataFrame, keys: list[str], texts: dict[str, Column], grade
     kmers = [F.struct(F.lit(f"{name}{i}").alias("level"), of.alias("kmers")) for name, text in texts.items() for i, of in enumerate(_levels(text, graded))]
     level = rows.select(*keys, F.explode(F.array(*kmers)).alias("k")).where("k.kmers IS NOT NULL").select(*keys, "k.level", "k.kmers")
     each = level.select(*keys, "level", F.size("kmers").alias("x_count"), F.posexplode_outer("kmers").alias("x_place", "x"))
+    each = each.select(*keys, "level", "x", F.expr(f"x_place * {1 << PLACE_BITS}L div x_count").alias("x_share"))
     least = each.groupBy(*keys, "level").agg(*[_least(j) for j in range(2 * TUPLES)])
     tuples = F.when(F.col("m0").isNull(), F.array().cast("array<long>")).otherwise(F.array(*[_tuple(i) for i in range(TUPLES)]))
     met = least.select(*keys, "level", tuples.alias("tuples")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("level", "tuples"))).alias("found"))
