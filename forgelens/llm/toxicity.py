@@ -44,25 +44,28 @@ LENGTHY = 8
 WHOLE, PREFIX = "", "*"  # what a trie's node has where a term, or a stem, ends
 
 
+def _letter_bits(word: str) -> int:
+    """A bit for each kind of letter. One edit takes away or adds one kind at most."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
 class Lexicon:
     """Terms (accepted as whole words), stems (accepted as what a word begins with) and
-    ordinary words, which are no misspelling of either. Terms and stems stand in one trie;
-    look-ups of exact ones only save its walk."""
+    ordinary words, which are no misspelling of either. Terms and stems stand in a trie, one
+    for each length of words; look-ups of exact ones only save its walk."""
 
     def __init__(self, terms: list[str], stems: list[str], ordinary: list[str] | tuple[str, ...] = ()):
-        self.root: dict = {}
         self.terms, self.stems, self.ordinary = frozenset(terms), frozenset(stems), frozenset(ordinary)
         self.widths = sorted({len(s) for s in stems})
         self.shapes: dict[tuple[int, int, bool], set[str]] = {}
         self.checks: dict[int, list] = {}
+        self.tries: dict[int, dict] = {}
         for words, end in ((self.terms, WHOLE), (self.stems, PREFIX)):
             for word in words:
-                node = self.root
-                for c in word:
-                    node = node.setdefault(c, {})
-                node[end] = word
-                if self.distance(word, end):
-                    self.shapes.setdefault((len(word), self.distance(word, end), end == WHOLE), set()).add(word)
+                self.shapes.setdefault((len(word), self.distance(word, end), end == WHOLE), set()).add(word)
         self.longest = max(map(len, self.terms | self.stems), default=0) + 3
 
     @staticmethod
@@ -73,12 +76,34 @@ class Lexicon:
             return int(len(word) >= 7)
         return 2 if len(word) >= 8 else int(len(word) >= 5)
 
-    def _parts(self, n: int) -> list[tuple[int, int, frozenset[str]]]:
-        """For words of n letters: where a part of a term may stand unchanged. k edits leave
-        one of a term's k + 1 parts whole, moved by k places at most."""
-        found: dict[tuple[int, int], set[str]] = {}
+    def _fits(self, n: int) -> Iterator[tuple[int, int, bool, set[str]]]:
+        """Length, distance, whether whole words, and these, of all that a word of n letters
+        can be near."""
         for (size, k, whole), words in self.shapes.items():
-            if n < size - k or (whole and n > size + k):
+            if n >= size - k and (n <= size + k or not whole):
+                yield size, k, whole, words
+
+    def trie(self, n: int) -> list[tuple[int, dict]]:
+        """The terms and stems that a word of n letters can be near, as a trie for each
+        distance."""
+        if n not in self.tries:
+            roots: dict[int, dict] = {}
+            for _, k, whole, words in self._fits(n):
+                for word in words:
+                    node = roots.setdefault(k, {})
+                    for c in word:
+                        node = node.setdefault(c, {})
+                    node[WHOLE if whole else PREFIX] = word
+            self.tries[n] = sorted(roots.items(), key=lambda x: x[0])
+        return self.tries[n]
+
+    def _parts(self, n: int) -> list[tuple[int, int, dict[str, list[tuple[int, int, bool]]]]]:
+        """For words of n letters: where a part of a term may stand unchanged, and of the terms
+        with that part their letters, distances, and whether they are whole words. k edits
+        leave one of a term's k + 1 parts whole, moved by k places at most."""
+        found: dict[tuple[int, int], dict[str, list]] = {}
+        for size, k, whole, words in self._fits(n):
+            if not k:
                 continue
             cuts = [size * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -86,15 +111,24 @@ class Lexicon:
                 moved = {0} if a == 0 else {n - size} if whole and b == size else range(-k, k + 1)
                 for d in moved:
                     if a + d >= 0 and b + d <= n:
-                        found.setdefault((a + d, b + d), set()).update(w[a:b] for w in words)
-        return sorted((a, b, frozenset(x)) for (a, b), x in found.items())
+                        at = found.setdefault((a + d, b + d), {})
+                        for w in words:
+                            at.setdefault(w[a:b], []).append((_letter_bits(w), k, whole))
+        return sorted(((a, b, x) for (a, b), x in found.items()), key=lambda x: x[:2])
 
     def _near(self, word: str) -> bool:
-        """Whether the word keeps a part of a term or stem; else no automaton is needed."""
+        """Whether the word keeps a part of a term, or stem, and all its letters but as many
+        as edits can take; else no automaton is needed."""
         n = len(word)
         if n not in self.checks:
             self.checks[n] = self._parts(n)
-        return any(word[a:b] in x for a, b, x in self.checks[n])
+        own = 0
+        for a, b, terms in self.checks[n]:
+            for bits, k, whole in terms.get(word[a:b], ()):
+                own = own or _letter_bits(word)
+                if (bits & ~own).bit_count() <= k and not (whole and (own & ~bits).bit_count() > k):
+                    return True
+        return False
 
     def fuzzy(self, word: str) -> int:
         """Letters of the longest term that the Levenshtein automaton of the word accepts
@@ -105,22 +139,22 @@ class Lexicon:
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
         places, best = (2 << n) - 1, 0
-        stack = [(self.root, (1, 0b11, 0b111))]
-        while stack:
-            node, (r0, r1, r2) = stack.pop()
-            for c, child in node.items():
-                if c == WHOLE or c == PREFIX:
-                    k = self.distance(child, c)
-                    state = r0 | (r1 if k >= 1 else 0) | (r2 if k >= 2 else 0)
-                    if len(child) > best and (state >> n & 1 if c == WHOLE else state & places):
-                        best = len(child)
-                    continue
-                m = masks.get(c, 0)
-                n0 = (r0 & m) << 1
-                n1 = (r1 & m) << 1 | r0 | r0 << 1 | n0 << 1
-                n2 = (r2 & m) << 1 | r1 | r1 << 1 | n1 << 1
-                if n2 & places:
-                    stack.append((child, (n0, n1, n2)))
+        for k, root in self.trie(n):
+            stack = [(root, 1, 0b11 if k else 0, 0b111 if k == 2 else 0)]
+            while stack:
+                node, r0, r1, r2 = stack.pop()
+                for c, child in node.items():
+                    if c == WHOLE or c == PREFIX:
+                        state = r0 | r1 | r2
+                        if len(child) > best and (state >> n & 1 if c == WHOLE else state & places):
+                            best = len(child)
+                        continue
+                    m = masks.get(c, 0)
+                    n0 = (r0 & m) << 1
+                    n1 = (r1 & m) << 1 | r0 | (r0 | n0) << 1 if k else 0
+                    n2 = (r2 & m) << 1 | r1 | (r1 | n1) << 1 if k == 2 else 0
+                    if (n2 or n1 or n0) & places:
+                        stack.append((child, n0, n1, n2))
         return best
 
     def _letters(self, form: str) -> int:
