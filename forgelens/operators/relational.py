@@ -156,12 +156,13 @@ def adoption_rate(insights: DataFrame) -> DataFrame:
 
 def subtree(capabilities: DataFrame, root: str) -> DataFrame:
     """The ids below and at ``root``, however deep: one join a level, ended by the first that
-    finds nothing new. So a loop among the rows ends, too."""
-    level = out = capabilities.where(F.col("id") == root).select("id").distinct()
+    is empty. A row knows the way it came, so a loop among the rows ends, too."""
+    level = capabilities.where(F.col("id") == root).select("id", F.array("id").alias("_way")).distinct()
+    out, below = level.select("id"), capabilities.select(F.col("id").alias("_child"), F.col("parent_id").alias("id"))
     while not level.isEmpty():
-        level = capabilities.join(level.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id").join(out, "id", "left_anti").distinct()
-        out = out.union(level)
-    return out
+        level = level.join(below, "id").where(~F.array_contains("_way", F.col("_child"))).select(F.col("_child").alias("id"), F.concat("_way", F.array("_child")).alias("_way")).persist()
+        out = out.union(level.select("id"))
+    return out.distinct()
 
 
 def project_counts(capabilities: DataFrame, relations: DataFrame) -> DataFrame:

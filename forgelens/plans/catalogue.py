@@ -353,9 +353,8 @@ def browse_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = assets(spark, sf_dir).withColumns({"tags": F.array_join("tags", " "), "evidence_count": F.lit(1)})
     counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count_distinct("l_partkey").alias("project_count"))
     caps = table(spark, sf_dir, "supplier").join(counts, "s_suppkey").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"), F.lit("").alias("description"), "project_count")
-    hits, _ = ranking.search({"asset": flat, "capability": caps}, "", now(), limit=100)
     both = [ranking.search({k: df}, "", now(), scope, limit=100)[0] for k, df, scope in (("asset", flat, "assets"), ("capability", caps, "capabilities"))]
-    return ranking.per_kind(both[0].unionByName(both[1]), 10).select("kind", "id", "title") if hits is not None else hits
+    return ranking.per_kind(both[0].unionByName(both[1]), 10).select("kind", "id", "title")
 
 
 _SAFE = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
