@@ -344,7 +344,7 @@ class Encoder:
     #: What an entry takes beside the bytes of its piece and ids.
     ENTRY = 180
 
-    def __init__(self, model: bytes, limit: int = 48 << 20):
+    def __init__(self, model: bytes, limit: int = 32 << 20):
         self.model, self.limit = Pieces(model), limit
         self.young, self.old, self.used = {}, {}, 0
         self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (self.model.bos, self.model.eos))
@@ -433,6 +433,8 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    texts = decode_documents(encode_documents(docs, path), path)
-    return texts.mapInArrow(_digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    model = Path(path).read_bytes()
+    code, decode = _coded(model), _decoded(model)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    # encode_documents, decode_documents and the digest in one worker, which holds the tables once.
+    return docs.mapInArrow(lambda batches: _digest(decode(code(batches))), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
