@@ -141,10 +141,11 @@ def runs(words: list[int]) -> list[tuple[int, int, int]]:
             continue
         if theirs.size < mine.size:
             mine, theirs = theirs, mine
-        sets[up], size = theirs, length[up]
+        sets[up], size, before = theirs, length[up], -1
         for x in mine:
             below, above = theirs.add(x)
-            for p, q in ((below, x), (x, above)):
+            # Those that came in just before were neighbours in the state below already.
+            for p, q in ((below if below != before else -1, x), (x, above)):
                 d = q - p
                 if p >= 0 and q >= 0 and d <= size and size + d >= LEAST and size >= (TIMES - 1) * d:
                     start = p - size + 1
@@ -153,6 +154,7 @@ def runs(words: list[int]) -> list[tuple[int, int, int]]:
                         while to < n and words[to] == words[to - d]:
                             to += 1
                         found[start, d] = to - start
+            before = x
     return sorted((s, k, d) for (s, d), k in found.items() if smallest(words[s : s + d]))
 
 
