@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .audit import OP13_SQL, op13_filter_audit
 from .fingerprints import op5_order_fingerprints
 from .mixing import OP4_SQL, op4_source_mix
 from .near_dup import OP3_SQL, op3_near_duplicates
@@ -15,5 +16,5 @@ from .token_files import op1_token_files
 from .toxicity import op9_toxicity
 from .url_rules import OP10_SQL, op10_url_rules
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_near_duplicates, op4_source_mix, op5_order_fingerprints, op6_repeated_passages, op7_best_fit_packing, op8_secret_scan, op9_toxicity, op10_url_rules, op11_sentencepiece, op12_periodic_runs)}
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op4_source_mix": OP4_SQL, "op6_repeated_passages": OP6_SQL, "op10_url_rules": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_near_duplicates, op4_source_mix, op5_order_fingerprints, op6_repeated_passages, op7_best_fit_packing, op8_secret_scan, op9_toxicity, op10_url_rules, op11_sentencepiece, op12_periodic_runs, op13_filter_audit)}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op4_source_mix": OP4_SQL, "op6_repeated_passages": OP6_SQL, "op10_url_rules": OP10_SQL, "op13_filter_audit": OP13_SQL}
