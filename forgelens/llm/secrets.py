@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,18 +70,22 @@ def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     return ids.select(ordinary.alias("text"), F.lit(False).alias("random"), held.alias("held_out")).unionByName(ids.select(odd.alias("text"), F.lit(True).alias("random"), held.alias("held_out")))
 
 
-def _pairs(token: Column) -> Column:
-    """For each two neighbouring characters, class * len(CLASSES) + next class."""
-    folded = F.translate(token, _FROM, _TO)
-    place = lambda t, i: F.position(F.substring(t, i, F.lit(1)), F.lit(CLASSES)) - 1
-    return let(folded, lambda t: F.when(F.length(t) < 2, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: place(t, i) * len(CLASSES) + place(t, i + 1))))
+def _classes(token: Column) -> Column:
+    """The place in CLASSES of each character of a run, which is split once."""
+    code = lambda c: F.ascii(c)
+    return F.transform(F.split(F.translate(token, _FROM, _TO), ""), lambda c: F.when(code(c) >= 97, code(c) - 97).when(code(c) == 65, 26).when(code(c) == 48, 27).otherwise(28))
+
+
+def _pairs(classes: Column) -> Column:
+    """For each two neighbours, class * len(CLASSES) + next class."""
+    return let(classes, lambda c: F.filter(F.transform(c, lambda x, i: F.get(c, i - 1) * len(CLASSES) + x), lambda x: x.isNotNull()))
 
 
 def train(labelled: DataFrame) -> list[float]:
     """log P(next | class, random) - log P(next | class, ordinary) by pair of classes, with
     one added to each count: len(CLASSES)^2 numbers, however many samples there are."""
     n = len(CLASSES)
-    rows = labelled.where(F.col("text").isNotNull()).select("random", F.explode(_pairs(F.regexp_replace("text", r"[^A-Za-z0-9+/_=-]", ""))).alias("pair")).groupBy("random", "pair").count().collect()
+    rows = labelled.where(F.col("text").isNotNull()).select("random", F.explode(_pairs(_classes(F.regexp_replace("text", r"[^A-Za-z0-9+/_=-]", "")))).alias("pair")).groupBy("random", "pair").count().collect()
     counts = {kind: [1] * (n * n) for kind in (False, True)}
     for row in rows:
         counts[row["random"]][row["pair"]] += row["count"]
@@ -88,10 +93,14 @@ def train(labelled: DataFrame) -> list[float]:
     return [a - b for a, b in zip(log[True], log[False], strict=True)]
 
 
+def _weight(classes: Column, model: list[float]) -> Column:
+    weights = F.array(*[F.lit(x) for x in model])
+    return F.aggregate(_pairs(classes), F.lit(0.0), lambda acc, pair: acc + F.get(weights, pair))
+
+
 def ratio(text: Column, model: list[float]) -> Column:
     """Log-likelihood of the run as a random string, less that as an ordinary one."""
-    weights = F.array(*[F.lit(x) for x in model])
-    return F.aggregate(_pairs(text), F.lit(0.0), lambda acc, pair: acc + F.get(weights, pair))
+    return _weight(_classes(text), model)
 
 
 def calibrated(labelled: DataFrame, false_alarms: float = FALSE_ALARMS) -> tuple[list[float], float]:
@@ -105,37 +114,62 @@ def calibrated(labelled: DataFrame, false_alarms: float = FALSE_ALARMS) -> tuple
     return model, max([THRESHOLD, *[math.nextafter(x, math.inf) for x in highest[-1:]]])
 
 
+#: Distances at which prefixes are combined; texts of more matches than twice the last do not exist.
+_STEPS = [1 << k for k in range(30)]
+
+
+def prefixes(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """The combination of all values up to each, by doubling: n log n, where a fold that
+    appends to its result would copy it n times."""
+    steps = lambda v: F.filter(F.array(*[F.lit(k) for k in _STEPS]), lambda k: k < F.size(v))
+    wider = lambda acc, k: F.transform(acc, lambda x, i: F.when(i >= k, combine(F.get(acc, i - k), x)).otherwise(x))
+    return let(values, lambda v: F.aggregate(steps(v), v, wider))
+
+
 def _places(text: Column, pattern: str) -> Column:
     """The pattern's leftmost non-overlapping matches as structs s, e, h: where they begin
     and end, in code points, from the lengths of matches and of what lies between."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = lambda acc, g, i: acc["at"] + F.length(F.get(g, i))
 
-    def step(acc: Column, i: Column, g: Column, h: Column) -> Column:
-        end = start(acc, g, i) + F.length(F.get(h, i))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start(acc, g, i).alias("s"), end.alias("e"), F.get(h, i).alias("h")))).cast(SPAN).alias("out"))
+    def spans(g: Column, h: Column) -> Column:
+        ends = prefixes(F.transform(h, lambda x, i: F.length(F.get(g, i)) + F.length(x)), lambda a, b: a + b)
+        return let(ends, lambda e: F.transform(h, lambda x, i: F.struct((F.get(e, i) - F.length(x)).alias("s"), F.get(e, i).alias("e"), x.alias("h"))).cast(SPAN))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    walk = let(gaps, lambda g: let(hits, lambda h: F.aggregate(F.sequence(F.lit(0), F.size(h) - 1), zero, lambda acc, i: step(acc, i, g, h), lambda acc: acc["out"])))
-    return F.when(text.rlike(pattern), walk).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), let(gaps, lambda g: let(hits, lambda h: spans(g, h)))).otherwise(F.array().cast(SPAN))
 
 
 def _kind(places: Column, order: int, kind: str) -> Column:
     return F.transform(places, lambda x: F.struct(x["s"].alias("s"), F.lit(order).alias("k"), x["e"].alias("e"), F.lit(kind).alias("kind")))
 
 
-def _uncovered(x: Column, spans: Column) -> Column:
-    """The run, or its parts that none of the spans (sorted) covers."""
-    ends = F.array_append(F.transform(spans, lambda b: b["s"]), x["e"])
+def _odd(text: Column, base: Column, model: list[float], threshold: float) -> Column:
+    """The runs of a text, or their parts that no base span covers, that count as random.
+
+    Where runs and base spans begin and end, in order, cuts the text; sums of what begins
+    less what ends say of each stretch whether it is in a run, and how many base spans cover
+    it. A run is split into characters once, for all of its parts.
+    """
+    run, span, nth = 1, 2, 16  # in one number: in a run or not, base spans (a kind never overlaps itself), runs begun
+    edge = lambda at, d: F.struct(at.alias("at"), F.lit(d).alias("d"))
+
+    def parts(runs: Column) -> Column:
+        edges = [F.transform(runs, lambda r: edge(r["s"], run + nth)), F.transform(runs, lambda r: edge(r["e"], -run)), F.transform(base, lambda b: edge(b["s"], span)), F.transform(base, lambda b: edge(b["e"], -span))]
+
+        def cut(at: Column) -> Column:
+            depth = prefixes(F.transform(at, lambda x: x["d"]), lambda a, b: a + b)
+            return let(depth, lambda d: F.transform(at, lambda x, i: F.struct(x["at"].alias("s"), F.get(at, i + 1)["at"].alias("e"), F.get(d, i).alias("d"))))
+
+        return F.filter(let(F.sort_array(F.concat(*edges)), cut), lambda p: (p["s"] < p["e"]) & (p["d"] % nth == run))
+
+    def judged(runs: Column, classes: Column) -> Column:
+        def random(p: Column) -> Column:
+            k = F.floor(p["d"] / nth).cast("int") - 1
+            return _weight(F.slice(F.get(classes, k), p["s"] - F.get(runs, k)["s"] + 1, p["e"] - p["s"]), model) >= threshold
 
-    def step(acc: Column, i: Column) -> Column:
-        to = F.get(ends, i)
-        part = F.struct(acc["at"].alias("s"), to.alias("e"), F.substring(x["h"], acc["at"] - x["s"] + 1, to - acc["at"]).alias("h"))
-        return F.struct(F.greatest(acc["at"], F.get(spans, i)["e"]).alias("at"), F.when(to > acc["at"], F.array_append(acc["out"], part)).otherwise(acc["out"]).cast(SPAN).alias("out"))
+        return F.filter(parts(runs), random)
 
-    zero = F.struct(x["s"].alias("at"), F.array().cast(SPAN).alias("out"))
-    parts = F.aggregate(F.sequence(F.lit(0), F.size(spans)), zero, step, lambda acc: acc["out"])
-    return F.when(F.size(spans) == 0, F.array(x)).otherwise(parts)
+    found = let(_places(text, TOKENS), lambda runs: let(F.transform(runs, lambda r: _classes(r["h"])), lambda classes: judged(runs, classes)))
+    return F.when(text.rlike(TOKENS), found).otherwise(F.array().cast("array<struct<s:int,e:int,d:int>>"))
 
 
 def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
@@ -146,6 +180,7 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> D
     Places count code points, ends are
     exclusive. Null text: empty, no spans. Columns of docs with one of the new names, in
     whatever case, are replaced. Rows are independent of each other; nothing is exchanged.
+    The cost is linear in a text's length, but for sorting and summing its n matches, n log n.
     """
     kept = others(docs, "base_spans", "secret_spans")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -159,21 +194,22 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> D
     base, run_text = fresh(docs, "base_found", "run_text")
     with_base = docs.select(*kept, text.alias(run_text), F.sort_array(F.concat(*found)).alias(base))
     text = named(run_text)
-    judged = lambda x: F.filter(named(base), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    odd = F.filter(F.flatten(F.transform(_places(text, TOKENS), lambda x: let(judged(x), lambda bs: _uncovered(x, bs)))), lambda x: ratio(x["h"], model) >= threshold)
+    odd = _odd(text, named(base), model, threshold)
     return with_base.select(*kept, named(base).alias("base_spans"), F.sort_array(F.concat(named(base), _kind(odd, len(PATTERNS), "markov"))).alias("secret_spans"))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with each stretch that spans cover replaced by ``mark``."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """``text`` with each stretch that spans (by start) cover replaced by ``mark``; spans that
+    only touch have a mark each. The text is split into characters once."""
+    part = lambda chars, a, b: F.array_join(F.slice(chars, a + 1, F.greatest(b - a, F.lit(0))), "")
 
-    def step(acc: Column, x: Column) -> Column:
-        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
+    def marked(chars: Column, far: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(far, i - 1), F.lit(0))
+        pieces = F.transform(spans, lambda x, i: F.when(x["s"] >= before(i), F.concat(part(chars, before(i), x["s"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), part(chars, F.get(far, F.size(far) - 1), F.size(chars)))
 
-    end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, end)).otherwise(text)
+    found = let(F.split(text, ""), lambda chars: let(prefixes(F.transform(spans, lambda x: x["e"]), lambda a, b: F.greatest(a, b)), lambda far: marked(chars, far)))
+    return F.when(F.size(spans) > 0, found).otherwise(text)
 
 
 def as_text(spans: Column) -> Column:

@@ -109,3 +109,24 @@ def test_query(spark, sf):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == k for x in spans) for k in range(3))
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert set(text.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_long_runs_and_many_matches(spark, model):
+    """A run of 2 million characters, 200,000 matches, and a run that 20,000 keys cut: in time
+    that grows with their length."""
+    import random
+    import time
+
+    rng = random.Random(1)
+    noise = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=2_000_000))
+    rows = [(1, "x " + noise + " y"), (2, "token=abcdef1 " * 200_000), (3, "_".join(f"{HEX[:24]}_name" for _ in range(20_000)))]
+    df = table(spark, [(d, t, None) for d, t in rows]).repartition(3)
+    began = time.perf_counter()
+    got = secrets.scan(df, model).select("doc_id", "base_spans", "secret_spans", secrets.redact(secrets.F.col("text"), secrets.F.col("secret_spans")).alias("clean")).collect()
+    assert time.perf_counter() - began < 90
+    by_id = {r.doc_id: r for r in got}
+    assert [tuple(x) for x in by_id[1].secret_spans] == [(2, 3, 2_000_002, "markov")] and by_id[1].clean == "x [SECRET] y"
+    for d, t in rows[1:]:
+        assert [tuple(x) for x in by_id[d].base_spans] == base(t)
+    assert by_id[2].clean == "[SECRET] " * 200_000
+    assert HEX[:24] not in by_id[3].clean and by_id[3].clean.count("name") == 20_000
