@@ -54,9 +54,11 @@ def needs_fallback(text: str) -> bool:
 
 
 def grams(c: Column) -> Column:
-    """All trigrams of the lower-cased text, repeats included."""
-    low = F.lower(c)
-    return F.when(F.length(low) < GRAM, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(low) - (GRAM - 1)), lambda i: F.substring(low, i, F.lit(GRAM))))
+    """All trigrams of the lower-cased text, repeats included. The text is split into
+    characters once, so that long texts cost in proportion."""
+    at = lambda x: F.slice(x, 1, F.size(x) - (GRAM - 1))
+    joined = lambda x: F.transform(at(x), lambda first, i: F.concat(first, F.get(x, i + 1), F.get(x, i + 2)))
+    return F.when(F.length(F.lower(c)) < GRAM, F.array().cast("array<string>")).otherwise(let(F.split(F.lower(c), ""), joined))
 
 
 def postings(df: DataFrame, kind: str, columns: Sequence[str], key: str = "id") -> DataFrame:

@@ -7,6 +7,7 @@ implements edges are distinct (customer, part) of orders, searched text is docum
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import enums
 from ..functions import scalars as S
-from ..operators import graph, insights, ranking, relational, retrieval, scoring
+from ..operators import graph, insights, postings, ranking, relational, retrieval, scoring
 from ..sources import projects as sources
-from ..sources import symbols
+from ..sources import symbols, tables
 from . import jobs, merge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -311,6 +312,13 @@ def like_recall_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.like(flat, "asset", "al").select("id", F.col("relevance").cast("double").alias("relevance"))
 
 
+def document_index(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """The index of all documents as their table is now, built when it is first asked for."""
+    path = f"{sf_dir}/documents.parquet"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return postings.Index.create(docs, f"{tables.shared_dir(spark)}/forgelens-index/{tables.stamp(spark, path)}", ["text"], "doc_id")
+
+
 BM25 = """
     WITH d AS (SELECT doc_id, lower(text) AS t, greatest(length(text) - 2, 0) AS dl FROM documents),
     f AS (SELECT doc_id, dl, (length(t) - length(replace(t, 'tion', ''))) / 4.0::DOUBLE AS a, (length(t) - length(replace(t, 'there', ''))) / 5.0::DOUBLE AS b FROM d),
@@ -328,8 +336,22 @@ def trigram_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BM25 + "SELECT doc_id, round(score, 4) AS score FROM g ORDER BY round(score, 4) DESC, doc_id LIMIT 60")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.match(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], "tion there", key="doc_id")
-    return found.select("doc_id", F.round("bm25", 4).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(60)
+    """From the index alone: no text is read."""
+    return document_index(spark, sf_dir).match("tion there").select(F.col("id").alias("doc_id"), F.round("bm25", 4).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(60)
+
+
+@query("""
+    WITH new AS (
+      SELECT d.doc_id, CASE WHEN l.quality = 1 THEN text || ' tion there' ELSE text END AS text FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE coalesce(l.toxic, 0) <> 1),
+""" + BM25.strip().removeprefix("WITH ").replace("FROM documents", "FROM new") + "SELECT doc_id, round(score, 4) AS score FROM g")
+def index_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all documents, then brought to a later state of the table: documents of
+    good quality have new words, toxic ones are gone."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    index = postings.Index.create(docs, f"{tables.shared_dir(spark)}/forgelens-index/{uuid.uuid4().hex}", ["text"], "doc_id")
+    good = labels.where("quality = 1 AND coalesce(toxic, 0) <> 1").select("doc_id")
+    index.sync(docs.join(good, "doc_id", "left_semi").withColumn("text", F.concat("text", F.lit(" tion there"))), labels.where("toxic = 1").select("doc_id"))
+    return index.match("tion there").select(F.col("id").alias("doc_id"), F.round("bm25", 4).alias("score"))
 
 
 @query("""

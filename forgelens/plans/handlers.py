@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.scalars import stable_id
 from ..operators import capabilities, insights, relational, scoring
-from ..sources import manifests, projects, symbols
+from ..sources import manifests, projects, symbols, tables
 from . import merge
 
 #: At most this many projects of a scan are kept, by path; a parameter of ``scan``.
@@ -20,25 +20,14 @@ INDEXED = ["type", "name", "description", "content", "source_path", "confidence"
 DETECTED = ["type", "title", "confidence", "project_ids", "asset_ids", "evidence", "tags", "badge"]
 
 
-class Store:
-    """Tables below one folder that all executors see, each replaced as a whole."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def has(self, name: str) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
-
-    def replace(self, name: str, rows: DataFrame) -> DataFrame:
-        return merge.overwrite(rows, f"{self.root}/{name}")
+class Store(tables.Store):
+    """The tables of the chain; each stage's changes are versions of their own."""
 
     def merge(self, name: str, rows: DataFrame, owned: Sequence[str]) -> DataFrame:
-        """New rows by id; of known ones the columns that the stage owns change."""
-        return self.replace(name, merge.merge(self.read(name), rows, ["id"], owned) if self.has(name) else rows)
+        """New rows by id; of known ones the columns that the stage owns change. The version
+        that was merged is the one that is replaced, or Conflict."""
+        at = self.version()
+        return self.replace(name, merge.merge(self.read(name, at), rows, ["id"], owned) if self.has(name) else rows, at)
 
 
 def targets(asked: Sequence[str], settings: Sequence[str] = ()) -> list[str]:
@@ -136,12 +125,12 @@ def snapshot(store: Store) -> dict[str, DataFrame]:
 
 def insight(store: Store, now: Column, report: Callable = lambda p: None) -> None:
     """All detectors and the opportunities; feedback and status of known ids stay."""
-    tables = snapshot(store)
-    found = insights.detect_all(tables, now).withColumns({"user_feedback": F.lit(None).cast("string"), "created_at": F.date_format(now, "yyyy-MM-dd")})
+    known = snapshot(store)
+    found = insights.detect_all(known, now).withColumns({"user_feedback": F.lit(None).cast("string"), "created_at": F.date_format(now, "yyyy-MM-dd")})
     kept = found.drop("created_at").join(store.read("insights").select("id", "created_at"), "id", "left").withColumn("created_at", F.coalesce("created_at", F.date_format(now, "yyyy-MM-dd"))) if store.has("insights") else found
     store.replace("insights", insights.with_feedback(kept, store.read("insights")) if store.has("insights") else kept)
     report(0.6)
-    store.merge("opportunities", insights.opportunities(tables), ["title", "source_project_ids", "source_asset_ids", "required_capabilities", "missing_capabilities", "coverage", "rating"])
+    store.merge("opportunities", insights.opportunities(known), ["title", "source_project_ids", "source_asset_ids", "required_capabilities", "missing_capabilities", "coverage", "rating"])
 
 
 def handlers(store: Store, now: Column, settings: Sequence[str] = ()) -> dict[str, Callable]:

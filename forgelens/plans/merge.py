@@ -1,11 +1,10 @@
-"""Writes: merges by column owner, deletes, retention and staged overwrites."""
+"""Writes: merges by column owner, deletes and retention."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.enums import ACTIONABLE
@@ -102,22 +101,3 @@ def clear_project(tables: dict[str, DataFrame], project: str) -> dict[str, DataF
     if "relations" in out:
         out["relations"] = out["relations"].where((F.col("source_id") != project) & (F.col("target_id") != project))
     return out
-
-
-def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Replaces a table that ``df`` may itself read: the new files are written beside it,
-    then both folders are renamed. Returns the table as read again."""
-    spark: SparkSession = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    beside, before = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(beside, partitionBy=list(partition_by) or None)
-    to_path = jvm.org.apache.hadoop.fs.Path
-    fs = to_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    had = fs.exists(to_path(path))
-    if had:
-        fs.rename(to_path(path), to_path(before))
-    fs.rename(to_path(beside), to_path(path))
-    if had:
-        fs.delete(to_path(before), True)
-    spark.catalog.refreshByPath(path)
-    return spark.read.parquet(path)

@@ -1,6 +1,7 @@
 """Operators on small literal tables."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from forgelens.functions import enums, rules
 from forgelens.functions import scalars as S
 from forgelens.operators import capabilities, graph, insights, ranking, relational, retrieval, scoring
-from forgelens.plans import jobs, merge
+from forgelens.plans import handlers, jobs, merge
 from forgelens.sources import manifests, projects, symbols
 from forgelens.streaming import progress
 
@@ -158,8 +159,9 @@ def test_projects_on_disk(spark, tmp_path):
 def test_merge(spark, tmp_path):
     old = spark.createDataFrame([("1", "a", "useful"), ("2", "b", None), (None, "n", "x")], "id string, name string, user_feedback string")
     new = spark.createDataFrame([("1", "A", None), ("3", "c", None), (None, "N", None)], "id string, name string, user_feedback string")
-    path = f"file://{tmp_path}/t"
-    merged = merge.overwrite(merge.merge(merge.overwrite(old, path), new, ["id"], ["name"]), path)
+    store = handlers.Store(spark, f"file://{tmp_path}/t")
+    store.replace("t", old)
+    merged = store.merge("t", new, ["name"])
     assert sorted(map(tuple, merged.collect()), key=str) == sorted([("1", "A", "useful"), ("2", "b", None), ("3", "c", None), (None, "N", "x")], key=str)
     again = merge.merge(merged, new, ["id"], ["name"])
     assert again.exceptAll(merged).count() == 0 == merged.exceptAll(again).count()
@@ -181,8 +183,8 @@ def test_job_log(spark, tmp_path):
     assert got == {"j": ("completed", 1.0), "k": ("running", 1.0), "l": ("cancelled", 0.2)}
     assert got == {j: progress.step(None, [(s, st, p) for k, s, st, p in EVENTS if k == j])[:2] for j in got}
     ran = []
-    handlers = {"scan": lambda o, report: (report(0.5), ran.append("scan")), "index": lambda o, report: 1 / 0, "insight": lambda o, report: ran.append("insight")}
-    runner = jobs.Runner(spark, f"file://{tmp_path}/log", handlers)
+    stages = {"scan": lambda o, report: (report(0.5), ran.append("scan")), "index": lambda o, report: 1 / 0, "insight": lambda o, report: ran.append("insight")}
+    runner = jobs.Runner(spark, f"file://{tmp_path}/log", stages)
     assert [x.split("-")[0] for x in runner.run("scan", '{"chain": true}')] == ["scan", "index"] and ran == ["scan"]
     assert {r.type: r.status for r in jobs.fold(runner.events()).collect()} == {"scan": "completed", "index": "failed"}
     runner.append("x", "scan", "running")
@@ -197,11 +199,13 @@ def test_stream_is_the_batch_fold(spark, tmp_path):
         batch.where(half).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(jobs.EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
     query = progress.serve(stream, lambda frame, _: sink.update({r.job_id: (r.status, r.progress) for r in frame.itertuples()}), str(tmp_path / "check"))
-    try:
-        query.processAllAvailable()
+    want, end = {r.job_id: (r.status, r.progress) for r in jobs.fold(batch).collect()}, time.time() + 90
+    try:  # timers make batches for ever, so the stream is never idle
+        while sink != want and time.time() < end:
+            time.sleep(0.2)
     finally:
         query.stop()
-    assert sink == {r.job_id: (r.status, r.progress) for r in jobs.fold(batch).collect()}
+    assert sink == want
 
 
 def test_graph_and_insights(spark):
