@@ -63,16 +63,33 @@ def date_text(ts: Column) -> Column:
     return F.substring(ts, 1, 10)
 
 
-def format_bytes(n: Column) -> Column:
-    out = F.concat(n.cast("string"), F.lit(" B"))
-    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", n / float(1024**power))).otherwise(out)
+def _one_decimal(x: Column) -> Column:
+    """A double of 1 or more with one decimal, rounded by its exact value, ties to the even
+    digit: what follows the point is, in 2^-52ths, a whole number."""
+    whole = F.floor(x)
+    tens = ((x - whole) * float(1 << 52)).cast("long") * 10
+    digit, rest = F.shiftright(tens, 52), tens.bitwiseAND((1 << 52) - 1)
+    up = (rest > 1 << 51) | ((rest == 1 << 51) & (digit % 2 == 1))
+    tenths = whole * 10 + digit + up.cast("long")
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
+def _sized(n: Column, steps: list[tuple[int, str]]) -> Column:
+    out = None
+    for unit, label in reversed(steps):
+        value = F.concat(_one_decimal(n.cast("double") / float(unit)), F.lit(label))
+        out = F.when(n >= unit, value) if out is None else out.when(n >= unit, value)
     return out
 
 
+def format_bytes(n: Column) -> Column:
+    """Whole bytes below 1024, then KB, MB, GB and TB with one decimal."""
+    return _sized(n, [(1024**power, f" {unit}") for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1)]).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+
+
 def format_count(n: Column) -> Column:
     """As it is below 1000, then k and M with one decimal."""
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1000, F.format_string("%.1fk", n / 1e3)).otherwise(n.cast("string"))
+    return _sized(n, [(1000, "k"), (1_000_000, "M")]).otherwise(n.cast("string"))
 
 
 def percent(ratio: Column) -> Column:

@@ -75,18 +75,27 @@ def implements(found: DataFrame) -> DataFrame:
     )
 
 
-def similar_pairs(assets: DataFrame, least: int = 2) -> DataFrame:
+#: Projects of a name that one task joins with as many others at once.
+BLOCK = 1000
+
+
+def similar_pairs(assets: DataFrame, least: int = 2, block: int = BLOCK) -> DataFrame:
     """Projects that share asset names: a, b, confidence, names.
 
     Pairs of the projects of a name are the result itself; a name's projects are first made
-    distinct. Where several names give a pair, the last name in order decides.
+    distinct. Where several names give a pair, the last name in order decides. A name of more
+    than ``block`` projects is split into blocks, and each two of its blocks meet in a group of
+    their own, so that no task holds a whole name; pairs are combined before they are dealt.
     """
     key = F.lower("name").alias("key")
     groups = assets.groupBy(key).agg(F.count_distinct("project_id").alias("n"), F.avg("reuse_score").alias("avg")).where(F.col("n") >= max(least, 2))
-    members = assets.select(key, F.col("project_id").alias("p")).distinct().join(groups, "key")
-    x, y = members.alias("x"), members.alias("y")
-    base = F.when(F.col("x.n") == 2, 0.62).when(F.col("x.n") == 3, 0.72).when(F.col("x.n") == 4, 0.80).otherwise(0.86)
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.p") < F.col("y.p"))).select(F.col("x.p").alias("a"), F.col("y.p").alias("b"), F.col("x.key").alias("key"), F.least(base + F.col("x.avg") * 0.12, F.lit(0.95)).alias("confidence"))
+    blocks = F.ceil(F.col("n") / block)
+    members = assets.select(key, F.col("project_id").alias("p")).distinct().join(groups, "key").withColumns({"blocks": blocks.cast("int"), "own": F.pmod(F.xxhash64("p"), blocks).cast("int")})
+    x = members.select("key", "n", "avg", F.col("p").alias("x"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    y = members.select("key", F.col("p").alias("y"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
+    base = F.when(F.col("n") == 2, 0.62).when(F.col("n") == 3, 0.72).when(F.col("n") == 4, 0.80).otherwise(0.86)
+    met = x.join(y, ["key", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "key", F.least(base + F.col("avg") * 0.12, F.lit(0.95)).alias("confidence"))
     return pairs.groupBy("a", "b").agg(F.max_by("confidence", "key").alias("confidence"), F.count("*").alias("names"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.enums import insight_badge
 from ..functions.scalars import clamp, idle_days
+from ..sources.tables import staged
 
 FLOOR, MOST = 0.55, 10
 COLUMNS = ["id", "type", "title", "confidence", "project_ids", "asset_ids", "evidence", "tags"]
@@ -27,7 +28,10 @@ def evidence(kind: str, label: Column, target: Column) -> Column:
 
 
 def edges(tables: dict[str, DataFrame]) -> DataFrame:
-    """capability, project: distinct implements edges of known capabilities."""
+    """capability, project: distinct implements edges of known capabilities. Where ``tables``
+    has them as ``edges`` already, those."""
+    if "edges" in tables:
+        return tables["edges"]
     implements = tables["relations"].where("relation_type = 'implements'").select(F.col("target_id").alias("capability"), F.col("source_id").alias("project")).distinct()
     return implements.join(tables["capabilities"].where("layer = 'capability'").select(F.col("id").alias("capability"), F.col("name").alias("capability_name"), "parent_id", F.col("confidence").alias("capability_confidence")), "capability")
 
@@ -48,25 +52,35 @@ def _capped(df: DataFrame, order: list[Column]) -> DataFrame:
     return df.orderBy(*order).limit(MOST)
 
 
+def _lists(found: DataFrame, keys: list[str], first: DataFrame, **lists: Column) -> DataFrame:
+    """``first``, of a few rows, with lists of what ``found`` has of its keys: nothing is
+    gathered of the others. The lists are sorted."""
+    few = F.broadcast(first.select(*keys))
+    gathered = found.join(few, keys, "left_semi").groupBy(*keys).agg(*[F.array_sort(F.collect_list(c)).alias(name) for name, c in lists.items()])
+    return first.join(F.broadcast(gathered), keys, "left")  # at most MOST rows
+
+
 def duplicate_capabilities(tables: dict[str, DataFrame], least: int = 2) -> DataFrame:
-    """Capabilities that several projects implement; those below the floor take no place."""
+    """Capabilities that several projects implement, whose confidence is known (from 0 to 1).
+    The ten of most projects are chosen by counts; projects, assets and at most eight files
+    are gathered for those alone."""
     known = edges(tables).join(tables["projects"].select(F.col("id").alias("project"), F.col("name").alias("project_name")), "project", "left")
-    grouped = known.groupBy("capability", "capability_name", "capability_confidence").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_list("project")).alias("project_ids"), F.array_sort(F.collect_list(evidence("project", F.coalesce("project_name", "project"), F.col("project")))).alias("who")
-    ).where(F.col("n") >= max(2, least))
-    files = (
-        known.join(tables["assets"].select(F.col("id").alias("asset"), F.col("project_id").alias("project"), F.col("name").alias("asset_name"), "tags", "source_path"), "project")
-        .where(_mentions(F.col("asset_name"), F.col("tags"), F.col("capability_name")))
-        .groupBy("capability").agg(F.array_sort(F.collect_set("asset")).alias("asset_ids"), F.array_sort(F.collect_list(evidence("file", F.col("source_path"), F.concat_ws(":", "project", "source_path")))).alias("where"))
-    )
-    met = grouped.join(files, "capability", "left")
+    counted = edges(tables).groupBy("capability", "capability_name", "capability_confidence").agg(F.count("*").alias("n")).where((F.col("n") >= max(2, least)) & F.col("capability_confidence").isNotNull())
+    first = _capped(counted, [F.col("n").desc(), F.col("capability")])
+    grouped = _lists(known, ["capability"], first, project_ids=F.col("project"), who=evidence("project", F.coalesce("project_name", "project"), F.col("project")))
+    owned = tables["assets"].select(F.col("id").alias("asset"), F.col("project_id").alias("project"), F.col("name").alias("asset_name"), "tags", "source_path")
+    mentions = edges(tables).join(F.broadcast(first.select("capability")), "capability", "left_semi").join(owned, "project").where(_mentions(F.col("asset_name"), F.col("tags"), F.col("capability_name"))).select("capability", "asset", evidence("file", F.col("source_path"), F.concat_ws(":", "project", "source_path")).alias("file"))
+    rank = F.row_number().over(Window.partitionBy("capability").orderBy("file"))
+    files = mentions.withColumn("_n", rank).where(F.col("_n") <= 8).groupBy("capability").agg(F.array_sort(F.collect_list("file")).alias("where"))
+    assets = mentions.groupBy("capability").agg(F.array_sort(F.collect_set("asset")).alias("asset_ids"))
+    met = grouped.join(F.broadcast(files), "capability", "left").join(F.broadcast(assets), "capability", "left")
     hits = F.coalesce(F.size("asset_ids"), F.lit(0))
     base = F.when(F.col("n") == 2, 0.60).when(F.col("n") == 3, 0.72).when(F.col("n") == 4, 0.80).otherwise(0.86)
     confidence = F.least(base + F.col("capability_confidence") * 0.08 + F.when(hits > 0, 0.06).otherwise(0.0), F.lit(0.96))
     out = met.select(
         F.concat(F.lit("ins_dup_"), F.col("capability")).alias("id"), F.lit("duplicate_capability").alias("type"), F.format_string("%s is implemented in %d projects", "capability_name", "n").alias("title"),
         confidence.alias("confidence"), "project_ids", F.coalesce("asset_ids", empty_list()).alias("asset_ids"),
-        F.when(F.col("where").isNull(), F.col("who")).otherwise(F.concat("who", F.slice("where", 1, 8))).alias("evidence"), F.array("capability_name").alias("tags"), "n", "capability",
+        F.when(F.col("where").isNull(), F.col("who")).otherwise(F.concat("who", "where")).alias("evidence"), F.array("capability_name").alias("tags"), "n", "capability",
     )
     return _capped(out.where(F.col("confidence") >= FLOOR), [F.col("n").desc(), F.col("capability")]).select(COLUMNS)
 
@@ -100,26 +114,32 @@ def forgotten_assets(tables: dict[str, DataFrame], now: Column, idle: int = 180,
 
 
 def tech_directions(tables: dict[str, DataFrame], now: Column, window: int = 180, least: int = 3) -> DataFrame:
-    """Capabilities of several projects that moved within the window."""
+    """Capabilities of several projects that moved within the window; projects are gathered
+    for the ten that are left."""
     active = with_idle(tables["projects"], now).where(F.col("idle") <= window).select(F.col("id").alias("project"), F.col("name").alias("project_name"))
-    counted = edges(tables).join(active, "project").groupBy("capability", "capability_name").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_list("project")).alias("project_ids"), F.array_sort(F.collect_list(evidence("project", F.col("project_name"), F.col("project")))).alias("evidence")
-    )
+    moved = edges(tables).join(active, "project")
     total = active.agg(F.count("*").alias("total"))
     # One row with the total meets the few capabilities that are left.
-    met = counted.where(F.col("n") >= least).withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one").where(F.col("total") >= least)
-    out = met.select(
+    met = moved.groupBy("capability", "capability_name").agg(F.count("*").alias("n")).where(F.col("n") >= least).withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one").where(F.col("total") >= least)
+    rated = met.withColumn("confidence", F.least(0.55 + F.col("n") / F.col("total") * 0.35, F.lit(0.92))).where(F.col("confidence") >= FLOOR)
+    first = _capped(rated, [F.col("n").desc(), F.col("capability")])
+    listed = _lists(moved, ["capability"], first, project_ids=F.col("project"), evidence=evidence("project", F.col("project_name"), F.col("project")))
+    out = listed.select(
         F.concat(F.lit("ins_dir_"), F.col("capability")).alias("id"), F.lit("tech_direction").alias("type"), F.concat(F.lit("A steady direction: "), F.col("capability_name")).alias("title"),
-        F.least(0.55 + F.col("n") / F.col("total") * 0.35, F.lit(0.92)).alias("confidence"), "project_ids", empty_list().alias("asset_ids"), "evidence", F.array("capability_name").alias("tags"), "n", "capability",
+        "confidence", "project_ids", empty_list().alias("asset_ids"), "evidence", F.array("capability_name").alias("tags"), "n", "capability",
     )
-    return _capped(out.where(F.col("confidence") >= FLOOR), [F.col("n").desc(), F.col("capability")]).select(COLUMNS)
+    return _capped(out, [F.col("n").desc(), F.col("capability")]).select(COLUMNS)
 
 
 def combination_hints(tables: dict[str, DataFrame], least: int = 3) -> DataFrame:
-    """Domains with at least three projects and three implemented capabilities."""
+    """Domains with at least three projects and three implemented capabilities, chosen by
+    counts of distinct ones."""
     domains = tables["capabilities"].where("layer = 'domain'").select(F.col("id").alias("parent_id"), F.col("name").alias("domain"))
-    grouped = edges(tables).join(domains, "parent_id").groupBy("parent_id", "domain").agg(F.array_sort(F.collect_set("project")).alias("project_ids"), F.array_sort(F.collect_set("capability_name")).alias("names"))
-    met = grouped.where((F.size("project_ids") >= least) & (F.size("names") >= least))
+    known = edges(tables).join(domains, "parent_id")
+    counted = known.groupBy("parent_id", "domain").agg(F.count_distinct("project").alias("np"), F.count_distinct("capability_name").alias("nc")).where((F.col("np") >= least) & (F.col("nc") >= least))
+    first = _capped(counted, [F.col("parent_id")])
+    of = lambda c: known.select("parent_id", c).distinct()
+    met = _lists(of("capability_name"), ["parent_id"], _lists(of("project"), ["parent_id"], first, project_ids=F.col("project")), names=F.col("capability_name"))
     who = F.transform(F.slice("project_ids", 1, 5), lambda p: evidence("project", p, p))
     what = F.transform(F.slice("names", 1, 4), lambda c: evidence("symbol", c, F.lit(None).cast("string")))
     out = met.select(
@@ -130,7 +150,9 @@ def combination_hints(tables: dict[str, DataFrame], least: int = 3) -> DataFrame
 
 
 def detect_all(tables: dict[str, DataFrame], now: Column) -> DataFrame:
-    """Every detector's insights, valid ones alone, by confidence, then id."""
+    """Every detector's insights, valid ones alone, by confidence, then id. The edges that the
+    detectors share are made once, as a table in the shared folder."""
+    tables = {**tables, "edges": staged(edges(tables), "edges")}
     parts = [duplicate_capabilities(tables), reusable_components(tables), forgotten_assets(tables, now), tech_directions(tables, now), combination_hints(tables)]
     out = parts[0]
     for more in parts[1:]:
@@ -156,19 +178,24 @@ def opportunities(tables: dict[str, DataFrame], complete: dict[str, list[str]] |
     key = F.regexp_replace("parent_id", "^cap_domain_", "")
     wanted = F.create_map(*[x for k, v in complete.items() for x in (F.lit(k), F.array(*[F.lit(c) for c in v]))]) if complete else None
     domains = tables["capabilities"].where("layer = 'domain'").select(F.col("id").alias("parent_id"), F.col("name").alias("domain"))
-    grouped = edges(tables).join(domains, "parent_id").groupBy("parent_id", "domain").agg(F.array_sort(F.collect_set("project")).alias("project_ids"), F.array_sort(F.collect_set("capability_name")).alias("covered"))
-    grouped = grouped.where((F.size("project_ids") >= least_projects) & (F.size("covered") >= least_capabilities))
+    known = edges(tables).join(domains, "parent_id")
+    # A domain's capabilities are as few as its rules; its projects are only counted here.
+    grouped = known.groupBy("parent_id", "domain").agg(F.count_distinct("project").alias("projects"), F.array_sort(F.collect_set("capability_name")).alias("covered"))
+    grouped = grouped.where((F.col("projects") >= least_projects) & (F.size("covered") >= least_capabilities))
     have = F.transform("covered", lambda c: F.lower(c))
     listed = F.coalesce(F.try_element_at(wanted, key), empty_list()) if wanted is not None else empty_list()
     missing = F.filter(F.col("listed"), lambda c: ~F.array_contains(F.col("have"), F.lower(c)))
     assets = tables["assets"].where((F.col("reuse_score") >= reusable) & ~F.col("user_feedback").eqNullSafe("useless") & (F.col("type") != "knowledge")).select("id", "project_id")
-    owned = grouped.select("parent_id", F.explode("project_ids").alias("project_id")).join(assets, "project_id").groupBy("parent_id").agg(F.array_sort(F.collect_list("id")).alias("asset_ids"))
-    met = grouped.withColumn("listed", listed).withColumn("have", have).withColumn("missing", missing).join(owned, "parent_id", "left").withColumn("asset_ids", F.coalesce("asset_ids", empty_list()))
+    met = grouped.withColumn("listed", listed).withColumn("have", have).withColumn("missing", missing)
     n = F.size("covered")
     coverage = F.when(F.size("listed") == 0, F.least(0.3 + n * 0.05, F.lit(0.6))).otherwise(F.round(n / (n + F.size("missing")), 2))
     ranked = met.withColumn("coverage", coverage).where(F.col("coverage") >= least_coverage)
-    first = ranked.orderBy(F.col("coverage").desc(), F.size("project_ids").desc(), "parent_id").limit(most)
-    out = first.select(
+    first = ranked.orderBy(F.col("coverage").desc(), F.col("projects").desc(), "parent_id").limit(most)
+    members = known.select("parent_id", F.col("project").alias("project_id")).distinct()
+    with_projects = _lists(members, ["parent_id"], first, project_ids=F.col("project_id"))
+    owned = members.join(F.broadcast(first.select("parent_id")), "parent_id", "left_semi").join(assets, "project_id")
+    met = _lists(owned, ["parent_id"], with_projects, asset_ids=F.col("id")).withColumn("asset_ids", F.coalesce("asset_ids", empty_list()))
+    out = met.select(
         F.concat(F.lit("opp_"), key).alias("id"), F.concat(F.col("domain"), F.lit(": an opportunity to combine")).alias("title"), F.col("project_ids").alias("source_project_ids"), F.col("asset_ids").alias("source_asset_ids"),
         F.col("covered").alias("required_capabilities"), F.col("missing").alias("missing_capabilities"), "coverage", rating(F.size("project_ids"), F.col("coverage"), F.size("asset_ids")).alias("rating"), F.lit("new").alias("status"),
     )

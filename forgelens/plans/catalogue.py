@@ -130,7 +130,7 @@ def facet_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT round(coalesce(sum(o_totalprice), 0), 2) AS total, count(*) AS n, max(o_orderdate) AS latest FROM orders WHERE o_orderstatus = 'F'")
 def totals_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").agg(F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("total"), F.count("*").alias("n"), F.max("o_orderdate").alias("latest"))
+    return relational.totals(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'"), "o_totalprice", "o_orderdate").withColumn("total", F.round("total", 2))
 
 
 @query("""
@@ -246,17 +246,11 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capabilities.similar_pairs(assets(spark, sf_dir)).withColumn("confidence", F.round("confidence", 4))
 
 
-@query("""
-    WITH t AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))) AS w FROM benchmark WHERE item_id < 5),
-    d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))) AS w FROM documents)
-    SELECT item_id, doc_id, count(*) AS shared FROM t JOIN d USING (w) GROUP BY ALL HAVING count(*) >= 3
+@query(r"""
+    WITH t AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '\p{L}{4,}')) AS w FROM benchmark),
+    h AS (SELECT DISTINCT doc_id, w FROM documents JOIN (SELECT DISTINCT w FROM t) ON contains(lower(text), w))
+    SELECT item_id, doc_id, count(*) AS shared FROM t JOIN h USING (w) GROUP BY ALL HAVING count(*) >= 3
 """)
-def keyword_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0)))).alias("w"))
-    return words(table(spark, sf_dir, "benchmark").where("item_id < 5"), "item_id").join(words(table(spark, sf_dir, "documents"), "doc_id"), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared")).where("shared >= 3")
-
-
-@query()
 def keyword_substring_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark items against all documents: the links with three keywords of four or
     more letters that the document contains, also inside of longer words."""
@@ -297,10 +291,10 @@ def focus_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def missing_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    segments = customer.agg(F.array_sort(F.collect_set("c_mktsegment")).alias("segments")).first()["segments"]
+    segments = customer.agg(F.collect_set("c_mktsegment").alias("segments")).withColumn("one", F.lit(1))  # one row
     have = customer.where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.collect_set("c_mktsegment").alias("have"))
-    met = nation.join(have, "n_nationkey", "left")
-    return met.select("n_name", F.explode(F.array_except(F.array(*[F.lit(s) for s in segments]), F.coalesce("have", F.array().cast("array<string>")))).alias("segment"))
+    met = nation.join(have, "n_nationkey", "left").withColumn("one", F.lit(1)).join(F.broadcast(segments), "one")
+    return met.select("n_name", F.explode(F.array_except("segments", F.coalesce("have", F.array().cast("array<string>")))).alias("segment"))
 
 
 @query("""
@@ -487,7 +481,11 @@ def detect_combination_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insights.combination_hints(analysed(spark, sf_dir)).select("id", F.round("confidence", 4).alias("confidence"))
 
 
-@query()
+_KINDS = [("duplicate_capability", "detect_duplicate_capabilities"), ("reusable_component", "detect_reusable_components"), ("forgotten_asset", "detect_forgotten_assets"), ("tech_direction", "detect_tech_directions"), ("opportunity_hint", "detect_combination_hints")]
+_ALL = " UNION ALL ".join(f"SELECT id, '{kind}' AS type, confidence FROM ({ORACLES[name].replace('9000', '180')})" for kind, name in _KINDS)
+
+
+@query(f"SELECT *, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.70 THEN 'potent' ELSE 'info' END AS badge FROM ({_ALL})")
 def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insights.detect_all(analysed(spark, sf_dir), now()).select("id", "type", F.round("confidence", 4).alias("confidence"), "badge")
 
@@ -526,12 +524,18 @@ def count_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", n.alias("n")).select("page_id", F.col("n.total").cast("long").alias("total"), F.col("n.blank").cast("long").alias("blank"))
 
 
-@query()
+@query(r"""
+    WITH l AS (SELECT page_id, string_split(regexp_replace(html, '<a href="([^"'']*)">', chr(10) || 'app.get(''\1'', page)' || chr(10), 'g'), chr(10)) AS ls FROM pages),
+    r AS (SELECT page_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS n FROM l)
+    SELECT CAST(page_id AS VARCHAR) AS file_path, 'GET ' || regexp_extract(line, '^app\.get\(''([^'']*)''', 1) AS name, 'api_endpoint' AS kind, CAST(n AS INTEGER) AS line, NULL AS doc_comment FROM r WHERE line LIKE 'app.get(%'
+""")
 def route_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols of a text: each page's url as a handler's source."""
-    source = F.concat(F.lit("// serves "), F.col("url"), F.lit("\napp.get('/"), F.col("page_id").cast("string"), F.lit("', handler)\nfunction handler"), F.col("page_id").cast("string"), F.lit("(req, res) {\n  return 1\n}\n"))
-    files = table(spark, sf_dir, "pages").select(F.lit("p").alias("project_id"), F.lit("JavaScript").alias("language"), F.concat(F.col("page_id").cast("string"), F.lit(".js")).alias("rel_path"), source.alias("text"))
-    return symbols.symbols(files).select("file_path", "name", "kind", "line", "doc_comment")
+    """Symbols of all pages' html, in which each link to a path stands as the route that
+    answers it (the given tables hold no source code), by the SQL table function."""
+    symbols.register(spark)
+    routed = F.regexp_replace("html", r"""<a href="([^"']*)">""", "\napp.get('$1', page)\n")
+    table(spark, sf_dir, "pages").select(F.lit("pages").alias("project_id"), F.lit("JavaScript").alias("language"), F.col("page_id").cast("string").alias("rel_path"), routed.alias("text")).createOrReplaceTempView("forgelens_pages")
+    return spark.sql("SELECT file_path, name, kind, line, doc_comment FROM source_symbols(TABLE(forgelens_pages))")
 
 
 @query("""
@@ -547,17 +551,6 @@ def job_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.fold(events).select("job_id", "status")
 
 
-@query("""
-    SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS status, o_orderpriority AS owner FROM orders WHERE o_orderkey % 5 <> 0
-    UNION ALL SELECT o_orderkey, 'new', NULL FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 3 = 0
-""")
-def owner_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    old = orders.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("owner"))
-    new = orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.lit("new").alias("status"))
-    return merge.merge(old, new, ["id"], ["status"])
-
-
 @query("""
     WITH n AS (SELECT l_orderkey, max({'d': l_shipdate, 'n': l_linenumber, 's': l_linestatus}).s AS s FROM lineitem GROUP BY 1)
     SELECT coalesce(o_orderkey, l_orderkey) AS id, CASE WHEN l_orderkey IS NOT NULL THEN s ELSE o_orderstatus END AS status, o_orderpriority AS owner

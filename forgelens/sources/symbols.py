@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = "project_id string, name string, kind string, language string, file_path string, line int, signature string, doc_comment string, body_lines int, parent string, referenced_locally boolean"
 _ID = r"([A-Za-z_$][\w$]*)"
@@ -89,15 +91,26 @@ def _docstring(lines: list[str], at: int) -> str | None:
     return None
 
 
-def body_length(lines: list[str], at: int, indent: int) -> int:
-    """Lines until one that is not deeper; blank lines and comments do not end a body."""
-    n = 1
-    for raw in lines[at + 1 :]:
-        text = raw.strip()
-        if text and len(raw) - len(raw.lstrip()) <= indent and not text.startswith(("//", "#")):
-            break
-        n += 1
-    return n
+class Bodies:
+    """How many lines each declaration's body has: it ends before the first line that is not
+    deeper; blank lines and comments do not end a body. One pass: the declarations that are
+    open stand on a stack, by depth."""
+
+    def __init__(self):
+        self.open: list[tuple[int, int]] = []
+        self.length: dict[int, int] = {}
+
+    def line(self, at: int, indent: int, text: str) -> None:
+        if text and not text.startswith(("//", "#")):
+            while self.open and self.open[-1][0] >= indent:
+                start = self.open.pop()[1]
+                self.length[start] = at - start
+
+    def begin(self, at: int, indent: int) -> None:
+        self.open.append((indent, at))
+
+    def end(self, lines: int) -> dict[int, int]:
+        return self.length | {start: lines - start for _, start in self.open}
 
 
 def extract(language: str, path: str, text: str) -> Iterator[tuple]:
@@ -110,8 +123,10 @@ def extract(language: str, path: str, text: str) -> Iterator[tuple]:
         uses[word] = uses.get(word, 0) + 1
     docs: list[str] = []
     parent: str | None = None
+    bodies, rows = Bodies(), []
     for i, raw in enumerate(lines):
         line = raw.strip()
+        bodies.line(i, len(raw) - len(raw.lstrip()), line)
         if (doc := doc_of(language, line)) is not None:
             docs.append(doc)
             continue
@@ -128,20 +143,56 @@ def extract(language: str, path: str, text: str) -> Iterator[tuple]:
         comment = " ".join(d for d in docs if d) or (_docstring(lines, i) if language == "Python" and kind != "constant" else None)
         docs = []
         signature = line if len(line) <= MOST_SIGNATURE else line[: MOST_SIGNATURE - 3] + "…"
-        yield name, kind, language, path, i + 1, signature, comment or None, body_length(lines, i, indent), owner, uses.get(name, 0) > 1
+        bodies.begin(i, indent)
+        rows.append((name, kind, language, path, i + 1, signature, comment or None, owner, uses.get(name, 0) > 1))
         if kind in _OWNERS:
             parent = name
         elif indent == 0:
             parent = None
+    lengths = bodies.end(len(lines))
+    for *head, owner, used in rows:
+        yield (*head, lengths[head[4] - 1], owner, used)
+
+
+#: Rows of symbols that a task holds at once.
+SLICE = 2000
+_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+_TYPES = [{"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]] for c in SCHEMA.split(", ")]
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA, a slice at a time."""
+    while some := list(islice(rows, SLICE)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), _TYPES, strict=True)], _NAMES)
+
+
+def _of_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    files = (f for b in batches for f in zip(*(b.column(c).to_pylist() for c in ("project_id", "language", "rel_path", "text")), strict=True))
+    yield from _batches((p, *row) for p, lang, path, text in files if text for row in extract(lang, path, text))
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """Symbols of ``files(project_id, language, rel_path, text)``, null texts skipped."""
+    """Symbols of ``files(project_id, language, rel_path, text)``, null texts skipped. A task
+    holds a batch of files and a slice of symbols."""
+    return files.select("project_id", "language", "rel_path", "text").mapInArrow(_of_files, SCHEMA)
+
+
+class SymbolTable:
+    """The same for SQL, by Arrow batches: ``FROM source_symbols(TABLE(files))``."""
+
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield from _of_files(iter([batch]))
+
+
+class SymbolsOf:
+    """The same of one file, for joins: ``FROM files f, LATERAL symbols_of(f.language, f.path,
+    f.text) s``. Spark gives laterals no Arrow batches; a call is a whole file."""
+
+    def eval(self, language: str, path: str, text: str) -> Iterator[tuple]:
+        yield from extract(language, path, text or "")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        for frame in frames:
-            rows = [(p, *row) for p, lang, path, text in frame.itertuples(index=False) if text for row in extract(lang, path, text)]
-            yield pd.DataFrame(rows, columns=names)
 
-    return files.select("project_id", "language", "rel_path", "text").mapInPandas(run, SCHEMA)
+def register(spark: SparkSession) -> None:
+    """Registers both table functions with the session."""
+    spark.udtf.register("source_symbols", F.arrow_udtf(SymbolTable, returnType=SCHEMA).asDeterministic())
+    spark.udtf.register("symbols_of", F.udtf(SymbolsOf, returnType=SCHEMA.split(", ", 1)[1]).asDeterministic())
