@@ -72,27 +72,46 @@ PARSERS = {
 }
 
 
-def parse(name: str, text: str) -> tuple[list[str], list[str]]:
-    """(runtime, dev) dependencies; a broken manifest has none."""
+def checked(name: str, text: str) -> tuple[list[str], list[str], str | None]:
+    """(runtime, dev, None), or no dependencies and what is wrong with the manifest."""
     try:
         runtime, dev = PARSERS[name](text)
-    except (ValueError, KeyError, AttributeError, TypeError):
-        return [], []
+    except (ValueError, KeyError, AttributeError, TypeError) as e:
+        return [], [], f"{name}: {type(e).__name__}: {e}"[:300]
     clean = lambda xs: sorted({x.strip() for x in xs if isinstance(x, str) and x.strip()})
-    return clean(runtime), clean(dev)
+    return clean(runtime), clean(dev), None
 
 
-def dependencies(manifests: DataFrame) -> DataFrame:
-    """project_id, dependency, dev of ``manifests(project_id, name, content)``. Files that
-    are too long are left out before their content is read."""
+def parse(name: str, text: str) -> tuple[list[str], list[str]]:
+    """(runtime, dev) dependencies; a broken manifest has none."""
+    return checked(name, text)[:2]
+
+
+def parsed(manifests: DataFrame) -> DataFrame:
+    """project_id, dependency, dev, error of ``manifests(project_id, name, content)``: a row a
+    dependency, and one with an error, and no dependency, for each manifest that is broken,
+    too long, or no text. Files that are too long are not read."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(p, d, dev) for p, name, text in frame.itertuples(index=False) for dev, ds in enumerate(parse(name, text or "")) for d in ds]
-            yield pd.DataFrame([(p, d, bool(dev)) for p, d, dev in rows], columns=["project_id", "dependency", "dev"])
+            rows: list[tuple] = []
+            for project, name, length, text in frame.itertuples(index=False):
+                if length > MOST_BYTES or text is None:
+                    rows.append((project, None, None, f"{name}: {'too long' if length > MOST_BYTES else 'not UTF-8'}"))
+                    continue
+                runtime, dev, error = checked(name, text)
+                rows += [(project, d, kind, None) for kind, ds in ((False, runtime), (True, dev)) for d in ds]
+                rows += [(project, None, None, error)] if error else []
+            yield pd.DataFrame(rows, columns=["project_id", "dependency", "dev", "error"])
+
+    named = manifests.where(F.col("name").isin(list(PARSERS)) & F.col("content").isNotNull())
+    length = F.length("content")
+    return named.select("project_id", "name", length.alias("length"), F.when(length <= MOST_BYTES, F.try_validate_utf8("content")).alias("text")).mapInPandas(run, f"{SCHEMA}, error string").distinct()
 
-    named = manifests.where(F.col("name").isin(list(PARSERS)) & (F.length("content") <= MOST_BYTES))
-    return named.select("project_id", "name", F.try_validate_utf8("content").alias("text")).mapInPandas(run, SCHEMA).distinct()
+
+def dependencies(manifests: DataFrame) -> DataFrame:
+    """project_id, dependency, dev of ``manifests(project_id, name, content)``."""
+    return parsed(manifests).where("error IS NULL").drop("error")
 
 
 def normalized(dep: Column) -> Column:

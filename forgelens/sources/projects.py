@@ -14,6 +14,8 @@ from ..operators import scoring
 
 MOST_SOURCE, MOST_COUNTED, MOST_FILES, MOST_DEPTH = 512 * 1024, 2 * 1024 * 1024, 3000, 10
 MOST_COMMITS = 20_000
+#: Folders below a project, and files of it, that are counted.
+COUNT_DEPTH, COUNT_FILES = 8, 20_000
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -151,11 +153,15 @@ def newest(files: DataFrame) -> DataFrame:
     return files.where(~excluded(F.col("rel_path"))).groupBy(F.col("dir").alias("project_id")).agg(F.max("modified").alias("modified"))
 
 
-def language_stats(files: DataFrame, most: int = MOST_COUNTED) -> DataFrame:
-    """project_id, name, loc, files of what people wrote. Names and lengths decide before a
+def language_stats(files: DataFrame, most: int = MOST_COUNTED, depth: int = COUNT_DEPTH, count: int = COUNT_FILES) -> DataFrame:
+    """project_id, name, loc, files of what people wrote: down to ``depth`` folders below the
+    project, and the first ``count`` of its files by path. Names and lengths decide before a
     file's content is read."""
     lang = language_of(F.col("name"))
     kept = files.where((F.col("length") <= most) & ~generated(F.col("rel_path")) & ~secret(F.col("name")) & ~excluded(F.col("rel_path"))).withColumn("language", lang).where("language IS NOT NULL")
+    inner = F.size(F.split("rel_path", "/")) - F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
+    rank = F.row_number().over(Window.partitionBy("dir").orderBy("rel_path"))
+    kept = kept.where(inner <= depth + 1).withColumn("_n", rank).where(F.col("_n") <= count)
     lines = kept.select(F.col("dir").alias("project_id"), F.col("language").alias("name"), count_lines(F.try_validate_utf8("content"))["code"].alias("n"))
     return lines.groupBy("project_id", "name").agg(F.sum("n").alias("loc"), F.count("*").alias("files"))
 
@@ -198,20 +204,19 @@ def readmes(files: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "project_id string, excerpt string")
 
 
-def commits(log: DataFrame, now: Column) -> DataFrame:
+def commits(log: DataFrame, now: Column, most: int = MOST_COMMITS) -> DataFrame:
     """project_id, commits, first_commit, last_commit, recent, authors of
     ``log(project_id, author, date)``. At the cap the first commit is not known."""
     at = parse_time(F.col("date"))
     counted = log.withColumn("at", at).groupBy("project_id").agg(
         F.count("*").alias("commits"), F.min("at").alias("first_commit"), F.max("at").alias("last_commit"), F.count_if(F.col("at") >= now - F.expr("INTERVAL 90 DAYS")).alias("recent"), F.count_distinct("author").alias("authors")
     )
-    return counted.withColumn("first_commit", F.when(F.col("commits") < MOST_COMMITS, F.col("first_commit")))
+    return counted.withColumn("first_commit", F.when(F.col("commits") < most, F.col("first_commit")))
 
 
 def branch(head: Column) -> Column:
-    """The branch that .git/HEAD names; a detached head: its first eight digits."""
-    named = F.nullif(F.regexp_extract(head, r"^ref:\s*refs/heads/(\S+)", 1), F.lit(""))
-    return F.coalesce(named, F.nullif(F.regexp_extract(head, r"^([0-9a-f]{8})[0-9a-f]{32}\s*$", 1), F.lit("")))
+    """The branch that .git/HEAD names, slashes and dots included; a detached head: null."""
+    return F.nullif(F.regexp_extract(head, r"^ref: refs/heads/([^\r\n]*?)\s*(?:[\r\n]|$)", 1), F.lit(""))
 
 
 def to_projects(scanned: DataFrame, now: Column) -> DataFrame:
