@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, let
 
-#: Words in a k-mer; tuples of a signature, each of two k-mers; and bits of a tuple.
-K, TUPLES, TUPLE_BITS = 3, 24, 32
+#: Words in a k-mer; tuples of a signature, each of the two least k-mers of an order; bits of
+#: a tuple; and sorted lists from which the orders come.
+K, TUPLES, TUPLE_BITS, LISTS = 3, 64, 32, 4
 #: Bits of a k-mer's place in its text, as a share of the text's length.
 PLACE_BITS = 24
 #: Texts of up to SHORT code points have tuples of CHARS-character k-mers, too. Words longer
@@ -74,38 +75,55 @@ def _levels(text: Column, graded: bool) -> list[Column]:
     return [words, let(F.array_join(_words(text), " "), plain)]
 
 
-def _least(order: int) -> Column:
-    """The least k-mer in an order of its own, by 40 bits of hash, with its place."""
-    h = F.xxhash64("x", F.lit(order)).bitwiseAND(F.lit(-(1 << PLACE_BITS)))
-    return F.min(h.bitwiseOR(F.col("x_share"))).alias(f"m{order}")
+def starts(of: int) -> list[int]:
+    """Where the orders of a list begin: even steps round the circle of 64-bit numbers, for
+    each list a little further on."""
+    n = TUPLES // LISTS
+    return [-(1 << 63) + j * ((1 << 64) // n) + of * ((1 << 64) // TUPLES) for j in range(n)]
 
 
-def _tuple(i: int) -> Column:
-    a, b = F.col(f"m{2 * i}"), F.col(f"m{2 * i + 1}")
+def _sorted(kmers: Column, of: int) -> Column:
+    """The k-mers by the hash's bits, turned by 16 a list, each with its place in the text in
+    the lowest bits."""
+    turned = lambda x: F.shiftleft(x, 16 * of).bitwiseOR(F.shiftrightunsigned(x, 64 - 16 * of)) if of else x
+    share = lambda i: F.floor(i * float(1 << PLACE_BITS) / F.size(kmers))
+    return F.sort_array(F.transform(kmers, lambda x, i: turned(x).bitwiseAND(F.lit(-(1 << PLACE_BITS))).bitwiseOR(share(i))))
+
+
+def _tuples(kmers: Column, of: int) -> Column:
+    """The tuples of a list. An order goes round the sorted k-mers from its start on; hashes
+    are random, so each k-mer is as likely the least of it. The two least are put in the order
+    of the text and hashed; of a single k-mer, it stands for both."""
     place, bare = lambda m: m.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)), lambda m: F.shiftright(m, PLACE_BITS)
-    h = F.when(place(a) <= place(b), F.xxhash64(bare(a), bare(b))).otherwise(F.xxhash64(bare(b), bare(a)))
-    return h.bitwiseAND(F.lit((1 << TUPLE_BITS) - 1))
+    both = lambda a, b: F.when(place(a) <= place(b), F.xxhash64(bare(a), bare(b))).otherwise(F.xxhash64(bare(b), bare(a))).bitwiseAND(F.lit((1 << TUPLE_BITS) - 1))
+
+    def every(s: Column) -> Column:
+        n = F.size(s)
+        halves = F.filter(F.array(*[F.lit(1 << h) for h in reversed(range(31))]), lambda h: h <= n)
+        step = lambda start: lambda at, h: F.when(F.get(s, at + h - 1) < start, at + h).otherwise(at)
+        two = lambda at: let(F.get(s, at % n), lambda a: let(F.get(s, (at + 1) % n), lambda b: both(a, b)))
+        return let(halves, lambda hs: F.transform(F.array(*[F.lit(x) for x in starts(of)]), lambda start: let(F.aggregate(hs, F.lit(0), step(start)), two)))
+
+    return let(_sorted(kmers, of), every)
+
+
+def _signature(kmers: Column) -> Column:
+    every = let(kmers, lambda k: F.when(F.size(k) == 0, F.array().cast("array<long>")).otherwise(F.concat(*[_tuples(k, of) for of in range(LISTS)])))
+    return F.when(kmers.isNotNull(), every)
 
 
 def signatures(rows: DataFrame, keys: list[str], texts: dict[str, Column], graded: bool = False) -> DataFrame:
     """keys and a signature for each of ``texts``: its levels, each the tuples as numbers of
-    TUPLE_BITS bits; null where the text has no such level. ``keys`` are those of one row.
+    TUPLE_BITS bits; null where the text has no such level.
 
-    A tuple has two orders over all occurrence-numbered k-mers, independent of each other and
-    of all other tuples'. Each selects its minimal k-mer; the two are put in the order of the
-    text and hashed. Null and texts without words: no tuples. All minima come from one pass
-    of plain aggregates over the k-mers as rows, which need no exchange if the rows lie by
-    some of the keys.
+    The tuples have 64 orders over all occurrence-numbered k-mers, sixteen on each of four
+    sorted lists (see ``_tuples``): of a text of many k-mers no two orders have one in common.
+    Null and texts without words: no tuples. Rows are independent of each other; nothing is
+    exchanged.
     """
-    kmers = [F.struct(F.lit(f"{name}{i}").alias("level"), of.alias("kmers")) for name, text in texts.items() for i, of in enumerate(_levels(text, graded))]
-    level = rows.select(*keys, F.explode(F.array(*kmers)).alias("k")).where("k.kmers IS NOT NULL").select(*keys, "k.level", "k.kmers")
-    each = level.select(*keys, "level", F.size("kmers").alias("x_count"), F.posexplode_outer("kmers").alias("x_place", "x"))
-    each = each.select(*keys, "level", "x", F.expr(f"x_place * {1 << PLACE_BITS}L div x_count").alias("x_share"))
-    least = each.groupBy(*keys, "level").agg(*[_least(j) for j in range(2 * TUPLES)])
-    tuples = F.when(F.col("m0").isNull(), F.array().cast("array<long>")).otherwise(F.array(*[_tuple(i) for i in range(TUPLES)]))
-    met = least.select(*keys, "level", tuples.alias("tuples")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("level", "tuples"))).alias("found"))
     names = ("words", "chars") if graded else ("words",)
-    return met.select(*keys, *[F.struct(*[F.col("found")[f"{name}{i}"].alias(n) for i, n in enumerate(names)]).alias(name) for name in texts])
+    sign = lambda of: let(of, lambda k: _signature(k))
+    return rows.select(*keys, *[F.struct(*[sign(of).alias(n) for n, of in zip(names, _levels(text, graded), strict=True)]).alias(name) for name, text in texts.items()])
 
 
 def as_text(of: Column) -> Column:
