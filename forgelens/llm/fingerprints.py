@@ -12,7 +12,7 @@ from .common import SPACES, let
 
 #: Words in a k-mer; tuples of a signature, each of the two least k-mers of an order; bits of
 #: a tuple; and sorted lists from which the orders come.
-K, TUPLES, TUPLE_BITS, LISTS = 3, 64, 32, 4
+K, TUPLES, TUPLE_BITS, LISTS = 3, 64, 32, 2
 #: Bits of a k-mer's place in its text, as a share of the text's length.
 PLACE_BITS = 24
 #: Texts of up to SHORT code points have tuples of CHARS-character k-mers, too. Words longer
@@ -83,9 +83,10 @@ def starts(of: int) -> list[int]:
 
 
 def _sorted(kmers: Column, of: int) -> Column:
-    """The k-mers by the hash's bits, turned by 16 a list, each with its place in the text in
+    """The k-mers by the hash's bits, turned for each list, each with its place in the text in
     the lowest bits."""
-    turned = lambda x: F.shiftleft(x, 16 * of).bitwiseOR(F.shiftrightunsigned(x, 64 - 16 * of)) if of else x
+    by = 64 // LISTS * of
+    turned = lambda x: F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by)) if by else x
     share = lambda i: F.floor(i * float(1 << PLACE_BITS) / F.size(kmers))
     return F.sort_array(F.transform(kmers, lambda x, i: turned(x).bitwiseAND(F.lit(-(1 << PLACE_BITS))).bitwiseOR(share(i))))
 
@@ -116,8 +117,9 @@ def signatures(rows: DataFrame, keys: list[str], texts: dict[str, Column], grade
     """keys and a signature for each of ``texts``: its levels, each the tuples as numbers of
     TUPLE_BITS bits; null where the text has no such level.
 
-    The tuples have 64 orders over all occurrence-numbered k-mers, sixteen on each of four
-    sorted lists (see ``_tuples``): of a text of many k-mers no two orders have one in common.
+    The tuples have 64 orders over all occurrence-numbered k-mers, half of them on each of two
+    sorted lists (see ``_tuples``): of a text of many k-mers hardly two orders of a list have
+    one in common.
     Null and texts without words: no tuples. Rows are independent of each other; nothing is
     exchanged.
     """

@@ -39,7 +39,7 @@ def brute(text):
         numbered.append(k if n == 0 else chain(k, Int(n)))
     out, n = [], len(numbered)
     for of in range(fp.LISTS):
-        turn = 16 * of
+        turn = 64 // fp.LISTS * of
         turned = [signed(((x << turn) | ((x & MASK) >> (64 - turn))) & MASK) if turn else x for x in numbered]
         s = sorted((t >> fp.PLACE_BITS, (p << fp.PLACE_BITS) // n) for p, t in enumerate(turned))
         for start in fp.starts(of):
