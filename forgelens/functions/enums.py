@@ -38,6 +38,7 @@ NEED_MODEL = ["ANALYZE_PROJECT", "EXTRACT_CAPABILITIES", "ANALYZE_RELATIONS", "G
 DEEP = ["ANALYZE_RELATIONS", "GENERATE_INSIGHT", "DISCOVER_OPPORTUNITY"]
 TERMINAL = ["completed", "failed", "cancelled"]
 ACTIONABLE = ["new", "explored"]
+FEEDBACK = ["useful", "useless", "ignored"]
 SYMMETRIC = ["similar_to", "combines_with", "can_combine_with", "related_to"]
 
 

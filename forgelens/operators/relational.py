@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import enums
 from ..functions.scalars import any_of, contains_text, idle_days
+from ..sources.tables import staged
 
 #: Up to this many rows of words, a table of them is broadcast.
 FEW_WORDS = 2_000_000
@@ -156,13 +157,15 @@ def adoption_rate(insights: DataFrame) -> DataFrame:
 
 def subtree(capabilities: DataFrame, root: str) -> DataFrame:
     """The ids below and at ``root``, however deep: one join a level, ended by the first that
-    is empty. A row knows the way it came, so a loop among the rows ends, too."""
-    level = capabilities.where(F.col("id") == root).select("id", F.array("id").alias("_way")).distinct()
-    out, below = level.select("id"), capabilities.select(F.col("id").alias("_child"), F.col("parent_id").alias("id"))
+    is empty. Levels are written tables, so no plan grows and nothing is kept in memory; an
+    id that was met is not met again, so a loop among the rows ends, too."""
+    below = capabilities.select(F.col("id").alias("_child"), F.col("parent_id").alias("id"))
+    level = staged(capabilities.where(F.col("id") == root).select("id").distinct(), "level")
+    out = level
     while not level.isEmpty():
-        level = level.join(below, "id").where(~F.array_contains("_way", F.col("_child"))).select(F.col("_child").alias("id"), F.concat("_way", F.array("_child")).alias("_way")).persist()
-        out = out.union(level.select("id"))
-    return out.distinct()
+        level = staged(level.join(below, "id").select(F.col("_child").alias("id")).distinct().join(out, "id", "left_anti"), "level")
+        out = out.unionByName(level)
+    return out
 
 
 def project_counts(capabilities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -308,10 +311,16 @@ def kind_counts(hits: DataFrame) -> DataFrame:
 
 
 def append(log: DataFrame, rows: DataFrame, at: Column) -> DataFrame:
-    """An append-only log (activities, audit) with new rows: each takes the next ``seq``, by
-    which rows of one time keep their order, and the time ``at``."""
-    last = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_last"))
-    numbered = rows.withColumn("seq", F.row_number().over(Window.orderBy(*rows.columns)).cast("long")).join(F.broadcast(last)).withColumn("seq", F.col("seq") + F.col("_last")).drop("_last")
+    """An append-only log (activities, audit) with new rows: each takes the next ``seq``, in
+    the order of their columns, by which rows of one time keep their order, and the time
+    ``at``. The new rows are sorted by ranges and written; a row's number is its place in its
+    range, after the ranges before it, of which one row each is counted."""
+    last = log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    part, place = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    sorted_rows = rows.repartitionByRange(*rows.columns).sortWithinPartitions(*rows.columns).withColumns({"_part": part, "_place": place})
+    written = staged(sorted_rows, "rows")
+    before = written.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    numbered = written.join(F.broadcast(before), "_part").withColumn("seq", F.col("_before") + F.col("_place") + 1 + last)
     return log.unionByName(numbered.withColumn("created_at", at).select(log.columns))
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import enums, rules
 from ..functions import scalars as S
 from ..operators import capabilities, graph, insights, ranking, relational, retrieval, scoring
-from . import jobs, merge, views
-from .catalogue import EDGES, NOW, PROJECTS, TREE, assets, edge_table, now, project_table, query, table
+from . import details, jobs, merge, mutations, schema, views
+from .catalogue import EDGES, NOW, PROJECTS, TREE, assets, capability_table, edge_table, now, project_table, query, table
 
 INSIGHTS = """
     SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'useless' WHEN quality = 1 THEN 'useful' END AS user_feedback, (doc_id % 101) / 100.0::DOUBLE AS confidence,
@@ -543,3 +543,80 @@ def current_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "view", "running").otherwise("completed")
     states = table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), status.alias("status"), F.lit(0.5).alias("progress"), F.lit(None).cast("long").alias("processed"), F.lit(None).cast("long").alias("total"), F.col("event_id").alias("updated_at"))
     return views.current_job(states).select("job_id")
+
+
+# Changes and details
+
+
+@query("SELECT 's' || s_suppkey AS id, coalesce(n, 0) AS weight FROM supplier LEFT JOIN (SELECT l_suppkey, count(DISTINCT o_custkey) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1) ON s_suppkey = l_suppkey")
+def capability_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    caps = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"))
+    return details.capability_weights(caps, edge_table(spark, sf_dir)).select(F.col("node").alias("id"), F.col("weight").cast("long").alias("weight"))
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS tag FROM part) GROUP BY tag ORDER BY n DESC, tag LIMIT 15")
+def top_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return details.tags(assets(spark, sf_dir), 15)
+
+
+@query("""
+    SELECT 'c' || c_custkey AS project_id, 'the project is no longer kept local' AS summary FROM customer
+    WHERE c_acctbal < 0 AND c_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 5)
+""")
+def unmarked_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in debt are sensitive; those of more than five orders are unmarked: the audit."""
+    projects = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id"), (F.col("c_acctbal") < 0).alias("sensitive"))
+    wanted = table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("c"), F.col("o_custkey")).alias("id")).agg((F.count("*") <= 5).alias("value")).where("NOT value")
+    return mutations.set_sensitive(projects, wanted)[1].select("project_id", "summary")
+
+
+@query("""
+    SELECT c_custkey AS id, CASE WHEN n IS NULL THEN c_comment ELSE nullif(left(trim(n), 500), '') END AS description
+    FROM (SELECT c_custkey, c_name AS c_comment FROM customer) LEFT JOIN (SELECT o_custkey, max('  ' || repeat(o_orderpriority || ' ', 60)) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey
+""")
+def new_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    projects = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("description"))
+    text = F.concat(F.lit("  "), F.repeat(F.concat("o_orderpriority", F.lit(" ")), 60))
+    return mutations.set_description(projects, table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max(text).alias("value")))
+
+
+@query("""
+    WITH f AS (SELECT l_orderkey AS id, max(CASE l_returnflag WHEN 'R' THEN 'useful' WHEN 'A' THEN 'useless' END) AS v FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1)
+    SELECT o_orderkey AS id, v AS user_feedback, v IS NULL AS unread, coalesce(v = 'useful', FALSE) AS rediscovered, v IS NOT NULL AS affects_scores FROM orders LEFT JOIN f ON id = o_orderkey
+""")
+def feedback_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.when(F.col("l_returnflag") == "R", "useful").when(F.col("l_returnflag") == "A", "useless").otherwise("no feedback")
+    wanted = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), value.alias("value"))
+    marked = mutations.set_feedback(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit(None).cast("string").alias("user_feedback")), wanted)
+    return marked.select("id", "user_feedback", mutations.feedback_state(F.col("user_feedback")).alias("s")).select("id", "user_feedback", "s.*")
+
+
+@query("""
+    SELECT p_partkey AS id, nullif(concat_ws(' · ', nullif(trim(p_brand), ''), CASE WHEN p_size > 0 THEN p_size || ' files' END,
+      CASE WHEN p_partkey >= 1000 THEN printf('%.1fk', p_partkey / 1000.0) || ' lines' WHEN p_partkey > 0 THEN p_partkey || ' lines' END), '') AS subtitle FROM part
+""")
+def project_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), details.project_subtitle(F.col("p_brand"), F.col("p_size"), F.col("p_partkey")).alias("subtitle"))
+
+
+@query(f"SELECT count(*) AS n FROM ({EDGES}) WHERE hash(source_id) IS NOT NULL AND CAST(substr(target_id, 2) AS BIGINT) > (SELECT max(s_suppkey) / 2 FROM supplier)")
+def pruned_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of suppliers in the lower half are weak."""
+    last = table(spark, sf_dir, "supplier").agg((F.max("s_suppkey") / 2).alias("half"))
+    edges = edge_table(spark, sf_dir).drop("confidence").join(F.broadcast(last))  # one row
+    rated = edges.withColumn("confidence", F.when(F.substring("target_id", 2, 20).cast("long") > F.col("half"), 0.9).otherwise(0.2))
+    return mutations.prune_relations(rated, 0.5, ["implements"]).agg(F.count("*").alias("n"))
+
+
+@query("""
+    SELECT doc_id AS id, 'cloud:' || source AS model, TRUE AS ok FROM documents WHERE coalesce(source, '-') <> '-' UNION ALL SELECT doc_id, source, NULL FROM documents WHERE coalesce(source, '-') = '-'
+""")
+def migrated_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third version of a store's audit log: calls of a model were ok."""
+    log = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.coalesce("source", F.lit("-")) != "-", F.concat(F.lit("cloud:"), "source")).otherwise(F.col("source")).alias("model"))
+    return schema.audited(spark, {"audit_log": log})["audit_log"].select("id", "model", "ok")
+
+
+@query("SELECT count(*) AS n FROM supplier")
+def capability_layer_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return details.capability_count(capability_table(spark, sf_dir))
