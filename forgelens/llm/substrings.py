@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -280,12 +281,18 @@ def _repeats(sent: DataFrame, parts: int, last: bool) -> DataFrame:
     return both.groupBy("bucket").applyInArrow(_collect(last), FOUND)
 
 
-def _bucketed(df: DataFrame, files: int) -> DataFrame:
+@contextmanager
+def _bucketed(df: DataFrame, files: int) -> Iterator[DataFrame]:
     """``df`` as a table bucketed by doc_id in the shared folder: its rows move once, and then
-    joins by doc_id move only the other side."""
+    joins by doc_id move only the other side. Catalog entry and files go at the end."""
     spark, name = df.sparkSession, f"forgelens_{uuid.uuid4().hex}"
     df.repartition(files, "doc_id").write.bucketBy(files, "doc_id").option("path", staged_path(spark, name)).saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    try:
+        yield table
+    finally:
+        discard(table)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def _without(texts: DataFrame, copies: DataFrame) -> DataFrame:
@@ -319,27 +326,33 @@ def repeated_words(docs: DataFrame, window: int = 13, texts: bool = True) -> Dat
     bits = min(64 - LOW, max(LEAST_BITS, (-(-size // PER_BUCKET) - 1).bit_length()))
     parts = 1 << bits
     sent = staged(docs.mapInArrow(_first_level(lengths[0], window, bits, parts), SENT), "level0", ["kind"])
-    packed = _bucketed(sent.where("kind = 2").select("doc_id", "n_words", "sha", "packed"), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PER_FILE)))
-    found = staged(_repeats(sent, parts, len(lengths) == 1), "repeats0")
-    first = packed.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = staged(packed.select("doc_id", "sha").join(first.select("sha", "first"), "sha").where("first < doc_id").select("doc_id", "sha").distinct(), "copies")
-    discard(sent)
-    rest = _without(packed, copies)
-    for before, length in zip(lengths, lengths[1:], strict=False):
-        if found.isEmpty():
-            break
-        extend = _next_level(before, length, window, bits, parts)
-        sent = staged(rest.join(found.hint("shuffle_hash"), "doc_id").select("doc_id", "packed", "h").mapInArrow(extend, SENT), f"level{length}", ["kind"])
-        last, found = found, staged(_repeats(sent, parts, length == window), f"repeats{length}")
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PER_FILE))
+    with _bucketed(sent.where("kind = 2").select("doc_id", "n_words", "sha", "packed"), files) as packed:
+        found = staged(_repeats(sent, parts, len(lengths) == 1), "repeats0")
+        # The first document of each text, from an aggregate; all others of it are copies. They
+        # meet by doc_id, so a text of many copies is in no task as a whole.
+        long = packed.where(F.col("n_words") >= window).select("doc_id", "sha")
+        copies = staged(_without(long, long.groupBy("sha").agg(F.min("doc_id").alias("doc_id"))).distinct(), "copies")
         discard(sent)
-        discard(last)
-    marked = rest.join(found.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "n_words", "sha", F.when(F.col("h").isNotNull() | F.lit(texts), F.col("packed")).alias("packed"), "h", "g")
-    cut = marked.mapInArrow(_remover(window, bits), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
-    c, p = copies.alias("c"), packed.alias("p")
-    whole = p.join(c.hint("shuffle_hash"), (F.col("p.doc_id") == F.col("c.doc_id")) & (F.col("p.sha") <= F.col("c.sha")) & (F.col("p.sha") >= F.col("c.sha")), "left_semi")
-    whole = whole.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit(b"").alias("kept"))
-    out = cut.unionByName(whole).withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
-    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", *([F.col("kept").cast("string").alias("kept_text")] if texts else []))
+        rest = _without(packed, copies)
+        for before, length in zip(lengths, lengths[1:], strict=False):
+            if found.isEmpty():
+                break
+            extend = _next_level(before, length, window, bits, parts)
+            sent = staged(rest.join(found.hint("shuffle_hash"), "doc_id").select("doc_id", "packed", "h").mapInArrow(extend, SENT), f"level{length}", ["kind"])
+            last, found = found, staged(_repeats(sent, parts, length == window), f"repeats{length}")
+            discard(sent)
+            discard(last)
+        marked = rest.join(found.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "n_words", "sha", F.when(F.col("h").isNotNull() | F.lit(texts), F.col("packed")).alias("packed"), "h", "g")
+        cut = marked.mapInArrow(_remover(window, bits), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
+        c, p = copies.alias("c"), packed.alias("p")
+        whole = p.join(c.hint("shuffle_hash"), (F.col("p.doc_id") == F.col("c.doc_id")) & (F.col("p.sha") <= F.col("c.sha")) & (F.col("p.sha") >= F.col("c.sha")), "left_semi")
+        whole = whole.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit(b"").alias("kept"))
+        out = cut.unionByName(whole).withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
+        result = staged(out.select("doc_id", "n_words", "n_removed", "kept_sha256", *([F.col("kept").cast("string").alias("kept_text")] if texts else [])), "passages")
+        discard(found)
+        discard(copies)
+    return result
 
 
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,9 +167,20 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of the input's files that a shard holds, at most about.
+PER_SHARD = 256 << 20
+
+
+def shards_for(docs: DataFrame) -> int:
+    """Shards grow in number with the input, not in size. The files' bytes are what the plan
+    says of its scan, without a job; where it does not know, it says a number beyond all."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2 * partitions_for(docs.sparkSession), -(-size // PER_SHARD) if size < 1 << 60 else 0)
+
+
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    segments = write_token_files(docs, None, public_tokenizers.path("word_bpe_49k.json"), "words", 1, 2 * partitions_for(spark))
+    segments = write_token_files(docs, None, public_tokenizers.path("word_bpe_49k.json"), "words", 1, shards_for(docs))
     return token_index(segments)

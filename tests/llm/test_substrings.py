@@ -69,3 +69,9 @@ def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = substrings.op6_repeated_passages(spark, sf).select("doc_id", "n_words", "n_removed", "kept_sha256")
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 13)
+
+
+def test_nothing_is_left_in_the_catalog(spark, edges):
+    before = {t.name for t in spark.catalog.listTables()}
+    got = substrings.repeated_words(edges)
+    assert {t.name for t in spark.catalog.listTables()} == before and got.count() == len(EDGES)

@@ -80,3 +80,10 @@ def test_files(spark, edges, nothing, tmp_path):
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text, None) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, token_files.op1_token_files(spark, sf).collect()), key=str) == brute(rows)
+
+
+def test_shards_grow_with_the_input(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert token_files.shards_for(docs) == token_files.shards_for(spark.range(3)) == 2 * token_files.partitions_for(spark)
+    monkeypatch.setattr(token_files, "PER_SHARD", 1000)
+    assert token_files.shards_for(docs) > 50
