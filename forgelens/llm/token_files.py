@@ -50,7 +50,10 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     full = np.zeros(blocks * BLOCK, np.uint64)
     full[:n] = ids
     padded[:, :BLOCK] = full.reshape(blocks, BLOCK)
-    need = _BITS[padded] if not n or ids.max() < len(_BITS) else np.frexp(padded.astype(np.float64))[1].astype(np.uint8)
+    need = np.zeros(padded.shape, np.uint8)
+    bits = np.zeros(blocks * BLOCK, np.uint8)
+    bits[:n] = _BITS.take(ids) if ids.max() < len(_BITS) else np.frexp(ids.astype(np.float64))[1]
+    need[:, :BLOCK] = bits.reshape(blocks, BLOCK)
     most = {1: need}  # most[c][:, i]: bits that the ids i..i+c-1 need
     size = 1
     while size < 64:
@@ -65,8 +68,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if p != c:
             wide = wide.copy()
             wide[:, : -(c - p)] = np.maximum(most[p][:, : -(c - p)], most[p][:, c - p :])
-        layout[wide <= WIDTHS[s]] = s
-    step = COUNTS[layout]
+        np.copyto(layout, np.uint8(s), where=wide <= np.uint8(WIDTHS[s]))
     # All blocks walk at once; the walk takes as many steps as the longest block has words.
     ends = np.full(blocks, BLOCK, np.int64)
     ends[-1] = n - (blocks - 1) * BLOCK
@@ -74,10 +76,10 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while len(live):
         rows.append(live)
         places.append(at[live])
-        at[live] += step[live, at[live]]
+        at[live] += COUNTS[layout[live, at[live]]]
         live = live[at[live] < ends[live]]
     row, place = np.concatenate(rows), np.concatenate(places)
-    order = np.lexsort((place, row))
+    order = np.argsort(row.astype(np.uint16) if blocks < 1 << 16 else row, kind="stable")  # places ascend already
     row, place = row[order], place[order]
     kind = layout[row, place]
     words = kind.astype(np.uint64) << np.uint64(60)

@@ -55,13 +55,15 @@ class _Ids(dict):
         return out
 
     def _missing(self, pieces) -> list[bytes]:
-        out, old = [], self.old
-        for x in pieces:
-            if x not in self:
-                if (ids := old.get(x)) is None:
-                    out.append(x)
-                else:
-                    self[x] = ids
+        new, old = [x for x in pieces if x not in self], self.old
+        if not old:
+            return new
+        out = []
+        for x in new:
+            if (ids := old.get(x)) is None:
+                out.append(x)
+            else:
+                self[x] = ids
         return out
 
     def _learn(self, pieces: list[bytes], whole) -> None:
