@@ -178,7 +178,7 @@ def opportunities(tables: dict[str, DataFrame], complete: dict[str, list[str]] |
     key = F.regexp_replace("parent_id", "^cap_domain_", "")
     wanted = F.create_map(*[x for k, v in complete.items() for x in (F.lit(k), F.array(*[F.lit(c) for c in v]))]) if complete else None
     domains = tables["capabilities"].where("layer = 'domain'").select(F.col("id").alias("parent_id"), F.col("name").alias("domain"))
-    known = edges(tables).join(domains, "parent_id")
+    known = (edges(tables) if "edges" in tables else staged(edges(tables), "edges")).join(domains, "parent_id")  # read three times
     # A domain's capabilities are as few as its rules; its projects are only counted here.
     grouped = known.groupBy("parent_id", "domain").agg(F.count_distinct("project").alias("projects"), F.array_sort(F.collect_set("capability_name")).alias("covered"))
     grouped = grouped.where((F.col("projects") >= least_projects) & (F.size("covered") >= least_capabilities))
