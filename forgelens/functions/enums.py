@@ -27,11 +27,12 @@ VALUES = {
     "user_feedback": ["useful", "useless", "ignored"],
     "symbol_kind": ["function", "method", "class", "struct", "enum", "trait", "interface", "constant", "component", "api_endpoint", "type"],
     "hit_kind": ["project", "asset", "capability", "knowledge", "experience", "idea", "technology", "insight", "opportunity"],
+    "activity_icon": ["repeat", "check", "link", "bulb", "scan", "alert"],
 }
 #: What a value outside of the enumeration becomes when a row is read.
 UNKNOWN = {
     "project_status": "unknown", "asset_type": "code", "capability_layer": "capability", "relation_type": "related_to",
-    "insight_type": "reusable_component", "opportunity_status": "new", "job_type": "INDEX_CODE", "job_status": "queued", "user_feedback": None,
+    "insight_type": "reusable_component", "opportunity_status": "new", "job_type": "INDEX_CODE", "job_status": "queued", "user_feedback": None, "activity_icon": "check",
 }
 #: Job types that call a model.
 NEED_MODEL = ["ANALYZE_PROJECT", "EXTRACT_CAPABILITIES", "ANALYZE_RELATIONS", "GENERATE_INSIGHT", "DISCOVER_OPPORTUNITY"]

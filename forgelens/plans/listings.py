@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import enums, rules
 from ..functions import scalars as S
 from ..operators import capabilities, graph, insights, ranking, relational, retrieval, scoring
+from ..sources import stored
 from . import details, jobs, merge, mutations, schema, views
 from .catalogue import EDGES, NOW, PROJECTS, TREE, assets, capability_table, edge_table, now, project_table, query, table
 
@@ -620,3 +621,48 @@ def migrated_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS n FROM supplier")
 def capability_layer_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return details.capability_count(capability_table(spark, sf_dir))
+
+
+# Stored tables
+
+
+@query("""
+    SELECT CAST(event_id AS VARCHAR) AS id, 'INDEX_CODE' AS type, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'running' ELSE 'queued' END AS status, value AS progress,
+           greatest(user_id - 50, 0) AS processed, props AS payload, CAST(json_extract(props, '$.k') AS BIGINT) > 50 AS late FROM events
+""")
+def typed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as an export of jobs: types and most statuses unknown, some counts below zero."""
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "running").otherwise(F.col("event_type"))
+    raw = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("type"), status.alias("status"), F.col("value").alias("progress"), (F.col("user_id") - 50).alias("processed"), F.col("props").alias("payload_json"))
+    jobs_ = stored.typed(raw, "jobs")
+    return jobs_.select("id", "type", "status", "progress", "processed", "payload", (F.get_json_object("payload", "$.k").cast("long") > 50).alias("late"))
+
+
+STORED_ASSETS = """
+    SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size > 25 THEN 'component' ELSE 'code' END AS type, p_name AS name, p_size / 50.0::DOUBLE AS reuse_score, p_size % 5 AS m,
+           string_split(p_name, ' ') AS words, '["' || replace(p_name, ' ', '","') || '"' AS start FROM part
+"""
+
+
+def stored_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as an export of assets. By their size, tags are whole, cut off, followed by text,
+    mixed with a number, or not there."""
+    start = F.concat(F.lit('["'), F.replace("p_name", F.lit(" "), F.lit('","')), F.lit('"'))
+    kind = F.col("p_size") % 5
+    tags = F.when(kind == 0, F.concat(start, F.lit("]"))).when(kind == 1, start).when(kind == 2, F.concat(start, F.lit("] x"))).when(kind == 3, F.concat(start, F.lit(",1]")))
+    evidence = F.concat(F.lit('{"files":'), start, F.lit('],"commits":[],"used_by":[],"reasoning":[]'), F.when(kind < 3, F.lit("}")).otherwise(F.lit("")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 25, "component").otherwise(F.col("p_type")).alias("type"), F.col("p_name").alias("name"), (F.col("p_size") / 50.0).alias("reuse_score"), tags.alias("tags_json"), evidence.alias("evidence_json"))
+
+
+@query(f"SELECT id, type, name, reuse_score, CASE WHEN m = 0 THEN array_to_string(words, '|') ELSE '' END AS tags, CASE WHEN m < 3 THEN array_to_string(words, '|') ELSE '' END AS files FROM ({STORED_ASSETS})")
+def typed_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stored.typed(stored_assets(spark, sf_dir), "assets")
+    return rows.select("id", "type", "name", "reuse_score", F.array_join("tags", "|").alias("tags"), F.array_join("evidence.files", "|").alias("files"))
+
+
+@query(f"""
+    SELECT id AS key, 'tags_json' AS "column", start || CASE m WHEN 1 THEN '' WHEN 2 THEN '] x' ELSE ',1]' END AS text FROM ({STORED_ASSETS}) WHERE m BETWEEN 1 AND 3
+    UNION ALL SELECT id, 'evidence_json', '{{"files":' || start || '],"commits":[],"used_by":[],"reasoning":[]' FROM ({STORED_ASSETS}) WHERE m >= 3
+""")
+def unreadable_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored.unreadable(stored_assets(spark, sf_dir), "assets")
