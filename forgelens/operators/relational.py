@@ -191,6 +191,30 @@ def tree(capabilities: DataFrame) -> DataFrame:
     return domains.join(grouped, "domain_id", "full")
 
 
+def tree_rows(capabilities: DataFrame) -> DataFrame:
+    """The same tree as rows in its order, however large a domain is: domain_id, capability_id,
+    id, layer, name, project_count, confidence. Domains and capabilities stand by count, then
+    name, implementations by name; ids break ties. A row stands in the tree if its parents do,
+    each one layer up; see tree_orphans for those that do not."""
+    order = lambda p: [F.col("project_count").alias(f"_{p}_n"), F.col("name").alias(f"_{p}_name")]
+    shown = ["id", "layer", "name", "project_count", "confidence"]
+    layer = lambda name: capabilities.where(F.col("layer") == name)
+    top = layer("domain").select(F.col("id").alias("domain_id"), *order("d"), *shown)
+    keys = ["domain_id", "_d_n", "_d_name"]
+    middle = layer("capability").withColumnRenamed("parent_id", "domain_id").join(top.select(keys), "domain_id").select(*keys, F.col("id").alias("capability_id"), *order("c"), *shown)
+    keys += ["capability_id", "_c_n", "_c_name"]
+    low = layer("implementation").withColumnRenamed("parent_id", "capability_id").join(middle.select(keys), "capability_id").select(*keys, *shown)
+    rows = top.unionByName(middle, allowMissingColumns=True).unionByName(low, allowMissingColumns=True)
+    by = [F.col("_d_n").desc(), F.col("_d_name"), F.col("domain_id"), F.col("_c_n").desc_nulls_first(), F.col("_c_name").asc_nulls_first(), F.col("capability_id").asc_nulls_first(), F.col("layer") == "implementation", F.col("name"), F.col("id")]
+    return rows.orderBy(*by).select("domain_id", "capability_id", *shown)
+
+
+def tree_orphans(capabilities: DataFrame) -> DataFrame:
+    """Rows below the domains whose parent is missing or not named."""
+    known = capabilities.select(F.col("id").alias("parent_id")).distinct()
+    return capabilities.where("layer <> 'domain'").join(known, "parent_id", "left_anti").select(capabilities.columns)
+
+
 def keyword_links(items: DataFrame, docs: DataFrame, item: str, doc: str, least: int = 3) -> DataFrame:
     """item, doc, shared: how many distinct keywords of an item's text the document's text
     contains, if ``least`` or more. Keywords are the runs of four or more letters, case

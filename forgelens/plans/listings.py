@@ -13,7 +13,7 @@ from ..functions import enums, rules
 from ..functions import scalars as S
 from ..operators import capabilities, graph, insights, ranking, relational, retrieval, scoring
 from ..sources import stored
-from . import details, jobs, merge, mutations, schema, views
+from . import details, jobs, merge, mutations, overview, schema, views
 from .catalogue import EDGES, NOW, PROJECTS, TREE, assets, capability_table, edge_table, now, project_table, query, table
 
 INSIGHTS = """
@@ -666,3 +666,142 @@ def typed_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def unreadable_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.unreadable(stored_assets(spark, sf_dir), "assets")
+
+
+# The first page, breakdowns, details of a project
+
+
+@query(f"""
+    WITH i AS ({INSIGHTS}), c AS (SELECT count(*) AS v, count(*) FILTER (EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) AS d FROM customer)
+    SELECT 'projects' AS key, v AS value, CASE WHEN d > 0 THEN d || ' scanned' END AS detail, 'projects' AS link, FALSE AS may_be_empty FROM c
+    UNION ALL SELECT 'assets', count(*), CASE WHEN count(*) FILTER (p_size >= 35) > 0 THEN count(*) FILTER (p_size >= 35) || ' highly reusable' END, 'assets', FALSE FROM part
+    UNION ALL SELECT 'capabilities', count(*), NULL, 'graph', FALSE FROM supplier
+    UNION ALL SELECT 'insights', count(*), CASE WHEN count(*) FILTER (user_feedback IS NULL) > 0 THEN count(*) FILTER (user_feedback IS NULL) || ' to be read' END, 'insights', TRUE FROM i
+""")
+def overview_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    projects = project_table(spark, sf_dir).withColumn("scanned_at", F.col("last_commit_at").cast("string"))
+    return overview.cards({"projects": projects, "assets": assets(spark, sf_dir), "capabilities": capability_table(spark, sf_dir), "insights": insight_table(spark, sf_dir)})
+
+
+@query(f"""
+    SELECT s_name AS name, count(DISTINCT source_id) AS n FROM supplier LEFT JOIN ({EDGES}) ON target_id = 's' || s_suppkey GROUP BY s_suppkey, s_name ORDER BY n DESC, name LIMIT 6
+""")
+def top_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = relational.project_counts(capability_table(spark, sf_dir), edge_table(spark, sf_dir))
+    return overview.top_capabilities(counted).select("name", F.col("n").cast("long").alias("n"))
+
+
+@query(f"SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM supplier) AS nodes, (SELECT count(*) FROM ({EDGES})) AS edges")
+def graph_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overview.graph_size({"capabilities": capability_table(spark, sf_dir), "relations": edge_table(spark, sf_dir)})
+
+
+@query(f"SELECT id, type, confidence, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.7 THEN 'potent' ELSE 'info' END AS badge FROM ({INSIGHTS}) ORDER BY confidence DESC, created_at DESC, id LIMIT 4")
+def insight_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overview.insight_briefs(insight_table(spark, sf_dir).withColumn("title", F.col("type"))).drop("title")
+
+
+@query(f"SELECT id, rating, coverage, 0 AS missing FROM ({OPPORTUNITIES}) WHERE status IN ('new', 'explored') ORDER BY rating DESC, coverage DESC, created_at DESC, id LIMIT 3")
+def opportunity_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overview.opportunity_briefs(opportunity_table(spark, sf_dir)).select("id", "rating", "coverage", "missing")
+
+
+@query(f"""
+    WITH e AS (SELECT event_id AS id, ts, date_diff('second', ts::TIMESTAMP, TIMESTAMP '2024-06-01') AS s FROM events ORDER BY ts DESC, event_id DESC LIMIT 6)
+    SELECT id, CASE WHEN s >= 2592000 THEN floor(s / 2592000)::BIGINT || ' mo ago' ELSE floor(s / 86400)::BIGINT || ' d ago' END AS "when" FROM e
+""")
+def activity_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
+    return overview.activity_briefs(log, F.lit("2024-06-01").cast("timestamp")).select("id", "when")
+
+
+@query(f"""
+    WITH v AS (SELECT unnest(['duplicate_capability', 'reusable_component', 'reusable_experience', 'forgotten_asset', 'tech_direction', 'opportunity_hint']) AS value), i AS ({INSIGHTS})
+    SELECT value, coalesce(n, 0) AS n, coalesce(n, 0) / (SELECT count(*) FROM i)::DOUBLE AS share FROM v LEFT JOIN (SELECT type AS value, count(*) AS n FROM i GROUP BY 1) USING (value)
+""")
+def insight_type_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overview.breakdown(insight_table(spark, sf_dir), "type", "insight_type")
+
+
+@query("SELECT * FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'explored' WHEN 'O' THEN 'new' WHEN 'P' THEN 'new' END AS value, count(*) AS n, count(*) / (SELECT count(*) FROM orders)::DOUBLE AS share FROM orders GROUP BY 1)")
+def opportunity_status_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending orders have a status that no opportunity has."""
+    status = F.when(F.col("o_orderstatus") == "F", "explored").when(F.col("o_orderstatus") == "O", "new").otherwise("pending")
+    return overview.breakdown(table(spark, sf_dir, "orders").select(status.alias("status")), "status", "opportunity_status", zeros=False)
+
+
+@query(f"""
+    WITH i AS ({INSIGHTS}), o AS ({OPPORTUNITIES})
+    SELECT (SELECT count(*) FROM i) AS insights, (SELECT count(*) FROM i WHERE user_feedback IS NULL) AS unread, (SELECT count(*) FROM o) AS opportunities, (SELECT count(*) FROM o WHERE status IN ('new', 'explored')) AS actionable,
+           (SELECT count(*) FILTER (user_feedback = 'useful')::DOUBLE / nullif(count(*) FILTER (user_feedback IN ('useful', 'useless')), 0) FROM i) AS adoption_rate
+""")
+def insight_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overview.summary(insight_table(spark, sf_dir), opportunity_table(spark, sf_dir))
+
+
+LAYERS = f"""
+    SELECT 'r' || r_regionkey AS id, r_name AS name, 'domain' AS layer, NULL AS parent_id, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS project_count FROM region WHERE r_regionkey <> 3
+    UNION ALL SELECT 'n' || n_nationkey, n_name, 'capability', 'r' || n_regionkey, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) FROM nation
+    UNION ALL SELECT 's' || s_suppkey, s_name, 'implementation', CASE WHEN s_acctbal >= 0 THEN 'n' || s_nationkey END, coalesce(n, 0) FROM supplier LEFT JOIN (SELECT target_id, count(*) AS n FROM ({EDGES}) GROUP BY 1) ON target_id = 's' || s_suppkey
+"""
+
+
+def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, nations and suppliers as the three layers. One region is missing, and suppliers
+    in debt name no nation."""
+    region, nation, supplier = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    id_, name = lambda p, c: F.concat(F.lit(p), c).alias("id"), lambda c: F.col(c).alias("name")
+    of = lambda df, key: df.groupBy(key).agg(F.count("*").alias("n"))
+    edges = edge_table(spark, sf_dir).groupBy(F.col("target_id")).agg(F.count("*").alias("n"))
+    count = F.coalesce("n", F.lit(0)).alias("project_count")
+    top = region.where("r_regionkey <> 3").join(of(nation, "n_regionkey"), F.col("r_regionkey") == F.col("n_regionkey"), "left").select(id_("r", "r_regionkey"), name("r_name"), F.lit("domain").alias("layer"), F.lit(None).cast("string").alias("parent_id"), count)
+    middle = nation.join(of(supplier, "s_nationkey"), F.col("n_nationkey") == F.col("s_nationkey"), "left").select(id_("n", "n_nationkey"), name("n_name"), F.lit("capability").alias("layer"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), count)
+    parent = F.when(F.col("s_acctbal") >= 0, F.concat(F.lit("n"), "s_nationkey"))
+    low = supplier.join(edges, F.concat(F.lit("s"), "s_suppkey") == F.col("target_id"), "left").select(id_("s", "s_suppkey"), name("s_name"), F.lit("implementation").alias("layer"), parent.alias("parent_id"), count)
+    return top.unionByName(middle).unionByName(low).withColumn("confidence", F.lit(0.9))
+
+
+@query(f"""
+    WITH l AS ({LAYERS}), d AS (SELECT * FROM l WHERE layer = 'domain'), c AS (SELECT l.* FROM l JOIN d ON l.parent_id = d.id WHERE l.layer = 'capability')
+    SELECT id AS domain_id, NULL AS capability_id, id, layer, name, project_count FROM d UNION ALL SELECT parent_id, id, id, layer, name, project_count FROM c
+    UNION ALL SELECT c.parent_id, c.id, i.id, i.layer, i.name, i.project_count FROM l i JOIN c ON i.parent_id = c.id WHERE i.layer = 'implementation'
+""")
+def tree_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.tree_rows(layered(spark, sf_dir)).drop("confidence")
+
+
+@query(f"WITH l AS ({LAYERS}) SELECT id, layer, parent_id FROM l WHERE layer <> 'domain' AND (parent_id IS NULL OR parent_id NOT IN (SELECT id FROM l))")
+def tree_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.tree_orphans(layered(spark, sf_dir)).select("id", "layer", "parent_id")
+
+
+SIMILAR = "SELECT DISTINCT 'c' || o_custkey AS source_id, 'c' || l_suppkey AS target_id, (l_suppkey % 10) / 10.0::DOUBLE AS confidence FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
+
+
+def project_page(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
+    """A part of the page of customer 7: similar are customers whose number is that of one of
+    its suppliers, or the other way round; insights are labels of three customers each."""
+    edges = edge_table(spark, sf_dir).withColumn("evidence", F.array("id"))
+    other = F.substring("target_id", 2, 20)
+    similar = edges.withColumns({"relation_type": F.lit("similar_to"), "target_id": F.concat(F.lit("c"), other), "confidence": other.cast("long") % 10 / 10.0})
+    labels = insight_table(spark, sf_dir).withColumn("project_ids", F.array(*[F.concat(F.lit("c"), F.pmod(F.col("id") * k, F.lit(11))) for k in (1, 2, 3)]))
+    tables = {"projects": project_table(spark, sf_dir), "assets": assets(spark, sf_dir), "capabilities": capability_table(spark, sf_dir), "relations": edges.unionByName(similar), "insights": labels}
+    return views.project_detail(tables, "c7")[part]
+
+
+@query(f"SELECT target_id AS id, s_name AS name, r_name AS domain, 0.8::DOUBLE AS confidence FROM ({EDGES}) JOIN supplier ON target_id = 's' || s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE source_id = 'c7'")
+def project_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project_page(spark, sf_dir, "capabilities")
+
+
+@query(f"""
+    SELECT other AS id, c_name AS name, confidence FROM (SELECT CASE WHEN source_id = 'c7' THEN target_id ELSE source_id END AS other, confidence FROM ({SIMILAR}) WHERE confidence >= 0.5 AND 'c7' IN (source_id, target_id))
+    JOIN customer ON other = 'c' || c_custkey
+""")
+def project_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project_page(spark, sf_dir, "similar").select("id", "name", "confidence")
+
+
+@query(f"SELECT id, type, confidence FROM ({INSIGHTS}) WHERE 7 IN (id % 11, id * 2 % 11, id * 3 % 11) ORDER BY confidence DESC, id LIMIT 5")
+def project_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project_page(spark, sf_dir, "insights").select("id", "type", "confidence")
