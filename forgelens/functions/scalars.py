@@ -49,13 +49,13 @@ def idle_days(last_commit: Column, updated: Column, now: Column) -> Column:
 
 
 def relative_time(ts: Column, now: Column) -> Column:
-    """just now, then minutes, hours, days, months of 30 days, years of 365 days."""
+    """just now, then minutes, hours, days, months of 30 days, years of 365 days; of no time, an empty text."""
     seconds = F.greatest(F.unix_timestamp(now) - F.unix_timestamp(ts), F.lit(0))
     steps = [(60, None, "just now"), (3600, 60, " min ago"), (86400, 3600, " h ago"), (30 * 86400, 86400, " d ago"), (365 * 86400, 30 * 86400, " mo ago")]
-    out = None
+    out = F.when(ts.isNull(), F.lit(""))
     for below, unit, label in steps:
         value = F.lit(label) if unit is None else F.concat(F.floor(seconds / unit).cast("string"), F.lit(label))
-        out = F.when(seconds < below, value) if out is None else out.when(seconds < below, value)
+        out = out.when(seconds < below, value)
     return out.otherwise(F.concat(F.floor(seconds / (365 * 86400)).cast("string"), F.lit(" y ago")))
 
 

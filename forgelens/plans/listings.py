@@ -13,7 +13,7 @@ from ..functions import enums, rules
 from ..functions import scalars as S
 from ..operators import capabilities, graph, insights, ranking, relational, retrieval, scoring
 from ..sources import stored
-from . import details, jobs, merge, mutations, overview, schema, views
+from . import details, jobs, merge, mutations, overview, schema, settings, views
 from .catalogue import EDGES, NOW, PROJECTS, TREE, assets, capability_table, edge_table, now, project_table, query, table
 
 INSIGHTS = """
@@ -805,3 +805,18 @@ def project_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT id, type, confidence FROM ({INSIGHTS}) WHERE 7 IN (id % 11, id * 2 % 11, id * 3 % 11) ORDER BY confidence DESC, id LIMIT 5")
 def project_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project_page(spark, sf_dir, "insights").select("id", "type", "confidence")
+
+
+PATHS = "SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://', '/'), '[?#].*$', '') AS p FROM pages WHERE url IS NOT NULL"
+
+
+@query(rf"""
+    WITH u AS ({PATHS}), q AS (SELECT DISTINCT regexp_replace(p, '/+$', '') AS p FROM u), d AS (SELECT DISTINCT regexp_extract(p, '^/[^/]+') AS path FROM q UNION SELECT DISTINCT regexp_extract(p, '^/[^/]+/[^/]+') FROM q WHERE regexp_extract(p, '^/[^/]+/[^/]+') <> '')
+    SELECT path, count(p) AS n FROM d LEFT JOIN q ON p = path OR starts_with(p, path || '/') GROUP BY path
+""")
+def directory_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as projects, by their addresses; hosts and the folders below them as directories."""
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", "/"), "[?#].*$", "")
+    pages = table(spark, sf_dir, "pages").select(path.alias("path"))
+    found = [pages.select(F.regexp_extract("path", p, 0).alias("path")) for p in ("^/[^/]+", "^/[^/]+/[^/]+")]
+    return settings.directory_counts(found[0].unionByName(found[1]).where("path <> ''").distinct(), pages)

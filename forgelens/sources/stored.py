@@ -129,7 +129,7 @@ def _number(sql: str, low: float, high: float | None, default) -> Cell:
     def typed(c: Column) -> Column:
         n = c.try_cast(sql)
         n = n if low is None else F.greatest(n, F.lit(low).cast(sql)) if high is None else S.clamp(n, low, high)
-        return F.when(c.isNotNull(), n).cast(sql)
+        return F.when(c.try_cast(sql).isNotNull(), n).cast(sql)
 
     return Cell(sql, typed, None if default is None else F.lit(default).cast(sql))
 

@@ -28,6 +28,7 @@ def test_scalars(spark):
     now = lit(NOW).cast("timestamp")
     assert one(spark, S.whole_days(lit("2024-05-31 13:00:00").cast("timestamp"), now)) == 0
     assert one(spark, S.idle_days(lit(None).cast("timestamp"), lit("2024-05-01").cast("timestamp"), now)) == 31
+    assert one(spark, S.relative_time(F.lit(None).cast("timestamp"), now)) == ""
     assert [one(spark, S.relative_time(lit(t).cast("timestamp"), now)) for t in ("2024-06-01 11:59:30", "2024-06-01 11:00:00", "2024-05-30 12:00:00", "2022-01-01")] == ["just now", "1 h ago", "2 d ago", "2 y ago"]
     assert [one(spark, S.format_bytes(lit(n))) for n in (512, 1536, 3 * 1024**3)] == ["512 B", "1.5 KB", "3.0 GB"]
     assert [one(spark, S.format_count(lit(n))) for n in (999, 1500, 2_000_000)] == ["999", "1.5k", "2.0M"]

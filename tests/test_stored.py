@@ -74,6 +74,8 @@ def test_unknown_ends_of_relations_differ_by_side(spark):
 
 
 def test_job_numbers_and_payloads(spark):
+    texts = spark.createDataFrame([("j", "many", "-2", "0.5x")], "id string, processed string, total string, progress string")
+    assert tuple(stored.typed(texts, "jobs").select("processed", "total", "progress").first()) == (None, 0, 0.0)
     rows = spark.createDataFrame([("j1", -5, None, "{bad"), ("j2", 3, 9, '{"mode": "full"}')], "id string, processed long, total long, payload_json string")
     got = [tuple(r) for r in stored.typed(rows, "jobs").orderBy("id").select("type", "status", "processed", "total", "payload").collect()]
     assert got == [("INDEX_CODE", "queued", 0, None, None), ("INDEX_CODE", "queued", 3, 9, '{"mode": "full"}')]
