@@ -12,6 +12,7 @@ from ..functions.scalars import normalize_path, stable_id
 from ..operators import capabilities, insights, relational, scoring
 from ..sources import history, manifests, projects, symbols, tables, trees
 from . import merge
+from .settings import ScanSettings
 
 #: At most this many projects of a scan are kept, by path; a parameter of ``scan``.
 MOST_PROJECTS = 2000
@@ -187,9 +188,14 @@ def insight(store: Store, now: Column, report: Callable = lambda p: None) -> Non
 
 
 def handlers(store: Store, now: Column, settings: Sequence[str] = ()) -> dict[str, Callable]:
-    """For ``jobs.Runner``: a scan takes the folders of its payload, or of the settings."""
-    return {
-        "scan": lambda options, report: scan(store, targets(options.get("dirs", ()), settings), now, options.get("most", MOST_PROJECTS), report, options.get("commit_log"), bool(options.get("strict"))),
-        "index": lambda options, report: index(store, now, report),
-        "insight": lambda options, report: insight(store, now, report),
-    }
+    """For ``jobs.Runner``: a scan takes the folders of its payload, or those given, or the
+    store's own enabled directories, which then know when they were scanned and what is there."""
+
+    def scan_job(options: dict, report: Callable) -> DataFrame:
+        kept = ScanSettings(store)
+        roots = targets(options.get("dirs", ()), settings or kept.roots())
+        found = scan(store, roots, now, options.get("most", MOST_PROJECTS), report, options.get("commit_log"), bool(options.get("strict")))
+        kept.scanned(roots, now)
+        return found
+
+    return {"scan": scan_job, "index": lambda options, report: index(store, now, report), "insight": lambda options, report: insight(store, now, report)}

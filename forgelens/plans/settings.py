@@ -4,6 +4,7 @@ one version of it, refused if another one changed them meanwhile."""
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +36,7 @@ def directory_counts(directories: DataFrame, projects: DataFrame) -> DataFrame:
     """path, n: how many projects (by path; repeats count once) are at or below each directory,
     zero included. A project below two directories counts for both. Each project goes to its
     own ancestors by equality, never to all directories; counts combine before they move."""
-    wanted = directories.select("path", S.normalize_path(F.col("path")).alias("at"))
+    wanted = directories.select("path", S.normalize_path(_local(F.col("path"))).alias("at"))
     few = directories.count() <= FEW_DIRECTORIES
     owned = projects.where(S.non_empty(F.col("path")).isNotNull()).select(S.normalize_path(F.col("path")).alias("p")).distinct()
     keys = wanted.select("at").distinct()
@@ -44,11 +45,24 @@ def directory_counts(directories: DataFrame, projects: DataFrame) -> DataFrame:
     return wanted.join(n, "at", "left").select("path", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def whole_paths(projects: DataFrame) -> DataFrame:
+    """path of each project, from its root's (where projects have roots)."""
+    if "root" not in projects.columns:
+        return projects.select(_local(F.col("path")).alias("path"))
+    return projects.select(F.concat_ws("/", F.regexp_replace(_local(F.col("root")), "(?<=.)/+$", ""), F.nullif("path", F.lit(""))).alias("path"))
+
+
+def _local(path: Column) -> Column:
+    """A local path as such, not as an address; file:/// and file:/ begin one."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def after_scan(directories: DataFrame, roots: Sequence[str], projects: DataFrame, now: Column) -> DataFrame:
     """Directories after a scan of ``roots``: those scanned have the time and their number of
     projects, others stay as they are."""
-    met = directories.join(directory_counts(directories, projects).withColumnRenamed("n", "_n"), "path", "left")
-    done = S.normalize_path(F.col("path")).isin([_clean(r) for r in roots])
+    counts = directory_counts(directories, whole_paths(projects)).withColumnRenamed("n", "_n")
+    met = directories.join(counts, "path", "left")
+    done = S.normalize_path(_local(F.col("path"))).isin([re.sub("^file:/+", "/", _clean(r)) for r in roots])
     return met.withColumns({"last_scanned_at": F.when(done, now).otherwise(F.col("last_scanned_at")), "project_count": F.when(done, F.col("_n")).otherwise(F.col("project_count"))}).select(directories.columns)
 
 

@@ -65,3 +65,24 @@ def test_one_broken_project_among_three(spark, tmp_path, code, monkeypatch):
     cut = handlers.Store(spark, f"file://{tmp_path}/cut")
     problems = {(r.stage, r.path) for r in handlers.scan(cut, [f"file://{code}"], now(), most=1).collect()}
     assert problems == {("manifest", "two"), ("cut", "three"), ("cut", "two")} and cut.read("projects").count() == 1
+
+
+def test_a_scan_of_the_stores_own_directories(spark, tmp_path, code):
+    """Enabled directories alone are scanned, and know their numbers of projects."""
+    import datetime
+
+    from forgelens.plans.settings import ScanSettings
+
+    write(tmp_path / "rest", "four", "pandas")
+    store = handlers.Store(spark, f"file://{tmp_path}/store")
+    kept, added = ScanSettings(store), datetime.datetime(2024, 1, 1)
+    kept.add(f"{code}/", added)
+    kept.add(str(tmp_path / "rest"), added)
+    kept.enable(str(tmp_path / "rest"), False)
+    runner = jobs.Runner(spark, f"file://{tmp_path}/jobs", handlers.handlers(store, now()))
+    runner.run("scan", {})
+    assert {r.name for r in store.read("projects").collect()} == {"one", "two", "three"}
+    after = F.lit("2024-06-03").cast("timestamp")
+    assert [(r.enabled, r.project_count, r.scanned) for r in kept.view(after).collect()] == [(True, 3, "2 d ago"), (False, None, None)]
+    runner.run("scan", {"dirs": [f"file://{tmp_path}/rest"]})
+    assert [(r.project_count, r.scanned) for r in kept.view(after).collect()] == [(3, "2 d ago"), (1, "2 d ago")]
