@@ -14,7 +14,7 @@ from ..functions import scalars as S
 from ..operators import capabilities, graph, insights, ranking, relational, retrieval, scoring
 from ..sources import stored
 from . import details, jobs, merge, mutations, overview, schema, settings, views
-from .catalogue import EDGES, NOW, PROJECTS, TREE, assets, capability_table, edge_table, now, project_table, query, table
+from .catalogue import BM25, EDGES, NOW, PROJECTS, TREE, assets, capability_table, edge_table, now, project_table, query, table
 
 INSIGHTS = """
     SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'useless' WHEN quality = 1 THEN 'useful' END AS user_feedback, (doc_id % 101) / 100.0::DOUBLE AS confidence,
@@ -820,3 +820,58 @@ def directory_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(path.alias("path"))
     found = [pages.select(F.regexp_extract("path", p, 0).alias("path")) for p in ("^/[^/]+", "^/[^/]+/[^/]+")]
     return settings.directory_counts(found[0].unionByName(found[1]).where("path <> ''").distinct(), pages)
+
+
+# Search in parts
+
+
+@query(BM25 + "SELECT doc_id, round(1 - 1 / (1 + abs(score)), 6) AS relevance FROM g")
+def match_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a match brought to 0..1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return retrieval.match(docs, ["text"], "tion there", key="doc_id").select("doc_id", F.round("relevance", 6).alias("relevance"))
+
+
+@query("""
+    WITH c AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_type, p_name, p_size / 50.0::DOUBLE AS q FROM part WHERE p_name ILIKE '%ea%'), r AS (SELECT * FROM c ORDER BY q DESC, id LIMIT 400)
+    SELECT count(*) AS total FROM r WHERE p_type IN ('ECONOMY', 'SMALL') AND q >= 0.4 AND list_contains(string_split(lower(p_name), ' '), 'red')
+""")
+def filtered_search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters act on what was recalled, and the total counts what they leave."""
+    flat = assets(spark, sf_dir).where(S.contains_text(F.col("name"), "ea")).withColumns({"tags": F.array_join("tags", " "), "evidence_count": F.lit(1)})
+    return ranking.search({"asset": flat}, "ea", now(), "assets", limit=1, recall_limit=400, types=["ECONOMY", "SMALL"], min_score=0.4, language="RED")[1]
+
+
+@query(r"""
+    WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents WHERE lower(text) LIKE '%there%'),
+    p AS (SELECT doc_id, t, strpos(lower(t), 'there') AS pos FROM t), c AS (SELECT doc_id, t, pos, greatest(pos - 12, 1) AS beg FROM p),
+    s AS (SELECT doc_id, CASE WHEN beg > 1 THEN '…' ELSE '' END || substr(t, beg, pos + 17 - beg) || CASE WHEN length(t) > pos + 16 THEN '…' ELSE '' END AS s FROM c)
+    SELECT doc_id, replace(replace(replace(replace(replace(s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS plain FROM s
+""")
+def plain_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where(F.contains(F.lower("text"), F.lit("there")))
+    return docs.select("doc_id", ranking.strip_marks(ranking.snippet(F.col("text"), ["there"])).alias("plain"))
+
+
+@query(f"SELECT id, layer, project_count FROM ({LAYERS}) ORDER BY layer DESC, project_count DESC, name, id LIMIT 40")
+def capability_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.top(layered(spark, sf_dir), relational.order("capability"), 40).select("id", "layer", "project_count")
+
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), S.date_text(F.col("o_orderdate").cast("string")).alias("day"))
+
+
+@query(f"""
+    WITH p AS (SELECT c_custkey, coalesce(n, 0) AS n, last, date_diff('day', last, TIMESTAMP '{NOW}') AS d FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS last FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE coalesce(n, 0) > 0),
+    b AS (SELECT p_partkey % 150 + 1 AS k, p_name, row_number() OVER (PARTITION BY p_partkey % 150 ORDER BY p_size DESC, p_name, p_partkey) AS r FROM part),
+    s AS (SELECT k, string_agg(p_name, ', ' ORDER BY p_name) AS names FROM b WHERE r <= 3 GROUP BY k)
+    SELECT 'c' || c_custkey AS id, 'Customer ' || c_custkey || ' has ' || n || ' commits.' || CASE WHEN idle > 180 THEN ' It rests for ' || idle || ' days.' ELSE '' END || coalesce(' Worth saving: ' || names || '.', '') AS narrative
+    FROM (SELECT *, greatest(date_sub('day', last, TIMESTAMP '{NOW}'), 0) AS idle FROM p) LEFT JOIN s ON k = c_custkey
+""")
+def project_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with orders as projects with commits, and the best of their parts."""
+    projects = project_table(spark, sf_dir).withColumns({"has_git": F.lit(True), "name": F.concat(F.lit("Customer "), F.substring("id", 2, 20))})
+    owned = assets(spark, sf_dir).withColumn("project_id", F.concat(F.lit("c"), F.pmod(F.col("id").cast("long"), F.lit(150)) + 1))
+    return views.archaeology(projects, owned, now())
