@@ -246,7 +246,8 @@ def stored(rows: DataFrame, table: str) -> DataFrame:
 
 
 def read(spark: SparkSession, folder: str, table: str, form: str = "parquet", **options) -> DataFrame:
-    """One table of an export, ``folder/table``. Of CSV and JSON lines all cells are read as text."""
+    """One table of an export, ``folder/table``. Of CSV and JSON lines all cells are read as
+    text. Cells of CSV may hold line breaks, so one file is one task: export many files, or Parquet."""
     if table not in TABLES:
         raise ValueError(f"no table: {table}")
     reader = spark.read.format(form).options(**options)
