@@ -87,9 +87,9 @@ def format_bytes(n: Column) -> Column:
     return _sized(n, [(1024**power, f" {unit}") for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1)]).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
-def format_count(n: Column) -> Column:
-    """As it is below 1000, then k and M with one decimal."""
-    return _sized(n, [(1000, "k"), (1_000_000, "M")]).otherwise(n.cast("string"))
+def format_count(n: Column, millions: bool = True) -> Column:
+    """As it is below 1000, then k and, with ``millions``, M with one decimal."""
+    return _sized(n, [(1000, "k"), (1_000_000, "M")][: 1 + millions]).otherwise(n.cast("string"))
 
 
 def percent(ratio: Column) -> Column:

@@ -132,8 +132,8 @@ def graph_summary(stats: DataFrame) -> DataFrame:
     return stats.select(F.concat_ws(", ", F.format_string("%d nodes", F.col("nodes").cast("long")), F.format_string("%d edges", F.col("edges").cast("long")), part("omitted", "%d not shown"), part("dangling", "%d to what is not here"), part("isolated", "%d alone")).alias("summary"))
 
 
-def project_subtitle(language: Column, files: Column, loc: Column) -> Column:
-    return F.concat_ws(" · ", S.non_empty(language), F.when(files > 0, F.concat(files.cast("string"), F.lit(" files"))), F.when(loc > 0, F.concat(S.format_count(loc), F.lit(" lines"))))
+def project_subtitle(language: Column, files: Column, loc: Column, millions: bool = True) -> Column:
+    return F.concat_ws(" · ", S.non_empty(language), F.when(files > 0, F.concat(files.cast("string"), F.lit(" files"))), F.when(loc > 0, F.concat(S.format_count(loc, millions), F.lit(" lines"))))
 
 
 def page_link(kind: Column, node: Column) -> Column:
