@@ -3,7 +3,9 @@
 A posting says where a trigram stands in one column of one text. A phrase stands where its
 trigrams do, side by side; so matches and term frequencies come from the postings of the
 asked trigrams alone, and no text is read again. Postings lie in folders by a hash of the
-trigram, sorted by it, so that a query reads the row groups of its trigrams.
+trigram, sorted by it, so that a query reads the row groups of its trigrams. A row of them has
+one trigram of a block of texts: their ids and lengths, where each one's places end, and the
+places, so that a build moves a row for a block's trigram and not for each text's.
 
 A change adds a generation of postings and a list of the ids whose older postings no longer
 hold; both count from the moment the log has the entry of that generation. The entry also
@@ -14,20 +16,25 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import any_of
 from ..sources.tables import Log
-from .retrieval import B, GRAM, K1, LEAST_IDF, compile_query, grams
+from .retrieval import B, GRAM, K1, LEAST_IDF, compile_query
 
 #: Folders of postings. A generation of many more trigrams than one task holds should have more.
 BUCKETS = 64
 #: Up to this many ids of changed texts, they are sent to all tasks.
 FEW_IDS = 1_000_000
+#: Bytes of text in a block; a longer text is one of its own.
+BLOCK = 4 << 20
 
 
 def length_of(columns: Sequence[str]) -> Column:
@@ -36,15 +43,92 @@ def length_of(columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a + b, [size(c) for c in columns])
 
 
+def _cut(batch: pa.RecordBatch, columns: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The batch as blocks."""
+    ends = np.cumsum(sum(pc.fill_null(pc.binary_length(batch[c]), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + BLOCK, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _block(ids: pa.Array, sizes: pa.Array, texts: pa.Array, place: int) -> pa.RecordBatch | None:
+    """The postings of one column of a block. Places are sorted by trigram and then as they
+    stand, in one go over all texts."""
+    known = [t or "" for t in texts.to_pylist()]
+    n = np.fromiter(map(len, known), np.int64, len(known))
+    points = np.frombuffer("".join(known).encode("utf-32-le"), np.uint32)
+    start = np.cumsum(n) - n
+    owner = np.repeat(np.arange(len(known), dtype=np.int32), n)
+    at = (np.arange(points.size) - np.repeat(start, n)).astype(np.int32)
+    begins = np.flatnonzero(at < np.repeat(n, n) - (GRAM - 1))
+    if not begins.size:
+        return None
+    seen = np.zeros(int(points.max()) + 1, bool)
+    seen[points] = True
+    letters = np.flatnonzero(seen).astype(np.uint32)
+    letter = np.cumsum(seen)[points] - 1
+    wide, low = int(letters.size - 1).bit_length(), int(points.size).bit_length()
+    code = letter[begins] << 2 * wide | letter[begins + 1] << wide | letter[begins + 2]
+    few = None
+    if GRAM * wide + low > 62:  # many letters: trigrams by number
+        few, code = np.unique(code, return_inverse=True)
+    key = code << low | begins
+    key.sort()
+    code, where = key >> low, key & ((1 << low) - 1)
+    of, at = owner[where], at[where]
+    new_gram = np.concatenate(([True], code[1:] != code[:-1]))
+    first = np.flatnonzero(new_gram | np.concatenate(([True], of[1:] != of[:-1])))  # of each posting
+    gram_first = np.flatnonzero(new_gram)
+    rows = np.searchsorted(first, gram_first)  # the first posting of each trigram
+    ends = np.append(first[1:], at.size) - np.repeat(gram_first, np.diff(np.append(rows, first.size)))
+    code = code[gram_first] if few is None else few[code[gram_first]]
+    parts = np.stack([code >> 2 * wide, code >> wide & ((1 << wide) - 1), code & ((1 << wide) - 1)], axis=1)
+    joined = letters[parts].astype("<u4").tobytes().decode("utf-32-le")
+    offsets, who = pa.array(np.append(rows, first.size).astype(np.int32)), pa.array(of[first])
+    listed = lambda values, by=offsets: pa.ListArray.from_arrays(by, values)
+    arrays = [
+        pa.array([joined[i : i + GRAM] for i in range(0, len(joined), GRAM)]), pa.array(np.full(gram_first.size, place, np.int32)), listed(ids.take(who)), listed(sizes.take(who)),
+        listed(pa.array(ends.astype(np.int32))), listed(pa.array(at), pa.array(np.append(gram_first, at.size).astype(np.int32))),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, ["gram", "place", "ids", "lengths", "ends", "at"])
+
+
+def _stored(kind: str) -> str:
+    return f"gram string, place int, ids array<{kind}>, lengths array<int>, ends array<int>, at array<int>"
+
+
+def blocks(texts: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
+    """gram, place, ids, lengths, ends, at: the trigrams of blocks of texts. The texts are
+    dealt by id, once; their postings are not dealt again."""
+    names = [f"t{i}" for i in range(len(columns))]
+    rows = texts.select(F.col(key).alias("id"), *[c for c in dict.fromkeys(columns) if c != key and c != "id"]).repartition("id")
+    low = rows.select("id", length_of(columns).cast("int").alias("length"), *[F.lower(F.col(c).cast("string")).alias(t) for c, t in zip(columns, names, strict=True)])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in _cut(batch, names):
+                for place, t in enumerate(names):
+                    if (out := _block(block["id"], block["length"], block[t], place)) is not None:
+                        yield out
+
+    return low.mapInArrow(made, _stored(texts.schema[key].dataType.simpleString()))
+
+
+def per_text(stored: DataFrame) -> DataFrame:
+    """gram, id, place, length, at of blocks."""
+    own = lambda i: F.slice("at", F.coalesce(F.get("ends", i - 1), F.lit(0)) + 1, F.get("ends", i) - F.coalesce(F.get("ends", i - 1), F.lit(0)))
+    each = F.transform("ids", lambda x, i: F.struct(x.alias("id"), F.get("lengths", i).alias("length"), own(i).alias("at")))
+    return stored.select("gram", "place", F.explode(each).alias("x")).select("gram", "x.id", "place", "x.length", "x.at")
+
+
 def postings(texts: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
     """gram, id, place, length, at: for each trigram (lower-cased) of each column of each text,
     the column's number, the text's number of trigrams over all columns, and where in the
-    column the trigram begins, in order. Null and short columns have none. Ids are unique.
-    The texts are dealt by id, once; their postings are not dealt again."""
-    per = F.array(*[F.struct(F.lit(i).alias("place"), grams(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias("grams")) for i, c in enumerate(columns)])
-    rows = texts.select(F.col(key).alias("id"), *[c for c in dict.fromkeys(columns) if c != key and c != "id"]).repartition("id").select("id", length_of(columns).alias("length"), F.explode(per).alias("x"))
-    each = rows.select("id", "length", "x.place", F.posexplode("x.grams").alias("p", "gram"))
-    return each.groupBy("id", "place", "length", "gram").agg(F.array_sort(F.collect_list("p")).alias("at")).select("gram", "id", "place", "length", "at")
+    column the trigram begins, in order. Null and short columns have none. Ids are unique."""
+    return per_text(blocks(texts, columns, key))
 
 
 def lengths(texts: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
@@ -97,12 +181,15 @@ class Index:
         if texts is not None:
             lengths(texts, entry["columns"], entry["key"]).write.parquet(f"{folder}/lengths")
             stats = self.spark.read.parquet(f"{folder}/lengths").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first().asDict()
-            rows = postings(texts, entry["columns"], entry["key"]).withColumn("bucket", _bucket(F.col("gram"), entry["buckets"]))
-            rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram").write.option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{folder}/postings")
+            self._write(blocks(texts, entry["columns"], entry["key"]), entry, folder)
         made = entry | {"generations": [*entry["generations"], {"folder": name, "gone": gone is not None, "texts": texts is not None}], **{k: entry[k] + stats[k] - old[k] for k in ("n", "length")}}
         if not self.log.append(n + 1, made):
             raise RuntimeError("another change of the index came first")
 
+    def _write(self, rows: DataFrame, entry: dict, folder: str) -> None:
+        by = rows.withColumn("bucket", _bucket(F.col("gram"), entry["buckets"])).sortWithinPartitions("bucket", "gram")
+        by.write.option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{folder}/postings")
+
     def _sent(self, ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
 
@@ -126,13 +213,12 @@ class Index:
         """gram, id, place, length, at of these trigrams: their folders and row groups alone."""
         entry = self.entry()
         buckets = sorted({zlib.crc32(g.encode()) % entry["buckets"] for g in wanted})
-        schema = f"gram string, id {entry['type']}, place int, length int, at array<int>"
 
         def of(folder: str) -> DataFrame:
             path = self.log.jvm.org.apache.hadoop.fs.Path
             there = [f for b in buckets if self.log.fs.exists(path(f := f"{folder}/postings/bucket={b}"))]
-            rows = self.spark.read.schema(schema).parquet(*there) if there else self.spark.createDataFrame([], schema)
-            return rows.where(F.col("gram").isin(list(wanted)))
+            rows = self.spark.read.schema(_stored(entry["type"])).parquet(*there) if there else self.spark.createDataFrame([], _stored(entry["type"]))
+            return per_text(rows.where(F.col("gram").isin(list(wanted))))
 
         return self._union(entry, of)
 
@@ -177,8 +263,12 @@ class Index:
         entry = self.log.read(n)
         name = f"{len(entry['generations']):06d}-{uuid.uuid4().hex}"
         self._lengths(entry).write.parquet(f"{self.path}/{name}/lengths")
-        rows = self._union(entry, lambda folder: self.spark.read.parquet(f"{folder}/postings"))
-        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram").write.option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{self.path}/{name}/postings")
+        rows = self._union(entry, lambda folder: per_text(self.spark.read.schema(_stored(entry["type"])).parquet(f"{folder}/postings")))
+        each = F.array_sort(F.collect_list(F.struct("id", "length", "at")))
+        part = F.pmod(F.xxhash64("id"), F.lit(max(1, entry["length"] // BLOCK)))  # as many blocks as a build has
+        listed = rows.groupBy("gram", "place", part.alias("part")).agg(each.alias("x"))
+        ends = F.aggregate("x", F.array().cast("array<int>"), lambda a, v: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.size(v["at"])))
+        self._write(listed.select("gram", "place", F.col("x.id").alias("ids"), F.col("x.length").alias("lengths"), ends.alias("ends"), F.flatten("x.at").alias("at")), entry, f"{self.path}/{name}")
         if not self.log.append(n + 1, entry | {"generations": [{"folder": name, "gone": False, "texts": True}]}):
             raise RuntimeError("another change of the index came first")
 

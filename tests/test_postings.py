@@ -96,3 +96,37 @@ def test_long_text_in_time(spark, tmp_path):
     rows = spark.range(1).select("id", F.repeat(F.lit("some words of a text, "), 45_000).alias("text"))
     index = postings.Index.create(rows, f"file://{tmp_path}/t", ["text"])
     assert index.match("words text").count() == 1
+
+
+def test_a_row_for_a_block(spark, tmp_path):
+    """Stored rows grow with the trigrams of a block, not with each text's."""
+    rows = spark.range(3000).select("id", F.concat(F.lit("the same words again "), F.col("id").cast("string")).alias("text"))
+    index = postings.Index.create(rows.coalesce(1), f"file://{tmp_path}/t", ["text"])
+    stored = spark.read.parquet(f"{index.path}/{index.entry()['generations'][0]['folder']}/postings")
+    assert stored.count() < 10_000 < index.postings(["the", "wor", "ain"]).count() + 1001
+    assert index.match("words again").count() == 3000
+
+
+def test_many_letters_and_blocks(spark, monkeypatch):
+    """Trigrams of tens of thousands of letters, and of texts in several blocks, as by hand."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [None, "", "ab", "\0\0\0\0", *["".join(chr(rng.choice([rng.randrange(32, 40), rng.randrange(0x4E00, 0x9FFF), rng.randrange(0x10000, 0x1FFFF)])) for _ in range(rng.randrange(3000))) for _ in range(40)]]
+    want = {}
+    for i, t in enumerate(texts):
+        for p in range(len(t or "") - 2):
+            want.setdefault((t[p : p + 3], i), []).append(p)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "length": pa.array([len(t or "") for t in texts], pa.int32()), "t": texts})
+    for size in (1 << 30, 20_000):
+        monkeypatch.setattr(postings, "BLOCK", size)
+        got, cut = {}, list(postings._cut(batch, ["t"]))
+        assert sum(b.num_rows for b in cut) == len(texts) and (len(cut) > 3) == (size < 1 << 30)
+        for b in cut:
+            for r in postings._block(b["id"], b["length"], b["t"], 0).to_pylist():
+                for i, x in enumerate(r["ids"]):
+                    got[r["gram"], x] = r["at"][r["ends"][i - 1] if i else 0 : r["ends"][i]]
+                    assert r["lengths"][i] == len(texts[x])
+        assert got == want
