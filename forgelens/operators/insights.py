@@ -57,7 +57,7 @@ def _lists(found: DataFrame, keys: list[str], first: DataFrame, **lists: Column)
     gathered of the others. The lists are sorted."""
     few = F.broadcast(first.select(*keys))
     gathered = found.join(few, keys, "left_semi").groupBy(*keys).agg(*[F.array_sort(F.collect_list(c)).alias(name) for name, c in lists.items()])
-    return first.join(F.broadcast(gathered), keys, "left")  # at most MOST rows
+    return first.join(gathered, keys, "left")  # few rows, but their lists grow: none goes through the driver
 
 
 def duplicate_capabilities(tables: dict[str, DataFrame], least: int = 2) -> DataFrame:
@@ -178,9 +178,12 @@ def opportunities(tables: dict[str, DataFrame], complete: dict[str, list[str]] |
     key = F.regexp_replace("parent_id", "^cap_domain_", "")
     wanted = F.create_map(*[x for k, v in complete.items() for x in (F.lit(k), F.array(*[F.lit(c) for c in v]))]) if complete else None
     domains = tables["capabilities"].where("layer = 'domain'").select(F.col("id").alias("parent_id"), F.col("name").alias("domain"))
-    known = (edges(tables) if "edges" in tables else staged(edges(tables), "edges")).join(domains, "parent_id")  # read three times
-    # A domain's capabilities are as few as its rules; its projects are only counted here.
-    grouped = known.groupBy("parent_id", "domain").agg(F.count_distinct("project").alias("projects"), F.array_sort(F.collect_set("capability_name")).alias("covered"))
+    known = (edges(tables) if "edges" in tables else staged(edges(tables), "edges")).join(F.broadcast(domains), "parent_id")  # read twice
+    # Projects and names are made distinct apart, by aggregates that combine before their
+    # shuffle. A domain's capabilities are gathered, its projects are only counted here.
+    members = staged(known.select("parent_id", "domain", F.col("project").alias("project_id")).distinct(), "members")
+    named = known.select("parent_id", "capability_name").distinct().groupBy("parent_id").agg(F.array_sort(F.collect_list("capability_name")).alias("covered"))
+    grouped = members.groupBy("parent_id", "domain").agg(F.count("project_id").alias("projects")).join(named, "parent_id")
     grouped = grouped.where((F.col("projects") >= least_projects) & (F.size("covered") >= least_capabilities))
     have = F.transform("covered", lambda c: F.lower(c))
     listed = F.coalesce(F.try_element_at(wanted, key), empty_list()) if wanted is not None else empty_list()
@@ -191,7 +194,7 @@ def opportunities(tables: dict[str, DataFrame], complete: dict[str, list[str]] |
     coverage = F.when(F.size("listed") == 0, F.least(0.3 + n * 0.05, F.lit(0.6))).otherwise(F.round(n / (n + F.size("missing")), 2))
     ranked = met.withColumn("coverage", coverage).where(F.col("coverage") >= least_coverage)
     first = ranked.orderBy(F.col("coverage").desc(), F.col("projects").desc(), "parent_id").limit(most)
-    members = known.select("parent_id", F.col("project").alias("project_id")).distinct()
+    members = members.select("parent_id", "project_id").distinct()  # a domain may stand under several names
     with_projects = _lists(members, ["parent_id"], first, project_ids=F.col("project_id"))
     owned = members.join(F.broadcast(first.select("parent_id")), "parent_id", "left_semi").join(assets, "project_id")
     met = _lists(owned, ["parent_id"], with_projects, asset_ids=F.col("id")).withColumn("asset_ids", F.coalesce("asset_ids", empty_list()))

@@ -40,3 +40,19 @@ def test_nothing_is_gathered_above_the_limit(spark):
         for i, line in enumerate(lines := plan.splitlines()):
             if "collect_list" in line:  # every list is of a join with what a limit left
                 assert any("LocalLimit" in below or "GlobalLimit" in below for below in lines[i:])
+
+
+def test_opportunities_gather_no_sets(spark):
+    """Projects and names of a domain are made distinct by plain aggregates, and lists of
+    projects are not sent through the driver."""
+    n = 300
+    tables = {
+        "projects": spark.range(n).select(F.concat(F.lit("p"), "id").alias("id")),
+        "capabilities": spark.createDataFrame([("d", "Domain", "domain", None, 1.0), *[(f"c{i}", f"Name {i // 2}", "capability", "d", 1.0) for i in range(8)]], "id string, name string, layer string, parent_id string, confidence double"),
+        "assets": spark.range(10).select(F.concat(F.lit("a"), "id").alias("id"), F.concat(F.lit("p"), F.col("id") * 2).alias("project_id"), F.lit("code").alias("type"), (F.col("id") / 10).alias("reuse_score"), F.lit(None).cast("string").alias("user_feedback")),
+        "relations": spark.range(n * 8).select(F.concat(F.lit("p"), (F.col("id") / 8).cast("long")).alias("source_id"), F.lit("implements").alias("relation_type"), F.concat(F.lit("c"), F.col("id") % 8).alias("target_id")),
+    }
+    out = insights.opportunities(tables)
+    row = out.first()
+    assert (len(row.source_project_ids), row.source_asset_ids, row.required_capabilities, row.rating) == (n, ["a7", "a8", "a9"], [f"Name {i}" for i in range(4)], 4)
+    assert "collect_set" not in out._jdf.queryExecution().optimizedPlan().toString()
