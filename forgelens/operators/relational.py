@@ -13,6 +13,8 @@ from ..sources.tables import staged
 
 #: Up to this many rows of words, a table of them is broadcast.
 FEW_WORDS = 2_000_000
+#: How many documents a task of a keyword join takes.
+TASK_TEXTS = 4000
 
 
 def keyword(df: DataFrame, text: str | None, columns: Sequence[str]) -> DataFrame:
@@ -221,14 +223,16 @@ def keyword_links(items: DataFrame, docs: DataFrame, item: str, doc: str, least:
     aside; one counts inside of a longer word, too. Rows that share an id are one text.
 
     A keyword is all letters, so it lies within one run of letters and begins with one of that
-    run's windows of four. Documents' runs are dealt once, by id; the keywords, where they are
-    not too many for that, are broadcast, and no row moves again.
+    run's windows of four. Documents' runs are dealt once, by id, to as many tasks as their
+    number asks for, so that what a task groups does not grow with the table; the keywords,
+    where they are not too many for that, are broadcast, and no row moves again.
     """
     runs = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)))
     few = lambda df: F.broadcast(df) if df.count() <= FEW_WORDS else df
     terms = items.select(item, F.explode(runs).alias("keyword")).distinct()
     begun = terms.select("keyword", F.substring("keyword", 1, 4).alias("head")).distinct()
-    words = docs.select(doc, runs.alias("runs")).repartition(doc).select(doc, F.explode("runs").alias("w"))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // TASK_TEXTS))
+    words = docs.select(doc, runs.alias("runs")).repartition(tasks, doc).select(doc, F.explode("runs").alias("w"))
     heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("w") - 3), lambda i: F.substring("w", i, F.lit(4))))
     pairs = words.select(doc, "w", F.explode(heads).alias("head")).join(few(begun), "head").where(F.contains("w", "keyword")).select(doc, "keyword").distinct()
     return pairs.join(few(terms), "keyword").groupBy(item, doc).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)

@@ -35,3 +35,12 @@ def test_all_items(spark):
     got = sorted(map(tuple, catalogue.QUERIES["keyword_substring_join"](spark, SF).collect()), key=str)
     assert got == brute(items, docs)
     assert len({r[0] for r in got}) > 5  # not only those with item_id < 5
+
+
+def test_tasks_grow_with_the_documents(spark, monkeypatch):
+    """What a task groups stays the same, whatever the number of documents."""
+    monkeypatch.setattr(relational, "TASK_TEXTS", 10)
+    items = spark.createDataFrame([(1, "some blue lake")], "item_id long, text string")
+    docs = spark.range(400).selectExpr("id AS doc_id", "'some blue lakes' AS text")
+    got = relational.keyword_links(items, docs, "item_id", "doc_id")
+    assert got.rdd.getNumPartitions() == 40 and got.count() == 400
